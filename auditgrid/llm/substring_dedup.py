@@ -11,8 +11,9 @@ documents share. In a shard, contexts stream in id order against a suffix
 automaton of the contexts before them; a matching statistic of ``window`` words
 or more marks a window for removal, and new words extend the automaton.
 
-Minimisers in more than ``crowd`` places take an exact way without groups: their
-windows are aggregated one by one (128-bit hashes of the words) to the least id.
+Minimisers in more than ``crowd`` places take an exact way without groups: equal
+contexts become one, with the least id, and the windows of distinct contexts are
+aggregated to the least id by 128-bit hashes of their words.
 Whole texts that repeat are found first by the SHA-256 of their words.
 """
 
@@ -97,37 +98,44 @@ def profiles(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(common.arrow_rows(one, PROFILE), PROFILE_DDL)
 
 
-CONTEXT = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("anchor", pa.int64()), ("other", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
-CONTEXT_DDL = "doc_id long, tag long, anchor long, other long, start int, words binary"
+CONTEXT = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("anchor", pa.int64()), ("other", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("windows", pa.list_(pa.struct([("one", pa.int64()), ("two", pa.int64())])))])
+CONTEXT_DDL = "doc_id long, tag long, anchor long, other long, start int, words binary, windows array<struct<one:long,two:long>>"
 
 
 def _contexts(window: int):
-    """Rows of (doc_id, text, tag, places) to contexts, or to window hashes (words null) where the minimiser is crowded."""
+    """Rows of (doc_id, text, tag, places) to contexts.
+
+    A context is the words that all windows of one minimiser cover. Where the minimiser is crowded, words
+    is null, (anchor, other) are two hashes of the context and windows has two hashes of each window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids, tags, places = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            bounds = places.offsets.to_pylist()
+            anchors, los, his, crowds = (places.values.field(i).to_pylist() for i in range(4))
             out: list[list] = [[] for _ in CONTEXT]
             size = 0
             for k, raw in enumerate(common.texts_of(batch.column(1), at_once=64)):
                 words = (raw or b"").split()
                 if _identity(words)[0] != tags[k]:
                     continue  # another text under the same id
+                joined = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()
                 h: np.ndarray | None = None
-                for place in batch.column(3)[k].as_py():
-                    lo, hi = place["lo"], place["hi"]
-                    if not place["crowded"]:
-                        row = (ids[k], tags[k], place["anchor"], None, lo, b" ".join(words[lo : hi + window]))
-                        size += len(row[-1])
-                        for column, v in zip(out, row, strict=True):
-                            column.append(v)
-                        continue
-                    h = word_hashes(words) if h is None else h
-                    one, two = (rolled(h[lo : hi + window], window, b).view(np.int64).tolist() for b in _BASES)
-                    m = hi - lo + 1
-                    for column, v in zip(out, ([ids[k]] * m, [tags[k]] * m, one, two, range(lo, hi + 1), [None] * m), strict=True):
-                        column.extend(v)
-                    size += 40 * m
+                for j in range(bounds[k], bounds[k + 1]):
+                    lo, hi = los[j], his[j]
+                    part = joined[ends[lo - 1] if lo else 0 : ends[hi + window - 1] - 1]
+                    row: tuple = (ids[k], tags[k], anchors[j], None, lo, part, None)
+                    size += len(part)
+                    if crowds[j]:
+                        h = word_hashes(words) if h is None else h
+                        pairs = [rolled(h[lo : hi + window], window, b).view(np.int64).tolist() for b in _BASES]
+                        context = hashlib.blake2b(part, digest_size=16).digest()
+                        one, two = (int.from_bytes(context[i : i + 8], "big", signed=True) for i in (0, 8))
+                        row = (ids[k], tags[k], one, two, lo, None, [{"one": x, "two": y} for x, y in zip(*pairs, strict=True)])
+                    for column, v in zip(out, row, strict=True):
+                        column.append(v)
                 if size > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, CONTEXT, strict=True)], schema=CONTEXT)
                     out, size = [[] for _ in CONTEXT], 0
@@ -259,10 +267,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     quiet = contexts.where("words is not null")
     n = quiet.sparkSession.conf.get("spark.sql.shuffle.partitions")
     by_shard = quiet.repartition(int(n), "anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(_match_shards(window), SPAN_DDL)
-    loud = contexts.where("words is null").select("doc_id", "tag", "anchor", "other", "start")
-    least = loud.groupBy("anchor", "other").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor", "other", "least")
-    one_by_one = loud.join(least, ["anchor", "other"]).where("doc_id > least").select("doc_id", "tag", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
-    spans = by_shard.union(one_by_one).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    # Crowded minimisers: equal contexts count once, so copies of a passage are never paired.
+    loud = contexts.where("words is null").select("doc_id", "tag", "anchor", "other", "start", "windows")
+    distinct = loud.groupBy("anchor", "other").agg(F.min("doc_id").alias("least"), F.first("windows").alias("windows"))
+    distinct = common.table(distinct, "substring-distinct")
+    each = distinct.select("anchor", "other", "least", F.posexplode("windows").alias("at", "w")).select("anchor", "other", "least", "at", "w.*")
+    earlier = each.groupBy("one", "two").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("one", "two", "first")
+    gone = each.join(earlier, ["one", "two"]).where("least > first").groupBy("anchor", "other").agg(F.collect_list("at").alias("gone"))
+    known = distinct.select("anchor", "other", "least", F.size("windows").alias("n")).join(gone, ["anchor", "other"], "left")
+    hit = loud.drop("windows").join(known, ["anchor", "other"]).where("doc_id > least or gone is not null")
+    cuts = F.when(F.col("doc_id") > F.col("least"), F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n") + (window - 1)).alias("hi")))).otherwise(
+        F.transform("gone", lambda x: F.struct((F.col("start") + x).alias("lo"), (F.col("start") + x + window).alias("hi")))
+    )
+    by_content = hit.select("doc_id", "tag", F.inline(cuts))
+    spans = by_shard.union(by_content).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     marks = firsts.join(spans, ["doc_id", "tag"], "left").select("doc_id", "tag", "spans", F.lit(True).alias("first"))
     copy = (F.col("n_words") >= window) & F.col("doc_id").isNotNull() & F.col("first").isNull()
     return rows.select("doc_id", "tag", "n_words", "words_sha").join(marks, ["doc_id", "tag"], "left").select("doc_id", "tag", "n_words", "words_sha", copy.alias("copy"), "spans")

@@ -33,7 +33,7 @@ from auditgrid.llm import common
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Bytes of a chunk; state maps of chunks compose.
-CHUNK = 512
+CHUNK = 256
 #: Characters that run through the transducer at once.
 AT_ONCE = 4_000_000
 #: States at which the compiled table is dropped, but for the states that lanes are in.
@@ -71,7 +71,7 @@ class Transducer:
         if model["type"] != "BPE" or model["end_of_word_suffix"] != "</w>":
             raise ValueError("a BPE vocabulary with word ends is needed")
         self.normalizer = Tokenizer.from_file(path).normalizer
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         of = {s: b for b, s in enumerate(byte_symbols())}
 
         def symbols(token: str) -> tuple[int, ...]:
@@ -84,25 +84,33 @@ class Transducer:
             if token not in self.special:
                 self.tokens[symbols(token)] = i
         self.spelled = {i: s for s, i in self.tokens.items()}
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        #: Of each merged token: its merge's rank, and the two tokens that it joins.
+        self.made: dict[int, tuple[int, int, int]] = {}
         for r, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             a, b = symbols(a), symbols(b)
-            self.ranks[self.tokens[a], self.tokens[b]] = (r, self.tokens[(*a, *b)])
+            self.ranks[self.tokens[a], self.tokens[b]] = r
+            self.made.setdefault(self.tokens[(*a, *b)], (r, self.tokens[a], self.tokens[b]))
         self.prefixes = {s[:k] for s in self.tokens for k in range(1, len(s))}
         self.follows: dict[tuple[int, int], bool] = {}
+        self.whole: dict[int, bool] = {}
+        self.emitted: dict[tuple[int, ...], int] = {(): 0}
+        self.sizes = np.zeros(1024, np.int64)
+        self.laid: tuple = (0, None, None)
         self.max_states = max_states
         self.reset()
 
     def reset(self) -> None:
-        # A state: (suffix that may still grow, for each cut in and before it the last token and its relative count).
-        self.ids: dict[tuple, int] = {((), ((-1, 0),)): 0}
+        # A state: (suffix that may still grow, for each cut before and in it the last token and those not emitted yet).
+        self.ids: dict[tuple, int] = {((), ((-1, ()),)): 0}
         self.states: list[tuple] = [*self.ids]
         # Columns belong to symbols in the order in which they are first met.
-        self.column = np.full(512, -1, np.int64)
+        self.column = np.full(512, -1, np.int16)
         self.met = 0
         self.step = np.full((1024, 32), -1, np.int32)
-        self.emits = np.zeros((1024, 32), np.int8)
+        self.emits = np.zeros((1024, 32), np.int32)
+        self.counts = np.zeros((1024, 32), np.int8)
 
     def _grow(self, axis: int) -> None:
         more = [0, 0]
@@ -110,10 +118,11 @@ class Transducer:
         pad = [(0, more[0]), (0, more[1])]
         self.step = np.pad(self.step, pad, constant_values=-1)
         self.emits = np.pad(self.emits, pad)
+        self.counts = np.pad(self.counts, pad)
 
     def columns(self, symbols: np.ndarray) -> np.ndarray:
         """The table's column of each symbol."""
-        for s in np.unique(symbols[self.column[symbols] < 0]).tolist():
+        for s in np.flatnonzero((np.bincount(symbols, minlength=512) > 0) & (self.column < 0)).tolist():
             if self.met == self.step.shape[1]:
                 self._grow(1)
             self.column[s] = self.met
@@ -127,7 +136,7 @@ class Transducer:
         column, met, width = self.column, self.met, self.step.shape[1]
         self.reset()
         self.column, self.met = column, met
-        self.step, self.emits = np.full((1024, width), -1, np.int32), np.zeros((1024, width), np.int8)
+        self.step, self.emits, self.counts = np.full((1024, width), -1, np.int32), np.zeros((1024, width), np.int32), np.zeros((1024, width), np.int8)
         return np.array([self.intern(k) for k in keys], np.int64)[place]
 
     def intern(self, key: tuple) -> int:
@@ -139,73 +148,113 @@ class Transducer:
                 self._grow(0)
         return to
 
-    def merge(self, ids: list[int]) -> list[int]:
-        """Merges in rank order, leftmost first."""
-        ids = list(ids)
-        while len(ids) > 1:
-            best = min(((self.ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.ranks), default=None)
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [self.ranks[ids[i], ids[i + 1]][1]]
-        return ids
-
     def may_follow(self, a: int, b: int) -> bool:
-        """Whether tokens a, b stay apart when their bytes are tokenized together."""
-        if a < 0:
-            return True
-        known = self.follows.get((a, b))
-        if known is None:
-            if len(self.follows) > 500_000:
-                self.follows.clear()
-            known = self.follows[a, b] = self.merge([self.tokens[s,] for s in (*self.spelled[a], *self.spelled[b])]) == [a, b]
+        """Whether tokens a, b stay apart when their bytes are tokenized together.
+
+        The merges inside both are undone, latest first; they stay apart unless, at some stage, the two
+        that face each other would be joined before the merges undone so far are made.
+        """
+        key, limit, free = (a, b), len(self.ranks), (-1, 0, 0)
+        known = self.follows.get(key)
+        if known is not None:
+            return known
+        while True:
+            if self.ranks.get((a, b), limit) < limit:
+                known = False
+                break
+            left, right = self.made.get(a, free), self.made.get(b, free)
+            if left[0] < 0 and right[0] < 0:
+                known = True
+                break
+            if left[0] > right[0]:
+                limit, a = left[0], left[2]
+            else:
+                limit, b = right[0] + 1, right[1]
+        if len(self.follows) > 500_000:
+            self.follows.clear()
+        self.follows[key] = known
         return known
 
     def alone(self, token: int) -> bool:
-        return self.merge([self.tokens[s,] for s in self.spelled[token]]) == [token]
+        """Whether the token's own bytes are tokenized as it."""
+        known = self.whole.get(token)
+        if known is None:
+            parts = self.made.get(token)
+            known = self.whole[token] = parts is None or (self.alone(parts[1]) and self.alone(parts[2]))
+        return known
 
     def compile(self, state: int, symbol: int) -> None:
         suffix, cuts = self.states[state]
         grown = (*suffix, symbol)
-        found = None
         for k in range(len(cuts)):  # longest token first
             token = self.tokens.get(grown[k:])
             if token is not None and (self.may_follow(cuts[k][0], token) if cuts[k][0] >= 0 else self.alone(token)):
-                found = (token, cuts[k][1] + 1)
                 break
-        if found is None:
+        else:
             raise ValueError("the vocabulary lacks a byte")
-        emitted = found[1] - cuts[-1][1]
+        whole = (*cuts[k][1], token)
         column = self.column[symbol]
         if symbol >= 256:
-            self.step[state, column], self.emits[state, column] = 0, emitted
+            self.step[state, column], self.emits[state, column], self.counts[state, column] = 0, self.emission(whole), len(whole)
             return
         keep = next((k for k in range(len(grown)) if grown[k:] in self.prefixes), len(grown))
-        ends = [*cuts, found][keep:]
-        key = (grown[keep:], tuple((t, c - found[1]) for t, c in ends))
-        to = self.intern(key)
-        self.step[state, column], self.emits[state, column] = to, emitted
-
-    def run(self, lanes: np.ndarray, lengths: np.ndarray, entry: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exit state and tokens of each lane: ``lengths`` symbols from place ``lanes`` on, from state ``entry``."""
+        ends = [*cuts, (token, whole)][keep:]
+        # Tokens that every cut agrees on are emitted now.
+        least, most = min(e[1] for e in ends), max(e[1] for e in ends)
+        n = next((i for i, (x, y) in enumerate(zip(least, most, strict=False)) if x != y), min(len(least), len(most)))
+        to = self.intern((grown[keep:], tuple((t, c[n:]) for t, c in ends)))
+        self.step[state, column], self.emits[state, column], self.counts[state, column] = to, self.emission(whole[:n]), n
+
+    def emissions(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all emissions behind one another, and where each emission begins."""
+        if self.laid[0] != len(self.emitted):
+            flat = np.fromiter((t for e in self.emitted for t in e), np.uint32)
+            starts = np.concatenate(([0], np.cumsum(self.sizes[: len(self.emitted)])))[:-1]
+            self.laid = (len(self.emitted), flat, starts)
+        return self.laid[1:]
+
+    def emission(self, tokens: tuple[int, ...]) -> int:
+        """The number of a sequence of tokens that transitions emit."""
+        i = self.emitted.get(tokens)
+        if i is None:
+            i = self.emitted[tokens] = len(self.emitted)
+            if i == len(self.sizes):
+                self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+            self.sizes[i] = len(tokens)
+        return i
+
+    def run(self, lanes: np.ndarray, lengths: np.ndarray, entry: np.ndarray, symbols: np.ndarray, columns: np.ndarray, trace: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and tokens of each lane: ``lengths`` symbols from place ``lanes`` on, from state ``entry``.
+
+        trace, if given, gets the number of what each symbol's transition emits.
+        """
         order = np.argsort(-lengths, kind="stable")
         state, count = entry[order].astype(np.int64), np.zeros(len(lanes), np.int64)
-        at, sizes, columns = lanes[order], lengths[order], self.columns(symbols)
-        for i in range(int(sizes[0]) if len(sizes) else 0):
-            n = int(np.searchsorted(-sizes, -i, "left"))
+        at, sizes = lanes[order].copy(), lengths[order]
+        step, counts, emits, width = self.step.ravel(), self.counts.ravel(), self.emits.ravel(), self.step.shape[1]
+        live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0]) if len(sizes) else 0), "right")
+        for n in live.tolist():
             if len(self.states) > self.max_states:
                 state = self.flush(state)
-            here, read = state[:n], columns[at[:n] + i]
-            to = self.step[here, read]
-            if (new := np.flatnonzero(to < 0)).size:
-                for s, c in np.unique(np.stack((here[new], symbols[at[new] + i])), axis=1).T.tolist():
+                step, counts, emits = self.step.ravel(), self.counts.ravel(), self.emits.ravel()
+            here = at[:n]
+            cell = state[:n] * width + columns.take(here)
+            to = step.take(cell)
+            if to.min() < 0:
+                new = np.flatnonzero(to < 0)
+                for s, c in np.unique(np.stack((state[new], symbols[here[new]])), axis=1).T.tolist():
                     self.compile(s, c)
-                to = self.step[here, read]
-            count[:n] += self.emits[here, read]
+                step, counts, emits = self.step.ravel(), self.counts.ravel(), self.emits.ravel()
+                to = step.take(cell)
+            if trace is None:
+                count[:n] += counts.take(cell)
+            else:
+                trace[here] = emits.take(cell)
             state[:n] = to
-        exits, counts = np.empty_like(state), np.empty_like(count)
-        exits[order], counts[order] = state, count
-        return exits, counts
+            here += 1
+        exits, totals = np.empty_like(state), np.empty_like(count)
+        exits[order], totals[order] = state, count
+        return exits, totals
 
 
 def word_symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -242,59 +291,86 @@ def normalised(text: str, machine: Transducer) -> str:
     return unicodedata.normalize("NFC", text).lower()
 
 
-def count_tokens(texts: list[str], machine: Transducer, chunk: int = CHUNK) -> list[int]:
-    """Tokens of each text; special tokens' own strings count as one each."""
-    counts = np.zeros(len(texts), np.int64)
-    parts, owners = [], []
-    for i, text in enumerate(texts):
-        pieces = [text]
-        for s in machine.special:
-            if s in text:
-                cut = [p.split(s) for p in pieces]
-                counts[i] += sum(len(c) - 1 for c in cut)
-                pieces = [x for c in cut for x in c]
-        for piece in pieces:
-            if piece:
-                parts.append(normalised(piece, machine))
-                owners.append(i)
-    if not parts:
-        return counts.tolist()
-    # A blank keeps neighbouring texts apart.
-    symbols, at = word_symbols("\n".join(parts))
-    if not len(symbols):
-        return counts.tolist()
-    bounds = np.cumsum([len(p) + 1 for p in parts])
-    part_of = np.searchsorted(bounds, at, "right")
-    # Chunks never cross a text, so their counts add up by text.
-    first = np.flatnonzero(np.concatenate(([True], part_of[1:] != part_of[:-1])))
-    size = np.diff(np.concatenate((first, [len(symbols)])))
+def _chunks(first: np.ndarray, size: np.ndarray, symbols: np.ndarray, chunk: int) -> tuple[np.ndarray, ...]:
+    """Chunks of the parts: part, whether it is the part's first, start, length, and symbols up to the first word end."""
     per = -(-size // chunk)
     home = np.repeat(np.arange(len(first)), per)
     nth = np.arange(len(home)) - np.repeat(np.cumsum(per) - per, per)
     start = first[home] + nth * chunk
     length = np.minimum(chunk, first[home] + size[home] - start)
-    # Each chunk's first word end: symbols up to it depend on the entry state.
-    is_end = symbols >= 256
-    ends_before = np.concatenate(([0], np.cumsum(is_end)))
-    end_at = np.flatnonzero(is_end)
-    k = ends_before[start]
-    sync = np.where(k < len(end_at), end_at[np.minimum(k, len(end_at) - 1)] + 1, len(symbols))
-    head = np.minimum(sync - start, length)
+    ends = np.flatnonzero(symbols >= 256)
+    head = np.minimum(ends[np.minimum(np.searchsorted(ends, start), len(ends) - 1)] + 1 - start, length)
     head[nth == 0] = 0  # a text begins in the start state
-    exits, tail_count = machine.run(start + head, length - head, np.zeros(len(start), np.int64), symbols)
-    # The scan: a chunk whose head is all of it passes its entry on, so heads of such runs are one long head.
-    constant = (head < length) | (nth == 0)
-    leader = np.maximum.accumulate(np.where(constant, np.arange(len(start)), 0))
+    return home, nth == 0, start, length, head
+
+
+def transduce(parts: list[str], machine: Transducer, chunk: int, ids: bool) -> list:
+    """Of each normalised part its number of tokens or, with ``ids``, their ids."""
+    symbols, at = word_symbols("\n".join(parts))  # a blank keeps neighbours apart
+    bounds = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
+    cuts = np.searchsorted(at, bounds)
+    if not len(symbols):
+        return [np.zeros(0, np.uint32) if ids else 0 for _ in parts]
+    # Chunks never cross a part, so their counts add up by part.
+    home, leads, start, length, head = _chunks(cuts[:-1], np.diff(cuts), symbols, chunk)
+    columns, trace = machine.columns(symbols), np.zeros(len(symbols), np.int32) if ids else None
+    exits, counts = machine.run(start + head, length - head, np.zeros(len(start), np.int64), symbols, columns, trace)
+    totals = np.bincount(home, counts, len(parts)).astype(np.int64)
+    # The scan: a chunk that is all head passes its entry on, so the heads after a constant map are one long head.
     own = np.flatnonzero(head > 0)
-    begins = own[np.concatenate(([True], leader[own[1:] - 1] != leader[own[:-1] - 1]))] if len(own) else own
-    run_of = np.searchsorted(begins, own, "right") - 1
-    long = np.bincount(run_of, head[own], len(begins)).astype(np.int64) if len(own) else np.zeros(0, np.int64)
-    _, head_count = machine.run(start[begins], long, exits[leader[begins - 1]] if len(begins) else np.zeros(0, np.int64), symbols)
-    owner_of = np.asarray(owners)[part_of[first]]
-    np.add.at(counts, owner_of[home], tail_count)
-    if len(begins):
-        np.add.at(counts, owner_of[home[begins]], head_count)
-    return counts.tolist()
+    if len(own):
+        leader = np.maximum.accumulate(np.where((head < length) | leads, np.arange(len(start)), 0))
+        begins = own[np.concatenate(([True], leader[own[1:] - 1] != leader[own[:-1] - 1]))]
+        long = np.bincount(np.searchsorted(begins, own, "right") - 1, head[own], len(begins)).astype(np.int64)
+        _, counts = machine.run(start[begins], long, exits[leader[begins - 1]], symbols, columns, trace)
+        totals += np.bincount(home[begins], counts, len(parts)).astype(np.int64)
+    if not ids:
+        return totals.tolist()
+    flat, starts = machine.emissions()
+    emitted = machine.sizes[trace]
+    ends = np.concatenate(([0], np.cumsum(emitted)))
+    some = np.flatnonzero(emitted)
+    sizes = emitted[some]
+    out = flat[np.repeat(starts[trace[some]] - ends[some], sizes) + np.arange(ends[-1])]
+    return [out[a:b] for a, b in zip(ends[cuts[:-1]].tolist(), ends[cuts[1:]].tolist(), strict=True)]
+
+
+def _split_special(texts: list[str], machine: Transducer) -> tuple[list[str], list[tuple[int, int | None]]]:
+    """Normalised parts, and of each its text and the special token after it (if any)."""
+    parts, owners = [], []
+    for i, text in enumerate(texts):
+        pieces: list[str | int] = [text]
+        for s, number in machine.special.items():
+            if s in text:
+                pieces = [y for x in pieces for y in (_between(x.split(s), number) if isinstance(x, str) else [x])]
+        for k in range(0, len(pieces), 2):
+            parts.append(normalised(pieces[k], machine))
+            owners.append((i, pieces[k + 1] if k + 1 < len(pieces) else None))
+    return parts, owners
+
+
+def _between(cut: list[str], number: int) -> list[str | int]:
+    return [x for piece in cut for x in (piece, number)][:-1]
+
+
+def count_tokens(texts: list[str], machine: Transducer, chunk: int = CHUNK) -> list[int]:
+    """Tokens of each text; special tokens' own strings count as one each."""
+    parts, owners = _split_special(texts, machine)
+    counts = [0] * len(texts)
+    for (i, special), n in zip(owners, transduce(parts, machine, chunk, False), strict=True):
+        counts[i] += n + (special is not None)
+    return counts
+
+
+def encode(texts: list[str], machine: Transducer, chunk: int = CHUNK) -> list[np.ndarray]:
+    """Ids of each text."""
+    parts, owners = _split_special(texts, machine)
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for (i, special), part in zip(owners, transduce(parts, machine, chunk, True), strict=True):
+        found[i].append(part)
+        if special is not None:
+            found[i].append(np.array([special], np.uint32))
+    return [f[0] if len(f) == 1 else np.concatenate(f) for f in found]
 
 
 @lru_cache(2)
