@@ -6,18 +6,18 @@ pattern is tried only where its rule's gate is open. There is no shuffle and no
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditgrid.functions import fileclass
-from auditgrid.functions.text import evidence, first_line, js_trim, line_evidence, line_of, lines, match_offsets, matches, js_regex
-from auditgrid.rules.spec import ContentRule, FileRule, LineRule, Test
-from auditgrid.schema import EVIDENCE_CHARS
-
-KEYS = ("file_id", "repo", "relative_path")
+from auditgrid.functions.text import first_line, first_match_line, js_regex, js_trim, line_evidence, line_of, lines, match_offsets, matches
+from auditgrid.operators.blocks import with_blocks
+from auditgrid.rules.scope_rules import AUTH_GUARD, GUARD_HINT, GUARD_MEMBER
+from auditgrid.rules.spec import CODE, CodeRule, ContentRule, FileRule, LineRule, ScopeRule, Test
+from auditgrid.schema import EVIDENCE_CHARS, FOUND_DDL, KEYS
 
 
 def every(tests: Iterable[Column]) -> Column:
@@ -87,14 +87,15 @@ def content_findings(files: DataFrame, rules: Sequence[ContentRule], severities:
     """Findings of all content rules, ordered within a file and rule by pattern, then offset."""
     content = F.col("content")
     arrays = []
+
+    def numbered(i: int, k: int) -> Callable[[Column, Column], Column]:
+        return lambda m, j: F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), m["off"].alias("off"), m["text"].alias("text"), (j == 0).alias("first"))
+
     for i, rule in enumerate(rules):
         for k, p in enumerate(rule.patterns):
             live = F.array_contains("open", i) & matches(content, p.regex, p.flags)
-            named = F.transform(
-                match_offsets(content, p.regex, p.flags),
-                lambda m, i=i, k=k: F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), m["off"].alias("off"), m["text"].alias("text")),
-            )
-            arrays.append(F.when(live, named).otherwise(F.array().cast("array<struct<i:int,k:int,off:int,text:string>>")))
+            named = F.transform(match_offsets(content, p.regex, p.flags), numbered(i, k))
+            arrays.append(F.when(live, named).otherwise(F.array().cast("array<struct<i:int,k:int,off:int,text:string,first:boolean>>")))
     rows = _open(rules, files).select(*KEYS, "content", F.explode(F.flatten(F.array(*arrays))).alias("m")).select(*KEYS, "content", "m.*")
     rows = rows.withColumn("line", line_of(content, F.col("off"))).withColumn("line_text", js_trim(F.element_at(lines(content), F.col("line"))))
     keep, message, severity = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -107,8 +108,12 @@ def content_findings(files: DataFrame, rules: Sequence[ContentRule], severities:
             stop = F.col("off") + (F.length("text") if from_end else F.lit(0)) + after
             inside = matches(F.substring(content, start + 1, stop - start), regex, flags)
             ok &= inside if wanted else ~inside
+        if rule.first_only:
+            ok &= F.col("first")
         for k, p in enumerate(rule.patterns):
             this = mine & (F.col("k") == k)
+            if p.also or p.unless:
+                ok &= ~this | every([*(matches(F.col("text"), r, f) for r, f in p.also), *(~matches(F.col("text"), r, f) for r, f in p.unless)])
             part = F.regexp_extract("text", js_regex(p.regex, p.flags), rule.group) if rule.group is not None else None
             if part is not None and rule.match_unless:
                 ok &= ~(this & matches(part, *rule.match_unless))
@@ -125,15 +130,123 @@ def content_findings(files: DataFrame, rules: Sequence[ContentRule], severities:
     return out.where(~F.col("rule_id").isin(single)).unionByName(first)
 
 
-def file_findings(files: DataFrame, rules: Sequence[FileRule], severities: dict[str, str]) -> DataFrame:
-    """Findings of all file rules, one for each branch that holds."""
+def found(rule_id: str, severity: Column | str, message: Column | str, line: Column, shown: Column, order: Column) -> Column:
+    """One finding as a struct."""
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(
+        F.lit(rule_id).alias("rule_id"), lit(severity).cast("string").alias("severity"), lit(message).cast("string").alias("message"),
+        line.cast("int").alias("line"), shown.cast("string").alias("evidence"), order.cast("long").alias("finding_ord"),
+    )
+
+
+def present(findings: Sequence[Column]) -> Column:
+    """The array of the findings that aren't null."""
+    return F.filter(F.array(*findings), lambda x: x.isNotNull()).cast(FOUND_DDL)
+
+
+def file_rule(rule: FileRule, severities: dict[str, str]) -> Column:
     path, content = F.col("relative_path"), F.col("content")
-    found = []
-    for rule in rules:
-        live = gate(rule.gates, rule.any_gate)
-        for k, b in enumerate(rule.branches):
-            line = first_line(content, *b.line) if b.line else F.lit(1)
-            value = F.struct(F.lit(rule.id).alias("rule_id"), F.lit(b.severity or severities[rule.id]).alias("severity"), F.lit(b.message).alias("message"), line.cast("int").alias("line"), F.lit(k).cast("long").alias("finding_ord"), F.lit(b.line is not None).alias("shown"))
-            found.append(F.when(every([live, *(holds(t, path, content) for t in b.tests)]), value))
-    out = files.select(*KEYS, "content", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select(*KEYS, "content", "f.*")
-    return out.select(*KEYS, "rule_id", "severity", "message", "line", F.when(F.col("shown"), line_evidence(content, F.col("line"))).alias("evidence"), "finding_ord")
+    out = []
+    for k, b in enumerate(rule.branches):
+        line = first_line(content, *b.line) if b.line else F.lit(1)
+        if b.at:
+            line = F.coalesce(*[F.when(matches(path, p, "i"), first_match_line(content, r, f)) for r, f, p in b.at], F.lit(1))
+        shown = line_evidence(content, line) if b.line or b.at else F.lit(None)
+        out.append(F.when(every(holds(t, path, content) for t in b.tests), found(rule.id, b.severity or severities[rule.id], b.message, line, shown, F.lit(k))))
+    return F.when(gate(rule.gates, rule.any_gate), present(out))
+
+
+def exploded(files: DataFrame, arrays: Sequence[Column]) -> DataFrame:
+    """Findings that expressions on a file give, in one pass over the files."""
+    some_ = F.flatten(F.filter(F.array(*[a.cast(FOUND_DDL) for a in arrays]), lambda x: x.isNotNull()))
+    return files.select(*KEYS, F.explode(some_).alias("f")).select(*KEYS, "f.*")
+
+
+def file_findings(files: DataFrame, rules: Sequence[FileRule], checks: Sequence[Callable[[Column, Column], Column]], severities: dict[str, str]) -> DataFrame:
+    """Findings of file rules, one for each branch that holds, and of checks: functions of (path, content)."""
+    return exploded(files, [*(file_rule(r, severities) for r in rules), *(c(F.col("relative_path"), F.col("content")) for c in checks)])
+
+
+def declared_names(code: Column, local: bool) -> Column:
+    """Names that a script imports and, if ``local``, declares."""
+    clauses = F.regexp_extract_all(code, F.lit(r"\bimport\s+([^;'\"]+?)\s+from\b"), F.lit(1))
+    imported = F.flatten(F.transform(clauses, lambda c: F.regexp_extract_all(c, F.lit(r"(\w+)"), F.lit(1))))
+    return F.concat(imported, F.regexp_extract_all(code, F.lit(r"\b(?:function\s*\*?\s+|(?:const|let|var)\s+)(\w+)"), F.lit(1))) if local else imported
+
+
+def guarded(body: Column, code: Column, local: bool, custom: Sequence[str] = ()) -> Column:
+    """Whether a function's code calls something that checks the user."""
+    calls = F.regexp_extract_all(body, F.lit(js_regex(rf"\b(\w*{GUARD_HINT}\w*)\s*[.(]", "i")), F.lit(1))
+    known = F.arrays_overlap(calls, declared_names(code, local))
+    own = [matches(body, r"\b(?:" + "|".join(map(_escaped, custom)) + r")\s*\(")] if custom else []
+    return some([matches(body, r"\b\w*" + AUTH_GUARD + r"\s*\("), matches(body, GUARD_MEMBER), known, *own])
+
+
+def _escaped(name: str) -> str:
+    return "".join("\\" + c if not c.isalnum() and c != "_" else c for c in name)
+
+
+def _scope_rule(rule: ScopeRule, order: int, severities: dict[str, str], guards: Sequence[str]) -> Column:
+    content, code = F.col("content"), F.col("code")
+
+    def body(b: Column) -> Column:
+        return F.substring(code, b["start"] + 1, b["stop"] - b["start"])
+
+    def asked(b: Column) -> Column:
+        tests = [b["kind"].isin("function", "callback")]
+        if rule.exported:
+            tests.append(b["exported"])
+        if rule.name:
+            tests.append(matches(b["name"], rule.name, "" if rule.exported else "i"))
+        tests += [matches(body(b), r, f) for r, f in rule.has] + [~matches(body(b), r, f) for r, f in rule.lacks]
+        if rule.hits:
+            tests.append(some(matches(body(b), r, f) for r, f in rule.hits))
+        if rule.guarded:
+            tests.append(~guarded(body(b), code, rule.local_guards, guards))
+        return every(tests)
+
+    def places(b: Column) -> Column:
+        if not rule.hits:
+            return F.array(b["head"])
+        offs = F.flatten(F.array(*[F.transform(match_offsets(body(b), r, f), lambda m: m["off"] + b["start"]) for r, f in rule.hits]))
+        return F.slice(F.array_sort(offs), 1, 1) if rule.first else offs
+
+    first, _, last = rule.message.partition("{0}")
+
+    def findings(b: Column) -> Column:
+        def one(off: Column) -> Column:
+            line = line_of(content, off)
+            return found(rule.id, rule.severity or severities[rule.id], F.concat(F.lit(first), b["name"], F.lit(last)), line, line_evidence(content, line), F.lit(order * 10_000_000) + off)
+
+        return F.transform(places(b), one)
+
+    return F.when(gate(rule.gates, rule.any_gate), F.flatten(F.transform(F.filter("blocks", asked), findings)))
+
+
+def _code_rule(rule: CodeRule, order: int, severities: dict[str, str]) -> Column:
+    content, code = F.col("content"), F.col("code")
+
+    def inside(off: Column) -> Column:
+        around = F.filter("blocks", lambda b: (b["start"] <= off) & (off < b["stop"]))
+        if "any" in rule.inside:
+            return F.exists(around, lambda b: b["kind"] != "loop")
+        inner = F.array_max(F.transform(around, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"))))
+        return F.coalesce(inner["kind"].isin(*rule.inside), F.lit(False))
+
+    def asked(m: Column) -> Column:
+        rest = F.substring(code, m["off"] + 1, F.lit(rule.reach))
+        tests = [matches(rest, r, f) for r, f in rule.also] + [~matches(rest, r, f) for r, f in rule.unless]
+        return every(tests + ([inside(m["off"])] if rule.inside else []))
+
+    at = F.transform(F.filter(match_offsets(code, rule.regex, rule.flags), asked), lambda m: line_of(content, m["off"]))
+    if rule.once_a_line:
+        at = F.array_distinct(at)
+    out = F.transform(at, lambda line, i: found(rule.id, severities[rule.id], rule.message, line, line_evidence(content, line), F.lit(order * 10_000_000) + i))
+    return F.when(gate(rule.gates, ()) & matches(code, rule.regex, rule.flags), out)
+
+
+def code_findings(files: DataFrame, scopes: Sequence[ScopeRule], codes: Sequence[CodeRule], severities: dict[str, str], guards: Sequence[str] = ()) -> DataFrame:
+    """Findings about functions, loops and calls of script files, in one pass."""
+    rows = with_blocks(files.where(matches(F.col("relative_path"), CODE, "i")))
+    arrays = [_scope_rule(r, i, severities, guards) for i, r in enumerate(scopes)] + [_code_rule(r, len(scopes) + i, severities) for i, r in enumerate(codes)]
+    return exploded(rows, arrays)

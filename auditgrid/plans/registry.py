@@ -3,11 +3,359 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache, partial
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict[str, Callable]:
-    return {}
+from auditgrid.config import Config
+from auditgrid.functions import fileclass
+from auditgrid.functions.text import js_trim, line_evidence, lines, shannon_entropy
+from auditgrid.operators import audit as A
+from auditgrid.operators import dependencies, portfolio, report
+from auditgrid.operators.blocks import with_blocks
+from auditgrid.plans import corpus, oracle
+from auditgrid.plans.corpus import quote
+from auditgrid.rules import catalog
+from auditgrid.sources import files as S
+from auditgrid.sources import sinks
+from auditgrid.streaming import incremental
+
+COLUMNS = ["file_id", "repo", "relative_path", "rule_id", "severity", "message", "line", "evidence"]
+#: Rules that look at tags, held on the pages as well.
+PAGE_RULES = ("a11y-img-no-alt", "a11y-form-no-label", "a11y-no-lang", "a11y-button-no-name", "a11y-positive-tabindex", "missing-sri", "regex-dos")
+#: Some rules of every severity for the queries about what happens after the rules.
+SMALL = ("weak-hashing", "insecure-cipher", "hardcoded-ip", "sensitive-browser-storage", "predictable-ids", "pii-logging", "unpinned-dependencies", "no-error-monitoring", "a11y-img-no-alt", "nosql-injection", "clickjacking")
+DISABLED = {"weak-hashing": ("^src/lib/hash.js$",), "hardcoded-ip": ("infra/", "src/lib")}
+
+
+@lru_cache(1)
+def portable() -> tuple[str, ...]:
+    """Rules that both engines can run."""
+    return tuple(r for r in catalog.IDS if oracle.rule_sql(r))
+
+
+def _name(rule_id: str) -> str:
+    return "rule_" + rule_id.replace("-", "_")
+
+
+def _rule(rule_id: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.run_rules(corpus.files(spark, sf_dir), [rule_id]).select(*COLUMNS)
+
+
+def _page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.run_rules(corpus.pages(spark, sf_dir), list(PAGE_RULES)).select(*COLUMNS)
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.files(spark, sf_dir).select("file_id", "repo", F.sha1(F.col("file_id").cast("string")).alias("commit"), "relative_path", F.explode(lines(F.col("content"))).alias("added_line"))
+    return A.history_findings(rows).select(*COLUMNS)
+
+
+def _raw(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
+    return A.run_rules(corpus.files(spark, sf_dir), list(rules))
+
+
+def _audited(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
+    return A.audit(corpus.files(spark, sf_dir), Config(rules=tuple(rules)))
+
+
+def _suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.unsuppressed(_raw(spark, sf_dir), corpus.files(spark, sf_dir)).select(*COLUMNS)
+
+
+def _directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = A.directives(corpus.files(spark, sf_dir))
+    return d.select("file_id", F.col("target").cast("int").alias("target"), F.array_join("ids", ",").alias("ids"))
+
+
+def _enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.enabled_paths(_raw(spark, sf_dir), DISABLED).select(*COLUMNS)
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.ordered(_audited(spark, sf_dir)).select(*COLUMNS, "rule_ord", "rule_name", "cwe_id", "cvss_score", "owasp_category", "wcag", "fix")
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = corpus.files(spark, sf_dir)
+    path = F.col("relative_path")
+    return f.select("file_id", "relative_path", S.extension(path).alias("ext"), S.scan_predicate(path, F.col("content")).alias("scanned"), S.ignored(path, ("docs", "infra/")).alias("ignored"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = corpus.files(spark, sf_dir).select("file_id", F.posexplode(lines(F.col("content"))).alias("i", "text"))
+    return f.select("file_id", (F.col("i") + 1).cast("int").alias("line"), F.length(js_trim(F.col("text"))).cast("int").alias("trimmed_chars"))
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, path, content = corpus.files(spark, sf_dir), F.col("relative_path"), F.col("content")
+    return f.select("file_id", "relative_path", fileclass.is_client(path, content).alias("is_client"), fileclass.is_server_only(path, content).alias("is_server_only"), path.rlike("(?i)" + fileclass.PUBLIC_ROUTE).alias("public_route"))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = with_blocks(corpus.files(spark, sf_dir).where(F.col("relative_path").rlike(r"(?i)\.(?:js|jsx|ts|tsx|mjs|cjs)\z")))
+    return f.select("file_id", "relative_path", "content", F.explode("blocks").alias("b")).select("file_id", "relative_path", "b.kind", "b.name", "b.exported", "b.start", "b.stop", line_evidence(F.col("content"), F.lit(1)).alias("first_line"))
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.files(spark, sf_dir).select("file_id", "relative_path", A.route_url(F.col("relative_path")).alias("url"))
+
+
+MATCHERS = ("/dashboard", "/api/:path*", "/((?!_next).*)", "/admin/(.*)", "/a/.*", "plain", "/x[0-9]", "/", "/b/", "/c$")
+
+
+def _matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(m,) for m in MATCHERS], "raw string").select("raw", A.matcher_prefix(F.col("raw")).alias("prefix"))
+
+
+def _rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.audit(corpus.files(spark, sf_dir), Config(rules=("missing-auth",))).select(*COLUMNS)
+
+
+def _owasp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_owasp(_audited(spark, sf_dir))
+
+
+def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = corpus.files(spark, sf_dir)
+    return report.repo_grades(A.unsuppressed(A.run_rules(f, list(portable())), f), f)
+
+
+def _small_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.repo_grades(_audited(spark, sf_dir), corpus.files(spark, sf_dir))
+
+
+ERRORS = (("a/b", 403, True, "x"), ("a/c", 403, None, "GitHub API error (403): You have exceeded a rate limit"), ("a/d", 403, False, "no"), ("a/e", None, None, "GitHub API error (404): gone"), ("a/f", 401, None, "x"), ("a/g", 409, None, "x"), ("a/h", None, None, "socket hang up"), ("a/i", 429, True, "x"), ("a/j", None, None, None))
+
+
+def _errors(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(ERRORS, "repo string, status int, limited boolean, message string")
+    return rows.withColumn("c", portfolio.classify_error(F.col("status"), F.col("limited"), F.col("message"))).select("repo", "c.label", "c.kind", "c.rate_limited")
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.summary(_small_grades(spark, sf_dir), _errors(spark))
+
+
+def _bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.severity_bar(report.by_severity(_audited(spark, sf_dir)))
+
+
+def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependencies.dependency_findings(corpus.files(spark, sf_dir)).select(*COLUMNS)
+
+
+AUDIT_JSON = '{"vulnerabilities":{"a":{"severity":"high","range":"<2","via":[{"title":"Bad"},"x",{"name":"b"}],"fixAvailable":true},"c":{"severity":"moderate","via":["y"]},"d":{"severity":"low","range":"1","via":"z"}}}'
+
+
+def _npm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "r", "package.json", AUDIT_JSON), (2, "s", "package.json", "{broken"), (3, "t", "package.json", None)], "file_id long, repo string, relative_path string, raw_json string")
+    return dependencies.npm_audit_findings(rows).select(*COLUMNS)
+
+
+TREE = (("keyv", "6.0.0"), ("left-pad", "1.3.0"), ("fresh", "2.0.0"), ("hooked", "1.0.0"), ("hijack", "3.0.0"), ("lost", "1.0.0"), ("undated", "1.0.0"), ("edge", "1.0.0"))
+REGISTRY = (("left-pad", "1.3.0", 5000.0, None), ("fresh", "2.0.0", 10.0, None), ("hooked", "1.0.0", 900.0, "postinstall"), ("hijack", "3.0.0", 1.0, "preinstall"), ("undated", "1.0.0", None, None), ("edge", "1.0.0", 72.0, None))
+
+
+def _assessed(spark: SparkSession) -> DataFrame:
+    now = F.timestamp_micros(F.lit(1_700_000_000_000_000))
+    registry = spark.createDataFrame(REGISTRY, "name string, version string, hours double, hook string")
+    registry = registry.withColumn("published", F.timestamp_micros((F.lit(1_700_000_000_000_000) - F.col("hours") * 3.6e9).cast("long")))
+    registry = registry.withColumn("scripts", F.when(F.col("hook").isNotNull(), F.create_map("hook", F.lit("node x.js"))).otherwise(F.create_map().cast("map<string,string>")))
+    return dependencies.assess(spark.createDataFrame(TREE, "name string, version string"), registry, now)
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _assessed(spark)
+    return a.select("name", "version", "level", F.array_join("reasons", "; ").alias("reasons"), F.round("age_hours", 3).alias("age_hours"), F.array_join("install_scripts", ",").alias("install_scripts"))
+
+
+def _gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependencies.gate_status(_assessed(spark))
+
+
+TARGETS = ("https://github.com/o/r", "github.com/o/r.git", "o/r", "./x/y", "dir/sub", "o/r/s", "git@github.com:o/r.git", "https://example.org/o/r", "a b/c")
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in TARGETS], "target string").withColumn("t", S.parse_target(F.col("target"))).select("target", "t.owner", "t.repo")
+
+
+SPECS = ("lodash", "lodash@4.17.21", "@scope/pkg", "a;rm -rf", "Upper", "@x/y@^1.0", "", "a\n")
+
+
+def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in SPECS], "spec string").select("spec", dependencies.valid_spec(F.col("spec")).alias("valid"))
+
+
+def _discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories of the corpus as a discovered list; reports and forks are left out, and the list is compared with a saved one."""
+    repos = corpus.files(spark, sf_dir).select(F.concat(F.lit("owner/"), "repo").alias("full_name")).distinct().withColumns({"archived": F.lit(False), "fork": F.col("full_name").endswith("7")})
+    extra = spark.createDataFrame([("owner/vibeaudit-reports", False, False), ("owner/old", True, False)], "full_name string, archived boolean, fork boolean")
+    kept = portfolio.without_output(portfolio.discovered(repos.unionByName(extra)))
+    both = kept.agg(F.count(F.lit(1)).alias("found")).join(repos.agg(F.count(F.lit(1)).alias("saved")), F.lit(True))
+    return both.select("found", "saved", portfolio.accepts(F.col("found"), F.col("saved"), F.lit(False)).alias("accepted"))
+
+
+def _entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{12,}"), F.lit(0))).alias("token"))
+    return words.select("doc_id", "token", F.round(shannon_entropy(F.col("token")), 6).alias("bits"))
+
+
+def _rendered(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.RENDERERS[kind](_audited(spark, sf_dir))
+
+
+def _by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_rule(_audited(spark, sf_dir))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as a stream: files land as Parquet and each batch is audited."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="auditgrid-")
+    at = f"{base.rstrip('/')}/audit-stream-{uuid.uuid4().hex[:12]}"
+    corpus.files(spark, sf_dir).write.parquet(f"{at}/landing")
+    incremental.audit_stream(incremental.file_stream(spark, f"{at}/landing"), f"{at}/findings", f"{at}/state", Config(rules=SMALL)).awaitTermination()
+    return spark.read.parquet(f"{at}/findings").select(*COLUMNS)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {_name(r): partial(_rule, r) for r in catalog.IDS if r != A.HISTORY_RULE}
+    return out | {
+        _name(A.HISTORY_RULE): _history,
+        "page_tag_rules": _page_rules,
+        "scan_predicate": _scan,
+        "lines_explode": _lines,
+        "file_classes": _classes,
+        "script_blocks": _blocks,
+        "entropy_tokens": _entropy,
+        "suppression_directives": _directives,
+        "suppress_antijoin": _suppressed,
+        "disabled_paths_antijoin": _enabled,
+        "route_urls": _routes,
+        "matcher_prefixes": _matchers,
+        "middleware_rescore": _rescored,
+        "enrich_and_sort": _enriched,
+        "agg_by_severity": lambda s, d: report.by_severity(_audited(s, d)),
+        "agg_by_file": lambda s, d: report.by_file(_audited(s, d)),
+        "agg_by_owasp": _owasp,
+        "agg_by_rule": _by_rule,
+        "cvss_histogram": lambda s, d: report.cvss_histogram(_audited(s, d)),
+        "severity_bar": _bar,
+        "exit_status": lambda s, d: A.exit_status(_audited(s, d), strict=True),
+        "silent_rules": lambda s, d: report.missing_rules(_audited(s, d), catalog.catalog(s)).select("rule_id"),
+        "fix_guide": lambda s, d: report.fix_guide(_audited(s, d)),
+        "portfolio_repo_grades": _grades,
+        "portfolio_worst_repos": lambda s, d: portfolio.worst(_small_grades(s, d), 20),
+        "portfolio_summary": _summary,
+        "portfolio_discovery": _discovery,
+        "scan_errors": lambda s, d: _errors(s),
+        "target_parser": _targets,
+        "dependency_findings": _dependencies,
+        "npm_audit": _npm,
+        "package_specs": _specs,
+        "gate_packages": _gate,
+        "gate_status": _gate_status,
+        "report_json": partial(_rendered, "json"),
+        "report_markdown": partial(_rendered, "markdown"),
+        "report_html": partial(_rendered, "html"),
+        "report_terminal": partial(_rendered, "terminal"),
+        "stream_audit": _streamed,
+        "full_audit": lambda s, d: A.audit(corpus.files(s, d)).select(*COLUMNS, "cwe_id", "cvss_score", "owasp_category", "wcag"),
+    }
+
+
+def _with(body: str, source: str | None = None, more: str = "") -> str:
+    return f"WITH {source or corpus.sql()}{', ' + more if more else ''}\n{body}"
+
+
+def _union(rules) -> str:
+    return " UNION ALL ".join(f"SELECT {oracle.COLUMNS} FROM ({oracle.rule_sql(r)})" for r in rules)
+
+
+def _directive_sql() -> str:
+    rows = "SELECT file_id, unnest(generate_series(1, len(string_split(content, chr(10))))) AS line, unnest(string_split(content, chr(10))) AS text FROM files WHERE contains(lower(content), 'audit-ignore')"
+    p = quote(A.DIRECTIVE)
+    return f"directives AS (SELECT file_id, CAST(line + CASE WHEN regexp_extract(text, {p}, 1) <> '' THEN 1 ELSE 0 END AS INTEGER) AS target, nullif(regexp_replace(regexp_extract(text, {p}, 2), ' *, *', ',', 'g'), '') AS ids FROM ({rows}) WHERE contains(lower(text), 'audit-ignore'))"
+
+
+def _audited_sql(rules=SMALL) -> str:
+    """Common table expressions up to ``findings``: suppressed and enriched."""
+    rows = ", ".join("(" + ", ".join("CAST(NULL AS VARCHAR)" if v is None and i != 5 else "CAST(NULL AS DOUBLE)" if v is None else quote(v) if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if i == 5 else str(v) for i, v in enumerate(r)) + ")" for r in catalog.ALL)
+    return f"""{_directive_sql()},
+raw AS ({_union(rules)}),
+rules(rule_ord, rule_id, rule_name, default_severity, cwe_id, cvss_score, owasp_category, wcag, fix) AS (VALUES {rows}),
+kept AS (SELECT * FROM raw f WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE d.file_id = f.file_id AND d.target = f.line AND (d.ids IS NULL OR list_contains(string_split(d.ids, ','), f.rule_id)))),
+findings AS (SELECT k.*, r.rule_ord, r.rule_name, r.cwe_id, r.cvss_score, r.owasp_category, r.wcag, r.fix FROM kept k LEFT JOIN rules r USING (rule_id))"""
+
+
+_COUNTS = "CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (severity = 'critical') AS BIGINT) AS critical, CAST(count(*) FILTER (severity = 'warning') AS BIGINT) AS warning, CAST(count(*) FILTER (severity = 'info') AS BIGINT) AS info"
+_GRADED = """SELECT r.repo, CASE WHEN coalesce(critical, 0) > 0 THEN 'F' WHEN coalesce(warning, 0) > 3 THEN 'D' WHEN coalesce(warning, 0) > 1 THEN 'C' WHEN coalesce(warning, 0) > 0 THEN 'B' ELSE 'A' END AS grade,
+  coalesce(critical, 0) AS criticals, coalesce(warning, 0) AS warnings, coalesce(info, 0) AS infos, coalesce(total, 0) AS total
+  FROM (SELECT DISTINCT repo FROM files) r LEFT JOIN (SELECT repo, """ + _COUNTS + " FROM findings GROUP BY repo) USING (repo)"
+_WORST = "CASE grade WHEN 'F' THEN 0 WHEN 'D' THEN 1 WHEN 'C' THEN 2 WHEN 'B' THEN 3 ELSE 4 END"
+
+
+def _values(rows, names: str) -> str:
+    lit = lambda v: "NULL" if v is None else quote(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names})"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {_name(r): _with(f"SELECT {oracle.COLUMNS} FROM ({oracle.rule_sql(r)})") for r in portable()}
+    audited = lambda body: _with(body, more=_audited_sql())
+    base = "regexp_extract(relative_path, '[^/]*$')"
+    folders = f"list_filter(string_split(relative_path, '/')[1:-2], lambda x: list_contains([{', '.join(map(quote, S.PRUNED))}], x))"
+    disabled = " AND ".join(f"NOT (rule_id = {quote(r)} AND contains(relative_path, {quote(p.removeprefix('^').removesuffix('$'))}))" for r, ps in DISABLED.items() for p in ps)
+    size = "octet_length(encode(content))"
+    secret = "|".join(f"(?:{p.regex})" for p in next(r for r in A.LINE_RULES if r.id == "exposed-secrets").patterns)
+    app, pages = r"(?i)(?:^|/)app/(.+)/route\.[mc]?[jt]sx?$", r"(?i)(?:^|/)pages/(api/.+)\.[mc]?[jt]sx?$"
+    labels = _values([*catalog.OWASP_LABELS.items(), ("Other", "Other")], "owasp_category, label")
+    small_grades = f"grades AS ({_GRADED})"
+    return out | {
+        "page_tag_rules": _with(_union(PAGE_RULES), corpus.PAGES_SQL),
+        _name(A.HISTORY_RULE): _with(
+            f"SELECT file_id, repo, relative_path, 'git-history-secrets' AS rule_id, 'critical' AS severity, 'A secret was committed in ' || substring(sha1(CAST(file_id AS VARCHAR)), 1, 12) AS message, CAST(NULL AS INTEGER) AS line, "
+            f"substring(regexp_replace({oracle.trim('added_line')}, {quote(secret)}, '***', 'g'), 1, 120) AS evidence FROM (SELECT file_id, repo, relative_path, unnest(string_split(content, chr(10))) AS added_line FROM files) WHERE regexp_matches(added_line, {quote(secret)})"
+        ),
+        "scan_predicate": _with(
+            f"SELECT file_id, relative_path, lower(regexp_extract({base}, '^.+(\\.[^.]*)$', 1)) AS ext, (lower(regexp_extract({base}, '^.+(\\.[^.]*)$', 1)) IN ({', '.join(map(quote, S.EXTENSIONS))}) OR {base} IN ({', '.join(map(quote, S.ALWAYS))})) "
+            f"AND len({folders}) = 0 AND {size} <= {S.MAX_BYTES} AND {size} > 0 AS scanned, list_contains(string_split(relative_path, '/'), 'docs') OR list_contains(string_split(relative_path, '/'), 'infra') AS ignored FROM files"
+        ),
+        "lines_explode": _with(f"SELECT file_id, CAST(line AS INTEGER) AS line, CAST(length({oracle.trim('text')}) AS INTEGER) AS trimmed_chars FROM (SELECT file_id, unnest(generate_series(1, len(string_split(content, chr(10))))) AS line, unnest(string_split(content, chr(10))) AS text FROM files)"),
+        "file_classes": _with(f"SELECT file_id, relative_path, {oracle.is_client()} AS is_client, {oracle.either([oracle.matches('content', fileclass.SERVER_ONLY_IMPORT), oracle.matches('relative_path', fileclass.SERVER_PATH, 'i'), oracle.directive('use server')])} AS is_server_only, {oracle.matches('relative_path', fileclass.PUBLIC_ROUTE, 'i')} AS public_route FROM files"),
+        "entropy_tokens": "WITH t AS (SELECT row_number() OVER () AS n, doc_id, token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{12,}')) AS token FROM documents)), c AS (SELECT n, doc_id, token, unnest(string_split(token, '')) AS c FROM t), p AS (SELECT n, doc_id, token, count(*) / CAST(length(token) AS DOUBLE) AS p FROM c GROUP BY n, doc_id, token, c) SELECT doc_id, token, round(sum(-p * log2(p)), 6) AS bits FROM p GROUP BY n, doc_id, token",
+        "suppression_directives": _with("SELECT * FROM directives", more=_directive_sql()),
+        "suppress_antijoin": audited(f"SELECT {oracle.COLUMNS} FROM kept"),
+        "disabled_paths_antijoin": _with(f"SELECT * FROM ({_union(SMALL)}) WHERE {disabled}"),
+        "route_urls": _with(
+            f"SELECT file_id, relative_path, CASE WHEN regexp_matches(relative_path, {quote(app)}) THEN '/' || array_to_string(list_filter(string_split(regexp_extract(relative_path, {quote(app)}, 1), '/'), lambda s: NOT regexp_matches(s, '^\\(.*\\)$') AND NOT starts_with(s, '@')), '/') "
+            f"WHEN regexp_matches(relative_path, {quote(pages)}) THEN '/' || regexp_replace(regexp_extract(relative_path, {quote(pages)}, 1), '/index$', '') END AS url FROM files"
+        ),
+        "enrich_and_sort": audited(f"SELECT {oracle.COLUMNS}, rule_ord, rule_name, cwe_id, cvss_score, owasp_category, wcag, fix FROM findings ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, repo, file_id, rule_ord, line, message"),
+        "agg_by_severity": audited(f"SELECT *, CASE WHEN critical > 0 THEN 'F' WHEN warning > 5 THEN 'D' WHEN warning > 0 THEN 'C' WHEN info > 0 THEN 'B' ELSE 'A' END AS grade FROM (SELECT {_COUNTS} FROM findings)"),
+        "agg_by_file": audited(f"SELECT repo, file_id, relative_path, {_COUNTS} FROM findings GROUP BY repo, file_id, relative_path"),
+        "agg_by_owasp": audited(f"SELECT v.owasp_category, label, CAST(count(f.rule_id) AS BIGINT) AS n FROM {labels} LEFT JOIN findings f ON coalesce(f.owasp_category, 'Other') = v.owasp_category GROUP BY v.owasp_category, label"),
+        "cvss_histogram": audited(
+            "SELECT v.band, CAST(count(f.rule_id) AS BIGINT) AS n FROM " + _values([(b,) for b in ("critical", "high", "medium", "low", "info")], "band") + " LEFT JOIN (SELECT *, CASE WHEN coalesce(cvss_score, 0) >= 9 THEN 'critical' WHEN coalesce(cvss_score, 0) >= 7 THEN 'high' WHEN coalesce(cvss_score, 0) >= 4 THEN 'medium' WHEN coalesce(cvss_score, 0) > 0 THEN 'low' ELSE 'info' END AS band FROM findings) f USING (band) GROUP BY v.band"
+        ),
+        "severity_bar": audited(f"SELECT total, critical_cells, warning_cells, CAST(greatest(0, 40 - critical_cells - warning_cells) AS INTEGER) AS info_cells FROM (SELECT total, CAST(floor(critical * 40.0 / total + 0.5) AS INTEGER) AS critical_cells, CAST(floor(warning * 40.0 / total + 0.5) AS INTEGER) AS warning_cells FROM (SELECT {_COUNTS} FROM findings))"),
+        "exit_status": audited("SELECT CAST(coalesce(bool_or(severity IN ('critical', 'warning')), false) AS INTEGER) AS exit_code FROM findings"),
+        "silent_rules": audited("SELECT rule_id FROM rules r WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.rule_id = r.rule_id)"),
+        "fix_guide": audited("SELECT CAST(min(CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS INTEGER) AS severity_rank, rule_id, rule_name, fix, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT repo || '/' || relative_path) AS BIGINT) AS files FROM findings GROUP BY rule_id, rule_name, rule_ord, fix"),
+        "portfolio_repo_grades": _with(_GRADED, more=_audited_sql(portable())),
+        "portfolio_worst_repos": _with(f"SELECT * FROM grades ORDER BY {_WORST}, criticals DESC, warnings DESC, repo LIMIT 20", more=_audited_sql() + ", " + small_grades),
+        "portfolio_summary": _with(
+            "SELECT *, skipped + total AS attempted, CASE WHEN total = 0 THEN 2 WHEN criticals > 0 THEN 1 ELSE 0 END AS exit_code FROM (SELECT CAST(count(*) AS BIGINT) AS total, " + ", ".join(f"CAST(count(*) FILTER (grade = '{g}') AS BIGINT) AS grade_{g.lower()}" for g in portfolio.GRADES)
+            + f", CAST(sum(criticals) AS BIGINT) AS criticals, CAST(sum(warnings) AS BIGINT) AS warnings, CAST({len(ERRORS)} AS BIGINT) AS skipped, CAST(5 AS BIGINT) AS blocked FROM grades)", more=_audited_sql() + ", " + small_grades,
+        ),
+        "scan_errors": "SELECT repo, CASE kind WHEN 'rate-limited' THEN 'Rate limited' WHEN 'access-denied' THEN 'Access denied' WHEN 'auth-required' THEN 'Sign-in needed' WHEN 'not-found' THEN 'Not found or empty' WHEN 'empty' THEN 'Empty repository' ELSE substring(coalesce(message, ''), 1, 120) END AS label, kind, kind = 'rate-limited' AS rate_limited FROM (SELECT repo, message, "
+        "CASE WHEN code IN ('403', '429') AND coalesce(limited, regexp_matches(coalesce(message, ''), '(?i)rate limit|abuse detection')) THEN 'rate-limited' WHEN code IN ('403', '429') THEN 'access-denied' WHEN code = '401' THEN 'auth-required' WHEN code = '404' THEN 'not-found' WHEN code = '409' THEN 'empty' ELSE 'error' END AS kind "
+        f"FROM (SELECT *, coalesce(CAST(status AS VARCHAR), regexp_extract(coalesce(message, ''), '401|403|404|409|429')) AS code FROM {_values(ERRORS, 'repo, status, limited, message')}))",
+        "portfolio_discovery": _with("SELECT found, saved, found >= saved * 0.75 AS accepted FROM (SELECT CAST(count(*) FILTER (NOT ends_with(repo, '7')) AS BIGINT) AS found, CAST(count(*) AS BIGINT) AS saved FROM (SELECT DISTINCT repo FROM files))"),
+        "stream_audit": audited(f"SELECT {oracle.COLUMNS} FROM kept"),
+    }

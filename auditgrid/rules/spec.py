@@ -41,7 +41,7 @@ def lacks(*regexes: str, flags: str = "i") -> tuple[Test, ...]:
 
 @dataclass(frozen=True)
 class Pattern:
-    """severity: where it isn't the rule's. also / unless: further expressions on the same line. path: a further gate."""
+    """severity: where it isn't the rule's. also / unless: further expressions on the same line or match. path: a further gate."""
 
     regex: str
     message: str
@@ -87,16 +87,22 @@ class ContentRule:
     any_gate: tuple[Test, ...] = ()
     group: int | None = None
     match_unless: tuple[str, str] | None = None
+    first_only: bool = False
 
 
 @dataclass(frozen=True)
 class FileBranch:
-    """One finding for a file where all tests hold. line: expression whose first line is meant, else line 1."""
+    """One finding for a file where all tests hold.
+
+    line: expression whose first line is meant. at: expressions, each with flags and a path gate, of which
+    the first with a match gives the line. Else line 1. shown: whether the line is the evidence.
+    """
 
     tests: tuple[Test, ...]
     message: str
     severity: str | None = None
     line: tuple[str, str] | None = None
+    at: tuple[tuple[str, str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -105,3 +111,48 @@ class FileRule:
     gates: tuple[Test, ...]
     branches: tuple[FileBranch, ...]
     any_gate: tuple[Test, ...] = field(default=())
+
+
+@dataclass(frozen=True)
+class ScopeRule:
+    """Asks about each function of a script file (tests on its code without comments).
+
+    has: all must match the function's code; lacks: none may. hits: expressions whose matches are the
+    findings (with ``first`` only the first one); without them the function itself is. message: ``{0}`` is
+    the function's name. name: expression on the name. exported: only exported functions. guarded: leave out
+    functions that call an authentication guard.
+    """
+
+    id: str
+    gates: tuple[Test, ...]
+    message: str
+    has: tuple[tuple[str, str], ...] = ()
+    lacks: tuple[tuple[str, str], ...] = ()
+    hits: tuple[tuple[str, str], ...] = ()
+    first: bool = False
+    name: str | None = None
+    exported: bool = False
+    guarded: bool = False
+    local_guards: bool = True
+    any_gate: tuple[Test, ...] = ()
+    severity: str | None = None
+
+
+@dataclass(frozen=True)
+class CodeRule:
+    """Asks about each match in a script file's code without comments.
+
+    unless / also: expressions on the ``reach`` characters from the match on. inside: kinds of the innermost
+    block around the match, one of which it must have (``any``: some function around it).
+    """
+
+    id: str
+    gates: tuple[Test, ...]
+    regex: str
+    message: str
+    flags: str = ""
+    also: tuple[tuple[str, str], ...] = ()
+    unless: tuple[tuple[str, str], ...] = ()
+    reach: int = 300
+    inside: tuple[str, ...] = ()
+    once_a_line: bool = True

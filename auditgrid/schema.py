@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-FILES = T.StructType.fromDDL("file_id long, repo string, relative_path string, content string")
+FILES_DDL = "file_id long, repo string, relative_path string, content string"
 #: A finding before enrichment. finding_ord orders the findings of one rule in one file.
 FINDINGS_DDL = "file_id long, repo string, relative_path string, rule_id string, severity string, message string, line int, evidence string, finding_ord long"
-FINDINGS = T.StructType.fromDDL(FINDINGS_DDL)
+#: What an expression on one file finds.
+FOUND_DDL = "array<struct<rule_id:string,severity:string,message:string,line:int,evidence:string,finding_ord:bigint>>"
+KEYS = ("file_id", "repo", "relative_path")
 SEVERITIES = ("critical", "warning", "info")
 EVIDENCE_CHARS = 120
