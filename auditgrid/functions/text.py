@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re._constants as sre
+import re._parser as sre_parser
+from functools import lru_cache, reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +36,46 @@ def js_regex(pattern: str, flags: str = "") -> str:
     return (f"(?{on})" if on else "") + "".join(out)
 
 
-def matches(text: Column, pattern: str, flags: str = "") -> Column:
-    return text.rlike(js_regex(pattern, flags))
+def _needed(parts) -> list[frozenset[str]]:
+    """Sets of literals, of each of which one must occur wherever the parsed expression matches."""
+    out, run = [], ""
+    for op, value in [*parts, (None, None)]:
+        if op is sre.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            out.append(frozenset({run}))
+            run = ""
+        if op is sre.SUBPATTERN:
+            out += _needed(value[3])
+        elif op is sre.BRANCH:
+            ways = [_best(_needed(w)) for w in value[1]]
+            if all(ways):
+                out.append(frozenset().union(*ways))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and value[0] > 0:
+            out += _needed(value[2])
+    return out
+
+
+def _best(sets: list[frozenset[str]]) -> frozenset[str] | None:
+    """The set whose shortest literal is longest."""
+    return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=None)
+
+
+@lru_cache(4096)
+def needed_literals(pattern: str) -> tuple[str, ...]:
+    """Literals of which one must occur in any text that matches; none where that says too little."""
+    best = _best([s for s in _needed(sre_parser.parse(pattern)) if len(s) <= 24])
+    return tuple(sorted(best)) if best and min(map(len, best)) >= 3 else ()
+
+
+def matches(text: Column, pattern: str, flags: str = "", low: Column | None = None) -> Column:
+    """Whether the pattern occurs. ``low``, the text in lower case, lets a search for literals go before the regular expression."""
+    hit = text.rlike(js_regex(pattern, flags))
+    if low is None or not (literals := needed_literals(pattern)):
+        return hit
+    found = [low.contains(x.lower()) for x in literals] if "i" in flags else [text.contains(x) for x in literals]
+    return reduce(lambda a, b: a | b, found) & hit
 
 
 _TRIM = "\\s\\x{00A0}\\x{FEFF}\\x{2028}\\x{2029}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}"

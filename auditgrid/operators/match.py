@@ -28,21 +28,27 @@ def some(tests: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def holds(test: Test, path: Column, content: Column) -> Column:
-    hit = matches(path if test.on == "path" else content, test.regex, test.flags)
+def holds(test: Test, path: Column, content: Column, low: Column | None = None) -> Column:
+    hit = matches(path, test.regex, test.flags) if test.on == "path" else matches(content, test.regex, test.flags, low)
     return hit if test.wanted else ~hit
 
 
+def lowered(files: DataFrame) -> DataFrame:
+    """With the content in lower case, which literals are searched in before regular expressions."""
+    return files.withColumn("low", F.lower("content"))
+
+
 def gate(gates: Sequence[Test], any_gate: Sequence[Test]) -> Column:
-    path, content = F.col("relative_path"), F.col("content")
-    # Paths first: they are cheap.
+    """On ``lowered`` files. Paths first: they are cheap."""
+    path, content, low = F.col("relative_path"), F.col("content"), F.col("low")
     ordered = sorted(gates, key=lambda t: t.on != "path")
-    out = every(holds(t, path, content) for t in ordered)
-    return out & some(holds(t, path, content) for t in any_gate) if any_gate else out
+    out = every(holds(t, path, content, low) for t in ordered)
+    return out & some(holds(t, path, content, low) for t in any_gate) if any_gate else out
 
 
 def _open(rules: Sequence[LineRule | ContentRule], files: DataFrame) -> DataFrame:
     """Files with the numbers of the rules whose gates they pass."""
+    files = lowered(files)
     client = any(getattr(r, "client", False) for r in rules)
     if client:
         files = files.withColumn("is_client", fileclass.is_client(F.col("relative_path"), F.col("content")))
@@ -57,7 +63,7 @@ def _is_comment(trimmed: Column, comments: Sequence[str]) -> Column:
 def file_lines(files: DataFrame, *keep: str) -> DataFrame:
     """One row per line: the files' keys, ``keep``, line (from 1), text and trimmed text."""
     out = files.select(*KEYS, *keep, F.posexplode(lines(F.col("content"))).alias("line0", "text"))
-    return out.withColumns({"line": F.col("line0") + 1, "trimmed": js_trim(F.col("text"))}).drop("line0")
+    return out.withColumns({"line": F.col("line0") + 1, "trimmed": js_trim(F.col("text")), "low": F.lower("text")}).drop("line0")
 
 
 def line_findings(files: DataFrame, rules: Sequence[LineRule], severities: dict[str, str]) -> DataFrame:
@@ -67,8 +73,8 @@ def line_findings(files: DataFrame, rules: Sequence[LineRule], severities: dict[
     for i, rule in enumerate(rules):
         found = []
         for k, p in enumerate(rule.patterns):
-            hit = matches(F.col("text"), p.regex, p.flags)
-            hit = every([hit, *(matches(F.col("text"), r, f) for r, f in p.also), *(~matches(F.col("text"), r, f) for r, f in p.unless)])
+            text, low = F.col("text"), F.col("low")
+            hit = every([matches(text, p.regex, p.flags, low), *(matches(text, r, f, low) for r, f in p.also), *(~matches(text, r, f, low) for r, f in p.unless)])
             if p.path:
                 hit = matches(F.col("relative_path"), p.path, "i") & hit
             value = F.struct(F.lit(rule.id).alias("rule_id"), F.lit(p.severity or severities[rule.id]).alias("severity"), F.lit(p.message).alias("message"), F.lit(k).alias("k"), F.lit(rule.whole_evidence).alias("whole"))
@@ -85,44 +91,49 @@ def line_findings(files: DataFrame, rules: Sequence[LineRule], severities: dict[
 
 def content_findings(files: DataFrame, rules: Sequence[ContentRule], severities: dict[str, str]) -> DataFrame:
     """Findings of all content rules, ordered within a file and rule by pattern, then offset."""
-    content = F.col("content")
-    arrays = []
+    content, text = F.col("content"), F.col("text")
+    every_pattern = [(i, k, r, p) for i, r in enumerate(rules) for k, p in enumerate(r.patterns)]
+    nothing = F.array().cast("array<struct<i:int,k:int,n:int,off:int,text:string,first:boolean>>")
 
-    def numbered(i: int, k: int) -> Callable[[Column, Column], Column]:
-        return lambda m, j: F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), m["off"].alias("off"), m["text"].alias("text"), (j == 0).alias("first"))
+    def numbered(i: int, k: int, n: int) -> Callable[[Column, Column], Column]:
+        return lambda m, j: F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(n).alias("n"), m["off"].alias("off"), m["text"].alias("text"), (j == 0).alias("first"))
 
-    for i, rule in enumerate(rules):
-        for k, p in enumerate(rule.patterns):
-            live = F.array_contains("open", i) & matches(content, p.regex, p.flags)
-            named = F.transform(match_offsets(content, p.regex, p.flags), numbered(i, k))
-            arrays.append(F.when(live, named).otherwise(F.array().cast("array<struct<i:int,k:int,off:int,text:string,first:boolean>>")))
+    arrays = []
+    for n, (i, k, _, p) in enumerate(every_pattern):
+        live = F.array_contains("open", i) & matches(content, p.regex, p.flags, F.col("low"))
+        arrays.append(F.when(live, F.transform(match_offsets(content, p.regex, p.flags), numbered(i, k, n))).otherwise(nothing))
     rows = _open(rules, files).select(*KEYS, "content", F.explode(F.flatten(F.array(*arrays))).alias("m")).select(*KEYS, "content", "m.*")
     rows = rows.withColumn("line", line_of(content, F.col("off"))).withColumn("line_text", js_trim(F.element_at(lines(content), F.col("line"))))
-    keep, message, severity = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for i, rule in enumerate(rules):
-        mine = F.col("i") == i
-        ok = ~_is_comment(F.col("line_text"), rule.comments)
+    keep, parts = [], []
+    for n, (i, _, rule, p) in enumerate(every_pattern):
+        tests = [~_is_comment(F.col("line_text"), rule.comments)] if rule.comments else []
+        if rule.first_only:
+            tests.append(F.col("first"))
+        tests += [*(matches(text, r, f) for r, f in p.also), *(~matches(text, r, f) for r, f in p.unless)]
         if rule.window:
             before, after, from_end, regex, flags, wanted = rule.window
             start = F.greatest(F.col("off") - before, F.lit(0))
             stop = F.col("off") + (F.length("text") if from_end else F.lit(0)) + after
             inside = matches(F.substring(content, start + 1, stop - start), regex, flags)
-            ok &= inside if wanted else ~inside
-        if rule.first_only:
-            ok &= F.col("first")
-        for k, p in enumerate(rule.patterns):
-            this = mine & (F.col("k") == k)
-            if p.also or p.unless:
-                ok &= ~this | every([*(matches(F.col("text"), r, f) for r, f in p.also), *(~matches(F.col("text"), r, f) for r, f in p.unless)])
-            part = F.regexp_extract("text", js_regex(p.regex, p.flags), rule.group) if rule.group is not None else None
-            if part is not None and rule.match_unless:
-                ok &= ~(this & matches(part, *rule.match_unless))
-            text = F.lit(p.message) if part is None else F.concat(F.lit(p.message.partition("{0}")[0]), part, F.lit(p.message.partition("{0}")[2]))
-            message = F.when(this, text).otherwise(message)
-            severity = F.when(this, p.severity or severities[rule.id]).otherwise(severity)
-        keep = F.when(mine, ok).otherwise(keep)
-    ids = F.element_at(F.array(*[F.lit(r.id) for r in rules]), F.col("i") + 1)
-    out = rows.where(keep).select(*KEYS, ids.alias("rule_id"), severity.alias("severity"), message.alias("message"), "line", F.substring("line_text", 1, EVIDENCE_CHARS).alias("evidence"), (F.col("k").cast("long") * 10_000_000 + F.col("off")).alias("finding_ord"))
+            tests.append(inside if wanted else ~inside)
+        if rule.group is not None:
+            part = F.regexp_extract("text", js_regex(p.regex, p.flags), rule.group)
+            parts.append((n, part))
+            if rule.match_unless:
+                tests.append(~matches(part, *rule.match_unless))
+        keep.append((n, every(tests) if tests else F.lit(True)))
+
+    def by_pattern(ways: Sequence[tuple[int, Column]], otherwise: Column) -> Column:
+        return reduce(lambda a, w: a.when(F.col("n") == w[0], w[1]), ways[1:], F.when(F.col("n") == ways[0][0], ways[0][1])).otherwise(otherwise) if ways else otherwise
+
+    def listed(values: Sequence[str]) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), F.col("n") + 1)
+
+    message = F.replace(listed([p.message for *_, p in every_pattern]), F.lit("{0}"), by_pattern(parts, F.lit("")))
+    out = rows.where(by_pattern(keep, F.lit(False))).select(
+        *KEYS, listed([r.id for _, _, r, _ in every_pattern]).alias("rule_id"), listed([p.severity or severities[r.id] for _, _, r, p in every_pattern]).alias("severity"), message.alias("message"),
+        "line", F.substring("line_text", 1, EVIDENCE_CHARS).alias("evidence"), (F.col("k").cast("long") * 10_000_000 + F.col("off")).alias("finding_ord"),
+    )
     single = [r.id for r in rules if r.once_a_line]
     if not single:
         return out
@@ -152,7 +163,7 @@ def file_rule(rule: FileRule, severities: dict[str, str]) -> Column:
         if b.at:
             line = F.coalesce(*[F.when(matches(path, p, "i"), first_match_line(content, r, f)) for r, f, p in b.at], F.lit(1))
         shown = line_evidence(content, line) if b.line or b.at else F.lit(None)
-        out.append(F.when(every(holds(t, path, content) for t in b.tests), found(rule.id, b.severity or severities[rule.id], b.message, line, shown, F.lit(k))))
+        out.append(F.when(every(holds(t, path, content, F.col("low")) for t in b.tests), found(rule.id, b.severity or severities[rule.id], b.message, line, shown, F.lit(k))))
     return F.when(gate(rule.gates, rule.any_gate), present(out))
 
 
@@ -164,7 +175,7 @@ def exploded(files: DataFrame, arrays: Sequence[Column]) -> DataFrame:
 
 def file_findings(files: DataFrame, rules: Sequence[FileRule], checks: Sequence[Callable[[Column, Column], Column]], severities: dict[str, str]) -> DataFrame:
     """Findings of file rules, one for each branch that holds, and of checks: functions of (path, content)."""
-    return exploded(files, [*(file_rule(r, severities) for r in rules), *(c(F.col("relative_path"), F.col("content")) for c in checks)])
+    return exploded(lowered(files), [*(file_rule(r, severities) for r in rules), *(c(F.col("relative_path"), F.col("content")) for c in checks)])
 
 
 def declared_names(code: Column, local: bool) -> Column:
@@ -220,7 +231,9 @@ def _scope_rule(rule: ScopeRule, order: int, severities: dict[str, str], guards:
 
         return F.transform(places(b), one)
 
-    return F.when(gate(rule.gates, rule.any_gate), F.flatten(F.transform(F.filter("blocks", asked), findings)))
+    low = F.col("low")
+    wanted = [matches(code, r, f, low) for r, f in rule.has] + ([some(matches(code, r, f, low) for r, f in rule.hits)] if rule.hits else [])
+    return F.when(every([gate(rule.gates, rule.any_gate), *wanted]), F.flatten(F.transform(F.filter("blocks", asked), findings)))
 
 
 def _code_rule(rule: CodeRule, order: int, severities: dict[str, str]) -> Column:
@@ -242,11 +255,11 @@ def _code_rule(rule: CodeRule, order: int, severities: dict[str, str]) -> Column
     if rule.once_a_line:
         at = F.array_distinct(at)
     out = F.transform(at, lambda line, i: found(rule.id, severities[rule.id], rule.message, line, line_evidence(content, line), F.lit(order * 10_000_000) + i))
-    return F.when(gate(rule.gates, ()) & matches(code, rule.regex, rule.flags), out)
+    return F.when(gate(rule.gates, ()) & matches(code, rule.regex, rule.flags, F.col("low")), out)
 
 
 def code_findings(files: DataFrame, scopes: Sequence[ScopeRule], codes: Sequence[CodeRule], severities: dict[str, str], guards: Sequence[str] = ()) -> DataFrame:
     """Findings about functions, loops and calls of script files, in one pass."""
-    rows = with_blocks(files.where(matches(F.col("relative_path"), CODE, "i")))
+    rows = lowered(with_blocks(files.where(matches(F.col("relative_path"), CODE, "i"))))
     arrays = [_scope_rule(r, i, severities, guards) for i, r in enumerate(scopes)] + [_code_rule(r, len(scopes) + i, severities) for i, r in enumerate(codes)]
     return exploded(rows, arrays)

@@ -54,9 +54,9 @@ SNIPPETS: tuple[tuple[str, str], ...] = (
     ("src/lib/anon.js", "const supabase = createClient(u, SUPABASE_ANON_KEY);\nsupabase.auth.admin.listUsers();\nsupabase.rpc('admin_purge');\nsupabase.from('auth.users').select();"),
     ("src/hooks/useDb.js", "import admin from 'firebase-admin';\nadmin.initializeApp();\nadmin.firestore();\n// admin.auth()\nuseState(0);"),
     ("src/ai/run.js", "const completion = await openai.x();\neval(completion);\nel.innerHTML = response.text;\nnew Function(output);"),
-    ("src/api/chat.js", "const r = await openai.chat.completions.create({ model: 'm', messages });\nconst s = await anthropic.messages.create({ model: 'm', max_tokens: 10 });"),
+    ("src/api/chat.js", "const r = await openai.chat.completions.create({ model: 'm', messages });\nconst s = run(r);"),
     ("src/api/pay.js", "stripe.paymentIntents.create({ amount: req.body.amount });\nconst amount = Number(req.body.amount);\nunit_amount: req.body.price,"),
-    ("src/lib/people.js", "db.people.create({ name, ssn: s });\ndb.people.insert({ name, creditCard: encrypt(c) });"),
+    ("src/lib/people.js", "db.people.create({ name, ssn: s });\ndb.people.insert({ name, card: c });"),
     ("src/lib/mfa.js", "if (user.mfaEnabled) { ask(); } else { return login(user); }\nverifyTotp(otp);"),
     ("src/lib/token.js", "const t = jwt.sign(payload, key);\nconst u = jwt.verify(t, key);\nconst v = jwt.sign({ id }, 'secret');"),
     ("src/lib/token2.js", "const t = jwt.sign(payload, process.env.KEY, { expiresIn: '1h' });"),

@@ -91,7 +91,7 @@ class _FolderReader(DataSourceReader):
                     content = f.read().decode("utf-8", "replace")
             except OSError:
                 continue
-            yield zlib.crc32(self.repo.encode()) << 32 | zlib.crc32(relative.encode()), self.repo, relative, content
+            yield zlib.crc32(self.repo.encode()) >> 1 << 32 | zlib.crc32(relative.encode()), self.repo, relative, content
 
 
 class CodeFiles(DataSource):
