@@ -16,7 +16,7 @@ from auditgrid.functions import fileclass
 from auditgrid.functions.text import first_line, first_match_line, js_regex, js_trim, line_evidence, line_of, lines, match_offsets, matches
 from auditgrid.operators.blocks import with_blocks
 from auditgrid.rules.scope_rules import AUTH_GUARD, GUARD_HINT, GUARD_MEMBER
-from auditgrid.rules.spec import CODE, CodeRule, ContentRule, FileRule, LineRule, ScopeRule, Test
+from auditgrid.rules.spec import CODE, CodeRule, ContentRule, FileRule, LineRule, Pattern, ScopeRule, Test
 from auditgrid.schema import EVIDENCE_CHARS, FOUND_DDL, KEYS
 
 
@@ -33,9 +33,18 @@ def holds(test: Test, path: Column, content: Column, low: Column | None = None)
     return hit if test.wanted else ~hit
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """With a column that is computed once for each row.
+
+    A generator of one row keeps the optimizer from copying a costly expression into the filters that it
+    pushes down, or infers from an explode, and into every place that uses the column.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def lowered(files: DataFrame) -> DataFrame:
     """With the content in lower case, which literals are searched in before regular expressions."""
-    return files.withColumn("low", F.lower("content"))
+    return once(files, "low", F.lower("content"))
 
 
 def gate(gates: Sequence[Test], any_gate: Sequence[Test]) -> Column:
@@ -51,9 +60,9 @@ def _open(rules: Sequence[LineRule | ContentRule], files: DataFrame) -> DataFram
     files = lowered(files)
     client = any(getattr(r, "client", False) for r in rules)
     if client:
-        files = files.withColumn("is_client", fileclass.is_client(F.col("relative_path"), F.col("content")))
+        files = once(files, "is_client", fileclass.is_client(F.col("relative_path"), F.col("content")))
     numbers = [F.when(gate(r.gates, r.any_gate) & (F.col("is_client") if getattr(r, "client", False) else F.lit(True)), F.lit(i)) for i, r in enumerate(rules)]
-    return files.withColumn("open", F.filter(F.array(*numbers), lambda x: x.isNotNull())).where(F.size("open") > 0)
+    return once(files, "open", F.array_compact(F.array(*numbers))).where(F.size("open") > 0)
 
 
 def _is_comment(trimmed: Column, comments: Sequence[str]) -> Column:
@@ -63,30 +72,41 @@ def _is_comment(trimmed: Column, comments: Sequence[str]) -> Column:
 def file_lines(files: DataFrame, *keep: str) -> DataFrame:
     """One row per line: the files' keys, ``keep``, line (from 1), text and trimmed text."""
     out = files.select(*KEYS, *keep, F.posexplode(lines(F.col("content"))).alias("line0", "text"))
-    return out.withColumns({"line": F.col("line0") + 1, "trimmed": js_trim(F.col("text")), "low": F.lower("text")}).drop("line0")
+    out = out.withColumn("line", F.col("line0") + 1).drop("line0")
+    return once(once(out, "trimmed", js_trim(F.col("text"))), "low", F.lower("text"))
 
 
 def line_findings(files: DataFrame, rules: Sequence[LineRule], severities: dict[str, str]) -> DataFrame:
     """Findings of all line rules, ordered within a file and rule by line, then pattern."""
     rows = file_lines(_open(rules, files).select(*KEYS, "content", "open"), "open")
+    text, low = F.col("text"), F.col("low")
+
+    def hit(p: Pattern) -> Column:
+        tests = [matches(text, p.regex, p.flags, low), *(matches(text, r, f, low) for r, f in p.also), *(~matches(text, r, f, low) for r, f in p.unless)]
+        return every([matches(F.col("relative_path"), p.path, "i"), *tests] if p.path else tests)
+
+    # A hit is the number of a pattern; what it stands for is looked up later.
+    known: list[tuple[LineRule, Pattern, int]] = []
     hits = []
     for i, rule in enumerate(rules):
-        found = []
-        for k, p in enumerate(rule.patterns):
-            text, low = F.col("text"), F.col("low")
-            hit = every([matches(text, p.regex, p.flags, low), *(matches(text, r, f, low) for r, f in p.also), *(~matches(text, r, f, low) for r, f in p.unless)])
-            if p.path:
-                hit = matches(F.col("relative_path"), p.path, "i") & hit
-            value = F.struct(F.lit(rule.id).alias("rule_id"), F.lit(p.severity or severities[rule.id]).alias("severity"), F.lit(p.message).alias("message"), F.lit(k).alias("k"), F.lit(rule.whole_evidence).alias("whole"))
-            found.append((hit, value))
+        numbered = [(hit(p), F.lit(len(known) + k)) for k, p in enumerate(rule.patterns)]
+        known += [(rule, p, k) for k, p in enumerate(rule.patterns)]
         live = F.array_contains("open", i) & ~_is_comment(F.col("trimmed"), rule.comments)
         if rule.first:
-            hits.append(F.when(live, reduce(lambda a, hv: a.when(hv[0], hv[1]), found[1:], F.when(*found[0]))))
+            hits.append(F.when(live, F.array_compact(F.array(reduce(lambda a, hn: a.when(*hn), numbered[1:], F.when(*numbered[0]))))))
         else:
-            hits += [F.when(live & h, v) for h, v in found]
-    out = rows.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
-    cut = F.when(F.col("hit.whole"), F.col("trimmed")).otherwise(F.substring("trimmed", 1, EVIDENCE_CHARS))
-    return out.select(*KEYS, "hit.rule_id", "hit.severity", "hit.message", F.col("line").cast("int").alias("line"), cut.alias("evidence"), (F.col("line") * 100 + F.col("hit.k")).cast("long").alias("finding_ord"))
+            hits.append(F.when(live, F.array_compact(F.array(*[F.when(h, n) for h, n in numbered]))))
+
+    def listed(values: Sequence) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), F.col("hit") + 1)
+
+    out = once(rows, "hits", F.flatten(F.array_compact(F.array(*hits)))).withColumn("hit", F.explode("hits"))
+    whole = [n for n, (r, _, _) in enumerate(known) if r.whole_evidence]
+    cut = F.when(F.col("hit").isin(whole), F.col("trimmed")).otherwise(F.substring("trimmed", 1, EVIDENCE_CHARS)) if whole else F.substring("trimmed", 1, EVIDENCE_CHARS)
+    return out.select(
+        *KEYS, listed([r.id for r, _, _ in known]).alias("rule_id"), listed([p.severity or severities[r.id] for r, p, _ in known]).alias("severity"), listed([p.message for _, p, _ in known]).alias("message"),
+        F.col("line").cast("int").alias("line"), cut.alias("evidence"), (F.col("line") * 100 + listed([k for _, _, k in known])).cast("long").alias("finding_ord"),
+    )
 
 
 def content_findings(files: DataFrame, rules: Sequence[ContentRule], severities: dict[str, str]) -> DataFrame:
@@ -102,8 +122,9 @@ def content_findings(files: DataFrame, rules: Sequence[ContentRule], severities:
     for n, (i, k, _, p) in enumerate(every_pattern):
         live = F.array_contains("open", i) & matches(content, p.regex, p.flags, F.col("low"))
         arrays.append(F.when(live, F.transform(match_offsets(content, p.regex, p.flags), numbered(i, k, n))).otherwise(nothing))
-    rows = _open(rules, files).select(*KEYS, "content", F.explode(F.flatten(F.array(*arrays))).alias("m")).select(*KEYS, "content", "m.*")
-    rows = rows.withColumn("line", line_of(content, F.col("off"))).withColumn("line_text", js_trim(F.element_at(lines(content), F.col("line"))))
+    rows = once(_open(rules, files), "ms", F.flatten(F.array(*arrays))).select(*KEYS, "content", F.explode("ms").alias("m")).select(*KEYS, "content", "m.*")
+    rows = once(rows, "line", line_of(content, F.col("off")))
+    rows = once(rows, "line_text", js_trim(F.element_at(lines(content), F.col("line"))))
     keep, parts = [], []
     for n, (i, _, rule, p) in enumerate(every_pattern):
         tests = [~_is_comment(F.col("line_text"), rule.comments)] if rule.comments else []
@@ -169,8 +190,8 @@ def file_rule(rule: FileRule, severities: dict[str, str]) -> Column:
 
 def exploded(files: DataFrame, arrays: Sequence[Column]) -> DataFrame:
     """Findings that expressions on a file give, in one pass over the files."""
-    some_ = F.flatten(F.filter(F.array(*[a.cast(FOUND_DDL) for a in arrays]), lambda x: x.isNotNull()))
-    return files.select(*KEYS, F.explode(some_).alias("f")).select(*KEYS, "f.*")
+    every_ = F.flatten(F.array_compact(F.array(*[a.cast(FOUND_DDL) for a in arrays])))
+    return once(files, "fs", every_).select(*KEYS, F.explode("fs").alias("f")).select(*KEYS, "f.*")
 
 
 def file_findings(files: DataFrame, rules: Sequence[FileRule], checks: Sequence[Callable[[Column, Column], Column]], severities: dict[str, str]) -> DataFrame:
