@@ -12,6 +12,7 @@ counts by partition, so no length, however common, is sorted in one task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ END_ID = 0
 #: Search nodes for one filling; the incumbent is taken beyond that.
 NODES = 4000
 #: Space-separated chunks whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 def best_filling(room: int, lengths: list[int], left: dict[int, int], nodes: int = NODES) -> dict[int, int]:
@@ -96,10 +97,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
     return out
 
 
+#: A chunk of Latin letters with signs behind them: two words to the vocabulary's split pattern.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class ChunkIds:
     """Ids of texts by the tokenizers library, with the ids of space-separated chunks kept.
 
     The vocabulary drops white space and never joins characters across it, so chunks are tokenized alone.
+    It also ignores case and parts letters from signs; so new chunks are split further, and their letters
+    are tokenized many words at once: a word's last token is one that the vocabulary marks as an end.
     """
 
     def __init__(self, path: str, keep: int = CACHE) -> None:
@@ -108,21 +115,73 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.keep = keep
 
+    def _each(self, chunks: list[str]) -> None:
+        for i in range(0, len(chunks), 8192):
+            some = chunks[i : i + 8192]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters only, behind one another."""
+        for i in range(0, len(words), 2048):
+            some = words[i : i + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            if len(ends) != len(some):  # a vocabulary that marks ends in another way
+                self._each(some)
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        known = self.known
+        plain, words, rest = [], set(), set()
+        for w in new:
+            if w.isascii() and w.isalpha():
+                letters, signs = w.lower(), ""
+            elif m := _PLAIN.fullmatch(w):
+                letters, signs = m[1].lower(), m[2]
+                if signs not in known:
+                    rest.add(signs)
+            else:
+                rest.add(w)
+                continue
+            if letters not in known:
+                words.add(letters)
+            if w != letters:
+                plain.append((w, letters, signs))
+        self._letters(list(words))
+        self._each(list(rest))
+        known.update([(w, known[letters] + known[signs]) for w, letters, signs in plain])
+
+    def _simplified(self, text: str) -> str:
+        """Blanks for line feeds, and lower case where that is the same to the vocabulary: in Latin-1 texts that can't hold a special token."""
+        text = text.replace("\n", " ")
+        if "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-            known[""] = b""
-        new = list({w for p in parts for w in p if w not in known})
-        for i in range(0, len(new), 8192):
-            some = new[i : i + 8192]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        parts = [self._simplified(t).split(" ") for t in texts]
+        if 2 * len(self.known) > self.keep:  # the chunks of the last half stay at hand
+            self.old, self.known = self.known, {"": b""}
+        known, old = self.known, self.old
+        new = set().union(*parts).difference(known)
+        met = new & old.keys()
+        known.update([(w, old[w]) for w in met])
+        self._learn(new - met)
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 

@@ -114,3 +114,14 @@ def test_plan_places_everything_in_the_fewest_sequences():
         assert n <= least_sequences(lengths, 100) * 1.05 + 1
     ones = best_fit_packing.plan({1: 10_000, 2048: 3}, 2048)
     assert sum(t for _, t in ones) == 3 + 5
+
+
+CHUNKS = best_fit_packing.ChunkIds(public_tokenizers.path("word_bpe_49k.json"), keep=60)  # small, so that it forgets
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abzABZéÉßÿÀ×µªçı İΣσ'’.,!%&-_09\n\t|<>́ﬁ日 "), max_size=40), max_size=6))
+def test_chunk_ids_are_the_library_s(texts):
+    texts = [*texts, *(t + "<|ENDOFTEXT|>x" for t in texts), *(t + "<|endoftext|>" for t in texts), "don't DON'T 'tis Ça, été!! Wort,%%% ", ""]
+    want = [np.array(e.ids, "<u4").tobytes() for e in WORDS.encode_batch(texts, add_special_tokens=False)]
+    assert CHUNKS.encode(texts) == want
