@@ -95,6 +95,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = F.struct(F.col("chars"), F.col("doc_id").isNotNull(), -F.coalesce("doc_id", F.lit(0)), -F.col("row"))
     groups = named.groupBy("size", "name").agg(F.max(F.struct(order.alias("o"), F.col("doc_id"), F.col("row"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select("size", "name", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+    # Written, so that the joins below shuffle both sides anew and Spark can split a group with very many copies.
+    groups = common.table(groups, "exact-groups")
     alone = groups.where("group_size = 1").select("keep_row")
     copies = named.join(groups.where("group_size > 1"), ["size", "name"])
     one = named.join(alone, F.col("row") == F.col("keep_row"), "left_semi")
