@@ -120,6 +120,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = roots.join(linked.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("fp"), "least")
     ids = classes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # Written, so that the last join shuffles both sides anew and Spark can split a fingerprint with very many copies.
+    ids = common.table(ids, "simhash-ids")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
