@@ -18,9 +18,8 @@ from auditgrid.sources.files import ignored
 LINE_RULES = (*line_rules.RULES, *scope_rules.FALLBACK_LINES)
 CONTENT_RULES = (*content_rules.RULES, *markup_rules.RULES)
 FILE_RULES = (*file_rules.RULES, *file_checks.ORDERED, *scope_rules.FALLBACK_FILES)
+#: The rule that reads a table of past commits and no files.
 HISTORY_RULE = "git-history-secrets"
-#: The rule that names no file of its own: it reads the history table.
-SEVERITY_RANK = {"critical": 0, "warning": 1, "info": 2}
 #: ``audit-ignore`` and its longer spellings: the mark, ``-next-line``, and rule ids.
 DIRECTIVE = r"(?i)audit-ignore(-next-line)?(?:\s*[:=]?\s*([\w-]+(?:\s*,\s*[\w-]+)*))?"
 MIDDLEWARE = r"(?:^|\/)(?:src\/)?middleware\.[mc]?[jt]sx?$"

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditgrid.schema import FILES_DDL
-
 #: Files of one repository in the corpus.
 PER_REPO = 5
 
@@ -161,5 +159,3 @@ files AS (
 
 PAGES_SQL = """files AS (
   SELECT CAST(page_id AS BIGINT) AS file_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS repo, 'page' || CAST(page_id AS VARCHAR) || '.html' AS relative_path, coalesce(html, '') AS content FROM pages)"""
-
-__all__ = ["FILES_DDL", "SNIPPETS", "PAGES_SQL", "files", "pages", "quote", "sql"]

@@ -8,5 +8,4 @@ FINDINGS_DDL = "file_id long, repo string, relative_path string, rule_id string,
 #: What an expression on one file finds.
 FOUND_DDL = "array<struct<rule_id:string,severity:string,message:string,line:int,evidence:string,finding_ord:bigint>>"
 KEYS = ("file_id", "repo", "relative_path")
-SEVERITIES = ("critical", "warning", "info")
 EVIDENCE_CHARS = 120
