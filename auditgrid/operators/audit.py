@@ -7,7 +7,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditgrid.config import Config
+from auditgrid.config import CONFIG_NAME, Config
 from auditgrid.functions.text import js_trim, lines, matches
 from auditgrid.operators.blocks import with_blocks
 from auditgrid.operators.match import code_findings, content_findings, file_findings, guarded, line_findings
@@ -134,6 +134,37 @@ def rescored(findings: DataFrame, guards: DataFrame) -> DataFrame:
     }).select(*findings.columns)
 
 
+def _strings(value: Column, path: str) -> Column:
+    """The strings of a JSON array; anything else in it doesn't count."""
+    items = F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string"))
+
+
+def project_configs(files: DataFrame) -> DataFrame:
+    """``(repo, ignore, rules, exclude, disabled)`` of the repositories that ship settings; broken JSON gives none.
+
+    disabled maps a rule to texts of paths where it is off.
+    """
+    raw = files.where(F.col("relative_path") == CONFIG_NAME).groupBy("repo").agg(F.max_by("content", "file_id").alias("text"))
+    parsed = raw.select("repo", F.try_parse_json("text").alias("v")).where("v is not null")
+    off = F.coalesce(F.try_variant_get("v", "$.disableForPaths", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    v = F.col("v")
+    return parsed.select(
+        "repo", F.transform(_strings(v, "$.ignore"), lambda x: F.regexp_replace(x, r"/\z", "")).alias("ignore"), _strings(v, "$.rules").alias("rules"), _strings(v, "$.exclude").alias("exclude"),
+        F.transform_values(off, lambda k, x: F.transform(_strings(x, "$"), lambda p: F.regexp_replace(p, r"^\^|\$\z", ""))).alias("disabled"),
+    )
+
+
+def configured(findings: DataFrame, configs: DataFrame) -> DataFrame:
+    """Findings that their own repository's settings leave; repositories without settings keep all."""
+    path, rule = F.col("relative_path"), F.col("rule_id")
+    joined = findings.join(configs.withColumnRenamed("repo", "c_repo"), F.col("repo") == F.col("c_repo"), "left")
+    wanted = (F.size("rules") == 0) | F.array_contains("rules", rule)
+    outside = ~F.exists(F.split(path, "/"), lambda f: F.array_contains("ignore", f))
+    on = ~F.exists(F.coalesce(F.try_element_at("disabled", rule), F.array().cast("array<string>")), lambda p: path.contains(p))
+    return joined.where(F.col("c_repo").isNull() | (wanted & ~F.array_contains("exclude", rule) & outside & on)).select(*findings.columns)
+
+
 def enriched(findings: DataFrame) -> DataFrame:
     """With the rule's order, name, taxonomy and advice. The dimension has one row per rule, so it is broadcast."""
     return findings.join(F.broadcast(catalog.catalog(findings.sparkSession).drop("default_severity")), "rule_id", "left")
@@ -144,16 +175,18 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(rank(F.col("severity")), "repo", "file_id", "rule_ord", "finding_ord", "line", "message")
 
 
-def audit(files: DataFrame, config: Config = Config(), dependencies: DataFrame | None = None, extra_ignore: tuple[str, ...] = ()) -> DataFrame:
+def audit(files: DataFrame, config: Config = Config(), dependencies: DataFrame | None = None, extra_ignore: tuple[str, ...] = (), per_project: bool = False) -> DataFrame:
     """Findings of all active rules on ``files``, suppressed, re-scored and enriched; not ordered.
 
-    ``dependencies`` are findings of dependency checks, which rule lists and comments don't touch.
+    per_project: each repository's own settings file counts as well. ``dependencies`` are findings of dependency checks, which rule lists and comments don't touch.
     Files with a null content or path have none; an empty table gives an empty result.
     """
     ids = [r for r in catalog.active(config.rules, config.exclude) if r != HISTORY_RULE]
     files = files.where(F.col("content").isNotNull() & F.col("relative_path").isNotNull())
     kept = files.where(~ignored(F.col("relative_path"), (*config.ignore, *extra_ignore)))
     found = unsuppressed(enabled_paths(run_rules(kept, ids, config), config.disable_for_paths), kept)
+    if per_project:
+        found = configured(found, project_configs(files))
     if "missing-auth" in ids:
         found = rescored(found, middleware(kept))
     if dependencies is not None:

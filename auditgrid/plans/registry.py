@@ -73,6 +73,16 @@ def _enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.enabled_paths(_raw(spark, sf_dir), DISABLED).select(*COLUMNS)
 
 
+SETTINGS = '{"exclude": ["weak-hashing"], "ignore": ["components/"], "disableForPaths": {"hardcoded-ip": ["^src/lib"]}}'
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some repositories ship settings of their own."""
+    repos = corpus.files(spark, sf_dir).select("repo").distinct().where(F.col("repo").endswith("3"))
+    shipped = repos.select(F.lit(-1).cast("long").alias("file_id"), "repo", F.lit(".vibe-audit.json").alias("relative_path"), F.lit(SETTINGS).alias("content"))
+    return A.configured(_raw(spark, sf_dir), A.project_configs(shipped)).select(*COLUMNS)
+
+
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.ordered(_audited(spark, sf_dir)).select(*COLUMNS, "rule_ord", "rule_name", "cwe_id", "cvss_score", "owasp_category", "wcag", "fix")
 
@@ -236,6 +246,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "suppression_directives": _directives,
         "suppress_antijoin": _suppressed,
         "disabled_paths_antijoin": _enabled,
+        "project_settings_join": _settings,
         "route_urls": _routes,
         "matcher_prefixes": _matchers,
         "middleware_rescore": _rescored,
@@ -332,6 +343,7 @@ def oracle_sql() -> dict[str, str]:
         "suppression_directives": _with("SELECT * FROM directives", more=_directive_sql()),
         "suppress_antijoin": audited(f"SELECT {oracle.COLUMNS} FROM kept"),
         "disabled_paths_antijoin": _with(f"SELECT * FROM ({_union(SMALL)}) WHERE {disabled}"),
+        "project_settings_join": _with(f"SELECT * FROM ({_union(SMALL)}) WHERE NOT (ends_with(repo, '3') AND (rule_id = 'weak-hashing' OR list_contains(string_split(relative_path, '/'), 'components') OR (rule_id = 'hardcoded-ip' AND contains(relative_path, 'src/lib'))))"),
         "route_urls": _with(
             f"SELECT file_id, relative_path, CASE WHEN regexp_matches(relative_path, {quote(app)}) THEN '/' || array_to_string(list_filter(string_split(regexp_extract(relative_path, {quote(app)}, 1), '/'), lambda s: NOT regexp_matches(s, '^\\(.*\\)$') AND NOT starts_with(s, '@')), '/') "
             f"WHEN regexp_matches(relative_path, {quote(pages)}) THEN '/' || regexp_replace(regexp_extract(relative_path, {quote(pages)}, 1), '/index$', '') END AS url FROM files"

@@ -40,6 +40,15 @@ def test_config_is_coerced():
     assert merge(Config(rules=("a",), ignore=("x",)), Config(rules=("b",), ignore=("y",), strict=True)) == Config(rules=("b",), ignore=("x", "y"), strict=True)
 
 
+def test_settings_of_each_project(spark):
+    settings = '{"ignore": ["docs/", 7], "exclude": ["eval-usage"], "disableForPaths": {"weak-hashing": ["^lib/x.js$", null], "other": 3}, "rules": "no"}'
+    code = MD5 + "\neval(x)"
+    rows = [("a", ".vibe-audit.json", settings), ("a", "docs/a.js", code), ("a", "lib/x.js", code), ("a", "src/a.js", code), ("b", "docs/a.js", code), ("c", ".vibe-audit.json", "{broken"), ("c", "a.js", code), ("d", ".vibe-audit.json", '{"rules": ["eval-usage"]}'), ("d", "a.js", code)]
+    got = sorted((r.repo, r.relative_path, r.rule_id) for r in audit.audit(frame(spark, rows), Config(rules=RULES), per_project=True).collect())
+    both = [(r, p, rule) for r, p in (("b", "docs/a.js"), ("c", "a.js")) for rule in ("eval-usage", "weak-hashing")]
+    assert got == sorted([("a", "src/a.js", "weak-hashing"), *both, ("d", "a.js", "eval-usage")])
+
+
 def test_empty_and_null_files(spark):
     assert audit.audit(frame(spark, []), Config(rules=RULES)).count() == 0
     rows = frame(spark, [("r", "a.js", None), (None, "b.js", MD5), ("r", None, MD5), ("r", "c.js", "")]).withColumn("severity", F.lit("clash"))
