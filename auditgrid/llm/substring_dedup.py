@@ -261,6 +261,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = places.select("doc_id", "tag", F.explode(F.arrays_zip("anchors", "los", "his")).alias("x")).select("doc_id", "tag", F.col("x.anchors").alias("anchor"), F.col("x.los").alias("lo"), F.col("x.his").alias("hi"))
     places = common.table(places, "substring-places")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("anchor", (F.col("n") > crowd).alias("crowded"))
+    # Written, so that the join below shuffles both sides anew and Spark can split a minimiser with very many places.
+    shared = common.table(shared, "substring-shared")
     found = places.join(shared, "anchor").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "lo", "hi", "crowded")).alias("places"))
     contexts = docs.join(found, "doc_id").select("doc_id", "text", "tag", "places").mapInArrow(_contexts(window), CONTEXT_DDL)
     contexts = common.table(contexts, "substring-contexts")
@@ -275,6 +277,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earlier = each.groupBy("one", "two").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("one", "two", "first")
     gone = each.join(earlier, ["one", "two"]).where("least > first").groupBy("anchor", "other").agg(F.collect_list("at").alias("gone"))
     known = distinct.select("anchor", "other", "least", F.size("windows").alias("n")).join(gone, ["anchor", "other"], "left")
+    # Written for the same reason: one context can be in very many documents.
+    known = common.table(known, "substring-known")
     hit = loud.drop("windows").join(known, ["anchor", "other"]).where("doc_id > least or gone is not null")
     cuts = F.when(F.col("doc_id") > F.col("least"), F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n") + (window - 1)).alias("hi")))).otherwise(
         F.transform("gone", lambda x: F.struct((F.col("start") + x).alias("lo"), (F.col("start") + x + window).alias("hi")))
@@ -344,8 +348,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     return out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)) if size_col in kept else out
 
 
-
-
 def op3_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     marked = common.table(repeated_spans(docs), "substring-marked")
