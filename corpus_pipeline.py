@@ -37,9 +37,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
+#: Chunks that packing remembers: few, since the same workers serve all stages.
+PACKING_KEEPS = 300_000
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their place in sequences of at most 2048 tokens."""
-    return best_fit_packing.pack(docs)
+    return best_fit_packing.pack(docs, keep=PACKING_KEEPS)
 
 
 STAGES = [
