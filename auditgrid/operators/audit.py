@@ -122,6 +122,12 @@ def middleware(files: DataFrame) -> DataFrame:
     return last.where("m.guards and size(m.prefixes) > 0").select("repo", "m.prefixes")
 
 
+def middleware_files(files: DataFrame, config: Config = Config()) -> DataFrame:
+    """The files that ``middleware`` reads, without those that an audit by ``config`` ignores."""
+    path = F.col("relative_path")
+    return files.where(F.col("content").isNotNull() & matches(path, MIDDLEWARE, "i") & ~ignored(path, config.ignore)).select(*KEYS, "content")
+
+
 def rescored(findings: DataFrame, guards: DataFrame) -> DataFrame:
     """Critical missing-auth findings become warnings where the repository's middleware covers the route."""
     url = route_url(F.col("relative_path"))
@@ -175,10 +181,10 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(rank(F.col("severity")), "repo", "file_id", "rule_ord", "finding_ord", "line", "message")
 
 
-def audit(files: DataFrame, config: Config = Config(), dependencies: DataFrame | None = None, extra_ignore: tuple[str, ...] = (), per_project: bool = False) -> DataFrame:
+def audit(files: DataFrame, config: Config = Config(), dependencies: DataFrame | None = None, extra_ignore: tuple[str, ...] = (), per_project: bool = False, rescore: bool = True) -> DataFrame:
     """Findings of all active rules on ``files``, suppressed, re-scored and enriched; not ordered.
 
-    per_project: each repository's own settings file counts as well. ``dependencies`` are findings of dependency checks, which rule lists and comments don't touch.
+    per_project: each repository's own settings file counts as well. rescore: middleware among ``files`` counts. ``dependencies`` are findings of dependency checks, which rule lists and comments don't touch.
     Files with a null content or path have none; an empty table gives an empty result.
     """
     ids = [r for r in catalog.active(config.rules, config.exclude) if r != HISTORY_RULE]
@@ -187,7 +193,7 @@ def audit(files: DataFrame, config: Config = Config(), dependencies: DataFrame |
     found = unsuppressed(enabled_paths(run_rules(kept, ids, config), config.disable_for_paths), kept)
     if per_project:
         found = configured(found, project_configs(files))
-    if "missing-auth" in ids:
+    if rescore and "missing-auth" in ids:
         found = rescored(found, middleware(kept))
     if dependencies is not None:
         found = found.unionByName(dependencies)

@@ -24,7 +24,10 @@ from auditgrid.streaming import incremental
 COLUMNS = ["file_id", "repo", "relative_path", "rule_id", "severity", "message", "line", "evidence"]
 #: Rules that look at tags, held on the pages as well.
 PAGE_RULES = ("a11y-img-no-alt", "a11y-form-no-label", "a11y-no-lang", "a11y-button-no-name", "a11y-positive-tabindex", "missing-sri", "regex-dos")
-#: Some rules of every severity for the queries about what happens after the rules.
+#: Every rule that looks at files.
+ALL = tuple(r for r in catalog.IDS if r != A.HISTORY_RULE)
+#: Some rules of every severity. The SQL of the queries about what happens after the rules covers these alone, so the
+#: whole job, which SQL cannot express, is registered beside each of them as all_rules_...
 SMALL = ("weak-hashing", "insecure-cipher", "hardcoded-ip", "sensitive-browser-storage", "predictable-ids", "pii-logging", "unpinned-dependencies", "no-error-monitoring", "a11y-img-no-alt", "nosql-injection", "clickjacking")
 DISABLED = {"weak-hashing": ("^src/lib/hash.js$",), "hardcoded-ip": ("infra/", "src/lib")}
 
@@ -60,8 +63,8 @@ def _audited(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
     return A.audit(corpus.files(spark, sf_dir), Config(rules=tuple(rules)))
 
 
-def _suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.unsuppressed(_raw(spark, sf_dir), corpus.files(spark, sf_dir)).select(*COLUMNS)
+def _suppressed(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
+    return A.unsuppressed(_raw(spark, sf_dir, rules), corpus.files(spark, sf_dir)).select(*COLUMNS)
 
 
 def _directives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,22 +72,22 @@ def _directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("file_id", F.col("target").cast("int").alias("target"), F.array_join("ids", ",").alias("ids"))
 
 
-def _enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.enabled_paths(_raw(spark, sf_dir), DISABLED).select(*COLUMNS)
+def _enabled(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
+    return A.enabled_paths(_raw(spark, sf_dir, rules), DISABLED).select(*COLUMNS)
 
 
 SETTINGS = '{"exclude": ["weak-hashing"], "ignore": ["components/"], "disableForPaths": {"hardcoded-ip": ["^src/lib"]}}'
 
 
-def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _settings(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
     """Some repositories ship settings of their own."""
     repos = corpus.files(spark, sf_dir).select("repo").distinct().where(F.col("repo").endswith("3"))
     shipped = repos.select(F.lit(-1).cast("long").alias("file_id"), "repo", F.lit(".vibe-audit.json").alias("relative_path"), F.lit(SETTINGS).alias("content"))
-    return A.configured(_raw(spark, sf_dir), A.project_configs(shipped)).select(*COLUMNS)
+    return A.configured(_raw(spark, sf_dir, rules), A.project_configs(shipped)).select(*COLUMNS)
 
 
-def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.ordered(_audited(spark, sf_dir)).select(*COLUMNS, "rule_ord", "rule_name", "cwe_id", "cvss_score", "owasp_category", "wcag", "fix")
+def _enriched(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
+    return A.ordered(_audited(spark, sf_dir, rules)).select(*COLUMNS, "rule_ord", "rule_name", "cwe_id", "cvss_score", "owasp_category", "wcag", "fix")
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,17 +126,13 @@ def _rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.audit(corpus.files(spark, sf_dir), Config(rules=("missing-auth",))).select(*COLUMNS)
 
 
-def _owasp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.by_owasp(_audited(spark, sf_dir))
-
-
 def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = corpus.files(spark, sf_dir)
     return report.repo_grades(A.unsuppressed(A.run_rules(f, list(portable())), f), f)
 
 
-def _small_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.repo_grades(_audited(spark, sf_dir), corpus.files(spark, sf_dir))
+def _audited_grades(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
+    return report.repo_grades(_audited(spark, sf_dir, rules), corpus.files(spark, sf_dir))
 
 
 ERRORS = (("a/b", 403, True, "x"), ("a/c", 403, None, "GitHub API error (403): You have exceeded a rate limit"), ("a/d", 403, False, "no"), ("a/e", None, None, "GitHub API error (404): gone"), ("a/f", 401, None, "x"), ("a/g", 409, None, "x"), ("a/h", None, None, "socket hang up"), ("a/i", 429, True, "x"), ("a/j", None, None, None))
@@ -144,14 +143,6 @@ def _errors(spark: SparkSession) -> DataFrame:
     return rows.withColumn("c", portfolio.classify_error(F.col("status"), F.col("limited"), F.col("message"))).select("repo", "c.label", "c.kind", "c.rate_limited")
 
 
-def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.summary(_small_grades(spark, sf_dir), _errors(spark))
-
-
-def _bar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.severity_bar(report.by_severity(_audited(spark, sf_dir)))
-
-
 def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies.dependency_findings(corpus.files(spark, sf_dir)).select(*COLUMNS)
 
@@ -214,14 +205,20 @@ def _entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rendered(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.RENDERERS[kind](_audited(spark, sf_dir))
+    return sinks.RENDERERS[kind](_audited(spark, sf_dir, ALL))
 
 
 def _by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.by_rule(_audited(spark, sf_dir))
+    return report.by_rule(_audited(spark, sf_dir, ALL))
+
+
+def _all_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules without findings; the rules about past commits and dependencies run on their own rows."""
+    found = _audited(spark, sf_dir, ALL).select("rule_id").union(_history(spark, sf_dir).select("rule_id")).union(_dependencies(spark, sf_dir).select("rule_id"))
+    return report.missing_rules(found, catalog.catalog(spark)).select("rule_id")
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
     """The corpus as a stream: files land as Parquet and each batch is audited."""
     import tempfile
     import uuid
@@ -229,13 +226,36 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="auditgrid-")
     at = f"{base.rstrip('/')}/audit-stream-{uuid.uuid4().hex[:12]}"
     corpus.files(spark, sf_dir).write.parquet(f"{at}/landing")
-    incremental.audit_stream(incremental.file_stream(spark, f"{at}/landing"), f"{at}/findings", f"{at}/state", Config(rules=SMALL)).awaitTermination()
-    return spark.read.parquet(f"{at}/findings").select(*COLUMNS)
+    incremental.audit_stream(incremental.file_stream(spark, f"{at}/landing"), f"{at}/findings", f"{at}/state", Config(rules=tuple(rules))).awaitTermination()
+    return incremental.findings(spark, f"{at}/findings").select(*COLUMNS)
+
+
+def _after_rules(rules) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries about what happens after the rules."""
+    found, grades = partial(_audited, rules=rules), partial(_audited_grades, rules=rules)
+    return {
+        "suppress_antijoin": partial(_suppressed, rules=rules),
+        "disabled_paths_antijoin": partial(_enabled, rules=rules),
+        "project_settings_join": partial(_settings, rules=rules),
+        "enrich_and_sort": partial(_enriched, rules=rules),
+        "agg_by_severity": lambda s, d: report.by_severity(found(s, d)),
+        "agg_by_file": lambda s, d: report.by_file(found(s, d)),
+        "agg_by_owasp": lambda s, d: report.by_owasp(found(s, d)),
+        "cvss_histogram": lambda s, d: report.cvss_histogram(found(s, d)),
+        "severity_bar": lambda s, d: report.severity_bar(report.by_severity(found(s, d))),
+        "exit_status": lambda s, d: A.exit_status(found(s, d), strict=True),
+        "silent_rules": lambda s, d: report.missing_rules(found(s, d), catalog.catalog(s)).select("rule_id"),
+        "fix_guide": lambda s, d: report.fix_guide(found(s, d)),
+        "portfolio_worst_repos": lambda s, d: portfolio.worst(grades(s, d), 20),
+        "portfolio_summary": lambda s, d: portfolio.summary(grades(s, d), _errors(s)),
+        "stream_audit": partial(_streamed, rules=rules),
+    }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {_name(r): partial(_rule, r) for r in catalog.IDS if r != A.HISTORY_RULE}
-    return out | {
+    whole = _after_rules(ALL) | {"silent_rules": _all_silent, "portfolio_repo_grades": partial(_audited_grades, rules=ALL)}
+    return out | _after_rules(SMALL) | {f"all_rules_{name}": query for name, query in whole.items()} | {
         _name(A.HISTORY_RULE): _history,
         "page_tag_rules": _page_rules,
         "scan_predicate": _scan,
@@ -244,25 +264,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "script_blocks": _blocks,
         "entropy_tokens": _entropy,
         "suppression_directives": _directives,
-        "suppress_antijoin": _suppressed,
-        "disabled_paths_antijoin": _enabled,
-        "project_settings_join": _settings,
         "route_urls": _routes,
         "matcher_prefixes": _matchers,
         "middleware_rescore": _rescored,
-        "enrich_and_sort": _enriched,
-        "agg_by_severity": lambda s, d: report.by_severity(_audited(s, d)),
-        "agg_by_file": lambda s, d: report.by_file(_audited(s, d)),
-        "agg_by_owasp": _owasp,
         "agg_by_rule": _by_rule,
-        "cvss_histogram": lambda s, d: report.cvss_histogram(_audited(s, d)),
-        "severity_bar": _bar,
-        "exit_status": lambda s, d: A.exit_status(_audited(s, d), strict=True),
-        "silent_rules": lambda s, d: report.missing_rules(_audited(s, d), catalog.catalog(s)).select("rule_id"),
-        "fix_guide": lambda s, d: report.fix_guide(_audited(s, d)),
         "portfolio_repo_grades": _grades,
-        "portfolio_worst_repos": lambda s, d: portfolio.worst(_small_grades(s, d), 20),
-        "portfolio_summary": _summary,
         "portfolio_discovery": _discovery,
         "scan_errors": lambda s, d: _errors(s),
         "target_parser": _targets,
@@ -275,7 +281,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_markdown": partial(_rendered, "markdown"),
         "report_html": partial(_rendered, "html"),
         "report_terminal": partial(_rendered, "terminal"),
-        "stream_audit": _streamed,
         "full_audit": lambda s, d: A.audit(corpus.files(s, d)).select(*COLUMNS, "cwe_id", "cvss_score", "owasp_category", "wcag"),
     }
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from auditgrid.config import Config
-from auditgrid.operators.audit import audit
+from auditgrid.operators import audit as A
 from auditgrid.schema import FILES_DDL
 
 
@@ -19,12 +19,19 @@ def audit_stream(files: DataFrame, out: str, checkpoint: str, config: Config = C
     """Append the findings of each batch of files to a Parquet table, one folder per batch.
 
     A batch that is run again after a failure overwrites its own folder, so findings are written once. Rules
-    look at single files; a repository's middleware counts where it is in the same batch.
+    look at single files. A repository's middleware may land before or after its routes, so the findings are
+    written as they are before re-scoring, middleware files beside them; ``findings`` brings both together.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         # file sinks of a batch are replaced as a whole
-        audit(batch, config).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        A.audit(batch, config, rescore=False).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        A.middleware_files(batch, config).write.mode("overwrite").parquet(f"{out}-middleware/batch={number}")
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def findings(spark: SparkSession, out: str) -> DataFrame:
+    """All findings so far, re-scored by the middleware of all batches so far."""
+    return A.rescored(spark.read.parquet(out), A.middleware(spark.read.schema(FILES_DDL).parquet(f"{out}-middleware")))
