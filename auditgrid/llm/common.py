@@ -44,9 +44,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator needs, so extra columns never clash."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+#: The column that ``numbered`` adds.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` written with a number for each row, which stands however often the table is read."""
+    return table(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Only the two columns an operator needs, so extra columns never clash; with ``row_col`` its numbers as row."""
+    row = [docs[row_col].alias("row")] if row_col else []
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *row)
 
 
 def texts_of(column: pa.Array, as_bytes: bool = True, at_once: int = 256) -> Iterator[bytes | str | None]:

@@ -40,7 +40,8 @@ def _numbered(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
 def text_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``row, doc_id, chars, size, sha, name``: (size, name) is one text's identity.
 
-    ``docs`` has (doc_id, text). row numbers the input rows, so repeated rows stay apart.
+    ``docs`` has (doc_id, text), and row where the caller numbered the rows in a written table. row numbers the
+    input rows, so repeated rows stay apart.
     """
     contents = docs.select(F.explode(_blocks(normalised(F.col("text")), block)).alias("block")).select(F.xxhash64("block").alias("hash"), "block")
     # Distinct blocks: one row per content leaves each map task, so copies cost no shuffle.
@@ -48,8 +49,9 @@ def text_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     hashes = common.table(hashes, "exact-hashes")
     shared = hashes.where("contents > 1").select("hash")
     collide = not shared.isEmpty()
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    if collide:  # read twice below, so row numbers must stand
+    given = "row" in docs.columns
+    docs = docs if given else docs.withColumn("row", F.monotonically_increasing_id())
+    if collide and not given:  # read twice below, so row numbers must stand
         docs = common.table(docs, "exact-numbered")
     norm = docs.withColumn("norm", normalised(F.col("text")))
     rows = norm.select(
@@ -85,18 +87,23 @@ def text_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.drop("hashes").join(named, "row")
 
 
+def _groups(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The named rows of ``docs`` (doc_id, text, and row if it has one), and for each group of equal texts its kept row."""
+    named = common.table(text_names(docs, block), "exact-named")
+    order = F.struct(F.col("chars"), F.col("doc_id").isNotNull(), -F.coalesce("doc_id", F.lit(0)), -F.col("row"))
+    groups = named.groupBy("size", "name").agg(F.max(F.struct(order.alias("o"), F.col("doc_id"), F.col("row"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = groups.select("size", "name", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+    # Written, so that joins with it shuffle both sides anew and Spark can split a group with very many copies.
+    return named, common.table(groups, "exact-groups")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``: one row per input row, dropped ones too.
 
     Texts are equal when identical without white space; null counts as empty. The row with the
     longest original text stays, then the smallest doc_id (nulls last), then the first of repeated rows.
     """
-    named = common.table(text_names(common.id_and_text(docs, id_col, text_col), block), "exact-named")
-    order = F.struct(F.col("chars"), F.col("doc_id").isNotNull(), -F.coalesce("doc_id", F.lit(0)), -F.col("row"))
-    groups = named.groupBy("size", "name").agg(F.max(F.struct(order.alias("o"), F.col("doc_id"), F.col("row"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("size", "name", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
-    # Written, so that the joins below shuffle both sides anew and Spark can split a group with very many copies.
-    groups = common.table(groups, "exact-groups")
+    named, groups = _groups(common.id_and_text(docs, id_col, text_col), block)
     alone = groups.where("group_size = 1").select("keep_row")
     copies = named.join(groups.where("group_size > 1"), ["size", "name"])
     one = named.join(alone, F.col("row") == F.col("keep_row"), "left_semi")
@@ -105,16 +112,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``exact_duplicates`` keeps; of repeated rows, one."""
-    found = exact_duplicates(docs, id_col, text_col, block)
-    # Kept ids with their text, since other rows may share the id; dropped rows are the smaller side.
-    gone = found.where("not kept").select("doc_id", "text_sha256", F.lit(1).alias("n")).groupBy("doc_id", "text_sha256").agg(F.count("n").alias("n"))
-    stays = found.where("kept").select("doc_id", "text_sha256")
-    twice = gone.join(stays, ["doc_id", "text_sha256"], "left_semi")
-    marked = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    only_gone = gone.join(twice, ["doc_id", "text_sha256"], "left_anti").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"))
-    out = marked.join(only_gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")), "left_anti")
-    return out.drop("__sha")
+    """The rows of ``docs``, with all their columns, that ``exact_duplicates`` keeps: one of each group, whatever its id."""
+    numbered = common.numbered(docs, "exact-numbered")
+    _, groups = _groups(common.id_and_text(numbered, id_col, text_col, common.ROW), block)
+    return numbered.join(groups.select(F.col("keep_row").alias(common.ROW)), common.ROW, "left_semi").drop(common.ROW)
 
 
 def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
