@@ -67,15 +67,17 @@ def texts_of(column: pa.Array, as_bytes: bool = True, at_once: int = 256) -> Ite
 
 
 def arrow_rows(one: Callable[[bytes | str | None], tuple], schema: pa.Schema, as_bytes: bool = True) -> Callable:
-    """A mapInArrow function: ``(doc_id, text)`` batches in, doc_id and ``one(text)``'s fields out."""
+    """A mapInArrow function: ``(doc_id, text)`` batches in, doc_id and ``one(text)``'s fields out; then columns after the text as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [one(x) for x in texts_of(batch.column(1), as_bytes)]
-            columns = list(zip(*rows, strict=True)) or [()] * (len(schema) - 1)
+            rest = batch.columns[2:]
+            fields = list(schema)[1 : len(schema) - len(rest)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             arrays = [batch.column(0).cast(schema.field(0).type)]
-            arrays += [pa.array(v, f.type) for v, f in zip(columns, list(schema)[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            arrays += [pa.array(v, f.type) for v, f in zip(columns, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays + rest, schema=schema)
 
     return run
 

@@ -60,10 +60,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> bytes:
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``, one row per input row; null and empty texts have fingerprint zero."""
-    run = common.arrow_rows(lambda raw: (int.from_bytes(fingerprint(raw), "big", signed=True),), SCHEMA)
-    return common.id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(doc_id, fp)``, one row per input row, and row where ``row_col`` numbers them; null and empty texts have fingerprint zero."""
+    schema, ddl = (SCHEMA.append(pa.field("row", pa.int64())), "doc_id long, fp long, row long") if row_col else (SCHEMA, "doc_id long, fp long")
+    run = common.arrow_rows(lambda raw: (int.from_bytes(fingerprint(raw), "big", signed=True),), schema)
+    return common.id_and_text(docs, id_col, text_col, row_col).mapInArrow(run, ddl)
 
 
 def pivots(n: int = N_PIVOTS) -> list[int]:
@@ -105,6 +106,19 @@ def links(prints: DataFrame, n_pivots: int = N_PIVOTS, dense: int = DENSE) -> Da
     return pairs.select("a", "b").union(stars)
 
 
+def _components(prints: DataFrame, n_pivots: int, dense: int) -> DataFrame:
+    """``prints`` with ``root``, one fingerprint for each component, and ``component_id``, the component's least doc_id."""
+    classes = common.table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    roots = connected_components(links(classes.select("fp"), n_pivots, dense), "a", "b")
+    roots = common.table(roots, "simhash-roots")
+    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
+    named = roots.join(linked.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("fp"), "root", "least")
+    ids = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id"))
+    # Written, so that the last join shuffles both sides anew and Spark can split a fingerprint with very many copies.
+    ids = common.table(ids, "simhash-ids")
+    return prints.join(ids, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_pivots: int = N_PIVOTS, dense: int = DENSE) -> DataFrame:
     """``doc_id, fp, component_id``: one row per input row.
 
@@ -114,21 +128,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component has no other; an empty table gives an empty result.
     """
     prints = common.table(fingerprints(docs, id_col, text_col), "simhash-prints")
-    classes = common.table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    roots = connected_components(links(classes.select("fp"), n_pivots, dense), "a", "b")
-    roots = common.table(roots, "simhash-roots")
-    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    named = roots.join(linked.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("fp"), "least")
-    ids = classes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    # Written, so that the last join shuffles both sides anew and Spark can split a fingerprint with very many copies.
-    ids = common.table(ids, "simhash-ids")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return _components(prints, n_pivots, dense).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that name their component; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    """The rows of ``docs``, with all their columns, that name their component; rows with a null id stay.
+
+    Where an id occurs more than once, each row counts by its own text; of several that name one component, the first stays.
+    """
+    numbered = common.numbered(docs, "simhash-numbered")
+    prints = common.table(fingerprints(numbered, id_col, text_col, common.ROW), "simhash-prints")
+    found = common.table(_components(prints, N_PIVOTS, DENSE).select("doc_id", "row", "root", "component_id"), "simhash-found")
+    first = found.where("doc_id = component_id").groupBy("root").agg(F.min("row").alias("row")).select("row")
+    stays = first.union(found.where("doc_id is null").select("row"))
+    return numbered.join(stays.withColumnRenamed("row", common.ROW), common.ROW, "left_semi").drop(common.ROW)
 
 
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

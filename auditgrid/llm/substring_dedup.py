@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from auditgrid.llm import common
 
@@ -329,16 +330,24 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     marked = common.table(repeated_spans(docs, id_col, text_col, window), "substring-marked")
     touched = marked.where("copy or spans is not null").select("doc_id", "tag", "copy", "spans").dropDuplicates(["doc_id", "tag"])
     at = kept.index(text_col)
-    joined = docs.join(touched.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("copy").alias("__copy"), F.col("spans").alias("__spans")), F.col(id_col) == F.col("__id"), "left")
+
+    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags = [_identity((raw or b"").split())[0] for raw in common.texts_of(batch.column(at), at_once=64)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.int64())], names=[*kept, "__tag"])
+
+    # By the text's tag too: other rows may share the id, and rows that share both lose the same words.
+    ids = touched.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__of"), F.col("copy").alias("__copy"), F.col("spans").alias("__spans"))
+    rows = docs.mapInArrow(tagged, StructType([*docs.schema.fields, StructField("__tag", LongType())]))
+    joined = rows.join(ids, (F.col(id_col) == F.col("__id")) & (F.col("__tag") == F.col("__of")), "left").select(*kept, "__copy", "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags, copies = (batch.column(len(kept) + i).to_pylist() for i in (1, 2))
+            copies = batch.column(len(kept)).to_pylist()
             texts = []
             for i, raw in enumerate(common.texts_of(batch.column(at), at_once=64)):
-                words = (raw or b"").split() if tags[i] is not None else []
-                if tags[i] is not None and _identity(words)[0] == tags[i]:
-                    raw = b"" if copies[i] else b" ".join(kept_words(words, batch.column(len(kept) + 3)[i].as_py()))
+                if copies[i] is not None:
+                    raw = b"" if copies[i] else b" ".join(kept_words((raw or b"").split(), batch.column(len(kept) + 1)[i].as_py()))
                 texts.append(raw)
             columns = list(batch.columns[: len(kept)])
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
