@@ -136,6 +136,27 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("repo"), F.floor(F.col("doc_id") / PER_REPO).cast("string")).alias("repo"), "relative_path", content.alias("content"))
 
 
+#: Where the text of a document goes whose snippet is JSON, and the snippet of documents without an id.
+TEXT_PATH, PLAIN = "docs/text.txt", len(SNIPPETS) - 1
+
+
+def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with every text in it; SQL knows only ``files``, so queries without SQL read this one.
+
+    A document whose snippet is JSON has a second, plain file with its text, numbered from 2**61 on. Documents
+    without an id get the last snippet, the repository "repo" and a number below -2**61 from their text.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    snippets = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(SNIPPETS)], "k long, relative_path string, code string")
+    joined = docs.join(F.broadcast(snippets), F.coalesce(F.pmod(F.col("doc_id"), F.lit(len(SNIPPETS))), F.lit(PLAIN)) == F.col("k"))
+    unnamed = -F.lit(2**61) - F.pmod(F.xxhash64("text"), F.lit(2**61)) - 1
+    repo = F.concat(F.lit("repo"), F.coalesce(F.floor(F.col("doc_id") / PER_REPO).cast("string"), F.lit("")))
+    json = F.col("relative_path").endswith(".json")
+    one = F.struct(F.coalesce("doc_id", unnamed).alias("file_id"), F.col("relative_path"), F.when(json, F.col("code")).otherwise(F.concat("code", F.lit("\n"), "text")).alias("content"))
+    two = F.struct((F.col("doc_id") + F.lit(2**61)).alias("file_id"), F.lit(TEXT_PATH).alias("relative_path"), F.col("text").alias("content"))
+    return joined.select(repo.alias("repo"), F.explode(F.when(json, F.array(one, two)).otherwise(F.array(one))).alias("f")).select("f.file_id", "repo", "f.relative_path", "f.content")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One HTML file per page; its address' host is the repository."""
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet")

@@ -38,12 +38,18 @@ def portable() -> tuple[str, ...]:
     return tuple(r for r in catalog.IDS if oracle.rule_sql(r))
 
 
+def _files(spark: SparkSession, sf_dir: str, rules) -> DataFrame:
+    """Every text where all rules run; the files that SQL knows where it must match."""
+    return corpus.whole_files(spark, sf_dir) if rules is ALL else corpus.files(spark, sf_dir)
+
+
 def _name(rule_id: str) -> str:
     return "rule_" + rule_id.replace("-", "_")
 
 
 def _rule(rule_id: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.run_rules(corpus.files(spark, sf_dir), [rule_id]).select(*COLUMNS)
+    known = corpus.files if rule_id in portable() else corpus.whole_files
+    return A.run_rules(known(spark, sf_dir), [rule_id]).select(*COLUMNS)
 
 
 def _page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,15 +62,15 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
-    return A.run_rules(corpus.files(spark, sf_dir), list(rules))
+    return A.run_rules(_files(spark, sf_dir, rules), list(rules))
 
 
 def _audited(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
-    return A.audit(corpus.files(spark, sf_dir), Config(rules=tuple(rules)))
+    return A.audit(_files(spark, sf_dir, rules), Config(rules=tuple(rules)))
 
 
 def _suppressed(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
-    return A.unsuppressed(_raw(spark, sf_dir, rules), corpus.files(spark, sf_dir)).select(*COLUMNS)
+    return A.unsuppressed(_raw(spark, sf_dir, rules), _files(spark, sf_dir, rules)).select(*COLUMNS)
 
 
 def _directives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +113,7 @@ def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = with_blocks(corpus.files(spark, sf_dir).where(F.col("relative_path").rlike(r"(?i)\.(?:js|jsx|ts|tsx|mjs|cjs)\z")))
+    f = with_blocks(corpus.whole_files(spark, sf_dir).where(F.col("relative_path").rlike(r"(?i)\.(?:js|jsx|ts|tsx|mjs|cjs)\z")))
     return f.select("file_id", "relative_path", "content", F.explode("blocks").alias("b")).select("file_id", "relative_path", "b.kind", "b.name", "b.exported", "b.start", "b.stop", line_evidence(F.col("content"), F.lit(1)).alias("first_line"))
 
 
@@ -123,7 +129,7 @@ def _matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.audit(corpus.files(spark, sf_dir), Config(rules=("missing-auth",))).select(*COLUMNS)
+    return A.audit(corpus.whole_files(spark, sf_dir), Config(rules=("missing-auth",))).select(*COLUMNS)
 
 
 def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +138,7 @@ def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _audited_grades(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
-    return report.repo_grades(_audited(spark, sf_dir, rules), corpus.files(spark, sf_dir))
+    return report.repo_grades(_audited(spark, sf_dir, rules), _files(spark, sf_dir, rules))
 
 
 ERRORS = (("a/b", 403, True, "x"), ("a/c", 403, None, "GitHub API error (403): You have exceeded a rate limit"), ("a/d", 403, False, "no"), ("a/e", None, None, "GitHub API error (404): gone"), ("a/f", 401, None, "x"), ("a/g", 409, None, "x"), ("a/h", None, None, "socket hang up"), ("a/i", 429, True, "x"), ("a/j", None, None, None))
@@ -225,7 +231,7 @@ def _streamed(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="auditgrid-")
     at = f"{base.rstrip('/')}/audit-stream-{uuid.uuid4().hex[:12]}"
-    corpus.files(spark, sf_dir).write.parquet(f"{at}/landing")
+    _files(spark, sf_dir, rules).write.parquet(f"{at}/landing")
     incremental.audit_stream(incremental.file_stream(spark, f"{at}/landing"), f"{at}/findings", f"{at}/state", Config(rules=tuple(rules))).awaitTermination()
     return incremental.findings(spark, f"{at}/findings").select(*COLUMNS)
 
@@ -281,7 +287,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_markdown": partial(_rendered, "markdown"),
         "report_html": partial(_rendered, "html"),
         "report_terminal": partial(_rendered, "terminal"),
-        "full_audit": lambda s, d: A.audit(corpus.files(s, d)).select(*COLUMNS, "cwe_id", "cvss_score", "owasp_category", "wcag"),
+        "full_audit": lambda s, d: A.audit(corpus.whole_files(s, d)).select(*COLUMNS, "cwe_id", "cvss_score", "owasp_category", "wcag"),
     }
 
 
