@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from auditgrid.llm import best_fit_packing, common, exact_dedup, simhash, substring_dedup, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: SQL cannot express these stages; tests/llm hold ``run`` against a brute-force version.
+#: SQL cannot express these stages. tests/llm/test_keep.py holds the exact, near and substring stages against brute force,
+#: row by row; toxicity and packing have their own tests, ``run`` as a whole has none.
 ORACLE_SQL = None
 
 
