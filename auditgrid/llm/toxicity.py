@@ -121,7 +121,7 @@ def phrases(text: str, start: int) -> list[str]:
 
 
 def _copies_mark(text: str) -> list[int]:
-    """Three least hashes over five-word shingles: near copies agree in one of them, other texts don't."""
+    """Three least hashes over five-word shingles: near copies mostly agree in all of them, texts that share a passage don't."""
     words = text.split()
     shingles = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
     h = np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles), np.uint64, len(shingles))
@@ -129,7 +129,7 @@ def _copies_mark(text: str) -> list[int]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) to a row of (toxic, marks, features) for each text."""
+    """(toxic, text, doc_id) to a row of (toxic, marks, features, doc_id) for each text."""
     for batch in batches:
         toxic, marks, features = [], [], []
         for label, text in zip(batch.column(0).to_pylist(), common.texts_of(batch.column(1), as_bytes=False), strict=True):
@@ -138,7 +138,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             toxic.append(label)
             marks.append(_copies_mark(folded))
             features.append(sorted(words | {w[:k] + "*" for k in PREFIXES for w in words if len(w) >= k}))
-        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(features, pa.list_(pa.string()))], names=["toxic", "marks", "features"])
+        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(features, pa.list_(pa.string())), batch.column(2)], names=["toxic", "marks", "features", "doc_id"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
@@ -159,10 +159,10 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, max_terms: int = MAX_
     Without labels of both kinds the lexicon is empty and every text scores the same.
     """
     rows = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    seen = rows.select("toxic", "text").mapInArrow(_counted, "toxic int, marks array<long>, features array<string>")
-    for k in range(3):
-        seen = seen.withColumn("mark", F.col("marks")[k]).dropDuplicates(["mark"])
-    seen = common.table(seen.select("toxic", "features"), "toxicity-features")
+    seen = rows.select("toxic", "text", "doc_id").mapInArrow(_counted, "toxic int, marks array<long>, features array<string>, doc_id long")
+    # Of rows that agree in all marks the least doc_id stays, whatever the shuffle brings first.
+    seen = seen.groupBy("marks").agg(F.min(F.struct("doc_id", "toxic", "features")).alias("s"))
+    seen = common.table(seen.select("s.toxic", "s.features"), "toxicity-features")
     n1, n0 = seen.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n1 or not n0:
         return Lexicon(exceptions=frozenset(map(fold, exceptions)))
