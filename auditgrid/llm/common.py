@@ -7,33 +7,61 @@ executor costs a re-read and not a recomputation of everything before it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The session's checkpoint folder. Where none is set, a temporary one in local mode (tests) and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="auditgrid-")
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _LOCAL[app]
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the written table."""
-    path = f"{shared_dir(df.sparkSession)}/auditgrid-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Tables:
+    """The intermediate tables of one run, as Parquet in the shared folder.
+
+    ``drop`` deletes those that nothing reads any more, so a run doesn't leave several times its input behind;
+    tables that the result still reads stay.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.base = spark, f"{shared_dir(spark)}/auditgrid-{name}-{uuid.uuid4().hex[:12]}"
+        self.kept: list[str] = []
+        self.n = 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}-{name}"
+        df.write.parquet(path)
+        self.kept.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *but: str) -> None:
+        """Delete all tables written so far, but those with the names given."""
+        stays = [p for p in self.kept if p.rpartition("-")[2] in but]
+        for path in self.kept:
+            if path not in stays:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.kept = stays
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,13 +72,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
 
-#: The column that ``numbered`` adds.
-ROW = "__row"
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to differ from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` written with a number for each row, which stands however often the table is read."""
-    return table(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+def numbered(docs: DataFrame, tables: Tables) -> tuple[DataFrame, str]:
+    """``docs`` written with a number for each row, which stands however often the table is read; and that column's name."""
+    (row,) = fresh(docs, "row_number")
+    return tables.write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -70,6 +105,7 @@ def arrow_rows(one: Callable[[bytes | str | None], tuple], schema: pa.Schema, as
     """A mapInArrow function: ``(doc_id, text)`` batches in, doc_id and ``one(text)``'s fields out; then columns after the text as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_state()
         for batch in batches:
             rows = [one(x) for x in texts_of(batch.column(1), as_bytes)]
             rest = batch.columns[2:]
@@ -87,10 +123,35 @@ def held_out(remainder: int, modulus: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, at_most: int, key: str = "doc_id") -> DataFrame:
+def sample_bound(n: int, at_most: int) -> int:
+    """The 64-bit hashes under it are about ``at_most`` of ``n``; some are, however large n is."""
+    return -(2**63) + min(2**64 - 1, 2**64 * at_most // max(n, 1))
+
+
+def sample_hash(*key: str) -> Column:
+    return F.xxhash64(*key, F.lit("fit"))
+
+
+def bounded_sample(rows: DataFrame, at_most: int, *key: str) -> DataFrame:
     """About ``at_most`` of ``rows`` (all, when fewer), chosen by a hash of ``key``; for fitting only."""
     n = rows.count()
-    if n <= at_most:
-        return rows
-    share = int(at_most / n * 1_000_000)
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("fit")), F.lit(1_000_000)) < share)
+    return rows if n <= at_most else rows.where(sample_hash(*key) < sample_bound(n, at_most))
+
+
+_STATE: dict[tuple, object] = {}
+
+
+def worker_state(key: tuple, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from one task to the next: one thing, so that the memories of operators don't add up."""
+    if key not in _STATE:
+        release_state()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def release_state() -> None:
+    """Free what an operator before has left in this worker."""
+    if _STATE:
+        _STATE.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -25,18 +25,20 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     """``(node, root)`` for every node that has a link; root is the least node of its component.
 
     Links between a node and itself, nulls and repeated links have no effect. An empty edge table
-    gives an empty result. Each round is a written table, so lineage stays short; only two sums
-    reach the driver.
+    gives an empty result. Each round is a written table, so lineage stays short, and the table of the
+    round before is deleted; only two sums reach the driver.
     """
+    tables = common.Tables(edges.sparkSession, "components")
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    e = common.table(e, "edges")
+    e = tables.write(e, "round0")
     before = None
-    for _ in range(rounds):
+    for k in range(1, rounds + 1):
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now[0] == 0 or now == before:
             break
         before = now
-        e = common.table(_small_star(_large_star(e)), "edges")
+        e = tables.write(_small_star(_large_star(e)), f"round{k}")
+        tables.drop(f"round{k}")
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
