@@ -2,8 +2,9 @@
 
 Repetitive text compresses far better than prose, random text hardly at all.
 Each text is compressed whole and in fixed chunks with zstandard; the ratio
-compressed / raw must lie in a band that depends on the text's length, since
-short texts carry the frame's overhead.
+compressed / raw must lie in a band that depends on the length, since short
+texts carry the frame's overhead and long ones repeat their own words. Between
+the lengths of the table the limits are interpolated by the logarithm of the length.
 """
 
 from __future__ import annotations
@@ -14,17 +15,18 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditgrid.llm import common
 
-#: (bytes from, lowest ratio, highest ratio) for whole texts; the last row whose "from" fits holds. The highest ratios
-#: of all documents at sf0.1 that pass the base rules are, in this order from 64 bytes on: 0.888, 0.909, 0.745, 0.698,
-#: 0.592, 0.521, 0.478, 0.453, 0.429. Random words in base64 have 1.03 at 128 bytes, 0.85 at 512, 0.80 at 1 KB and 0.75 or more beyond.
-WHOLE_BANDS = (
-    (0, 0.0, 9.0), (64, 0.15, 0.98), (128, 0.15, 0.97), (256, 0.15, 0.82), (512, 0.15, 0.76), (1024, 0.12, 0.65), (2048, 0.12, 0.57), (4096, 0.09, 0.515), (8192, 0.09, 0.49), (16384, 0.07, 0.47)
+#: (bytes, lowest ratio, highest ratio), for whole texts and for chunks. From 304 to 13,777 bytes the limits are
+#: ``fit_bands`` over the documents of sf0.1 with quality 1 that pass the base rules (3,302), rounded; beyond, where
+#: too few have that length, they are set by hand, far below and above the ratios of the few. Random words in
+#: base64 have 1.03 at 128 bytes, 0.85 at 512, 0.80 at 1 KB and 0.75 or more beyond.
+BANDS = (
+    (64, 0.15, 0.98), (128, 0.30, 0.97), (192, 0.40, 0.93), (304, 0.597, 0.794), (431, 0.539, 0.758), (609, 0.530, 0.732), (861, 0.502, 0.679), (1218, 0.487, 0.630), (1722, 0.472, 0.593), (2435, 0.459, 0.571),
+    (3444, 0.446, 0.551), (4871, 0.432, 0.522), (6889, 0.422, 0.516), (9742, 0.415, 0.501), (13777, 0.410, 0.492), (32768, 0.385, 0.480), (131072, 0.350, 0.470), (1048576, 0.280, 0.470),
 )
-#: The same for one chunk by its own length; the last chunk counts however short it is.
-CHUNK_BANDS = tuple((size, min(low, 0.08), high) for size, low, high in WHOLE_BANDS)
 CHUNK_BYTES = 4096
 #: A text is rejected when more than this share of its bytes is in chunks out of band.
 CHUNK_SHARE = 0.1
@@ -79,34 +81,51 @@ def ratios(text: bytes, packer: zstandard.ZstdCompressor, chunk: int = CHUNK_BYT
     return whole, [(len(x), len(packer.compress(x)) / len(x)) for x in parts]
 
 
+def limits(size: int, bands=BANDS) -> tuple[float, float]:
+    """Lowest and highest ratio of ``size`` bytes; beyond the table's ends those of its ends."""
+    sizes, low, high = zip(*bands, strict=True)
+    at = np.log2(size)
+    return float(np.interp(at, np.log2(sizes), low)), float(np.interp(at, np.log2(sizes), high))
+
+
 def _inside(size: int, ratio: float, bands) -> bool:
-    _, low, high = [b for b in bands if b[0] <= size][-1]
+    low, high = limits(size, bands)
     return low <= ratio <= high
 
 
-def in_band(size: int, whole: float | None, chunks: list[tuple[int, float]], whole_bands=WHOLE_BANDS, chunk_bands=CHUNK_BANDS, chunk_share: float = CHUNK_SHARE) -> bool:
+def in_band(size: int, whole: float | None, chunks: list[tuple[int, float]], whole_bands=BANDS, chunk_bands=BANDS, chunk_share: float = CHUNK_SHARE) -> bool:
     if whole is None:
         return False
     out = sum(n for n, r in chunks if not _inside(n, r, chunk_bands))
     return _inside(size, whole, whole_bands) and out <= chunk_share * size
 
 
+def fit_bands(scored: DataFrame, tail: float = 0.002, below: float = 0.005, above: float = 0.05, least: int = 30) -> list[tuple[int, float, float]]:
+    """Bands from ``(n_bytes, ratio)`` of clean texts: for each half octave of lengths, its middle and the ratios' outer quantiles with a margin.
+
+    Half octaves with fewer than ``least`` texts give none; an empty table gives no bands. One row for each half octave reaches the driver.
+    """
+    octave = F.floor(2 * F.log2("n_bytes"))
+    rows = scored.where("n_bytes > 0 and ratio is not null").groupBy(octave.alias("k")).agg(F.percentile_approx("ratio", [tail, 1 - tail], 100_000).alias("q"), F.count(F.lit(1)).alias("n"))
+    return [(round(2 ** ((r["k"] + 0.5) / 2)), r["q"][0] - below, r["q"][1] + above) for r in rows.where(F.col("n") >= least).orderBy("k").collect()]
+
+
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
-     ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("ratio", pa.float64()), ("n_chunks", pa.int64()), ("chunk_ratio_min", pa.float64()), ("chunk_ratio_max", pa.float64())]
+     ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("ratio", pa.float64()), ("n_bytes", pa.int64()), ("n_chunks", pa.int64()), ("chunk_ratio_min", pa.float64()), ("chunk_ratio_max", pa.float64())]
 )
-DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, chunk_ratio_min double, chunk_ratio_max double"
+DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_bytes long, n_chunks long, chunk_ratio_min double, chunk_ratio_max double"
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_bands=WHOLE_BANDS, chunk_bands=CHUNK_BANDS, chunk_bytes: int = CHUNK_BYTES, chunk_share: float = CHUNK_SHARE) -> DataFrame:
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_bands=BANDS, chunk_bands=BANDS, chunk_bytes: int = CHUNK_BYTES, chunk_share: float = CHUNK_SHARE) -> DataFrame:
     """One row per input row: base counts, compression ratios and the verdict ``kept``.
 
-    Null and empty texts have no words, so the base fails and they aren't kept; their ratio is null.
-    Rows that repeat are scored each; a null id stays null. No shuffle; memory is one batch and one text.
+    Null and empty texts have no words, so the base fails and they aren't kept; their ratio is null. Long texts
+    are compressed whole. Rows that repeat are scored each; a null id stays null; only the two columns named are
+    read; an empty table gives an empty result. No shuffle; memory is one batch and one text.
     """
 
-    def one(raw: bytes | None, packer=[]) -> tuple:  # noqa: B006  one compressor per task
-        packer or packer.append(zstandard.ZstdCompressor(level=LEVEL))
+    def one(raw: bytes | None, packer: zstandard.ZstdCompressor) -> tuple:
         text = raw or b""
         words = text.split()
         joined = b"".join(words)
@@ -114,17 +133,18 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         symbols = len(text) - len(text.translate(None, SYMBOLS))
         repeats = repeat_words(words)
         failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
-        whole, chunks = ratios(text, packer[0], chunk_bytes)
+        whole, chunks = ratios(text, packer, chunk_bytes)
         kept = not failed and in_band(len(text), whole, chunks, whole_bands, chunk_bands, chunk_share)
         each = [r for _, r in chunks]
-        return len(words), len(joined) - inner, symbols, duplicate_lines(text), repeats, failed, kept, whole, len(each), min(each, default=None), max(each, default=None)
+        return len(words), len(joined) - inner, symbols, duplicate_lines(text), repeats, failed, kept, whole, len(text), len(each), min(each, default=None), max(each, default=None)
 
     def run(batches):
-        packer: list = []
+        packer = zstandard.ZstdCompressor(level=LEVEL)
         yield from common.arrow_rows(lambda raw: one(raw, packer), SCHEMA)(batches)
 
     return common.id_and_text(docs, id_col, text_col).mapInArrow(run, DDL)
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, ratios and the verdict of every row of ``documents``; cases are defined by ``score_quality``."""
     return score_quality(common.documents(spark, sf_dir))
