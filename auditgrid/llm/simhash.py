@@ -6,11 +6,12 @@ to fixed reference fingerprints (pivots). By the triangle inequality two
 fingerprints at distance d differ by at most d in every coordinate, so a pair
 with a larger difference in any coordinate is discarded before it is verified.
 
-Pairs are only formed inside buckets: the 64 bits are cut into four bands, and
-fingerprints that differ in two bits agree on at least two whole bands. Buckets
-above ``dense`` members take an exact way without pairs: two fingerprints are
-at distance two or less exactly if the balls of radius one around them meet, so
-every member is linked to the least fingerprint at each point of its ball.
+Coordinates alone can't name candidates at scale: a distance to a pivot holds
+little more than two bits, so buckets of eight coordinates would have to be looked
+up with 3**8 neighbours each. So the pairs that meet are those that agree in six
+of eight bands of eight bits, as all within two bits do. Six bands fix 48 bits: a bucket
+never has more than 2**16 members, however many texts there are. In a bucket a
+pair meets only if its first coordinates can be within two bits.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditgrid.llm import common
@@ -31,9 +32,8 @@ SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
 N_PIVOTS = 16
-#: Bucket size above which links are found through ball points and not through pairs.
-DENSE = 32
-BANDS = 4
+#: Bands of the fingerprint, of which a pair within ``MAX_BITS`` bits agrees in all but that many.
+BANDS = 8
 #: Hashes whose bits are counted at once.
 AT_ONCE = 65536
 
@@ -76,74 +76,81 @@ def distance(a, b):
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _ball(fp):
-    """The 65 points at distance at most one."""
-    return F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+def _band_keys(fp: Column) -> list[Column]:
+    """The 28 choices of six bands, each with its bits: 48 of the fingerprint and five that tell the choices apart."""
+    width = 64 // BANDS
+    band = [F.shiftrightunsigned(fp, width * i).bitwiseAND((1 << width) - 1) for i in range(BANDS)]
 
+    def joined(k: int, chosen: tuple[int, ...]) -> Column:
+        return reduce(lambda key, i: F.shiftleft(key, width).bitwiseOR(band[i]), chosen, F.lit(k).cast("long"))
 
-def links(prints: DataFrame, n_pivots: int = N_PIVOTS, dense: int = DENSE) -> DataFrame:
-    """``(a, b)`` between distinct fingerprints ``fp``, enough links for exact components.
+    return [joined(k, chosen) for k, chosen in enumerate(combinations(range(BANDS), BANDS - MAX_BITS))]
 
-    Every pair within two bits is connected through the links; inside buckets of up to ``dense``
-    members each such pair is a row itself.
-    """
-    table_ = prints.select("fp", *[distance(F.col("fp"), F.lit(p)).cast("tinyint").alias(f"p{i}") for i, p in enumerate(pivots(n_pivots))])
-    width = 64 // BANDS
-    band = [F.shiftrightunsigned("fp", width * i).bitwiseAND((1 << width) - 1) for i in range(BANDS)]
-    keys = [F.lit(k << 2 * width).bitwiseOR(F.shiftleft(band[i], width)).bitwiseOR(band[j]) for k, (i, j) in enumerate(combinations(range(BANDS), 2))]
-    members = table_.withColumn("key", F.explode(F.array(*keys)))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = common.table(sizes, "simhash-buckets")
-    small = members.join(sizes.where(F.col("n") <= dense).select("key"), "key")
-    left = small.select("key", F.col("fp").alias("a"), *[F.col(f"p{i}").alias(f"a{i}") for i in range(n_pivots)])
-    right = small.select("key", F.col("fp").alias("b"), *[F.col(f"p{i}").alias(f"b{i}") for i in range(n_pivots)])
+
+def distance_table(candidates: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
+    """``candidates`` (with fp) and the distances of fp to each pivot, p0, p1 and so on."""
+    return candidates.select("*", *[distance(F.col("fp"), F.lit(p)).cast("tinyint").alias(f"p{i}") for i, p in enumerate(pivots(n_pivots))])
+
+
+def links(prints: DataFrame, tables: common.Tables, n_pivots: int = N_PIVOTS) -> DataFrame:
+    """``(a, b)``, a < b: all pairs of the distinct fingerprints ``fp`` within ``MAX_BITS`` bits, some more than once."""
+    members = prints.select("fp", F.explode(F.array(*_band_keys(F.col("fp")))).alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Few fingerprints share a bucket; their distances are computed once and written before any pair is made.
+    table_ = tables.write(distance_table(members.join(shared, "key"), n_pivots), "distances")
+    apart = MAX_BITS + 1
+    slot = F.floor(F.col("p0") / apart).cast("int")
+    left = table_.select("key", slot.alias("slot"), F.col("fp").alias("a"), *[F.col(f"p{i}").alias(f"a{i}") for i in range(n_pivots)])
+    right = table_.select("key", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"), F.col("fp").alias("b"), *[F.col(f"p{i}").alias(f"b{i}") for i in range(n_pivots)])
     survives = reduce(lambda x, y: x & y, [F.abs(F.col(f"a{i}") - F.col(f"b{i}")) <= MAX_BITS for i in range(n_pivots)])
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & survives).where(distance(F.col("a"), F.col("b")) <= MAX_BITS)
-    crowded = members.select("key", "fp").join(sizes.where(F.col("n") > dense).select("key"), "key").select("fp").distinct()
-    points = crowded.select("fp", F.explode(_ball(F.col("fp"))).alias("point"))
-    least = points.groupBy("point").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "b")
-    stars = points.join(least, "point").where("fp != b").select(F.col("fp").alias("a"), "b")
-    return pairs.select("a", "b").union(stars)
+    pairs = left.join(right, (left["key"] == right["key"]) & (left["slot"] == right["slot"]) & (F.col("a") < F.col("b")) & survives)
+    return pairs.where(distance(F.col("a"), F.col("b")) <= MAX_BITS).select("a", "b")
 
 
-def _components(prints: DataFrame, n_pivots: int, dense: int) -> DataFrame:
+def _components(prints: DataFrame, tables: common.Tables, n_pivots: int) -> DataFrame:
     """``prints`` with ``root``, one fingerprint for each component, and ``component_id``, the component's least doc_id."""
-    classes = common.table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    roots = connected_components(links(classes.select("fp"), n_pivots, dense), "a", "b")
-    roots = common.table(roots, "simhash-roots")
+    classes = tables.write(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    roots = connected_components(links(classes.select("fp"), tables, n_pivots), "a", "b")
+    roots = tables.write(roots, "roots")
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = roots.join(linked.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("fp"), "root", "least")
     ids = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id"))
     # Written, so that the last join shuffles both sides anew and Spark can split a fingerprint with very many copies.
-    ids = common.table(ids, "simhash-ids")
-    return prints.join(ids, "fp")
+    return prints.join(tables.write(ids, "ids"), "fp")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_pivots: int = N_PIVOTS, dense: int = DENSE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_pivots: int = N_PIVOTS) -> DataFrame:
     """``doc_id, fp, component_id``: one row per input row.
 
     component_id is the least doc_id reachable over links of two bits or fewer. Texts without words
-    share fingerprint zero and are linked like any other. Rows with equal fingerprints meet in one
-    class first, so copies are never paired. A null id never names a component unless the
-    component has no other; an empty table gives an empty result.
+    (null and empty ones too) share fingerprint zero and are linked like any other. Rows with equal
+    fingerprints meet in one class first, so copies are never paired; repeated rows come out each. A null
+    id never names a component unless the component has no other; an empty table gives an empty result.
     """
-    prints = common.table(fingerprints(docs, id_col, text_col), "simhash-prints")
-    return _components(prints, n_pivots, dense).select("doc_id", "fp", "component_id")
+    tables = common.Tables(docs.sparkSession, "simhash")
+    prints = tables.write(fingerprints(docs, id_col, text_col), "prints")
+    found = _components(prints, tables, n_pivots).select("doc_id", "fp", "component_id")
+    tables.drop("prints", "ids")
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that name their component; rows with a null id stay.
 
-    Where an id occurs more than once, each row counts by its own text; of several that name one component, the first stays.
+    Where an id occurs more than once, each row counts by its own text; of several that name one component
+    (repeated rows too), the first stays. Columns of any name may stand beside the two.
     """
-    numbered = common.numbered(docs, "simhash-numbered")
-    prints = common.table(fingerprints(numbered, id_col, text_col, common.ROW), "simhash-prints")
-    found = common.table(_components(prints, N_PIVOTS, DENSE).select("doc_id", "row", "root", "component_id"), "simhash-found")
+    tables = common.Tables(docs.sparkSession, "simhash")
+    numbered, row = common.numbered(docs, tables)
+    prints = tables.write(fingerprints(numbered, id_col, text_col, row), "prints")
+    found = tables.write(_components(prints, tables, N_PIVOTS).select("doc_id", "row", "root", "component_id"), "found")
     first = found.where("doc_id = component_id").groupBy("root").agg(F.min("row").alias("row")).select("row")
-    stays = first.union(found.where("doc_id is null").select("row"))
-    return numbered.join(stays.withColumnRenamed("row", common.ROW), common.ROW, "left_semi").drop(common.ROW)
+    stays = tables.write(first.union(found.where("doc_id is null").select("row")).withColumnRenamed("row", row), "stays")
+    tables.drop("numbered", "stays")
+    return numbered.join(stays, row, "left_semi").drop(row)
 
 
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of ``documents``; cases are defined by ``near_duplicates``."""
     found = near_duplicates(common.documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
