@@ -8,10 +8,13 @@ cut inside it the token that ends there and how many tokens came before. States
 are compiled when first reached (as lazily built automata are) and dropped when
 the table is full.
 
-Text runs through the transducer in chunks side by side. A chunk's state map is
-held as the bytes before its first word end, which depend on the entry state,
-and a constant (exit state, count) from there on; maps compose associatively, so
-entry states follow by a prefix scan and the heads are run last.
+Text runs through the transducer in chunks side by side. A chunk's state map is a
+constant (exit state, count) from its first word end on, and before that, in its
+head, a table from entry state to exit state and count. Of the table only the
+entries that a scan asks for are computed, all chunks' entries at once: the maps
+known so far compose along the text, each chunk's exit being the next one's entry,
+and entries that are still missing are run side by side until none is. States
+forget what came long before, so a few rounds do, also for a word of a megabyte.
 """
 
 from __future__ import annotations
@@ -74,16 +77,16 @@ class Transducer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         of = {s: b for b, s in enumerate(byte_symbols())}
 
-        def symbols(token: str) -> tuple[int, ...]:
+        def symbols(token: str) -> str:
+            """Symbols as characters: their slices are cheap and so are their hashes."""
             end = token.endswith("</w>") and len(token) > 4
             body = [of[c] for c in (token[:-4] if end else token)]
-            return (*body[:-1], body[-1] + 256) if end else tuple(body)
+            return "".join(map(chr, [*body[:-1], body[-1] + 256] if end else body))
 
-        self.tokens: dict[tuple[int, ...], int] = {}
+        self.tokens: dict[str, int] = {}
         for token, i in model["vocab"].items():
             if token not in self.special:
                 self.tokens[symbols(token)] = i
-        self.spelled = {i: s for s, i in self.tokens.items()}
         self.ranks: dict[tuple[int, int], int] = {}
         #: Of each merged token: its merge's rank, and the two tokens that it joins.
         self.made: dict[int, tuple[int, int, int]] = {}
@@ -91,7 +94,7 @@ class Transducer:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             a, b = symbols(a), symbols(b)
             self.ranks[self.tokens[a], self.tokens[b]] = r
-            self.made.setdefault(self.tokens[(*a, *b)], (r, self.tokens[a], self.tokens[b]))
+            self.made.setdefault(self.tokens[a + b], (r, self.tokens[a], self.tokens[b]))
         self.prefixes = {s[:k] for s in self.tokens for k in range(1, len(s))}
         self.follows: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
@@ -103,7 +106,7 @@ class Transducer:
 
     def reset(self) -> None:
         # A state: (suffix that may still grow, for each cut before and in it the last token and those not emitted yet).
-        self.ids: dict[tuple, int] = {((), ((-1, ()),)): 0}
+        self.ids: dict[tuple, int] = {("", ((-1, ()),)): 0}
         self.states: list[tuple] = [*self.ids]
         # Columns belong to symbols in the order in which they are first met.
         self.column = np.full(512, -1, np.int16)
@@ -185,10 +188,10 @@ class Transducer:
 
     def compile(self, state: int, symbol: int) -> None:
         suffix, cuts = self.states[state]
-        grown = (*suffix, symbol)
-        for k in range(len(cuts)):  # longest token first
+        grown = suffix + chr(symbol)
+        for k, (before, _) in enumerate(cuts):  # longest token first
             token = self.tokens.get(grown[k:])
-            if token is not None and (self.may_follow(cuts[k][0], token) if cuts[k][0] >= 0 else self.alone(token)):
+            if token is not None and (self.may_follow(before, token) if before >= 0 else self.alone(token)):
                 break
         else:
             raise ValueError("the vocabulary lacks a byte")
@@ -200,8 +203,10 @@ class Transducer:
         keep = next((k for k in range(len(grown)) if grown[k:] in self.prefixes), len(grown))
         ends = [*cuts, (token, whole)][keep:]
         # Tokens that every cut agrees on are emitted now.
-        least, most = min(e[1] for e in ends), max(e[1] for e in ends)
-        n = next((i for i, (x, y) in enumerate(zip(least, most, strict=False)) if x != y), min(len(least), len(most)))
+        n = len(whole)
+        if len(ends) > 1:
+            least, most = min(e[1] for e in ends), max(e[1] for e in ends)
+            n = next((i for i, (x, y) in enumerate(zip(least, most, strict=False)) if x != y), min(len(least), len(most)))
         to = self.intern((grown[keep:], tuple((t, c[n:]) for t, c in ends)))
         self.step[state, column], self.emits[state, column], self.counts[state, column] = to, self.emission(whole[:n]), n
 
@@ -304,6 +309,38 @@ def _chunks(first: np.ndarray, size: np.ndarray, symbols: np.ndarray, chunk: int
     return home, nth == 0, start, length, head
 
 
+def _head_counts(machine: Transducer, heads: np.ndarray, start: np.ndarray, head: np.ndarray, length: np.ndarray, exits: np.ndarray, symbols: np.ndarray, columns: np.ndarray, trace: np.ndarray | None) -> np.ndarray:
+    """Tokens of the heads of the chunks ``heads``, by a scan over their state maps.
+
+    exits: the exit state of each chunk that isn't all head. States stand as keys, since numbers change when the table is dropped.
+    """
+    after = {int(i): machine.states[exits[i - 1]] for i in heads.tolist() if head[i - 1] < length[i - 1]}
+    maps: list[dict[tuple, tuple[tuple, int]]] = [{} for _ in heads]
+    entries: list[tuple] = [machine.states[0]] * len(heads)
+    # At first each chunk inside a long word is guessed to begin like a word.
+    asked = [(k, after.get(i, machine.states[0])) for k, i in enumerate(heads.tolist())]
+
+    def run(asked: list[tuple[int, tuple]], trace: np.ndarray | None) -> None:
+        lanes = heads[[k for k, _ in asked]]
+        ends, counts = machine.run(start[lanes], head[lanes].astype(np.int64), np.array([machine.intern(e) for _, e in asked]), symbols, columns, trace)
+        for (k, e), end, n in zip(asked, ends.tolist(), counts.tolist(), strict=True):
+            maps[k][e] = (machine.states[end], n)
+
+    while asked:
+        run(asked, None)
+        asked, last = [], machine.states[0]
+        for k, i in enumerate(heads.tolist()):
+            entries[k] = after.get(i, last)
+            if (known := maps[k].get(entries[k])) is None:
+                asked.append((k, entries[k]))
+                known = next(reversed(maps[k].values()))  # a guess at the exit, for the chunks behind
+            last = known[0]
+    counts = np.array([maps[k][e][1] for k, e in enumerate(entries)], np.int64)
+    if trace is not None:
+        run(list(enumerate(entries)), trace)
+    return counts
+
+
 def transduce(parts: list[str], machine: Transducer, chunk: int, ids: bool) -> list:
     """Of each normalised part its number of tokens or, with ``ids``, their ids."""
     symbols, at = word_symbols("\n".join(parts))  # a blank keeps neighbours apart
@@ -316,14 +353,9 @@ def transduce(parts: list[str], machine: Transducer, chunk: int, ids: bool) -> l
     columns, trace = machine.columns(symbols), np.zeros(len(symbols), np.int32) if ids else None
     exits, counts = machine.run(start + head, length - head, np.zeros(len(start), np.int64), symbols, columns, trace)
     totals = np.bincount(home, counts, len(parts)).astype(np.int64)
-    # The scan: a chunk that is all head passes its entry on, so the heads after a constant map are one long head.
-    own = np.flatnonzero(head > 0)
-    if len(own):
-        leader = np.maximum.accumulate(np.where((head < length) | leads, np.arange(len(start)), 0))
-        begins = own[np.concatenate(([True], leader[own[1:] - 1] != leader[own[:-1] - 1]))]
-        long = np.bincount(np.searchsorted(begins, own, "right") - 1, head[own], len(begins)).astype(np.int64)
-        _, counts = machine.run(start[begins], long, exits[leader[begins - 1]], symbols, columns, trace)
-        totals += np.bincount(home[begins], counts, len(parts)).astype(np.int64)
+    heads = np.flatnonzero(head > 0)
+    if len(heads):
+        totals += np.bincount(home[heads], _head_counts(machine, heads, start, head, length, exits, symbols, columns, trace), len(parts)).astype(np.int64)
     if not ids:
         return totals.tolist()
     flat, starts = machine.emissions()
@@ -373,19 +405,18 @@ def encode(texts: list[str], machine: Transducer, chunk: int = CHUNK) -> list[np
     return [f[0] if len(f) == 1 else np.concatenate(f) for f in found]
 
 
-@lru_cache(2)
 def machine_at(path: str) -> Transducer:
-    """One compiled transducer for each Python worker."""
-    return Transducer(path)
+    """The compiled transducer of this Python worker."""
+    return common.worker_state(("transducer", path), lambda: Transducer(path))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens``, one row per input row; null and empty texts have none.
+    """``doc_id, n_bytes, n_tokens``, one row per input row, repeated ones too; null and empty texts have none.
 
-    No shuffle. A worker holds one batch, ``AT_ONCE`` characters' arrays (more only for one longer text)
+    A null id stays null; only the two columns named are read; an empty table gives an empty result. No shuffle. A worker holds one batch, ``AT_ONCE`` characters' arrays (more only for one longer text)
     and a table of at most about ``MAX_STATES`` states.
     """
     path = path or public_tokenizers.path(VOCABULARY)
@@ -409,4 +440,5 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
 
 def op4_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every row of ``documents``; cases are defined by ``token_counts``."""
     return token_counts(common.documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > LIMIT)
