@@ -6,8 +6,9 @@ word beginnings, weighted by their log odds between toxic and clean labelled
 documents. A word counts once, by its heaviest term, unless an exception phrase
 covers it. The total, alone and by length, goes through a logistic curve.
 
-Fitting reads at most ``SAMPLE`` labelled rows (documented bound); near copies
-among them count once, so a copied document doesn't make its words toxic.
+Fitting reads about ``SAMPLE`` labelled rows (documented bound), which bounds the
+lexicon as well; near copies among them count once, so a copied document doesn't
+make its words toxic. Nothing depends on the order or the partitions of the rows.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from auditgrid.llm import common
 
 #: Labelled rows that a fit reads at most, about.
 SAMPLE = 16_000
-#: Terms and exception phrases of a lexicon at most; both reach the driver.
-MAX_TERMS = 2_000
 PREFIXES = (4, 5, 6)
 MIN_LOG_ODDS = 3.5
 MIN_SUPPORT = 5
@@ -43,27 +42,23 @@ HOMOGLYPHS = dict(zip("аеорсухіјѕԁһԛԝαοινρτκｅａｏｉ",
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 _HOMOGLYPHS = str.maketrans(HOMOGLYPHS)
 _DIGITS = str.maketrans(DIGITS)
-# A sign or digit counts as a letter only between letters or before them.
-_MIXED = re.compile(r"[^\W\d_]*[\d@$](?=[\w@$]*[^\W\d_])[\w@$]*|[^\W\d_]+\d\w*")
+# A run of letters, digits and signs in which a digit or sign follows; each run is looked at once, from its beginning.
+_MIXED = re.compile(r"(?<![\w@$])[^\W\d]*+[\d@$][\w@$]*+")
 _WORD = re.compile(r"[^\W_]+")
+_NEXT_WORD = re.compile(r"[\W_]*+([^\W_]++)")
+_STAND_IN = re.compile(r"[0134578@$]")
 
 
 def fold(text: str | None) -> str:
+    """In time linear in the text: a word that has letters gets letters for its digits and signs too, a number stays."""
     text = (text or "").lower()
     if not text.isascii():
         text = text.translate(_HOMOGLYPHS)
-    if _has_stand_in(text):
-        text = _MIXED.sub(lambda m: m[0].translate(_DIGITS), text)
+    if _STAND_IN.search(text):
+        text = _MIXED.sub(lambda m: m[0].translate(_DIGITS) if any(map(str.isalpha, m[0])) else m[0], text)
     return text
 
 
-_STAND_IN = re.compile(r"[0134578@$]")
-
-
-def _has_stand_in(text: str) -> bool:
-    return _STAND_IN.search(text) is not None
-
-
 @dataclass
 class Lexicon:
     """terms: folded word, or word beginning with ``*`` at its end, to weight. exceptions: folded two-word phrases."""
@@ -113,11 +108,17 @@ class Lexicon:
 
 
 def phrases(text: str, start: int) -> list[str]:
-    """The matched word with the word before it, and with the word after it."""
-    before = _WORD.findall(text[max(0, start - 60) : start])
-    after = _WORD.findall(text[start : start + 120])[:2]
-    word = after[:1]
-    return [" ".join(p) for p in (before[-1:] + word, after) if len(p) == 2]
+    """The word that begins at ``start`` with the word before it, and with the word after it; words count whole."""
+    end = _WORD.match(text, start).end()
+    word = text[start:end]
+    after = _NEXT_WORD.match(text, end)
+    stop = start
+    while stop and not text[stop - 1].isalnum():
+        stop -= 1
+    begin = stop
+    while begin and text[begin - 1].isalnum():
+        begin -= 1
+    return [f"{text[begin:stop]} {word}"] * (begin < stop) + ([f"{word} {after[1]}"] if after else [])
 
 
 def _copies_mark(text: str) -> list[int]:
@@ -130,6 +131,7 @@ def _copies_mark(text: str) -> list[int]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text, doc_id) to a row of (toxic, marks, features, doc_id) for each text."""
+    common.release_state()
     for batch in batches:
         toxic, marks, features = [], [], []
         for label, text in zip(batch.column(0).to_pylist(), common.texts_of(batch.column(1), as_bytes=False), strict=True):
@@ -153,16 +155,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return tuple(w.tolist())
 
 
-def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, max_terms: int = MAX_TERMS, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """A lexicon from ``(doc_id, text, toxic)``; labels other than 0 and 1 don't count.
+def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """A lexicon from ``(doc_id, text, toxic)``; labels other than 0 and 1 don't count, nor do null ones.
 
-    Without labels of both kinds the lexicon is empty and every text scores the same.
+    Null and empty texts have no terms but count as documents. Of rows that agree in all marks (near copies and rows
+    that repeat) the one with the least doc_id stays, null first, then the lesser label. Terms and phrases are bounded
+    by the labelled rows. Without labels of both kinds (an empty table too) the lexicon is empty and every text scores the same.
     """
     rows = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     seen = rows.select("toxic", "text", "doc_id").mapInArrow(_counted, "toxic int, marks array<long>, features array<string>, doc_id long")
     # Of rows that agree in all marks the least doc_id stays, whatever the shuffle brings first.
     seen = seen.groupBy("marks").agg(F.min(F.struct("doc_id", "toxic", "features")).alias("s"))
-    seen = common.table(seen.select("s.toxic", "s.features"), "toxicity-features")
+    tables = common.Tables(labelled.sparkSession, "toxicity")
+    seen = tables.write(seen.select("s.toxic", "s.features"), "features")
     n1, n0 = seen.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n1 or not n0:
         return Lexicon(exceptions=frozenset(map(fold, exceptions)))
@@ -170,10 +175,12 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, max_terms: int = MAX_
     odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("t") + 1.0) / (n0 + 2))
     least = max(MIN_SUPPORT, MIN_SHARE * n1)
     top = counts.where(F.col("t") >= least).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
-    terms = {r["term"]: r["odds"] for r in top.orderBy(F.desc("t"), "term").limit(max_terms).collect()}
+    terms = {r["term"]: r["odds"] for r in top.orderBy("term").collect()}
+    tables.drop()
     lexicon = Lexicon(terms, frozenset(map(fold, exceptions)))
 
     def phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release_state()
         automaton = lexicon.automaton()
         for batch in batches:
             out = []
@@ -183,7 +190,7 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, max_terms: int = MAX_
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.string())], names=["toxic", "phrase"])
 
     by_phrase = rows.select("toxic", "text").mapInArrow(phrase_rows, "toxic int, phrase string").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    mild = by_phrase.where("n - t >= 3 and n - t >= 20 * t").orderBy(F.desc("n"), "phrase").limit(max_terms).collect()
+    mild = by_phrase.where("n - t >= 3 and n - t >= 20 * t").collect()
     lexicon.exceptions |= {r["phrase"] for r in mild}
 
     def evidence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +199,8 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, max_terms: int = MAX_
             got = [lexicon.evidence(fold(t), automaton) for t in common.texts_of(batch.column(1), as_bytes=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], names=["toxic", "x", "y"])
 
-    points = rows.select("toxic", "text").mapInArrow(evidence_rows, "toxic int, x double, y double").groupBy("toxic", F.round("x", 2).alias("x"), F.round("y", 2).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
+    points = rows.select("toxic", "text").mapInArrow(evidence_rows, "toxic int, x double, y double").groupBy("toxic", F.round("x", 2).alias("x"), F.round("y", 2).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    points = sorted(points.collect())  # a sum's last digits depend on its order
     x = np.array([(1.0, p["x"], p["y"]) for p in points for _ in range(min(p["n"], sample))])
     y = np.array([p["toxic"] for p in points for _ in range(min(p["n"], sample))], float)
     lexicon.curve = _logistic(x, y)
@@ -203,7 +211,11 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score``, one row per input row; null and empty texts score as texts without a match. No shuffle."""
+    """``doc_id, score``, one row per input row, repeated ones too; null and empty texts score as texts without a match.
+
+    Long texts and words are read whole, in linear time; a null id stays null; only the two columns named are read; an
+    empty table gives an empty result. No shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
@@ -213,10 +225,15 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score under ``threshold``. No shuffle."""
+    """The rows of ``docs``, with all their columns, that score under ``threshold``.
+
+    Each row counts by its own text, so rows that repeat or share an id stay or go by themselves, and null ids are no
+    case of their own; null and empty texts score as texts without a match. An empty table stays empty. No shuffle.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release_state()
         automaton = lexicon.automaton()
         for batch in batches:
             stays = [lexicon.score(lexicon.evidence(fold(t), automaton)) < threshold for t in common.texts_of(batch.column(at), as_bytes=False)]
@@ -226,15 +243,21 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD,
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """About ``sample`` labelled documents outside the held-out fold; an id labelled twice counts by its higher label."""
+    """``doc_id, text, toxic``: about ``sample`` labelled documents outside the held-out fold.
+
+    Null ids and labels don't count. An id labelled twice counts by its higher label, and of several rows with one id
+    the least text counts (nulls last), so an id with very many rows is still one document.
+    """
+    tables = common.Tables(docs.sparkSession, "toxicity")
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    known = common.bounded_sample(known.where(~common.held_out(2, 4)), sample)
-    known = common.table(known, "toxicity-sample")
+    known = tables.write(common.bounded_sample(known.where(~common.held_out(2, 4)), sample, "doc_id"), "sample")
     # Bounded by ``sample``, so it may be broadcast.
-    return common.table(common.id_and_text(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic"), "toxicity-training")
+    found = common.id_and_text(docs).join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return tables.write(found.select("doc_id", "text", "toxic"), "training")
 
 
 def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every row of ``documents``; cases are defined by ``score_toxicity`` and ``fit_lexicon``."""
     docs = common.documents(spark, sf_dir)
     lexicon = fit_lexicon(training_rows(docs, common.read(spark, sf_dir, "labels")))
     scored = score_toxicity(docs, lexicon)
