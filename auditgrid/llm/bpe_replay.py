@@ -12,7 +12,6 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,9 +139,8 @@ class MergeReplay:
         return [int(i) for w in words for i in self.known[w][1].split(b",")[:-1]]
 
 
-@lru_cache(2)
 def replayer(path: str) -> MergeReplay:
-    return MergeReplay(path)
+    return common.worker_state(("replay", path), lambda: MergeReplay(path))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.binary())])
@@ -184,7 +182,9 @@ def _encoded(docs: DataFrame, path: str, digest: bool, id_col: str, text_col: st
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids, decoded``: decimal ids joined by commas, and the bytes they decode to.
 
-    One row per input row; null and empty texts have no ids and decode to no bytes. No shuffle.
+    One row per input row, repeated ones too; null and empty texts have no ids and decode to no bytes; long texts and
+    words count whole; a null id stays null; only the two columns named are read; an empty table gives an empty result.
+    No shuffle.
     """
     return _encoded(docs, path or public_tokenizers.path(VOCABULARY), False, id_col, text_col)
 
@@ -195,4 +195,5 @@ def encoding_digests(docs: DataFrame, path: str | None = None, id_col: str = "do
 
 
 def op8_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and the decoded bytes of every row of ``documents``; cases are defined by ``encode_documents``."""
     return encoding_digests(common.documents(spark, sf_dir))
