@@ -2,8 +2,9 @@
 
 A word that the model knows scores by its log frequency in each language. Any
 other word backs off to character n-grams: the longest size of which the model
-knows a gram, else the next shorter one. Fitting reads at most ``SAMPLE``
-documents with a language (documented bound); near copies count as they come.
+knows a gram, else the next shorter one. Fitting reads about ``SAMPLE`` documents
+of each language (documented bound), which bounds the model's words and n-grams:
+nothing else is left out. Rows that repeat count once in it.
 """
 
 from __future__ import annotations
@@ -15,20 +16,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditgrid.llm import common
 
-SAMPLE = 12_000
-#: What a model holds at most; both reach the driver and every executor.
-MAX_WORDS = 40_000
-MAX_GRAMS = 60_000
+#: Documents of each language that a fit reads, about.
+SAMPLE = 1_000
 SIZES = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 #: Words whose scores a worker keeps.
 CACHE = 300_000
+# Runs of letters, and of numerals like "²" or "Ⅷ", which are none: runs that hold such are cut again.
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters (``\\p{L}``), in lower case."""
+    words = _WORD.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else _LETTERS.findall(w))]
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -37,29 +48,26 @@ def grams(word: str, size: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language of words and of n-grams."""
+    """Log frequencies by language: tables of words (size 0) and of n-grams by size, each a term's row in a matrix."""
 
-    def __init__(self, langs: list[str], words: dict[str, list[int]], by_size: dict[int, dict[str, list[int]]], totals: list[int]) -> None:
+    def __init__(self, langs: list[str], counts: dict[int, tuple[list[str], np.ndarray]]) -> None:
+        """counts: for each size its terms and how often each language has them, a row for each term."""
         self.langs = langs
-        total = np.array(totals, float)
-        self.words = {w: np.log((np.array(c) + 0.5) / (total + 0.5 * max(1, len(words)))) for w, c in words.items()}
-        self.grams: dict[int, dict[str, np.ndarray]] = {}
-        for size, table in by_size.items():
-            sums = np.sum(list(table.values()), axis=0) if table else total
-            self.grams[size] = {g: np.log((np.array(c) + 0.5) / (sums + 0.5 * len(table))) for g, c in table.items()}
+        self.terms: dict[int, dict[str, int]] = {}
+        self.logs: dict[int, np.ndarray] = {}
+        for size, (terms, table) in counts.items():
+            self.terms[size] = {t: i for i, t in enumerate(terms)}
+            self.logs[size] = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(terms)))).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
         """Log scores of the word in each language, less their highest."""
-        found = self.words.get(word)
-        if found is None:
-            for size in SIZES:
-                known = [t for g in grams(word, size) if (t := self.grams.get(size, {}).get(g)) is not None]
-                if known:
-                    found = np.sum(known, axis=0)
-                    break
-            else:
-                return np.zeros(len(self.langs))
-        return found - found.max()
+        for size in (0, *SIZES):
+            rows = self.terms.get(size, {})
+            known = [i for g in ([word] if size == 0 else grams(word, size)) if (i := rows.get(g)) is not None]
+            if known:
+                found = self.logs[size][known].sum(axis=0, dtype=float)
+                return found - found.max()
+        return np.zeros(len(self.langs))
 
 
 class Predictor:
@@ -79,7 +87,7 @@ class Predictor:
                 self.rows[i] = self.model.word(w)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall((text or "").lower())
+        words = words_of(text)
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.model.langs))
@@ -95,56 +103,61 @@ class Predictor:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.release_state()
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), common.texts_of(batch.column(1), as_bytes=False), strict=True):
-            for w, n in Counter(_WORD.findall((text or "").lower())).items():
+            for w, n in Counter(words_of(text)).items():
                 counts[lang, w] += n
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) to the counts of its n-grams; the word itself is size 0."""
+    common.release_state()
     for batch in batches:
         counts: Counter = Counter()
         for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[lang, 0, word] += n
             for size in SIZES:
                 for g in grams(word, size):
                     counts[lang, size, g] += n
         keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "size", "gram", "n"])
-
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "size", "term", "n"])
 
-def fit_model(rows: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """A model from ``(text, lang)``; null languages and texts don't count. No rows: a model without languages."""
-    words = rows.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
-    words = common.table(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
-    at = {x: i for i, x in enumerate(langs)}
-
-    def by_lang(df: DataFrame, key: str) -> DataFrame:
-        return df.groupBy(key).agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("all"))
 
-    def rowed(found: list, key: str) -> dict[str, list[int]]:
-        out = {}
-        for r in found:
-            row = out[r[key]] = [0] * len(langs)
-            for x in r["by"]:
-                row[at[x["lang"]]] = x["n"]
-        return out
+def fit_model(rows: DataFrame) -> Model:
+    """A model from ``(text, lang)``; rows whose language or text is null don't count, and a text without letters adds nothing.
 
-    top = rowed(by_lang(words, "word").where("all > 1").orderBy(F.desc("all"), "word").limit(max_words).collect(), "word")
-    counted = words.mapInArrow(_gram_counts, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    counted = common.table(counted, "language-grams")
-    sized = {k: rowed(by_lang(counted.where(F.col("size") == k), "gram").orderBy(F.desc("all"), "gram").limit(max_grams // len(SIZES)).collect(), "gram") for k in SIZES}
-    return Model(langs, top, sized, [totals[x] for x in langs])
+    No rows: a model without languages. The model has every word and n-gram of ``rows``, so they should be a bounded sample.
+    """
+    words = rows.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
+    words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = words.mapInArrow(_gram_counts, "lang string, size int, term string, n long").groupBy("size", "term", "lang").agg(F.sum("n").alias("n"))
+    # One row for each term and language, in Arrow columns: the sample bounds them.
+    found = counted.toArrow().combine_chunks()
+    langs = sorted(found.column("lang").unique().to_pylist())
+    counts = {}
+    for size in (0, *SIZES):
+        part = found.filter(pc.equal(found.column("size"), size))
+        coded = pc.dictionary_encode(part.column("term").combine_chunks())
+        terms = coded.dictionary.to_pylist()
+        table = np.zeros((len(terms), len(langs)), np.int64)
+        at = pc.index_in(part.column("lang"), pa.array(langs, pa.string())).to_numpy()
+        table[coded.indices.to_numpy(), at] = part.column("n").to_numpy()
+        counts[size] = (terms, table)
+    return Model(langs, counts)
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score``, one row per input row; ``und`` with score 0 where a text is null or has no letter. No shuffle."""
+    """``doc_id, lang_pred, score``, one row per input row, repeated ones too; ``und`` with score 0 where a text is null or has no letter.
+
+    Long texts are read whole; a null id stays null; of languages that tie the first by name is predicted; only the two
+    columns named are read; an empty table gives an empty result. No shuffle. The model is broadcast: the sample bounds it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +168,19 @@ def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """About ``sample`` documents with text and language outside the held-out fold."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang"))
-    return common.bounded_sample(rows.where(~common.held_out(0, 5) & F.col("lang").isNotNull() & F.col("text").isNotNull()), sample)
+    """``doc_id, text, lang``: about ``sample`` documents of each language with text, outside the held-out fold; rows that repeat count once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(~common.held_out(0, 5) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("lang").count().collect()  # one row a language: the model's classes
+    if not counts:
+        return rows
+    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], common.sample_bound(r["count"], sample))])
+    chosen = rows.where(common.sample_hash("doc_id", "text") <= F.element_at(bounds, F.col("lang")))
+    return chosen.groupBy("doc_id", "text", "lang").agg(F.count(F.lit(1)).alias("n")).drop("n")
 
 
 def op10_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every row of ``documents``; cases are defined by ``predict_language``."""
     docs = common.documents(spark, sf_dir)
     found = predict_language(docs, fit_model(training_rows(docs)))
     return found.select("doc_id", common.held_out(0, 5).alias("held_out"), "lang_pred", "score")
