@@ -83,40 +83,75 @@ def test_packing(spark, capacity):
             assert offset == at
             at += length
         assert at <= capacity
-    total = sum(r.length for r in got)
-    assert len(by) <= -(-total // capacity) + 1
+    made = best_fit_packing.plan(Counter(r.length for r in got), capacity)
+    assert len(by) == made.sequences and made.bound <= made.sequences
+    withal = best_fit_packing.pack(frame(spark, rows), capacity=capacity, with_ids=True).collect()
+    assert Counter(tuple(r)[:5] for r in withal) == want and all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in withal)
     assert best_fit_packing.pack(frame(spark, rows).where("false")).count() == 0
 
 
-def least_sequences(lengths, capacity):
-    """A lower bound: pieces over half need a sequence each, and those of k or more don't fit all of their gaps."""
-    bounds = []
-    for k in range(capacity // 2 + 1):
-        huge = sum(v for x, v in lengths.items() if x > capacity - k)
-        big = [(x, v) for x, v in lengths.items() if capacity // 2 < x <= capacity - k]
-        rest = sum(x * v for x, v in lengths.items() if k <= x <= capacity // 2) - sum((capacity - x) * v for x, v in big)
-        bounds.append(huge + sum(v for _, v in big) + max(0, -(-rest // capacity)))
-    return max(bounds)
+def fewest(items, capacity):
+    """By a table over all subsets: bins, and what the last one holds."""
+    best = [(0, capacity)]
+    for m in range(1, 1 << len(items)):
+        ways = []
+        for i, x in enumerate(items):
+            if m >> i & 1:
+                n, held = best[m ^ (1 << i)]
+                ways.append((n, held + x) if n and held + x <= capacity else (n + 1, x))
+        best.append(min(ways))
+    return best[-1][0]
 
 
-def test_plan_places_everything_in_the_fewest_sequences():
+def used(made, capacity):
+    out = Counter()
+    for pattern, times in made.patterns:
+        assert times > 0 and sum(k * v for k, v in pattern.items()) <= capacity
+        out += Counter({k: v * times for k, v in pattern.items()})
+    assert made.sequences == sum(t for _, t in made.patterns)
+    return out
+
+
+def test_plan_has_the_fewest_sequences_when_searched_to_the_end():
     rnd = np.random.default_rng(2)
-    for _ in range(30):
-        lengths = Counter(rnd.integers(1, 101, rnd.integers(1, 300)).tolist())
-        made = best_fit_packing.plan(dict(lengths), 100)
-        used = Counter()
-        for pattern, times in made:
-            assert sum(k * v for k, v in pattern.items()) <= 100
-            for k, v in pattern.items():
-                used[k] += v * times
-        assert used == lengths
-        n = sum(t for _, t in made)
-        assert n <= least_sequences(lengths, 100) * 1.05 + 1
-    ones = best_fit_packing.plan({1: 10_000, 2048: 3}, 2048)
-    assert sum(t for _, t in ones) == 3 + 5
-
-
-CHUNKS = best_fit_packing.ChunkIds(public_tokenizers.path("word_bpe_49k.json"), keep=60)  # small, so that it forgets
+    for _ in range(120):
+        capacity = int(rnd.integers(8, 60))
+        items = rnd.integers(1, capacity + 1, rnd.integers(1, 10)).tolist()
+        made = best_fit_packing.plan(Counter(items), capacity, None)
+        assert used(made, capacity) == Counter(items)
+        assert made.searched and made.bound <= made.sequences == fewest(items, capacity)
+
+
+def test_plan_of_many_pieces_places_all_near_the_bound():
+    rnd = np.random.default_rng(4)
+    for capacity, n, low, high in ((100, 300, 1, 101), (2048, 20_000, 200, 900), (2048, 3000, 1, 2049)):
+        lengths = Counter(rnd.integers(low, high, n).tolist())
+        made = best_fit_packing.plan(lengths, capacity, 5000)
+        assert used(made, capacity) == lengths and made.sequences <= 1.01 * made.bound + 1
+    assert best_fit_packing.plan({1: 10_000, 2048: 3}).sequences == 3 + 5
+    assert best_fit_packing.plan({}).sequences == 0
+
+
+def test_fillings_are_undominated_and_complete():
+    left, lengths = {2: 2, 3: 1, 5: 1, 7: 2}, [2, 3, 5, 7]
+    got = list(best_fit_packing.fillings(9, lengths, left, 2, best_fit_packing.Budget(None)))
+    assert got == [{7: 1, 2: 1}, {5: 1, 3: 1}]  # not 7 alone, since 2 fits beside it, nor 5 + 2 + 2, where 7 can stand for 5 + 2
+    assert best_fit_packing._by_sums(9, lengths, left) in ({7: 1, 2: 1}, {5: 1, 2: 2})
+    with pytest.raises(best_fit_packing.SearchEnded):
+        list(best_fit_packing.fillings(9, lengths, left, 9, best_fit_packing.Budget(3)))
+
+
+def test_slots_of_the_plan_cover_every_rank_once():
+    rnd = np.random.default_rng(5)
+    lengths = Counter(rnd.integers(1, 101, 500).tolist())
+    rows, widths = best_fit_packing._plan_rows(best_fit_packing.plan(lengths, 100).patterns, lengths)
+    width = dict(widths)
+    for x, n in lengths.items():
+        for rank in range(n):
+            assert sum(r[0] == x and r[1] == rank // width[x] and r[2] <= rank < r[3] for r in rows) == 1
+
+
+CHUNKS = best_fit_packing.ChunkIds(public_tokenizers.path("word_bpe_49k.json"), keep_bytes=20_000)  # small, so that it forgets
 
 
 @settings(max_examples=150, deadline=None)
