@@ -7,18 +7,16 @@ columns of ``documents``, the last one the pieces of the packed sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from auditgrid.llm import best_fit_packing, common, exact_dedup, simhash, substring_dedup, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: SQL cannot express these stages. tests/llm/test_keep.py holds the exact, near and substring stages against brute force,
-#: row by row; toxicity and packing have their own tests, ``run`` as a whole has none.
+#: SQL cannot express these stages; tests/llm/test_pipeline.py holds ``run`` and each stage against brute force.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under the threshold; rows with a null id are scored like any other."""
+    """Documents whose toxicity score stays under the threshold, by ``toxicity.keep_clean``; the lexicon is learnt from labelled rows outside the held-out fold."""
     lexicon = toxicity.fit_lexicon(toxicity.training_rows(docs, common.read(spark, sf_dir, "labels")))
     return toxicity.keep_clean(docs.select(*COLUMNS), lexicon)
 
@@ -38,13 +36,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
-#: Chunks that packing remembers: few, since the same workers serve all stages.
-PACKING_KEEPS = 300_000
+#: Bytes that packing's workers remember of chunks; they serve the other stages too.
+PACKING_KEEPS = 64_000_000
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their place in sequences of at most 2048 tokens."""
-    return best_fit_packing.pack(docs, keep=PACKING_KEEPS)
+    """Pieces with their ids and their place in sequences of at most 2048 tokens."""
+    return best_fit_packing.pack(docs, keep_bytes=PACKING_KEEPS, with_ids=True)
 
 
 STAGES = [
@@ -57,8 +55,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    """All stages over ``documents``, each written as Parquet and read again by the next; a stage's table goes when the next is written."""
+    tables = common.Tables(spark, "pipeline")
     docs = common.documents(spark, sf_dir).select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = common.table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = tables.write(stage(spark, docs, sf_dir), name)
+        tables.drop(name)
     return STAGES[-1][1](spark, docs, sf_dir)
