@@ -8,9 +8,9 @@ with a larger difference in any coordinate is discarded before it is verified.
 
 Coordinates alone can't name candidates at scale: a distance to a pivot holds
 little more than two bits, so buckets of eight coordinates would have to be looked
-up with 3**8 neighbours each. So the pairs that meet are those that agree in six
-of eight bands of eight bits, as all within two bits do. Six bands fix 48 bits: a bucket
-never has more than 2**16 members, however many texts there are. In a bucket a
+up with 3**8 neighbours each. So the pairs that meet are those that agree in four
+of six bands, as all within two bits do. Four bands fix 42 bits or more: a bucket
+never has more than 2**22 members, however many texts there are. In a bucket a
 pair meets only if its first coordinates can be within two bits.
 """
 
@@ -32,8 +32,8 @@ SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
 N_PIVOTS = 16
-#: Bands of the fingerprint, of which a pair within ``MAX_BITS`` bits agrees in all but that many.
-BANDS = 8
+#: Bits of the fingerprint's bands, of which a pair within ``MAX_BITS`` bits agrees in all but that many.
+BANDS = (11, 11, 11, 11, 10, 10)
 #: Hashes whose bits are counted at once.
 AT_ONCE = 65536
 
@@ -77,14 +77,13 @@ def distance(a, b):
 
 
 def _band_keys(fp: Column) -> list[Column]:
-    """The 28 choices of six bands, each with its bits: 48 of the fingerprint and five that tell the choices apart."""
-    width = 64 // BANDS
-    band = [F.shiftrightunsigned(fp, width * i).bitwiseAND((1 << width) - 1) for i in range(BANDS)]
+    """The 15 choices of four bands, each with its bits and a number that tells the choices apart."""
+    band = [F.shiftrightunsigned(fp, sum(BANDS[:i])).bitwiseAND((1 << width) - 1) for i, width in enumerate(BANDS)]
 
     def joined(k: int, chosen: tuple[int, ...]) -> Column:
-        return reduce(lambda key, i: F.shiftleft(key, width).bitwiseOR(band[i]), chosen, F.lit(k).cast("long"))
+        return reduce(lambda key, i: F.shiftleft(key, BANDS[i]).bitwiseOR(band[i]), chosen, F.lit(k).cast("long"))
 
-    return [joined(k, chosen) for k, chosen in enumerate(combinations(range(BANDS), BANDS - MAX_BITS))]
+    return [joined(k, chosen) for k, chosen in enumerate(combinations(range(len(BANDS)), len(BANDS) - MAX_BITS))]
 
 
 def distance_table(candidates: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
@@ -95,7 +94,8 @@ def distance_table(candidates: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame
 def links(prints: DataFrame, tables: common.Tables, n_pivots: int = N_PIVOTS) -> DataFrame:
     """``(a, b)``, a < b: all pairs of the distinct fingerprints ``fp`` within ``MAX_BITS`` bits, some more than once."""
     members = prints.select("fp", F.explode(F.array(*_band_keys(F.col("fp")))).alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Written, so that Spark knows its size: it broadcasts the keys where they are few and shuffles both sides otherwise.
+    shared = tables.write(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
     # Few fingerprints share a bucket; their distances are computed once and written before any pair is made.
     table_ = tables.write(distance_table(members.join(shared, "key"), n_pivots), "distances")
     apart = MAX_BITS + 1
