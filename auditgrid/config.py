@@ -9,7 +9,7 @@ from typing import Any
 FORMATS = ("terminal", "json", "markdown")
 #: Directories that command-line scans leave out on top of any configuration: fixed values.
 BASELINE_IGNORE = ("reports", "tests", "fixtures", "__tests__", "__fixtures__", ".claude")
-CONFIG_NAME = ".vibe-audit.json"
+CONFIG_NAME = ".audit.json"
 
 
 @dataclass(frozen=True)

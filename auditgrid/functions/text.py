@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re._constants as sre
 import re._parser as sre_parser
-from functools import lru_cache, reduce
+from collections.abc import Callable
+from functools import lru_cache, reduce, wraps
+from typing import TypeVar
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditgrid.schema import EVIDENCE_CHARS
 
+T = TypeVar("T")
 _BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
@@ -69,21 +73,26 @@ def needed_literals(pattern: str) -> tuple[str, ...]:
     return tuple(sorted(best)) if best and min(map(len, best)) >= 3 else ()
 
 
+def may_match(text: Column, pattern: str, flags: str, low: Column) -> Column | None:
+    """Whether a literal occurs without which the pattern can't match; null where it needs none. ``low``: the text in lower case."""
+    if not (literals := needed_literals(pattern)):
+        return None
+    return reduce(lambda a, b: a | b, [low.contains(x.lower()) for x in literals] if "i" in flags else [text.contains(x) for x in literals])
+
+
 def matches(text: Column, pattern: str, flags: str = "", low: Column | None = None) -> Column:
     """Whether the pattern occurs. ``low``, the text in lower case, lets a search for literals go before the regular expression."""
     hit = text.rlike(js_regex(pattern, flags))
-    if low is None or not (literals := needed_literals(pattern)):
-        return hit
-    found = [low.contains(x.lower()) for x in literals] if "i" in flags else [text.contains(x) for x in literals]
-    return reduce(lambda a, b: a | b, found) & hit
+    found = None if low is None else may_match(text, pattern, flags, low)
+    return hit if found is None else found & hit
 
 
 _TRIM = "\\s\\x{00A0}\\x{FEFF}\\x{2028}\\x{2029}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}"
 
 
 def js_trim(text: Column) -> Column:
-    """Without white space at both ends (Spark's own trim knows blanks only)."""
-    return F.regexp_replace(text, f"^[{_TRIM}]+|[{_TRIM}]+\\z", "")
+    """Without white space at both ends (Spark's own trim knows blanks only), in linear time: a run is looked at once."""
+    return F.regexp_replace(text, f"^[{_TRIM}]++|(?<![{_TRIM}])[{_TRIM}]++\\z", "")
 
 
 def lines(content: Column) -> Column:
@@ -116,14 +125,73 @@ def first_match_line(content: Column, pattern: str, flags: str = "") -> Column:
     return F.when(content.rlike(p), line_of(content, F.length(F.split(content, p, 2)[0])))
 
 
-def match_offsets(content: Column, pattern: str, flags: str = "") -> Column:
-    """``array<struct<off, text>>`` of all matches in order. Patterns must not match nothing or look behind."""
-    p = js_regex(pattern, flags)
-    between, hits = F.split(content, p, -1), F.regexp_extract_all(content, F.lit(p), F.lit(0))
-    steps = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda b, h: F.struct(F.length(b).alias("gap"), F.length(h).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offs"))
-    offs = F.aggregate(steps, start, lambda a, x: F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.concat(a["offs"], F.array(a["at"] + x["gap"])).alias("offs")))["offs"]
-    return F.zip_with(offs, hits, lambda o, h: F.struct(o.alias("off"), h.alias("text")))
+#: Characters that mark matches; in a text they count as blanks.
+_BEGIN, _END = "\x02", "\x03"
+#: Elements that are summed one after the other; sums of such blocks are summed in turn.
+_BLOCK = 128
+
+
+def remembered(build: Callable[..., T]) -> Callable[..., T]:
+    """``build``, whose columns are made once for each Spark application and arguments: each call to the JVM takes time."""
+    made: dict = {}
+
+    @wraps(build)
+    def get(*args):
+        key = (SparkContext._active_spark_context.applicationId, args)
+        if key not in made:
+            if made and next(iter(made))[0] != key[0]:
+                made.clear()
+            made[key] = build(*args)
+        return made[key]
+
+    return get
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sums_before(values: Column) -> Column:
+    """For each of ``array<struct<chars, lines>>`` the sums of those before it."""
+
+    def running(some: Column, start: Column) -> Column:
+        first = F.struct(start["chars"].alias("chars"), start["lines"].alias("lines"), F.array().cast("array<struct<chars:int,lines:int>>").alias("out"))
+        add = lambda a, x: F.struct((a["chars"] + x["chars"]).alias("chars"), (a["lines"] + x["lines"]).alias("lines"), F.concat(a["out"], F.array(F.struct(a["chars"].alias("chars"), a["lines"].alias("lines")))).alias("out"))
+        return F.aggregate(some, first, add)["out"]
+
+    def total(some: Column) -> Column:
+        sums = lambda field: F.aggregate(some, F.lit(0), lambda a, x: a + x[field])
+        return F.struct(sums("chars").alias("chars"), sums("lines").alias("lines"))
+
+    zero = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("lines"))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int"))), lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
+    return let(blocks, lambda bs: F.flatten(F.zip_with(bs, running(F.transform(bs, total), zero), running)))
+
+
+def _marked(content: Column, pattern: Column) -> Column:
+    """The content cut behind each match, the matches' beginnings marked: one search through the content."""
+    return F.split(F.regexp_replace(F.translate(content, _BEGIN + _END, "  "), pattern, F.lit(f"{_BEGIN}$0{_END}")), _END, -1)
+
+
+def match_starts(content: Column, pattern: str, flags: str = "") -> Column:
+    """``array<int>``: where matches begin, in order. Patterns must not match nothing or look behind."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda a, p: F.when(p.contains(_BEGIN), F.struct((a["at"] + F.length(p) - 1).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(F.substring_index(p, _BEGIN, 1)))).alias("out"))).otherwise(a)
+    return F.aggregate(_marked(content, F.lit(js_regex(pattern, flags))), start, add)["out"]
+
+
+def match_offsets(content: Column, pattern: Column | str, flags: str = "") -> Column:
+    """``array<struct<off, line, text>>`` of all matches in order, in linear time. Patterns must not match nothing or look behind; a column holds those of ``js_regex``.
+
+    The content goes through the expression once; lengths and line feeds are summed between the marks.
+    """
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    cut = lambda p: F.struct(F.substring_index(p, _BEGIN, 1).alias("gap"), F.substring_index(p, _BEGIN, -1).alias("text"))
+    size = lambda h: F.struct((F.length(h["gap"]) + F.length(h["text"])).alias("chars"), (feeds(h["gap"]) + feeds(h["text"])).alias("lines"))
+    place = lambda h, s: F.struct((s["chars"] + F.length(h["gap"])).alias("off"), (s["lines"] + feeds(h["gap"]) + 1).alias("line"), h["text"].alias("text"))
+    placed = lambda hits: F.zip_with(hits, let(F.transform(hits, size), _sums_before), place)
+    return let(_marked(content, F.lit(js_regex(pattern, flags)) if isinstance(pattern, str) else pattern), lambda ps: F.when(F.size(ps) > 1, let(F.transform(F.slice(ps, 1, F.size(ps) - 1), cut), placed)).otherwise(F.array().cast("array<struct<off:int,line:int,text:string>>")))
 
 
 def shannon_entropy(text: Column) -> Column:

@@ -12,6 +12,7 @@ from auditgrid.functions.text import js_trim, lines, matches
 from auditgrid.operators.blocks import with_blocks
 from auditgrid.operators.match import code_findings, content_findings, file_findings, guarded, line_findings
 from auditgrid.rules import catalog, content_rules, file_checks, file_rules, line_rules, markup_rules, scope_rules
+from auditgrid.rules.spec import UserRule
 from auditgrid.schema import FINDINGS_DDL, KEYS
 from auditgrid.sources.files import ignored
 
@@ -21,7 +22,7 @@ FILE_RULES = (*file_rules.RULES, *file_checks.ORDERED, *scope_rules.FALLBACK_FIL
 #: The rule that reads a table of past commits and no files.
 HISTORY_RULE = "git-history-secrets"
 #: ``audit-ignore`` and its longer spellings: the mark, ``-next-line``, and rule ids.
-DIRECTIVE = r"(?i)audit-ignore(-next-line)?(?:\s*[:=]?\s*([\w-]+(?:\s*,\s*[\w-]+)*))?"
+DIRECTIVE = r"(?i)audit-ignore(-next-line)?(?:\s*[:=]?\s*([\w-]+(?:\s*+,\s*+[\w-]++)*+))?"
 MIDDLEWARE = r"(?:^|\/)(?:src\/)?middleware\.[mc]?[jt]sx?$"
 MIDDLEWARE_CALLS = r"\b(?:clerkMiddleware|authMiddleware|withClerkMiddleware|withAuth|NextAuth|updateSession|createMiddlewareClient|createServerClient)\s*\("
 
@@ -30,21 +31,28 @@ def rank(severity: Column) -> Column:
     return F.when(severity == "critical", 0).when(severity == "warning", 1).otherwise(2)
 
 
-def run_rules(files: DataFrame, ids: list[str], config: Config = Config()) -> DataFrame:
-    """Findings of the rules named, unordered. Files are read once for each kind of rule that is asked for."""
+def run_rules(files: DataFrame, ids: list[str], config: Config = Config(), extra: tuple[UserRule, ...] = ()) -> DataFrame:
+    """Findings of the rules named and of a project's own, unordered. Files are read once for each kind of rule that is asked for."""
     wanted = set(ids)
-    chosen = lambda rules: [r for r in rules if r.id in wanted]
+    if taken := {u.rule.id for u in extra} & set(catalog.IDS):
+        raise ValueError(f"these rules exist: {', '.join(sorted(taken))}")
+    severity = catalog.SEVERITY | {u.rule.id: u.severity for u in extra}
+
+    def chosen(rules: tuple) -> list:
+        kinds = tuple({type(r) for r in rules})
+        return [r for r in rules if r.id in wanted] + [u.rule for u in extra if isinstance(u.rule, kinds)]
+
     parts = []
     if picked := chosen(LINE_RULES):
-        parts.append(line_findings(files, picked, catalog.SEVERITY))
+        parts.append(line_findings(files, picked, severity))
     if picked := chosen(CONTENT_RULES):
-        parts.append(content_findings(files, picked, catalog.SEVERITY))
+        parts.append(content_findings(files, picked, severity))
     checks = [_configured(c, config) for r in catalog.IDS if r in wanted for c in file_checks.CHECKS.get(r, ())]
     if (picked := chosen(FILE_RULES)) or checks:
-        parts.append(file_findings(files, picked, checks, catalog.SEVERITY))
+        parts.append(file_findings(files, picked, checks, severity))
     scopes, codes = chosen(scope_rules.SCOPE_RULES), chosen(scope_rules.CODE_RULES)
     if scopes or codes:
-        parts.append(code_findings(files, scopes, codes, catalog.SEVERITY, config.custom_auth_guards))
+        parts.append(code_findings(files, scopes, codes, severity, config.custom_auth_guards))
     empty = files.sparkSession.createDataFrame([], FINDINGS_DDL)
     return reduce(DataFrame.unionByName, parts, empty) if parts else empty
 
@@ -79,17 +87,18 @@ def enabled_paths(findings: DataFrame, disable_for_paths: dict[str, tuple[str, .
 
 
 def directives(files: DataFrame) -> DataFrame:
-    """``(file_id, target, ids)``: lines that a comment frees from rules; null ids stand for all rules."""
-    marked = files.where(F.lower("content").contains("audit-ignore")).select("file_id", F.posexplode(lines(F.col("content"))).alias("i", "text")).where(F.lower("text").contains("audit-ignore"))
+    """``(file_id, repo, relative_path, target, ids)``: lines that a comment frees from rules; null ids stand for all rules."""
+    marked = files.where(F.lower("content").contains("audit-ignore")).select(*KEYS, F.posexplode(lines(F.col("content"))).alias("i", "text")).where(F.lower("text").contains("audit-ignore"))
     next_line = F.regexp_extract("text", DIRECTIVE, 1) != ""
     ids = F.regexp_extract("text", DIRECTIVE, 2)
-    return marked.select("file_id", (F.col("i") + F.when(next_line, 2).otherwise(1)).alias("target"), F.when(ids != "", F.transform(F.split(ids, ","), lambda x: F.trim(x))).alias("ids"))
+    return marked.select(*KEYS, (F.col("i") + F.when(next_line, 2).otherwise(1)).alias("target"), F.when(ids != "", F.transform(F.split(ids, ","), lambda x: F.trim(x))).alias("ids"))
 
 
 def unsuppressed(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings that no comment on their line, or on the line before, frees. Those without a line stay."""
-    d = directives(files).select(F.col("file_id").alias("d_file"), "target", "ids")
-    freed = (F.col("file_id") == F.col("d_file")) & (F.col("line") == F.col("target")) & (F.col("ids").isNull() | F.array_contains("ids", F.col("rule_id")))
+    d = directives(files).select(F.col("file_id").alias("d_file"), F.col("repo").alias("d_repo"), F.col("relative_path").alias("d_path"), "target", "ids")
+    same = (F.col("file_id") == F.col("d_file")) & (F.col("relative_path") == F.col("d_path")) & F.col("repo").eqNullSafe(F.col("d_repo"))
+    freed = same & (F.col("line") == F.col("target")) & (F.col("ids").isNull() | F.array_contains("ids", F.col("rule_id")))
     return findings.join(d, freed, "left_anti")
 
 
@@ -171,33 +180,35 @@ def configured(findings: DataFrame, configs: DataFrame) -> DataFrame:
     return joined.where(F.col("c_repo").isNull() | (wanted & ~F.array_contains("exclude", rule) & outside & on)).select(*findings.columns)
 
 
-def enriched(findings: DataFrame) -> DataFrame:
+def enriched(findings: DataFrame, extra: tuple[UserRule, ...] = ()) -> DataFrame:
     """With the rule's order, name, taxonomy and advice. The dimension has one row per rule, so it is broadcast."""
-    return findings.join(F.broadcast(catalog.catalog(findings.sparkSession).drop("default_severity")), "rule_id", "left")
+    own = [(len(catalog.ALL) + i, u.rule.id, u.name, u.severity, u.cwe_id, u.cvss_score, u.owasp_category, u.wcag, u.fix) for i, u in enumerate(extra)]
+    rules = findings.sparkSession.createDataFrame([*catalog.ALL, *own], catalog.SCHEMA)
+    return findings.join(F.broadcast(rules.drop("default_severity")), "rule_id", "left")
 
 
 def ordered(findings: DataFrame) -> DataFrame:
     """By severity, then repository, file, rule and place; the order doesn't depend on partitions."""
-    return findings.orderBy(rank(F.col("severity")), "repo", "file_id", "rule_ord", "finding_ord", "line", "message")
+    return findings.orderBy(rank(F.col("severity")), "repo", "relative_path", "file_id", "rule_ord", "finding_ord", "line", "message")
 
 
-def audit(files: DataFrame, config: Config = Config(), dependencies: DataFrame | None = None, extra_ignore: tuple[str, ...] = (), per_project: bool = False, rescore: bool = True) -> DataFrame:
+def audit(files: DataFrame, config: Config = Config(), dependencies: DataFrame | None = None, extra_ignore: tuple[str, ...] = (), per_project: bool = False, rescore: bool = True, extra: tuple[UserRule, ...] = ()) -> DataFrame:
     """Findings of all active rules on ``files``, suppressed, re-scored and enriched; not ordered.
 
-    per_project: each repository's own settings file counts as well. rescore: middleware among ``files`` counts. ``dependencies`` are findings of dependency checks, which rule lists and comments don't touch.
+    per_project: each repository's own settings file counts as well. rescore: middleware among ``files`` counts. extra: a project's own rules, whatever the configuration lists. ``dependencies`` are findings of dependency checks, which rule lists and comments don't touch.
     Files with a null content or path have none; an empty table gives an empty result.
     """
     ids = [r for r in catalog.active(config.rules, config.exclude) if r != HISTORY_RULE]
     files = files.where(F.col("content").isNotNull() & F.col("relative_path").isNotNull())
     kept = files.where(~ignored(F.col("relative_path"), (*config.ignore, *extra_ignore)))
-    found = unsuppressed(enabled_paths(run_rules(kept, ids, config), config.disable_for_paths), kept)
+    found = unsuppressed(enabled_paths(run_rules(kept, ids, config, extra), config.disable_for_paths), kept)
     if per_project:
         found = configured(found, project_configs(files))
     if rescore and "missing-auth" in ids:
         found = rescored(found, middleware(kept))
     if dependencies is not None:
         found = found.unionByName(dependencies)
-    return enriched(found)
+    return enriched(found, extra)
 
 
 def exit_status(findings: DataFrame, strict: bool = False) -> DataFrame:

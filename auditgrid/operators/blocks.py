@@ -1,11 +1,12 @@
 """Blocks of script files: functions, iteration callbacks and loops with their places.
 
-A small scanner blanks comments and pairs braces; all that rules ask about a block is then an
+A small scanner blanks comments, strings and regular expressions and pairs braces; all that rules ask about a block is then an
 expression on ``code`` and ``blocks``, so "in the same function" is a test on one substring.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 
@@ -14,25 +15,88 @@ from pyspark.sql import DataFrame
 
 from auditgrid.schema import KEYS
 
-_QUIET = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\[\s\S]|[^`\\])*`")
+log = logging.getLogger(__name__)
+
+#: Comments, strings (an apostrophe behind a letter begins none), templates, what may be a regular expression, and braces.
+_TOKEN = re.compile(r"//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*)|(?<!\w)'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`|/(?![*/>])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*|[{}]")
+_TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{")
+#: What stands before a regular expression; behind anything else, a slash divides or closes a tag.
+_OPERAND = re.compile(r"(?:^|[(,=:\[!&|?{;+\-*%~^]|=>|\b(?:return|typeof|case|in|of|delete|void|throw|new|else|do|await|yield))\s*\Z")
+_NOT_FEED = re.compile(r"[^\n]")
 _FUNCTION = re.compile(
     r"(?P<export>\bexport\s+(?:default\s+)?)?(?:\basync\s+)?\bfunction\b\s*\*?\s*(?P<name>\w*)"
-    r"|(?P<export2>\bexport\s+)?\b(?:const|let|var)\s+(?P<name2>\w+)\s*(?::[^=;{}]+)?=\s*(?P<wrap>[\w.]+\s*\(\s*)?(?:async\s*)?(?=\(|\w+\s*=>|function\b)"
+    r"|(?P<export2>\bexport\s+)?\b(?:const|let|var)\s+(?P<name2>\w+)\s*(?::[^=;{}]{1,200})?=\s*(?P<wrap>[\w.]+\s*\(\s*)?(?:async\s*)?(?=\(|\w+\s*=>|function\b)"
     r"|(?P<export3>\bexport\s+)const\s+(?P<name3>[A-Z]+)\s*=\s*(?P<call>[\w.]+\s*)(?=\()"
     r"|(?P<iter>\.\s*(?:map|forEach|reduce|reduceRight|filter|flatMap|some|every|find|findIndex)\s*\(\s*)(?:async\s*)?(?=\(|\w+\s*=>|function\b)"
     r"|(?P<loop>\b(?:for\s*(?P<wait>await\s*)?|while\s*)(?=\()|\bdo\s*(?=\{))"
     r"|(?P<method>\b(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b|await\b)\w+\s*)(?=\([^()]*\)\s*\{)"
-    r"|(?P<arrow>(?:\([^()]*\)|\b\w+)\s*(?::[^=;{}()]+)?(?==>))"
+    r"|(?P<arrow>(?:\([^()]*\)|\b\w+)\s*(?::[^=;{}()]{1,200})?(?==>))"
 )
 BLOCK = pa.struct([("kind", pa.string()), ("name", pa.string()), ("exported", pa.bool_()), ("head", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 BLOCKS_DDL = "array<struct<kind:string,name:string,exported:boolean,head:int,start:int,stop:int>>"
 
 
-def _blank(m: re.Match, also_strings: bool) -> str:
-    text = m[0]
-    if text[0] == "/":
-        return re.sub(r"[^\n]", " ", text)
-    return text[0] + re.sub(r"[^\n]", " ", text[1:-1]) + text[-1] if also_strings else text
+def quiet(content: str) -> tuple[str, str]:
+    """The content with blanks for comments, and with blanks for the insides of strings, templates and regular expressions as well.
+
+    Code inside a template's ``${}`` stays code.
+    """
+    code: list[str] = []
+    plain: list[str] = []
+    depths: list[int] = []  # of braces, inside each template that is open
+    at = 0
+
+    def take(to: int, in_code: bool = True, in_plain: bool = True) -> None:
+        nonlocal at
+        part = content[at:to]
+        blank = part if in_code and in_plain else _NOT_FEED.sub(" ", part)
+        code.append(part if in_code else blank)
+        plain.append(part if in_plain else blank)
+        at = to
+
+    def template() -> None:
+        """From behind a template's beginning, or a value in it, to its end or its next value."""
+        pos = at
+        while m := _TEMPLATE.search(content, pos):
+            if m[0] in ("`", "${"):
+                take(m.start(), True, False)
+                take(m.end())
+                if m[0] == "${":
+                    depths.append(0)
+                return
+            pos = m.end()
+        take(len(content), True, False)
+
+    pos = 0
+    while m := _TOKEN.search(content, pos):
+        token, start, end = m[0], m.start(), m.end()
+        if token[0] == "/" and token[:2] not in ("//", "/*") and not _OPERAND.search(content[max(0, start - 24) : start]):
+            pos = start + 1
+            continue
+        if token == "`" and not depths and "`" not in content[end:]:
+            pos = end  # an accent in prose
+            continue
+        take(start)
+        if token[:2] in ("//", "/*"):
+            take(end, False, False)
+        elif token[0] in "'\"/":
+            take(start + 1)
+            take(end - 1, True, False)
+            take(end)
+        else:
+            take(end)
+            if token == "`":
+                template()
+            elif depths and token == "{":
+                depths[-1] += 1
+            elif depths and depths[-1]:
+                depths[-1] -= 1
+            elif depths:
+                depths.pop()
+                template()
+        pos = at
+    take(len(content))
+    return "".join(code), "".join(plain)
 
 
 def _pairs(plain: str) -> dict[int, int]:
@@ -57,7 +121,7 @@ def _body(plain: str, at: int, pairs: dict[int, int]) -> tuple[int, int] | None:
         at = plain.find("(", at)
     if 0 <= at < len(plain) and plain[at] == "(":
         at = pairs.get(at, len(plain))
-    m = re.compile(r"\s*\w*\s*(?::[^=;{}]+)?\s*(=>)?\s*").match(plain, max(at, 0))
+    m = re.compile(r"\s*\w*\s*(?::[^=;{}]{1,200})?\s*(=>)?\s*").match(plain, max(at, 0))
     at = m.end() if m else at
     if at < len(plain) and plain[at] == "{":
         return at, pairs.get(at, len(plain))
@@ -74,8 +138,7 @@ def _body(plain: str, at: int, pairs: dict[int, int]) -> tuple[int, int] | None:
 
 def blocks(content: str) -> tuple[str, list[dict]]:
     """Code without comments (as long as ``content``), and its blocks by place."""
-    code = _QUIET.sub(lambda m: _blank(m, False), content)
-    plain = _QUIET.sub(lambda m: _blank(m, True), content)
+    code, plain = quiet(content)
     pairs = _pairs(plain)
     out, taken = [], set()
     for m in _FUNCTION.finditer(plain):
@@ -106,13 +169,24 @@ def _statement_end(plain: str, start: int) -> int:
     return min(ends, default=len(plain))
 
 
+def _safe_blocks(content: str) -> tuple[str, list[dict]]:
+    """A file that the scanner fails on has no blocks, and the audit goes on."""
+    try:
+        return blocks(content)
+    except Exception:
+        log.exception("a script of %d characters could not be scanned", len(content))
+        return content, []
+
+
 def with_blocks(files: DataFrame) -> DataFrame:
-    """``files`` (their keys and content) with code and blocks. No shuffle; a null content has none."""
+    """``files`` (their keys and content) with code and blocks. No shuffle; a null content has none, nor has one that can't be scanned."""
     columns = [*KEYS, "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(c) if c else (c, []) for c in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(BLOCK))], names=[*columns, "code", "blocks"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [_safe_blocks(c) if c else (c, []) for c in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(BLOCK))], names=[*columns, "code", "blocks"])
 
     return files.select(*columns).mapInArrow(run, f"file_id long, repo string, relative_path string, content string, code string, blocks {BLOCKS_DDL}")

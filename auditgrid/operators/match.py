@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditgrid.functions import fileclass
-from auditgrid.functions.text import first_line, first_match_line, js_regex, js_trim, line_evidence, line_of, lines, match_offsets, matches
+from auditgrid.functions.text import first_line, first_match_line, js_regex, js_trim, line_evidence, line_of, lines, match_offsets, match_starts, matches, may_match, remembered
 from auditgrid.operators.blocks import with_blocks
 from auditgrid.rules.scope_rules import AUTH_GUARD, GUARD_HINT, GUARD_MEMBER
 from auditgrid.rules.spec import CODE, CodeRule, ContentRule, FileRule, LineRule, Pattern, ScopeRule, Test
@@ -47,7 +47,8 @@ def lowered(files: DataFrame) -> DataFrame:
     return once(files, "low", F.lower("content"))
 
 
-def gate(gates: Sequence[Test], any_gate: Sequence[Test]) -> Column:
+@remembered
+def gate(gates: tuple[Test, ...], any_gate: tuple[Test, ...]) -> Column:
     """On ``lowered`` files. Paths first: they are cheap."""
     path, content, low = F.col("relative_path"), F.col("content"), F.col("low")
     ordered = sorted(gates, key=lambda t: t.on != "path")
@@ -76,20 +77,26 @@ def file_lines(files: DataFrame, *keep: str) -> DataFrame:
     return once(once(out, "trimmed", js_trim(F.col("text"))), "low", F.lower("text"))
 
 
-def line_findings(files: DataFrame, rules: Sequence[LineRule], severities: dict[str, str]) -> DataFrame:
-    """Findings of all line rules, ordered within a file and rule by line, then pattern."""
-    rows = file_lines(_open(rules, files).select(*KEYS, "content", "open"), "open")
+@remembered
+def _line_hit(p: Pattern) -> Column:
     text, low = F.col("text"), F.col("low")
+    tests = [matches(text, p.regex, p.flags, low), *(matches(text, r, f, low) for r, f in p.also), *(~matches(text, r, f, low) for r, f in p.unless)]
+    return every([matches(F.col("relative_path"), p.path, "i"), *tests] if p.path else tests)
+
+
+@remembered
+def _content_hit(p: Pattern) -> Column | None:
+    return may_match(F.col("content"), p.regex, p.flags, F.col("low"))
 
-    def hit(p: Pattern) -> Column:
-        tests = [matches(text, p.regex, p.flags, low), *(matches(text, r, f, low) for r, f in p.also), *(~matches(text, r, f, low) for r, f in p.unless)]
-        return every([matches(F.col("relative_path"), p.path, "i"), *tests] if p.path else tests)
 
+def line_findings(files: DataFrame, rules: Sequence[LineRule], severities: dict[str, str]) -> DataFrame:
+    """Findings of all line rules, ordered within a file and rule by line, then pattern."""
+    rows = file_lines(_open(rules, files).select(*KEYS, "content", "open"), "open")
     # A hit is the number of a pattern; what it stands for is looked up later.
     known: list[tuple[LineRule, Pattern, int]] = []
     hits = []
     for i, rule in enumerate(rules):
-        numbered = [(hit(p), F.lit(len(known) + k)) for k, p in enumerate(rule.patterns)]
+        numbered = [(_line_hit(p), F.lit(len(known) + k)) for k, p in enumerate(rule.patterns)]
         known += [(rule, p, k) for k, p in enumerate(rule.patterns)]
         live = F.array_contains("open", i) & ~_is_comment(F.col("trimmed"), rule.comments)
         if rule.first:
@@ -113,18 +120,33 @@ def content_findings(files: DataFrame, rules: Sequence[ContentRule], severities:
     """Findings of all content rules, ordered within a file and rule by pattern, then offset."""
     content, text = F.col("content"), F.col("text")
     every_pattern = [(i, k, r, p) for i, r in enumerate(rules) for k, p in enumerate(r.patterns)]
-    nothing = F.array().cast("array<struct<i:int,k:int,n:int,off:int,text:string,first:boolean>>")
-
-    def numbered(i: int, k: int, n: int) -> Callable[[Column, Column], Column]:
-        return lambda m, j: F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(n).alias("n"), m["off"].alias("off"), m["text"].alias("text"), (j == 0).alias("first"))
-
-    arrays = []
-    for n, (i, k, _, p) in enumerate(every_pattern):
-        live = F.array_contains("open", i) & matches(content, p.regex, p.flags, F.col("low"))
-        arrays.append(F.when(live, F.transform(match_offsets(content, p.regex, p.flags), numbered(i, k, n))).otherwise(nothing))
-    rows = once(_open(rules, files), "ms", F.flatten(F.array(*arrays))).select(*KEYS, "content", F.explode("ms").alias("m")).select(*KEYS, "content", "m.*")
-    rows = once(rows, "line", line_of(content, F.col("off")))
-    rows = once(rows, "line_text", js_trim(F.element_at(lines(content), F.col("line"))))
+    # The patterns are a table that one expression looks up: a tree of its own for each would take Spark longer to plan than to run.
+    windows = [r.window or (None,) * 3 for _, _, r, _ in every_pattern]
+    table = {
+        "k": F.array(*[F.lit(k) for _, k, _, _ in every_pattern]), "regex": F.array(*[F.lit(js_regex(p.regex, p.flags)) for *_, p in every_pattern]), "before": F.array(*[F.lit(w[0]).cast("int") for w in windows]),
+        "after": F.array(*[F.lit(w[1]).cast("int") for w in windows]), "from_end": F.array(*[F.lit(int(w[2] or 0)) for w in windows]),
+    }
+    live = []
+    for n, (i, _, _, p) in enumerate(every_pattern):
+        test = F.array_contains("open", i)
+        if (literal := _content_hit(p)) is not None:
+            test &= literal
+        live.append(F.when(test, F.lit(n)))
+
+    def of(name: str, n: Column) -> Column:
+        return F.element_at(table[name], n + 1)
+
+    def place(n: Column) -> Callable[[Column, Column], Column]:
+        def one(m: Column, j: Column) -> Column:
+            start = F.greatest(m["off"] - of("before", n), F.lit(0))
+            near = F.when(of("before", n).isNotNull(), F.substring(content, start + 1, m["off"] + of("from_end", n) * F.length(m["text"]) + of("after", n) - start))
+            return F.struct(of("k", n).alias("k"), n.alias("n"), m["off"].alias("off"), m["line"].alias("line"), m["text"].alias("text"), js_trim(F.element_at("ls", m["line"])).alias("line_text"), near.alias("near"), (j == 0).alias("first"))
+
+        return one
+
+    # Lines and surroundings are taken in the array, so a file's content isn't copied to its matches.
+    rows = once(once(_open(rules, files), "ls", lines(content)), "live", F.array_compact(F.array(*live)))
+    rows = once(rows, "ms", F.flatten(F.transform("live", lambda n: F.transform(match_offsets(content, of("regex", n)), place(n))))).select(*KEYS, F.explode("ms").alias("m")).select(*KEYS, "m.*")
     keep, parts = [], []
     for n, (i, _, rule, p) in enumerate(every_pattern):
         tests = [~_is_comment(F.col("line_text"), rule.comments)] if rule.comments else []
@@ -132,10 +154,8 @@ def content_findings(files: DataFrame, rules: Sequence[ContentRule], severities:
             tests.append(F.col("first"))
         tests += [*(matches(text, r, f) for r, f in p.also), *(~matches(text, r, f) for r, f in p.unless)]
         if rule.window:
-            before, after, from_end, regex, flags, wanted = rule.window
-            start = F.greatest(F.col("off") - before, F.lit(0))
-            stop = F.col("off") + (F.length("text") if from_end else F.lit(0)) + after
-            inside = matches(F.substring(content, start + 1, stop - start), regex, flags)
+            *_, regex, flags, wanted = rule.window
+            inside = matches(F.col("near"), regex, flags)
             tests.append(inside if wanted else ~inside)
         if rule.group is not None:
             part = F.regexp_extract("text", js_regex(p.regex, p.flags), rule.group)
@@ -176,7 +196,8 @@ def present(findings: Sequence[Column]) -> Column:
     return F.filter(F.array(*findings), lambda x: x.isNotNull()).cast(FOUND_DDL)
 
 
-def file_rule(rule: FileRule, severities: dict[str, str]) -> Column:
+@remembered
+def file_rule(rule: FileRule, severity: str) -> Column:
     path, content = F.col("relative_path"), F.col("content")
     out = []
     for k, b in enumerate(rule.branches):
@@ -184,7 +205,7 @@ def file_rule(rule: FileRule, severities: dict[str, str]) -> Column:
         if b.at:
             line = F.coalesce(*[F.when(matches(path, p, "i"), first_match_line(content, r, f)) for r, f, p in b.at], F.lit(1))
         shown = line_evidence(content, line) if b.line or b.at else F.lit(None)
-        out.append(F.when(every(holds(t, path, content, F.col("low")) for t in b.tests), found(rule.id, b.severity or severities[rule.id], b.message, line, shown, F.lit(k))))
+        out.append(F.when(every(holds(t, path, content, F.col("low")) for t in b.tests), found(rule.id, b.severity or severity, b.message, line, shown, F.lit(k))))
     return F.when(gate(rule.gates, rule.any_gate), present(out))
 
 
@@ -194,9 +215,14 @@ def exploded(files: DataFrame, arrays: Sequence[Column]) -> DataFrame:
     return once(files, "fs", every_).select(*KEYS, F.explode("fs").alias("f")).select(*KEYS, "f.*")
 
 
+@remembered
+def _checked(check: Callable[[Column, Column], Column]) -> Column:
+    return check(F.col("relative_path"), F.col("content"))
+
+
 def file_findings(files: DataFrame, rules: Sequence[FileRule], checks: Sequence[Callable[[Column, Column], Column]], severities: dict[str, str]) -> DataFrame:
     """Findings of file rules, one for each branch that holds, and of checks: functions of (path, content)."""
-    return exploded(lowered(files), [*(file_rule(r, severities) for r in rules), *(c(F.col("relative_path"), F.col("content")) for c in checks)])
+    return exploded(lowered(files), [*(file_rule(r, severities[r.id]) for r in rules), *map(_checked, checks)])
 
 
 def declared_names(code: Column, local: bool) -> Column:
@@ -218,7 +244,8 @@ def _escaped(name: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c != "_" else c for c in name)
 
 
-def _scope_rule(rule: ScopeRule, order: int, severities: dict[str, str], guards: Sequence[str]) -> Column:
+@remembered
+def _scope_rule(rule: ScopeRule, order: int, severity: str, guards: tuple[str, ...]) -> Column:
     content, code = F.col("content"), F.col("code")
 
     def body(b: Column) -> Column:
@@ -240,7 +267,7 @@ def _scope_rule(rule: ScopeRule, order: int, severities: dict[str, str], guards:
     def places(b: Column) -> Column:
         if not rule.hits:
             return F.array(b["head"])
-        offs = F.flatten(F.array(*[F.transform(match_offsets(body(b), r, f), lambda m: m["off"] + b["start"]) for r, f in rule.hits]))
+        offs = F.flatten(F.array(*[F.transform(match_starts(body(b), r, f), lambda off: off + b["start"]) for r, f in rule.hits]))
         return F.slice(F.array_sort(offs), 1, 1) if rule.first else offs
 
     first, _, last = rule.message.partition("{0}")
@@ -248,7 +275,7 @@ def _scope_rule(rule: ScopeRule, order: int, severities: dict[str, str], guards:
     def findings(b: Column) -> Column:
         def one(off: Column) -> Column:
             line = line_of(content, off)
-            return found(rule.id, rule.severity or severities[rule.id], F.concat(F.lit(first), b["name"], F.lit(last)), line, line_evidence(content, line), F.lit(order * 10_000_000) + off)
+            return found(rule.id, rule.severity or severity, F.concat(F.lit(first), b["name"], F.lit(last)), line, line_evidence(content, line), F.lit(order * 10_000_000) + off)
 
         return F.transform(places(b), one)
 
@@ -257,7 +284,8 @@ def _scope_rule(rule: ScopeRule, order: int, severities: dict[str, str], guards:
     return F.when(every([gate(rule.gates, rule.any_gate), *wanted]), F.flatten(F.transform(F.filter("blocks", asked), findings)))
 
 
-def _code_rule(rule: CodeRule, order: int, severities: dict[str, str]) -> Column:
+@remembered
+def _code_rule(rule: CodeRule, order: int, severity: str) -> Column:
     content, code = F.col("content"), F.col("code")
 
     def inside(off: Column) -> Column:
@@ -267,20 +295,20 @@ def _code_rule(rule: CodeRule, order: int, severities: dict[str, str]) -> Column
         inner = F.array_max(F.transform(around, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"))))
         return F.coalesce(inner["kind"].isin(*rule.inside), F.lit(False))
 
-    def asked(m: Column) -> Column:
-        rest = F.substring(code, m["off"] + 1, F.lit(rule.reach))
+    def asked(off: Column) -> Column:
+        rest = F.substring(code, off + 1, F.lit(rule.reach))
         tests = [matches(rest, r, f) for r, f in rule.also] + [~matches(rest, r, f) for r, f in rule.unless]
-        return every(tests + ([inside(m["off"])] if rule.inside else []))
+        return every(tests + ([inside(off)] if rule.inside else []))
 
-    at = F.transform(F.filter(match_offsets(code, rule.regex, rule.flags), asked), lambda m: line_of(content, m["off"]))
+    at = F.transform(F.filter(match_starts(code, rule.regex, rule.flags), asked), lambda off: line_of(content, off))
     if rule.once_a_line:
         at = F.array_distinct(at)
-    out = F.transform(at, lambda line, i: found(rule.id, severities[rule.id], rule.message, line, line_evidence(content, line), F.lit(order * 10_000_000) + i))
+    out = F.transform(at, lambda line, i: found(rule.id, severity, rule.message, line, line_evidence(content, line), F.lit(order * 10_000_000) + i))
     return F.when(gate(rule.gates, ()) & matches(code, rule.regex, rule.flags, F.col("low")), out)
 
 
 def code_findings(files: DataFrame, scopes: Sequence[ScopeRule], codes: Sequence[CodeRule], severities: dict[str, str], guards: Sequence[str] = ()) -> DataFrame:
     """Findings about functions, loops and calls of script files, in one pass."""
     rows = lowered(with_blocks(files.where(matches(F.col("relative_path"), CODE, "i"))))
-    arrays = [_scope_rule(r, i, severities, guards) for i, r in enumerate(scopes)] + [_code_rule(r, len(scopes) + i, severities) for i, r in enumerate(codes)]
+    arrays = [_scope_rule(r, i, severities[r.id], tuple(guards)) for i, r in enumerate(scopes)] + [_code_rule(r, len(scopes) + i, severities[r.id]) for i, r in enumerate(codes)]
     return exploded(rows, arrays)

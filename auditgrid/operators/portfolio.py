@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditgrid.functions.text import matches
 
-#: Repositories that hold reports of past scans: fixed values.
-SCAN_OUTPUT = ("vibeaudit-reports",)
 BLOCKED = ("access-denied", "auth-required", "rate-limited")
 GRADES = ("A", "B", "C", "D", "F")
 #: A discovery with fewer repositories than this share of the saved list isn't trusted.
@@ -20,10 +18,36 @@ def discovered(repos: DataFrame) -> DataFrame:
     return repos.where(~F.coalesce("archived", F.lit(False)) & ~F.coalesce("fork", F.lit(False))).select("full_name")
 
 
-def without_output(repos: DataFrame) -> DataFrame:
-    """Without repositories of reports, whoever owns them."""
-    names = repos.sparkSession.createDataFrame([(n,) for n in SCAN_OUTPUT], "name string")
-    return repos.join(F.broadcast(names), F.substring_index("full_name", "/", -1) == F.col("name"), "left_anti")
+def without_output(repos: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Without the repositories that hold reports of past scans, whoever owns them."""
+    return repos.where(~F.substring_index("full_name", "/", -1).isin(*names)) if names else repos
+
+
+def saved_list(spark: SparkSession, path: str) -> DataFrame:
+    """(full_name), in the list's order, of a JSON file with an array of names; entries that aren't text don't count, broken JSON has none."""
+    text = spark.read.option("wholetext", True).text(path)
+    names = F.from_json("value", "array<string>")
+    return text.select(F.posexplode(F.coalesce(names, F.array().cast("array<string>"))).alias("place", "full_name")).where("full_name is not null").orderBy("place").select("full_name")
+
+
+def report(grades: DataFrame, errors: DataFrame, limit: int = 20) -> DataFrame:
+    """(section, place, text): the lines of a Markdown report: head, sums, the ``limit`` worst repositories, what failed.
+
+    ``errors`` has (repo, label, kind).
+    """
+    s = summary(grades, errors)
+    line = lambda section, place, text: F.struct(F.lit(section).alias("section"), F.lit(place).cast("long").alias("place"), text.alias("text"))
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) and p.startswith("=") is False else F.col(p[1:]).cast("string") for p in parts])
+    head = s.select(F.inline(F.array(
+        line(0, 0, F.lit("# Audit of all repositories")), line(0, 1, said("Scanned: ", "=total", " of ", "=attempted", "; failed: ", "=skipped", " (", "=blocked", " without access)")),
+        line(0, 2, said("Critical: ", "=criticals", ", warnings: ", "=warnings")), line(0, 3, said("Grades: ", *[x for g in GRADES for x in (f"{g} ", f"=grade_{g.lower()}", "  ")])),
+        line(1, 0, F.lit("| Repository | Grade | Critical | Warning | Info |")), line(1, 1, F.lit("|---|---|---|---|---|")), line(2, 0, F.lit("## Not scanned")),
+    )))
+    order = Window.orderBy(grade_rank(F.col("grade")), F.desc("criticals"), F.desc("warnings"), "repo")
+    rows = worst(grades, limit).withColumn("place", F.row_number().over(order) + 1)  # at most ``limit`` rows
+    rows = rows.select(F.lit(1).alias("section"), F.col("place").cast("long").alias("place"), F.concat_ws(" | ", F.concat(F.lit("| "), "repo"), "grade", *[F.col(c).cast("string") for c in ("criticals", "warnings")], F.concat(F.col("infos").cast("string"), F.lit(" |"))).alias("text"))
+    failed = errors.select(F.lit(2).alias("section"), F.lit(1).cast("long").alias("place"), F.concat(F.lit("- "), "repo", F.lit(": "), F.coalesce("label", F.lit(""))).alias("text"))
+    return head.unionByName(rows).unionByName(failed).orderBy("section", "place", "text")
 
 
 def accepts(found: Column, saved: Column, force: Column) -> Column:

@@ -75,6 +75,12 @@ def missing_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def fix_guide(findings: DataFrame) -> DataFrame:
-    """One section per rule, criticals first: name, advice, number of findings and the files. Files are counted, not listed, beyond the report's sink."""
+    """One section per rule, criticals first: name, advice, number of findings and of files; ``fix_guide_files`` lists the files."""
     grouped = findings.groupBy("rule_id", "rule_name", "rule_ord", "fix").agg(F.min(rank(F.col("severity"))).alias("severity_rank"), F.count(F.lit(1)).alias("n"), F.count_distinct("repo", "relative_path").alias("files"))
     return grouped.orderBy("severity_rank", "rule_ord").select("severity_rank", "rule_id", "rule_name", "fix", "n", "files")
+
+
+def fix_guide_files(findings: DataFrame) -> DataFrame:
+    """The files of each section of the guide, a row each however many there are: rule, file, number of findings and its first line."""
+    grouped = findings.groupBy("rule_id", "rule_ord", "repo", "relative_path").agg(F.min(rank(F.col("severity"))).alias("severity_rank"), F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"))
+    return grouped.orderBy("severity_rank", "rule_ord", "repo", "relative_path").select("rule_id", "repo", "relative_path", "severity_rank", "n", "first_line")

@@ -1,8 +1,9 @@
 """A corpus of files over the given tables: each document stands below a snippet of source code.
 
 The tables hold prose, so every document's text is put below one of our own snippets, which gives the
-file its path; JSON snippets stand alone, since text below would spoil them. All documents count, and
-``SQL`` builds the same relation in DuckDB. Pages are HTML files as they are.
+file its path. Text below a JSON snippet would spoil it, so such a document has a second, plain file. All
+documents and their whole texts count, and ``sql`` builds the same relation in DuckDB. Pages are HTML files;
+some get one of our own pieces of markup behind them.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditgrid.sources.shared import spread
+
 #: Files of one repository in the corpus.
 PER_REPO = 5
 
@@ -127,40 +130,43 @@ SNIPPETS: tuple[tuple[str, str], ...] = (
 )
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per document. The snippets are a short fixed list, so they are broadcast."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    snippets = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(SNIPPETS)], "k long, relative_path string, code string")
-    joined = docs.join(F.broadcast(snippets), F.pmod(F.col("doc_id"), F.lit(len(SNIPPETS))) == F.col("k"))
-    content = F.when(F.col("relative_path").endswith(".json"), F.col("code")).otherwise(F.concat("code", F.lit("\n"), F.coalesce("text", F.lit(""))))
-    return joined.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("repo"), F.floor(F.col("doc_id") / PER_REPO).cast("string")).alias("repo"), "relative_path", content.alias("content"))
-
-
 #: Where the text of a document goes whose snippet is JSON, and the snippet of documents without an id.
 TEXT_PATH, PLAIN = "docs/text.txt", len(SNIPPETS) - 1
+#: Ids of the second files begin here, and those of documents without an id below its negative.
+SECOND = 2**61
 
 
-def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus with every text in it; SQL knows only ``files``, so queries without SQL read this one.
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's file, and the text of those with a JSON snippet in a file of its own.
 
-    A document whose snippet is JSON has a second, plain file with its text, numbered from 2**61 on. Documents
-    without an id get the last snippet, the repository "repo" and a number below -2**61 from their text.
+    Documents without an id get the last snippet, the repository "repo" and a number from their text. The snippets
+    are a short fixed list, so they are broadcast.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     snippets = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(SNIPPETS)], "k long, relative_path string, code string")
     joined = docs.join(F.broadcast(snippets), F.coalesce(F.pmod(F.col("doc_id"), F.lit(len(SNIPPETS))), F.lit(PLAIN)) == F.col("k"))
-    unnamed = -F.lit(2**61) - F.pmod(F.xxhash64("text"), F.lit(2**61)) - 1
+    unnamed = -F.lit(SECOND) - F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long") - 1
     repo = F.concat(F.lit("repo"), F.coalesce(F.floor(F.col("doc_id") / PER_REPO).cast("string"), F.lit("")))
     json = F.col("relative_path").endswith(".json")
     one = F.struct(F.coalesce("doc_id", unnamed).alias("file_id"), F.col("relative_path"), F.when(json, F.col("code")).otherwise(F.concat("code", F.lit("\n"), "text")).alias("content"))
-    two = F.struct((F.col("doc_id") + F.lit(2**61)).alias("file_id"), F.lit(TEXT_PATH).alias("relative_path"), F.col("text").alias("content"))
+    two = F.struct((F.col("doc_id") + F.lit(SECOND)).alias("file_id"), F.lit(TEXT_PATH).alias("relative_path"), F.col("text").alias("content"))
     return joined.select(repo.alias("repo"), F.explode(F.when(json, F.array(one, two)).otherwise(F.array(one))).alias("f")).select("f.file_id", "repo", "f.relative_path", "f.content")
 
 
+#: Markup with and without what the rules about tags ask for; the page's number, modulo the list's length, names one.
+MARKUP: tuple[str, ...] = (
+    "", "<img src=\"a.png\">", "<img src=\"a.png\" alt=\"a\">", "<input type=\"text\" name=\"q\">", "<label>Name <input type=\"text\"></label>", "<button><i class=\"x\"></i></button>", "<button>ok</button>",
+    "<script src=\"https://cdn.example.org/a.js\"></script>", "<script src=\"https://cdn.example.org/a.js\" integrity=\"sha384-x\"></script>", "<div tabindex=\"3\">a</div>", "<link rel=\"stylesheet\" href=\"//cdn.example.org/a.css\">",
+    "<script>var r = /(a+)+$/;</script>", "<button\n  data-a=\"1 > 0\"\n>\n  <i></i>\n</button>", "<img\n  src='b.png'\n  class='c'>",
+)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One HTML file per page; its address' host is the repository."""
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return rows.select(F.col("page_id").cast("long").alias("file_id"), F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("repo"), F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("relative_path"), F.coalesce("html", F.lit("")).alias("content"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    more = F.element_at(F.array(*map(F.lit, MARKUP)), (F.pmod(F.col("page_id"), F.lit(len(MARKUP))) + 1).cast("int"))
+    content = F.concat(F.coalesce("html", F.lit("")), F.lit("\n"), F.coalesce(more, F.lit("")))
+    return rows.select(F.col("page_id").cast("long").alias("file_id"), F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("repo"), F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("relative_path"), content.alias("content"))
 
 
 def quote(text: str) -> str:
@@ -172,11 +178,16 @@ def sql() -> str:
     rows = ",\n  ".join(f"({i}, {quote(p)}, {quote(c)})" for i, (p, c) in enumerate(SNIPPETS))
     return f"""snippets(k, relative_path, code) AS (VALUES
   {rows}),
+numbered AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, CASE WHEN doc_id IS NULL THEN {PLAIN} ELSE ((doc_id % {len(SNIPPETS)}) + {len(SNIPPETS)}) % {len(SNIPPETS)} END AS k,
+  'repo' || coalesce(CAST(doc_id // {PER_REPO} AS VARCHAR), '') AS repo FROM documents),
 files AS (
-  SELECT d.doc_id AS file_id, 'repo' || CAST(d.doc_id // {PER_REPO} AS VARCHAR) AS repo, s.relative_path,
-         CASE WHEN s.relative_path LIKE '%.json' THEN s.code ELSE s.code || chr(10) || coalesce(d.text, '') END AS content
-  FROM documents d JOIN snippets s ON s.k = d.doc_id % {len(SNIPPETS)})"""
+  SELECT CASE WHEN doc_id IS NULL THEN -{SECOND} - CAST('0x' || substring(md5(text), 1, 15) AS BIGINT) - 1 ELSE doc_id END AS file_id, repo, relative_path,
+         CASE WHEN relative_path LIKE '%.json' THEN code ELSE code || chr(10) || text END AS content
+  FROM numbered JOIN snippets USING (k)
+  UNION ALL SELECT doc_id + {SECOND}, repo, {quote(TEXT_PATH)}, text FROM numbered JOIN snippets USING (k) WHERE relative_path LIKE '%.json')"""
 
 
-PAGES_SQL = """files AS (
-  SELECT CAST(page_id AS BIGINT) AS file_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS repo, 'page' || CAST(page_id AS VARCHAR) || '.html' AS relative_path, coalesce(html, '') AS content FROM pages)"""
+PAGES_SQL = f"""markup(k, piece) AS (VALUES {', '.join(f'({i}, {quote(m)})' for i, m in enumerate(MARKUP))}),
+files AS (
+  SELECT CAST(page_id AS BIGINT) AS file_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS repo, 'page' || CAST(page_id AS VARCHAR) || '.html' AS relative_path, coalesce(html, '') || chr(10) || piece AS content
+  FROM pages JOIN markup ON k = page_id % {len(MARKUP)})"""

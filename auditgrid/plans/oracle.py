@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from auditgrid.functions import fileclass
 from auditgrid.operators.audit import CONTENT_RULES, FILE_RULES, LINE_RULES
@@ -15,11 +15,60 @@ COLUMNS = "file_id, repo, relative_path, rule_id, severity, message, line, evide
 _SPACE = r"\s\x0b\x{A0}\x{FEFF}\x{2028}\x{2029}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 
 
+def re2(regex: str) -> str:
+    """Without possessive marks, which only spare Java stack frames."""
+    out, inside, i = [], False, 0
+    while i < len(regex):
+        c = regex[i]
+        if c == "\\":
+            out.append(regex[i : i + 2])
+            i += 2
+            continue
+        if not (c == "+" and not inside and out and out[-1] in ("*", "+", "?", "}")):
+            out.append(c)
+        inside = True if c == "[" else False if c == "]" else inside
+        i += 1
+    return "".join(out)
+
+
 def inline(regex: str, flags: str) -> str:
-    return quote(("(?i)" if "i" in flags else "") + regex)
+    return quote(("(?i)" if "i" in flags else "") + re2(regex))
+
+
+def _without(found: str, tail: str) -> Callable[[str], str]:
+    """Some match of ``found`` doesn't end in ``tail``, which ``found`` may end in."""
+    return lambda x: f"len(list_filter(regexp_extract_all({x}, {quote(found)}), lambda m: NOT regexp_matches(m, {quote(tail)}))) > 0"
+
+
+def _last(found: str, later: str) -> Callable[[str], str]:
+    """Some match of ``found`` has no ``later`` behind it: what follows the last one has a match."""
+    return lambda x: f"regexp_matches(regexp_replace({x}, {quote('^.*(?:' + later + ')')}, ''), {quote(found)})"
+
+
+def _around(found: str, words: str) -> Callable[[str], str]:
+    """Some match of ``found`` has none of ``words`` in its group."""
+    return lambda x: f"len(list_filter(regexp_extract_all({x}, {quote(found)}, 1), lambda m: NOT regexp_matches(m, {quote('(?i)' + words)}))) > 0"
+
+
+#: The same tests without looking ahead, by the expression that looks ahead.
+AHEAD: dict[str, Callable[[str], str]] = {
+    r"""['"`]http:\/\/(?!localhost|127\.0\.0\.1|0\.0\.0\.0|example\.com)[^'"`\s]+['"`]""": _around(r"""(?i)(['"`]http:\/\/[^'"`\s]+['"`])""", r"""^.http:\/\/(?:localhost|127\.0\.0\.1|0\.0\.0\.0|example\.com)"""),
+    r"\.(?:jsx|tsx|vue|svelte)$|(?:^src\/|^app\/|^pages\/(?!api\/))": lambda x: f"(regexp_matches({x}, {quote(r'(?i)\.(?:jsx|tsx|vue|svelte)$|^src\/|^app\/')}) OR (regexp_matches({x}, '(?i)^pages/') AND NOT regexp_matches({x}, '(?i)^pages/api/')))",
+    r"(?:src\/|app\/(?!api)|pages\/(?!api)|components\/|hooks\/|lib\/client|utils\/client).*\.(js|ts|jsx|tsx)$": lambda x: f"regexp_matches({x}, {quote(r'(?i)(?:src\/|(?:app|pages)\/(?:[^a]|a[^p]|ap[^i])|components\/|hooks\/|lib\/client|utils\/client).*\.(js|ts|jsx|tsx)$')})",
+    r"(?:findUnique|findMany|findFirst)\s*\(\s*\{(?:(?!select|include).)*\}\s*\)": _around(r"(?i)(?:findUnique|findMany|findFirst)\s*\(\s*\{(.*?)\}\s*\)", "select|include"),
+    r"\.find\([^)]*\)\s*(?!\s*\.select)": _without(r"\.find\([^)]*\)(?:\s*\.select)?", r"\.select$"),
+    r"\.findMany\s*\(\s*(?:\{(?:(?!take|first|last).)*\}|\s*\))": lambda x: f"(regexp_matches({x}, {quote(r'(?i)\.findMany\s*\(\s*\)')}) OR {_around(r'(?i)\.findMany\s*\(\s*\{(.*?)\}', 'take|first|last')(x)})",
+    r"\.find\s*\([^)]*\)\s*(?!.*\.limit)": _last(r"\.find\s*\([^)]*\)", r"\.limit"),
+    r"\.select\s*\([^)]*\)\s*(?!.*\.limit)": _last(r"\.select\s*\([^)]*\)", r"\.limit"),
+    r"""(?:query|execute|sql)\s*\(\s*['"`]SELECT\s+(?:(?!LIMIT).)*['"`]\s*\)""": _around(r"""(?i)(?:query|execute|sql)\s*\(\s*['"`]SELECT\s+(.*?)['"`]\s*\)""", "LIMIT"),
+    r"\.from\s*\([^)]*\)\s*\.select\s*\([^)]*\)\s*(?!.*\.limit|.*\.range)": _last(r"\.from\s*\([^)]*\)\s*\.select\s*\([^)]*\)", r"\.limit|\.range"),
+    r"(?:playground|introspection)\s*:\s*true(?!\s*&&|\s*\?|\s*\|\|)": _without(r"(?i)(?:playground|introspection)\s*:\s*true(?:\s*(?:&&|\?|\|\|))?", r"(?:&&|\?|\|\|)$"),
+}
 
 
 def matches(x: str, regex: str, flags: str = "") -> str:
+    if regex in AHEAD:
+        return AHEAD[regex](x)
     return f"regexp_matches({x}, {inline(regex, flags)})"
 
 
@@ -92,6 +141,7 @@ def content_matches(regex: str, flags: str, live: str) -> str:
 def content_rule(rule: ContentRule) -> str:
     out = []
     for p in rule.patterns:
+        pattern = p.re2 or p.regex
         tests = [f"NOT ({either(f'starts_with(line_text, {quote(c)})' for c in rule.comments)})", *(matches("text", r, f) for r, f in p.also), *(f"NOT {matches('text', r, f)}" for r, f in p.unless)]
         if rule.first_only:
             tests.append("nth = 1")
@@ -102,12 +152,12 @@ def content_rule(rule: ContentRule) -> str:
             tests.append(inside if wanted else f"NOT {inside}")
         message = quote(p.message)
         if rule.group is not None:
-            part = f"regexp_extract(text, {inline(p.regex, p.flags)}, {rule.group})"
+            part = f"regexp_extract(text, {inline(pattern, p.flags)}, {rule.group})"
             a, _, b = p.message.partition("{0}")
             message = f"{quote(a)} || {part} || {quote(b)}"
             if rule.match_unless:
                 tests.append(f"NOT {matches(part, *rule.match_unless)}")
-        out.append(f"SELECT {found(rule.id, quote(p.severity or catalog.SEVERITY[rule.id]), message, 'line', f'substring(line_text, 1, {EVIDENCE_CHARS})')} FROM ({content_matches(p.regex, p.flags, gate(rule.gates, rule.any_gate))}) WHERE {both(tests)}")
+        out.append(f"SELECT {found(rule.id, quote(p.severity or catalog.SEVERITY[rule.id]), message, 'line', f'substring(line_text, 1, {EVIDENCE_CHARS})')} FROM ({content_matches(pattern, p.flags, gate(rule.gates, rule.any_gate))}) WHERE {both(tests)}")
     body = " UNION ALL ".join(out)
     return f"SELECT DISTINCT * FROM ({body})" if rule.once_a_line else body
 

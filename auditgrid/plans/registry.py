@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditgrid.config import Config
+from auditgrid.config import CONFIG_NAME, Config
 from auditgrid.functions import fileclass
 from auditgrid.functions.text import js_trim, line_evidence, lines, shannon_entropy
 from auditgrid.operators import audit as A
@@ -19,6 +20,7 @@ from auditgrid.plans.corpus import quote
 from auditgrid.rules import catalog
 from auditgrid.sources import files as S
 from auditgrid.sources import sinks
+from auditgrid.sources.shared import shared_dir, spread
 from auditgrid.streaming import incremental
 
 COLUMNS = ["file_id", "repo", "relative_path", "rule_id", "severity", "message", "line", "evidence"]
@@ -38,18 +40,12 @@ def portable() -> tuple[str, ...]:
     return tuple(r for r in catalog.IDS if oracle.rule_sql(r))
 
 
-def _files(spark: SparkSession, sf_dir: str, rules) -> DataFrame:
-    """Every text where all rules run; the files that SQL knows where it must match."""
-    return corpus.whole_files(spark, sf_dir) if rules is ALL else corpus.files(spark, sf_dir)
-
-
 def _name(rule_id: str) -> str:
     return "rule_" + rule_id.replace("-", "_")
 
 
 def _rule(rule_id: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = corpus.files if rule_id in portable() else corpus.whole_files
-    return A.run_rules(known(spark, sf_dir), [rule_id]).select(*COLUMNS)
+    return A.run_rules(corpus.files(spark, sf_dir), [rule_id]).select(*COLUMNS)
 
 
 def _page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,15 +58,15 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
-    return A.run_rules(_files(spark, sf_dir, rules), list(rules))
+    return A.run_rules(corpus.files(spark, sf_dir), list(rules))
 
 
 def _audited(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
-    return A.audit(_files(spark, sf_dir, rules), Config(rules=tuple(rules)))
+    return A.audit(corpus.files(spark, sf_dir), Config(rules=tuple(rules)))
 
 
 def _suppressed(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
-    return A.unsuppressed(_raw(spark, sf_dir, rules), _files(spark, sf_dir, rules)).select(*COLUMNS)
+    return A.unsuppressed(_raw(spark, sf_dir, rules), corpus.files(spark, sf_dir)).select(*COLUMNS)
 
 
 def _directives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +84,7 @@ SETTINGS = '{"exclude": ["weak-hashing"], "ignore": ["components/"], "disableFor
 def _settings(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
     """Some repositories ship settings of their own."""
     repos = corpus.files(spark, sf_dir).select("repo").distinct().where(F.col("repo").endswith("3"))
-    shipped = repos.select(F.lit(-1).cast("long").alias("file_id"), "repo", F.lit(".vibe-audit.json").alias("relative_path"), F.lit(SETTINGS).alias("content"))
+    shipped = repos.select(F.lit(-1).cast("long").alias("file_id"), "repo", F.lit(CONFIG_NAME).alias("relative_path"), F.lit(SETTINGS).alias("content"))
     return A.configured(_raw(spark, sf_dir, rules), A.project_configs(shipped)).select(*COLUMNS)
 
 
@@ -113,7 +109,7 @@ def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = with_blocks(corpus.whole_files(spark, sf_dir).where(F.col("relative_path").rlike(r"(?i)\.(?:js|jsx|ts|tsx|mjs|cjs)\z")))
+    f = with_blocks(corpus.files(spark, sf_dir).where(F.col("relative_path").rlike(r"(?i)\.(?:js|jsx|ts|tsx|mjs|cjs)\z")))
     return f.select("file_id", "relative_path", "content", F.explode("blocks").alias("b")).select("file_id", "relative_path", "b.kind", "b.name", "b.exported", "b.start", "b.stop", line_evidence(F.col("content"), F.lit(1)).alias("first_line"))
 
 
@@ -129,7 +125,7 @@ def _matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.audit(corpus.whole_files(spark, sf_dir), Config(rules=("missing-auth",))).select(*COLUMNS)
+    return A.audit(corpus.files(spark, sf_dir), Config(rules=("missing-auth",))).select(*COLUMNS)
 
 
 def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +134,7 @@ def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _audited_grades(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
-    return report.repo_grades(_audited(spark, sf_dir, rules), _files(spark, sf_dir, rules))
+    return report.repo_grades(_audited(spark, sf_dir, rules), corpus.files(spark, sf_dir))
 
 
 ERRORS = (("a/b", 403, True, "x"), ("a/c", 403, None, "GitHub API error (403): You have exceeded a rate limit"), ("a/d", 403, False, "no"), ("a/e", None, None, "GitHub API error (404): gone"), ("a/f", 401, None, "x"), ("a/g", 409, None, "x"), ("a/h", None, None, "socket hang up"), ("a/i", 429, True, "x"), ("a/j", None, None, None))
@@ -173,6 +169,10 @@ def _assessed(spark: SparkSession) -> DataFrame:
     return dependencies.assess(spark.createDataFrame(TREE, "name string, version string"), registry, now)
 
 
+def _gate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assessed(spark).select("name", "version", "level")
+
+
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _assessed(spark)
     return a.select("name", "version", "level", F.array_join("reasons", "; ").alias("reasons"), F.round("age_hours", 3).alias("age_hours"), F.array_join("install_scripts", ",").alias("install_scripts"))
@@ -199,19 +199,24 @@ def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repositories of the corpus as a discovered list; reports and forks are left out, and the list is compared with a saved one."""
     repos = corpus.files(spark, sf_dir).select(F.concat(F.lit("owner/"), "repo").alias("full_name")).distinct().withColumns({"archived": F.lit(False), "fork": F.col("full_name").endswith("7")})
-    extra = spark.createDataFrame([("owner/vibeaudit-reports", False, False), ("owner/old", True, False)], "full_name string, archived boolean, fork boolean")
-    kept = portfolio.without_output(portfolio.discovered(repos.unionByName(extra)))
+    extra = spark.createDataFrame([("owner/audit-reports", False, False), ("owner/old", True, False)], "full_name string, archived boolean, fork boolean")
+    kept = portfolio.without_output(portfolio.discovered(repos.unionByName(extra)), ("audit-reports",))
     both = kept.agg(F.count(F.lit(1)).alias("found")).join(repos.agg(F.count(F.lit(1)).alias("saved")), F.lit(True))
     return both.select("found", "saved", portfolio.accepts(F.col("found"), F.col("saved"), F.lit(False)).alias("accepted"))
 
 
 def _entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{12,}"), F.lit(0))).alias("token"))
+    words = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{12,}"), F.lit(0))).alias("token"))
     return words.select("doc_id", "token", F.round(shannon_entropy(F.col("token")), 6).alias("bits"))
 
 
 def _rendered(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.RENDERERS[kind](_audited(spark, sf_dir, ALL))
+    return sinks.document(_audited(spark, sf_dir, ALL), kind).orderBy(*sinks.ORDER, "text")
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a Markdown report says besides its findings."""
+    return sinks.document(_audited(spark, sf_dir)).where("section <> 1 or place = 0").select("section", "severity_rank", "place", "text")
 
 
 def _by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,12 +231,8 @@ def _all_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
     """The corpus as a stream: files land as Parquet and each batch is audited."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="auditgrid-")
-    at = f"{base.rstrip('/')}/audit-stream-{uuid.uuid4().hex[:12]}"
-    _files(spark, sf_dir, rules).write.parquet(f"{at}/landing")
+    at = f"{shared_dir(spark)}/audit-stream-{uuid.uuid4().hex[:12]}"
+    corpus.files(spark, sf_dir).write.parquet(f"{at}/landing")
     incremental.audit_stream(incremental.file_stream(spark, f"{at}/landing"), f"{at}/findings", f"{at}/state", Config(rules=tuple(rules))).awaitTermination()
     return incremental.findings(spark, f"{at}/findings").select(*COLUMNS)
 
@@ -252,6 +253,8 @@ def _after_rules(rules) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "exit_status": lambda s, d: A.exit_status(found(s, d), strict=True),
         "silent_rules": lambda s, d: report.missing_rules(found(s, d), catalog.catalog(s)).select("rule_id"),
         "fix_guide": lambda s, d: report.fix_guide(found(s, d)),
+        "fix_guide_files": lambda s, d: report.fix_guide_files(found(s, d)),
+        "portfolio_report": lambda s, d: portfolio.report(grades(s, d), _errors(s)),
         "portfolio_worst_repos": lambda s, d: portfolio.worst(grades(s, d), 20),
         "portfolio_summary": lambda s, d: portfolio.summary(grades(s, d), _errors(s)),
         "stream_audit": partial(_streamed, rules=rules),
@@ -282,12 +285,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "npm_audit": _npm,
         "package_specs": _specs,
         "gate_packages": _gate,
+        "gate_levels": _gate_levels,
         "gate_status": _gate_status,
+        "report_sections": _sections,
         "report_json": partial(_rendered, "json"),
         "report_markdown": partial(_rendered, "markdown"),
         "report_html": partial(_rendered, "html"),
         "report_terminal": partial(_rendered, "terminal"),
-        "full_audit": lambda s, d: A.audit(corpus.whole_files(s, d)).select(*COLUMNS, "cwe_id", "cvss_score", "owasp_category", "wcag"),
+        "full_audit": lambda s, d: A.audit(corpus.files(s, d)).select(*COLUMNS, "cwe_id", "cvss_score", "owasp_category", "wcag"),
     }
 
 
@@ -301,7 +306,7 @@ def _union(rules) -> str:
 
 def _directive_sql() -> str:
     rows = "SELECT file_id, unnest(generate_series(1, len(string_split(content, chr(10))))) AS line, unnest(string_split(content, chr(10))) AS text FROM files WHERE contains(lower(content), 'audit-ignore')"
-    p = quote(A.DIRECTIVE)
+    p = quote(oracle.re2(A.DIRECTIVE))
     return f"directives AS (SELECT file_id, CAST(line + CASE WHEN regexp_extract(text, {p}, 1) <> '' THEN 1 ELSE 0 END AS INTEGER) AS target, nullif(regexp_replace(regexp_extract(text, {p}, 2), ' *, *', ',', 'g'), '') AS ids FROM ({rows}) WHERE contains(lower(text), 'audit-ignore'))"
 
 
@@ -381,4 +386,15 @@ def oracle_sql() -> dict[str, str]:
         f"FROM (SELECT *, coalesce(CAST(status AS VARCHAR), regexp_extract(coalesce(message, ''), '401|403|404|409|429')) AS code FROM {_values(ERRORS, 'repo, status, limited, message')}))",
         "portfolio_discovery": _with("SELECT found, saved, found >= saved * 0.75 AS accepted FROM (SELECT CAST(count(*) FILTER (NOT ends_with(repo, '7')) AS BIGINT) AS found, CAST(count(*) AS BIGINT) AS saved FROM (SELECT DISTINCT repo FROM files))"),
         "stream_audit": audited(f"SELECT {oracle.COLUMNS} FROM kept"),
+        "fix_guide_files": audited("SELECT rule_id, repo, relative_path, CAST(min(CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS INTEGER) AS severity_rank, CAST(count(*) AS BIGINT) AS n, min(line) AS first_line FROM findings GROUP BY rule_id, repo, relative_path"),
+        "report_sections": audited(
+            f"SELECT CAST(section AS INTEGER) AS section, CAST(severity_rank AS INTEGER) AS severity_rank, CAST(place AS INTEGER) AS place, text FROM (WITH s AS (SELECT {_COUNTS} FROM findings) "
+            "SELECT 0 AS section, 0 AS severity_rank, 0 AS place, '# Audit: grade ' || CASE WHEN critical > 0 THEN 'F' WHEN warning > 5 THEN 'D' WHEN warning > 0 THEN 'C' WHEN info > 0 THEN 'B' ELSE 'A' END AS text FROM s "
+            "UNION ALL SELECT 0, 0, 1, '| Severity | Findings |' UNION ALL SELECT 0, 0, 2, '|---|---|' UNION ALL SELECT 2, 0, 0, '## OWASP' "
+            + "".join(f"UNION ALL SELECT 0, 0, {3 + i}, '| {x} | ' || {x} || ' |' FROM s UNION ALL SELECT 1, {i}, 0, '## {x.capitalize()} (' || {x} || ')' FROM s " for i, x in enumerate(("critical", "warning", "info")))
+            + f"UNION ALL SELECT 2, 0, 1, '- ' || v.owasp_category || ' ' || label || ': ' || count(*) FROM {labels} JOIN findings f ON coalesce(f.owasp_category, 'Other') = v.owasp_category GROUP BY v.owasp_category, label)"
+        ),
+        "matcher_prefixes": "SELECT * FROM (VALUES ('/dashboard', '/dashboard'), ('/api/:path*', '/api'), ('/((?!_next).*)', '/'), ('/admin/(.*)', '/admin'), ('/a/.*', '/a'), ('plain', NULL), ('/x[0-9]', NULL), ('/', '/'), ('/b/', '/b'), ('/c$', '/c')) v(raw, prefix)",
+        "target_parser": "SELECT * FROM (VALUES ('https://github.com/o/r', 'o', 'r'), ('github.com/o/r.git', 'o', 'r'), ('o/r', 'o', 'r'), ('./x/y', NULL, NULL), ('dir/sub', 'dir', 'sub'), ('o/r/s', NULL, NULL), ('git@github.com:o/r.git', NULL, NULL), ('https://example.org/o/r', NULL, NULL), ('a b/c', NULL, NULL)) v(target, owner, repo)",
+        "gate_levels": "SELECT * FROM (VALUES ('keyv', '6.0.0', 'block'), ('left-pad', '1.3.0', 'ok'), ('fresh', '2.0.0', 'warn'), ('hooked', '1.0.0', 'warn'), ('hijack', '3.0.0', 'block'), ('lost', '1.0.0', 'warn'), ('undated', '1.0.0', 'ok'), ('edge', '1.0.0', 'ok')) v(name, version, level)",
     }

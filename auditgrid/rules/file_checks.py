@@ -76,8 +76,8 @@ def no_input_validation(path: Column, content: Column, escapers: tuple[str, ...]
     all_lines = lines(content)
 
     def dynamic(v: Column) -> Column:
-        literal = matches(v, r"^(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`\\$]|\\.|\$(?!\{))*`)\s*(?:$|[;,)}\]]|return)")
-        opened = v.startswith("`") & ~v.contains("${") & ~F.substring(v, 2, 1_000_000).contains("`") & ~v.contains("+")
+        literal = matches(v, r"^(?:'(?:[^'\\]++|\\.)*+'|\"(?:[^\"\\]++|\\.)*+\"|`(?:[^`\\$]++|\\.|\$(?!\{))*+`)\s*(?:$|[;,)}\]]|return)")
+        opened = v.startswith("`") & ~v.contains("${") & ~F.substring(v, F.lit(2), F.length(v)).contains("`") & ~v.contains("+")
         return (v != "") & ~matches(v, esc, "i") & ~literal & ~opened
 
     def one(text: Column, trimmed: Column, i: Column) -> Column:

@@ -10,7 +10,8 @@ from auditgrid.rules.scope_rules import AI_WORDS, AUTH_SKIP, AUTH_WORDS, DEMO, H
 from auditgrid.rules.spec import API, CODE, TESTS_DEPS, ContentRule, Pattern, Test, has, lacks, not_path, path
 
 MARKUP = r"\.(?:jsx|tsx|html?|vue|svelte|astro)$"
-TAG_REST = r"(?:\"[^\"]*\"|'[^']*'|`[^`]*`|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}|[^>\"'`{])*>"
+# Possessive: a group that repeats without end must not be tried again turn by turn, which costs Java a stack frame each.
+TAG_REST = r"(?:\"[^\"]*+\"|'[^']*+'|`[^`]*+`|\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}|[^>\"'`{]++)*+>"
 SPREAD = (r"\{\s*\.\.\.", "")
 _GATES = (not_path(r"(?:\.test\.|\.spec\.|__tests__|node_modules|\.stories\.)"), path(MARKUP))
 ROUTES = (r"export\s+(?:async\s+)?function\s+(?:GET|POST|PUT|PATCH|DELETE)\s*\(", r"export\s+default\s+(?:async\s+)?function\s*(?:\w+)?\s*\(\s*req\s*,\s*res\s*\)", r"(?:app|router)\.(?:get|post|put|patch|delete)\s*\(\s*['\"`]")
@@ -35,7 +36,7 @@ RULES: tuple[ContentRule, ...] = (
     ContentRule("a11y-no-lang", _GATES, (Pattern(r"<html\b" + TAG_REST, "The page names no language", None, "i", unless=(SPREAD, (r"\blang\s*=", "i"))),), first_only=True),
     ContentRule(
         "a11y-button-no-name", _GATES,
-        (Pattern(r"<button\b" + TAG_REST + r"(?:\s|<[^>]*>)*?</button>", "A button has no name", None, "i", unless=((r"^<button\b[^>]*\{\s*\.\.\.", "i"), (r"^<button\b[^>]*\b(?:aria-label|aria-labelledby|title)\s*=", "i"), (r"^<button\b[^>]*/>", "i"))),),
+        (Pattern(r"<button\b" + TAG_REST + r"(?:\s++|<(?!/button>)[^>]*+>)*+</button>", "A button has no name", None, "i", re2=r"<button\b" + TAG_REST + r"(?:\s|<[^>]*>)*?</button>", unless=((r"^<button\b[^>]*\{\s*\.\.\.", "i"), (r"^<button\b[^>]*\b(?:aria-label|aria-labelledby|title)\s*=", "i"), (r"^<button\b[^>]*/>", "i"))),),
     ),
     ContentRule(
         "a11y-click-no-keyboard", (_GATES[0], path(r"\.(?:jsx|tsx)$")),

@@ -50,7 +50,7 @@ FETCH = r"\b(?:fetch|got|axios|request|undici|(?:axios|got|http|https)\.(?:get|p
 HOST_CHECK = r"\b(?:allowedHosts|allowed_hosts|allowedDomains|allowlist|whitelist|isPrivateIP|isInternalIP|ssrf)\b|\.(?:hostname|protocol)\b"
 PASSWORD_WRITE = r"\.(?:create|update|set|add|insert|save)\s*\([^;]{0,300}?\b(?:password|passwd|hash)\s*[:,}]"
 PASSWORD_HASH = r"\b(?:hash|hashSync|genSalt|genSaltSync|scrypt|pbkdf2)\s*\("
-PASSWORD_COMPARE = r"\b(?:password|passwd)\s*[!=]==?\s*[\w.]+\.(?:password|passwd|hash)\b|\.(?:password|passwd|hash)\s*[!=]==?\s*(?:\w+\.)*(?:password|passwd)\b"
+PASSWORD_COMPARE = r"\b(?:password|passwd)\s*[!=]==?\s*[\w.]+\.(?:password|passwd|hash)\b|\.(?:password|passwd|hash)\s*[!=]==?\s*(?:\w+\.){0,40}(?:password|passwd)\b"
 RANDOM_NAMES = r"^(?:token|secret|key|code|nonce|salt|session|invite|reset|verify|confirm|otp|pin|id|uuid|guid|hash|seed|random(?:Id|Token|Key|Code|String|Bytes))"
 PROMPT_INPUT = (
     r"(?:content|prompt|message|text)\s*:\s*`[^`]*\$\{(?:req\.|request\.|body\.|params\.|query\.|input|userInput|message|prompt|user)",
@@ -60,7 +60,7 @@ PROMPT_INPUT = (
 AI_CALL = r"openai\.(?:chat\.completions|completions)\.create|anthropic\.messages\.create|\.chat\.completions\.create|generateText\s*\(|streamText\s*\(|\.generate\s*\(\s*\{"
 AI_WORDS = r"(?:openai|anthropic|generateText|streamText|completions|messages\.create)"
 DYNAMIC = ((r"^[\w.]+\s*\(\s*(?:`[^`]*\$\{|(?:'[^'\n]*'|\"[^\"\n]*\"|`[^`]*`|[\w.$\[\]]+)\s*\+(?!\+))", ""),)
-QUERY = r"\.(?:findUnique|findFirst|findMany|findOne|createMany|updateMany|deleteMany|upsert|aggregate|groupBy|execute|query)\s*\(|\b(?:prisma|db|database|supabase|knex|mongoose|pool|sql|conn|connection|repo|repository)(?:\.\w+)+\s*\("
+QUERY = r"\.(?:findUnique|findFirst|findMany|findOne|createMany|updateMany|deleteMany|upsert|aggregate|groupBy|execute|query)\s*\(|\b(?:prisma|db|database|supabase|knex|mongoose|pool|sql|conn|connection|repo|repository)(?:\.\w+){1,40}\s*\("
 
 _AUTH_GATES = (path(API), path(CODE), not_path(AUTH_SKIP), not_path(PUBLIC_ROUTE))
 _MESSAGE = "The exported handler {0} checks no user"
@@ -78,7 +78,7 @@ SCOPE_RULES: tuple[ScopeRule, ...] = (
     ScopeRule("plaintext-passwords", (path(AUTH_PATHS), path(CODE), not_path(TESTS_RULES), has(r"password|passwd")), "The function {0} compares passwords as plain text", hits=((PASSWORD_COMPARE, ""),), lacks=((r"\b(?:compare|compareSync|verify)\s*\(", "i"),)),
     ScopeRule("plaintext-passwords", (path(AUTH_PATHS), path(CODE), not_path(TESTS_RULES), has(r"password|passwd")), "The function {0} hashes a password with a broken hash", has=((r"\b(?:password|passwd|hashedPassword|passwordHash)\b", "i"),), hits=((r"\bcreateHash\s*\(\s*['\"](?:md5|sha1|sha-1)['\"]", "i"), (r"\b(?:md5|sha1)\s*\([^)]*\b(?:password|passwd)\b", "i"))),
     ScopeRule("insecure-randomness", (path(CODE), not_path(TESTS_RULES), has(r"Math\.random", "")), "The function {0} makes guessable values", has=((r"\bMath\.random\s*\(", ""),), name=RANDOM_NAMES),
-    ScopeRule("nextjs-server-action-exposure", (path(CODE), not_path(r"(?:\.test\.|\.spec\.|__tests__|node_modules|fixtures\/|src\/rules\/)")), "The server action {0} checks no user", exported=True, guarded=True, local_guards=False, any_gate=(path(r"(?:actions|server-actions?)\.(js|ts|jsx|tsx)$"), has(r"""^(?:\s|\/\/[^\n]*\n|\/\*[\s\S]*?\*\/)*['"]use server['"]""", ""))),
+    ScopeRule("nextjs-server-action-exposure", (path(CODE), not_path(r"(?:\.test\.|\.spec\.|__tests__|node_modules|fixtures\/|src\/rules\/)")), "The server action {0} checks no user", exported=True, guarded=True, local_guards=False, any_gate=(path(r"(?:actions|server-actions?)\.(js|ts|jsx|tsx)$"), has(r"""^(?:\s++|\/\/[^\n]*+\n|\/\*[\s\S]*?\*\/)*+['"]use server['"]""", ""))),
     ScopeRule("ai-prompt-injection", (path(CODE), not_path(TESTS_DEPS), has(AI_WORDS), has(AI_CALL, ""), *(Test(p, "", "content", False) for p in PROMPT_INPUT)), "The function {0} sends a request's body to a model", has=((r"\breq\.body\.", ""), (r"\b(?:create|generate|generateText|streamText)\s*\(", "i"))),
 )
 
@@ -99,7 +99,7 @@ FALLBACK_FILES: tuple[FileRule, ...] = (
     FileRule(
         "idor-vulnerability",
         (path(API), not_path(TESTS_RULES), _NOT_CODE, has(r"(?:req\.params|params|context\.params)\.\w*(?:id|Id|ID)\b|(?:req\.query|query|searchParams\.get)\s*[.(]\s*['\"`]?\w*(?:id|Id|ID)|(?:req\.body|body)\.\w*(?:id|Id|ID)\b"))
-        + lacks(r"(?:session|auth|currentUser|req\.user)(?:\.\w+)*\.(?:id|uid|userId|sub)\s*(?:===?|!==?)\s*", r"(?:===?|!==?)\s*(?:session|auth|currentUser|req\.user)(?:\.\w+)*\.(?:id|uid|userId|sub)", r"where\s*:\s*\{[^}]*(?:userId|user_id|ownerId|owner_id|createdBy)\s*:\s*(?:session|auth|user|currentUser)", r"request\.auth\.uid", r"(?:authorize|checkOwnership|isOwner|canAccess|hasAccess|checkPermission|verifyOwnership)\s*\("),
+        + lacks(r"(?:session|auth|currentUser|req\.user)(?:\.\w+){0,40}\.(?:id|uid|userId|sub)\s*(?:===?|!==?)\s*", r"(?:===?|!==?)\s*(?:session|auth|currentUser|req\.user)(?:\.\w+){0,40}\.(?:id|uid|userId|sub)", r"where\s*:\s*\{[^}]*(?:userId|user_id|ownerId|owner_id|createdBy)\s*:\s*(?:session|auth|user|currentUser)", r"request\.auth\.uid", r"(?:authorize|checkOwnership|isOwner|canAccess|hasAccess|checkPermission|verifyOwnership)\s*\("),
         (FileBranch((), "A request's id is used without checking the owner", line=(r"(?:req\.params|params|context\.params)\.\w*(?:id|Id|ID)\b|(?:req\.query|query|searchParams\.get)\s*[.(]\s*['\"`]?\w*(?:id|Id|ID)|(?:req\.body|body)\.\w*(?:id|Id|ID)\b", "i")),),
     ),
     FileRule(
@@ -113,7 +113,7 @@ FALLBACK_FILES: tuple[FileRule, ...] = (
     ),
     FileRule(
         "nextjs-server-action-exposure",
-        (path(CODE), not_path(r"(?:\.test\.|\.spec\.|__tests__|node_modules|fixtures\/|src\/rules\/)"), has(r"""^(?:\s|\/\/[^\n]*\n|\/\*[\s\S]*?\*\/)*['"]use server['"]""", ""))
+        (path(CODE), not_path(r"(?:\.test\.|\.spec\.|__tests__|node_modules|fixtures\/|src\/rules\/)"), has(r"""^(?:\s++|\/\/[^\n]*+\n|\/\*[\s\S]*?\*\/)*+['"]use server['"]""", ""))
         + lacks(r"export\s+(?:default\s+)?(?:async\s+)?(?:function|const\s+\w+\s*=\s*(?:async\s*)?(?:\(|\w+\s*(?:=>|\()))", r"(?:getServerSession|getSession|auth\(\)|require\w*auth\w*|currentUser|getUser|session\.user|clerkClient|verify\w*token)"),
         (FileBranch((), "A file of server actions checks no user", line=(r"['\"]use server['\"]", "")),),
     ),

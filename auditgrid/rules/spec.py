@@ -41,7 +41,10 @@ def lacks(*regexes: str, flags: str = "i") -> tuple[Test, ...]:
 
 @dataclass(frozen=True)
 class Pattern:
-    """severity: where it isn't the rule's. also / unless: further expressions on the same line or match. path: a further gate."""
+    """severity: where it isn't the rule's. also / unless: further expressions on the same line or match. path: a further gate.
+
+    re2: the same for engines that can't look ahead.
+    """
 
     regex: str
     message: str
@@ -50,6 +53,7 @@ class Pattern:
     also: tuple[tuple[str, str], ...] = ()
     unless: tuple[tuple[str, str], ...] = ()
     path: str | None = None
+    re2: str | None = None
 
 
 @dataclass(frozen=True)
@@ -156,3 +160,17 @@ class CodeRule:
     reach: int = 300
     inside: tuple[str, ...] = ()
     once_a_line: bool = True
+
+
+@dataclass(frozen=True)
+class UserRule:
+    """A rule of a project's own, with its row of the rules dimension; ids of the built-in rules can't be taken."""
+
+    rule: LineRule | ContentRule | FileRule | ScopeRule | CodeRule
+    severity: str
+    name: str
+    fix: str = ""
+    cwe_id: str | None = None
+    cvss_score: float | None = None
+    owasp_category: str | None = None
+    wcag: str | None = None

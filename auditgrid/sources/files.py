@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -58,9 +59,16 @@ def scan_predicate(path: Column, content: Column, ignore: tuple[str, ...] = (),
 
 
 class _Bin(InputPartition):
-    def __init__(self, paths: list[str]) -> None:
-        super().__init__(paths)
-        self.paths = paths
+    """Folders to walk and files to read, by the executor that gets them."""
+
+    def __init__(self, folders: list[str], files: list[str]) -> None:
+        super().__init__(folders)
+        self.folders, self.files = folders, files
+
+
+def file_id(repo: str, path: str) -> int:
+    """63 bits of a hash of both names."""
+    return int.from_bytes(hashlib.blake2b(f"{repo}\0{path}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
 
 
 class _FolderReader(DataSourceReader):
@@ -68,30 +76,46 @@ class _FolderReader(DataSourceReader):
         self.root = options["path"].rstrip("/")
         self.repo = options.get("repo", os.path.basename(self.root))
         self.ignore = {*PRUNED, *filter(None, (x.strip().rstrip("/") for x in options.get("ignore", "").split(",")))}
-        self.bins = int(options.get("partitions", "8"))
+        self.bins = int(options.get("partitions", "64"))
 
     def partitions(self) -> list[InputPartition]:
-        paths = []
-        for folder, names, files in os.walk(self.root):
-            names[:] = sorted(n for n in names if n not in self.ignore)
-            for f in sorted(files):
-                ext = os.path.splitext(f)[1].lower()
-                at = os.path.join(folder, f)
-                if (ext in EXTENSIONS or f in ALWAYS) and os.path.isfile(at) and 0 < os.path.getsize(at) <= MAX_BYTES:
-                    paths.append(at)
-        return [_Bin(paths[i :: self.bins]) for i in range(min(self.bins, len(paths)) or 1)]
+        """The driver lists folders level by level until there are enough to deal out; the executors walk them."""
+        folders, files = [self.root], []
+        while folders and len(folders) < self.bins:
+            below = []
+            for folder in folders:
+                for entry in os.scandir(folder):
+                    if entry.is_dir(follow_symlinks=False):
+                        if entry.name not in self.ignore:
+                            below.append(entry.path)
+                    else:
+                        files.append(entry.path)
+            folders = below
+        n = min(self.bins, len(folders) + len(files)) or 1
+        folders, files = sorted(folders), sorted(files)
+        return [_Bin(folders[i::n], files[i::n]) for i in range(n)]
+
+    def _paths(self, partition: _Bin) -> Iterator[str]:
+        yield from partition.files
+        for top in partition.folders:
+            for folder, names, files in os.walk(top):
+                names[:] = sorted(n for n in names if n not in self.ignore)
+                yield from (os.path.join(folder, f) for f in sorted(files))
 
     def read(self, partition: _Bin) -> Iterator[tuple]:
-        import zlib
-
-        for path in partition.paths:
+        for path in self._paths(partition):
+            name = os.path.basename(path)
+            if os.path.splitext(name)[1].lower() not in EXTENSIONS and name not in ALWAYS:
+                continue
             relative = os.path.relpath(path, self.root).replace(os.sep, "/")
             try:
+                if not os.path.isfile(path) or not 0 < os.path.getsize(path) <= MAX_BYTES:
+                    continue
                 with open(path, "rb") as f:
                     content = f.read().decode("utf-8", "replace")
             except OSError:
                 continue
-            yield zlib.crc32(self.repo.encode()) >> 1 << 32 | zlib.crc32(relative.encode()), self.repo, relative, content
+            yield file_id(self.repo, relative), self.repo, relative, content
 
 
 class CodeFiles(DataSource):

@@ -21,7 +21,7 @@ def lines(found, rule="weak-hashing"):
 def test_suppression(spark):
     text = "\n".join([
         MD5, MD5 + " // audit-ignore", MD5 + " // AUDIT-IGNORE weak-hashing, other", MD5 + " // audit-ignore other", "// audit-ignore-next-line", MD5, "// audit-ignore-next-line: eval-usage", MD5,
-        MD5 + " // audit-ignore-next-line", MD5, MD5 + " // vibe-audit-ignore=weak-hashing",
+        MD5 + " // audit-ignore-next-line", MD5, MD5 + " // my-audit-ignore=weak-hashing",
     ])
     assert lines(audit.audit(frame(spark, [("r", "a.js", text)]), Config(rules=RULES))) == [1, 4, 8, 9]
 
@@ -43,7 +43,7 @@ def test_config_is_coerced():
 def test_settings_of_each_project(spark):
     settings = '{"ignore": ["docs/", 7], "exclude": ["eval-usage"], "disableForPaths": {"weak-hashing": ["^lib/x.js$", null], "other": 3}, "rules": "no"}'
     code = MD5 + "\neval(x)"
-    rows = [("a", ".vibe-audit.json", settings), ("a", "docs/a.js", code), ("a", "lib/x.js", code), ("a", "src/a.js", code), ("b", "docs/a.js", code), ("c", ".vibe-audit.json", "{broken"), ("c", "a.js", code), ("d", ".vibe-audit.json", '{"rules": ["eval-usage"]}'), ("d", "a.js", code)]
+    rows = [("a", ".audit.json", settings), ("a", "docs/a.js", code), ("a", "lib/x.js", code), ("a", "src/a.js", code), ("b", "docs/a.js", code), ("c", ".audit.json", "{broken"), ("c", "a.js", code), ("d", ".audit.json", '{"rules": ["eval-usage"]}'), ("d", "a.js", code)]
     got = sorted((r.repo, r.relative_path, r.rule_id) for r in audit.audit(frame(spark, rows), Config(rules=RULES), per_project=True).collect())
     both = [(r, p, rule) for r, p in (("b", "docs/a.js"), ("c", "a.js")) for rule in ("eval-usage", "weak-hashing")]
     assert got == sorted([("a", "src/a.js", "weak-hashing"), *both, ("d", "a.js", "eval-usage")])

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from auditgrid.operators import audit, dependencies, portfolio, report
@@ -49,7 +51,8 @@ def test_renderers_escape(spark, tmp_path):
     assert "\x1b[31m<b>" not in sinks.terminal_lines(f).first().text and "<b>&'" in sinks.terminal_lines(f).first().text
     assert "&lt;b&gt;" in sinks.html_lines(f).first().text and "<b>" not in sinks.html_lines(f).first().text
     assert sinks.write_report(f, f"file://{tmp_path}/out", "json")["critical"] == 1
-    assert spark.read.json(f"file://{tmp_path}/out/findings").first().rule_id == "eval-usage"
+    text = "".join(r.value for r in spark.read.text(f"file://{tmp_path}/out/report").collect())
+    assert json.loads(text)["findings"][0]["rule_id"] == "eval-usage"
     for kind in sinks.RENDERERS:
         assert sinks.RENDERERS[kind](f.where("false")).count() == 0
 
