@@ -65,7 +65,8 @@ def rolled(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
 def minimisers(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows: distinct minimiser positions, their hashes, first and last window start that name each.
 
-    The leftmost least hash of a window is its minimiser, so positions never go back.
+    The leftmost least hash (by its upper 49 bits) of a window is its minimiser, so positions never go back. Windows
+    have fewer than 16,384 places.
     """
     g = rolled(h, gram, _BASES[0])
     wide = window - gram + 1
@@ -73,9 +74,16 @@ def minimisers(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nd
         none = np.zeros(0, np.int64)
         return none, none, none, none
     at = np.empty(len(g) - wide + 1, np.int64)
+    low = np.uint64((1 << 15) - 1)
     for i in range(0, len(at), 16384):
-        part = np.lib.stride_tricks.sliding_window_view(g[i : i + 16384 + wide - 1], wide)
-        at[i : i + len(part)] = part.argmin(axis=1) + np.arange(i, i + len(part))
+        # The least of hash and place in one number, over windows of 1, 2, 4 ... and then ``wide`` places.
+        part = g[i : i + 16384 + wide - 1]
+        least, width = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
+        while 2 * width <= wide:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        if width < wide:
+            least = np.minimum(least[: width - wide], least[wide - width :])
+        at[i : i + len(least)] = (least & low).astype(np.int64) + i
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = np.concatenate((first[1:], [len(at)])) - 1
     return at[first], g[at[first]].view(np.int64), first, last
@@ -228,6 +236,8 @@ SPAN_DDL = "doc_id long, tag long, lo int, hi int"
 def long_matches(stats: list[int], window: int) -> list[tuple[int, int]]:
     """Maximal spans [lo, hi) of words that windows cover which end where the statistic reaches ``window``."""
     out: list[tuple[int, int]] = []
+    if max(stats) < window:
+        return out
     for i in range(window - 1, len(stats)):
         if stats[i] >= window:
             if out and out[-1][1] >= i - window + 1:
