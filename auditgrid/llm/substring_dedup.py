@@ -52,11 +52,22 @@ def wide_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def rolled(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
-    """A hash of every ``width`` consecutive values, equal for equal sequences."""
-    n = len(h) - width + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for i in range(width):
-        out = out * base + h[i : n + i]
+    """A hash of every ``width`` consecutive values, equal for equal sequences.
+
+    A polynomial in ``base``: that of a + b values is made of those of a and of b, so widths double.
+    """
+    if len(h) < width:
+        return np.zeros(0, np.uint64)
+    out, done = np.zeros(len(h) + 1, np.uint64), 0
+    part, size = h, 1
+    while True:
+        power = np.uint64(pow(int(base), size, 2**64))
+        if width & size:
+            n = len(h) - done - size + 1
+            out, done = out[:n] * power + part[done : done + n], done + size
+        if done == width:
+            break
+        part, size = part[:-size] * power + part[size:], 2 * size
     out ^= out >> np.uint64(31)
     out *= _MIX
     return out ^ (out >> np.uint64(29))
@@ -147,14 +158,15 @@ def _contexts(window: int):
                 words = (raw or b"").split()
                 joined = b" ".join(words)
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                h: np.ndarray | None = None
+                hashes: np.ndarray | None = None
                 for j in range(bounds[k], bounds[k + 1]):
                     lo, hi = int(los[j]), int(his[j])
                     part = joined[ends[lo - 1] if lo else 0 : ends[hi + window - 1] - 1]
                     if crowds[j]:
-                        h = wide_hashes(words) if h is None else h
-                        span = h[lo : hi + window]
-                        pairs.append(np.stack([rolled(span[:, i], window, b).view(np.int64) for i, b in enumerate(_BASES)], axis=1))
+                        if hashes is None:  # of all windows at once: array steps cost more than their values
+                            wide = wide_hashes(words)
+                            hashes = np.stack([rolled(wide[:, i], window, b).view(np.int64) for i, b in enumerate(_BASES)], axis=1)
+                        pairs.append(hashes[lo : hi + 1].copy())
                         context = hashlib.blake2b(part, digest_size=16).digest()
                         one, two = (int.from_bytes(context[i : i + 8], "big", signed=True) for i in (0, 8))
                         rows.append((doc, tag, one, two, lo, None))
