@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditgrid.llm import ball_kmeans, best_fit_packing, bpe_replay, chat_template, exact_dedup, language_id, mixing, quality_bands, simhash, substring_dedup, token_transducer, toxicity
+from auditgrid.llm import ball_kmeans, best_fit_packing, bpe_replay, chat_template, exact_dedup, language_id, mixing, prefix_trie, quality_bands, simhash, substring_dedup, token_transducer, toxicity
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_word_backoff": language_id.op10_word_backoff,
         "op11_pareto_mix": mixing.op11_pareto_mix,
         "op12_ball_kmeans": ball_kmeans.op12_ball_kmeans,
+        "op13_family_trie": prefix_trie.op13_family_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_block_naming": exact_dedup.SQL, "op11_pareto_mix": mixing.SQL, "op12_ball_kmeans": ball_kmeans.SQL}
+    return {"op5_block_naming": exact_dedup.SQL, "op11_pareto_mix": mixing.SQL, "op12_ball_kmeans": ball_kmeans.SQL, "op13_family_trie": prefix_trie.SQL}
