@@ -169,7 +169,7 @@ def _sums_before(values: Column) -> Column:
     return let(blocks, lambda bs: F.flatten(F.zip_with(bs, running(F.transform(bs, total), zero), running)))
 
 
-def _marked(content: Column, pattern: Column) -> Column:
+def marked(content: Column, pattern: Column) -> Column:
     """The content cut behind each match, the matches' beginnings marked: one search through the content."""
     return F.split(F.regexp_replace(F.translate(content, _BEGIN + _END, "  "), pattern, F.lit(f"{_BEGIN}$0{_END}")), _END, -1)
 
@@ -178,7 +178,7 @@ def match_starts(content: Column, pattern: str, flags: str = "") -> Column:
     """``array<int>``: where matches begin, in order. Patterns must not match nothing or look behind."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     add = lambda a, p: F.when(p.contains(_BEGIN), F.struct((a["at"] + F.length(p) - 1).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(F.substring_index(p, _BEGIN, 1)))).alias("out"))).otherwise(a)
-    return F.aggregate(_marked(content, F.lit(js_regex(pattern, flags))), start, add)["out"]
+    return F.aggregate(marked(content, F.lit(js_regex(pattern, flags))), start, add)["out"]
 
 
 def match_offsets(content: Column, pattern: Column | str, flags: str = "") -> Column:
@@ -191,7 +191,7 @@ def match_offsets(content: Column, pattern: Column | str, flags: str = "") -> Co
     size = lambda h: F.struct((F.length(h["gap"]) + F.length(h["text"])).alias("chars"), (feeds(h["gap"]) + feeds(h["text"])).alias("lines"))
     place = lambda h, s: F.struct((s["chars"] + F.length(h["gap"])).alias("off"), (s["lines"] + feeds(h["gap"]) + 1).alias("line"), h["text"].alias("text"))
     placed = lambda hits: F.zip_with(hits, let(F.transform(hits, size), _sums_before), place)
-    return let(_marked(content, F.lit(js_regex(pattern, flags)) if isinstance(pattern, str) else pattern), lambda ps: F.when(F.size(ps) > 1, let(F.transform(F.slice(ps, 1, F.size(ps) - 1), cut), placed)).otherwise(F.array().cast("array<struct<off:int,line:int,text:string>>")))
+    return let(marked(content, F.lit(js_regex(pattern, flags)) if isinstance(pattern, str) else pattern), lambda ps: F.when(F.size(ps) > 1, let(F.transform(F.slice(ps, 1, F.size(ps) - 1), cut), placed)).otherwise(F.array().cast("array<struct<off:int,line:int,text:string>>")))
 
 
 def shannon_entropy(text: Column) -> Column:

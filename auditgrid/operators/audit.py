@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditgrid.config import CONFIG_NAME, Config
 from auditgrid.functions.text import js_trim, lines, matches
-from auditgrid.operators.blocks import with_blocks
+from auditgrid.operators.blocks import quieted
 from auditgrid.operators.match import code_findings, content_findings, file_findings, guarded, line_findings
 from auditgrid.rules import catalog, content_rules, file_checks, file_rules, line_rules, markup_rules, scope_rules
 from auditgrid.rules.spec import UserRule
@@ -121,7 +121,7 @@ def route_url(path: Column) -> Column:
 
 def middleware(files: DataFrame) -> DataFrame:
     """``(repo, prefixes)`` of repositories whose last middleware file checks users and has plain matchers."""
-    rows = with_blocks(files.where(matches(F.col("relative_path"), MIDDLEWARE, "i")))
+    rows = quieted(files.where(matches(F.col("relative_path"), MIDDLEWARE, "i")))
     code = F.col("code")
     listed = F.regexp_extract(code, r"\bmatcher['\"]?\s*:\s*(\[[^\]]*\]|'[^'\n]*'|\"[^\"\n]*\")", 1)
     raw = F.transform(F.regexp_extract_all(listed, F.lit(r"'[^'\n]*'|\"[^\"\n]*\""), F.lit(0)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))

@@ -1,192 +1,173 @@
-"""Blocks of script files: functions, iteration callbacks and loops with their places.
+"""Scopes of script files: functions, iteration callbacks and loops with their places.
 
-A small scanner blanks comments, strings and regular expressions and pairs braces; all that rules ask about a block is then an
-expression on ``code`` and ``blocks``, so "in the same function" is a test on one substring.
+``quiet`` blanks comments, strings, templates and regular expressions by one search on the JVM. What is left is
+code whose brackets pair, so a small helper takes scopes from it with a stack, in linear time. All that rules ask
+about a scope is then an expression or a join on ``scope_table``. The patterns are plain enough for other engines
+too: ``plans/oracle.py`` finds the same scopes with window functions.
 """
 
 from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from auditgrid.functions.text import js_regex, marked
 from auditgrid.schema import KEYS
 
 log = logging.getLogger(__name__)
 
-#: Comments, strings (an apostrophe behind a letter begins none), templates, what may be a regular expression, and braces.
-_TOKEN = re.compile(r"//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*)|(?<!\w)'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`|/(?![*/>])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*|[{}]")
-_TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{")
+STRING = r"\"(?:\\[^\n]|[^\"\\\n])*+\"|'(?:\\[^\n]|[^'\\\n])*+'"
+TEMPLATE = r"`(?:\\[\s\S]|\$\{(?:[^`{}]++|\{(?:[^`{}]++|`[^`]{0,500}+`){0,200}+\}|`[^`]{0,500}+`){0,200}+\}|[^`\\$]++|\$)*+`"
+_CLASS = r"\[(?:\\[^\n]|[^\]\\\n]){0,100}+\]"
+_EXPRESSION = rf"/(?:\\[^\n]|{_CLASS}|[^/\\\[\n*>])(?:\\[^\n]|{_CLASS}|[^/\\\[\n])*+/[a-z]*+"
 #: What stands before a regular expression; behind anything else, a slash divides or closes a tag.
-_OPERAND = re.compile(r"(?:^|[(,=:\[!&|?{;+\-*%~^]|=>|\b(?:return|typeof|case|in|of|delete|void|throw|new|else|do|await|yield))\s*\Z")
-_NOT_FEED = re.compile(r"[^\n]")
-_FUNCTION = re.compile(
-    r"(?P<export>\bexport\s+(?:default\s+)?)?(?:\basync\s+)?\bfunction\b\s*\*?\s*(?P<name>\w*)"
-    r"|(?P<export2>\bexport\s+)?\b(?:const|let|var)\s+(?P<name2>\w+)\s*(?::[^=;{}]{1,200})?=\s*(?P<wrap>[\w.]+\s*\(\s*)?(?:async\s*)?(?=\(|\w+\s*=>|function\b)"
-    r"|(?P<export3>\bexport\s+)const\s+(?P<name3>[A-Z]+)\s*=\s*(?P<call>[\w.]+\s*)(?=\()"
-    r"|(?P<iter>\.\s*(?:map|forEach|reduce|reduceRight|filter|flatMap|some|every|find|findIndex)\s*\(\s*)(?:async\s*)?(?=\(|\w+\s*=>|function\b)"
-    r"|(?P<loop>\b(?:for\s*(?P<wait>await\s*)?|while\s*)(?=\()|\bdo\s*(?=\{))"
-    r"|(?P<method>\b(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b|await\b)\w+\s*)(?=\([^()]*\)\s*\{)"
-    r"|(?P<arrow>(?:\([^()]*\)|\b\w+)\s*(?::[^=;{}()]{1,200})?(?==>))"
-)
+_BEFORE = r"(?:[(,=:\[!&|?{;+\-*%~^]|=>|\b(?:return|typeof|case|in|of|delete|void|throw|new|else|do|await|yield))"
+#: Comments; strings; a letter's apostrophe, which begins none; templates; regular expressions with what stands before
+#: them, or with a call of their own behind a bracket; arrows; and text between tags with one accent in it.
+LEX = "|".join((
+    r"//[^\n]*+|/\*[\s\S]*?\*/|/\*[\s\S]*+", STRING, r"\w'", TEMPLATE, rf"{_BEFORE}\s*+{_EXPRESSION}", rf"\)\s*+{_EXPRESSION}\.(?:test|exec)\(", "=>", r">[^<>{}`=;\n]*+`[^<>{}`=;\n]*+</",
+))
+#: A template's values that stay code: those without texts of their own.
+VALUE = r"\$\{(?:[^{}`'\"]++|\{[^{}`'\"]*+\})*+\}"
+
+_S = r"\s*+"
+_N = r"[\w$]{1,200}+"
+_P = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
+_A = r"<(?:[^<>()=;]++|=>?|\([^()]*+\)|<(?:[^<>()=;]++|=>?|\([^()]*+\)|<[^<>()=;]*+>)*+>)*+>"
+_O = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
+_UNIT = rf"(?:{_O}|(?:[\w.$]++(?:\s++is\s++[\w.$]++)?+|\"[^\"\n]*+\"|'[^'\n]*+'){_S}(?:{_A})?+|{_P}{_S}=>{_S}[\w.$]++(?:{_A})?+)(?:\[[^\]]*+\])*+"
+_T = rf"(?::{_S}(?:asserts\s++)?{_UNIT}(?:{_S}[|&]{_S}{_UNIT})*+)?+"
+_ARROW = rf"(?:\basync\b{_S})?(?:(?:{_A}{_S})?+{_P}{_S}{_T}|{_N}){_S}=>{_S}\{{?+"
+_FUNCTION = rf"(?:\basync\s++)?\bfunction\b{_S}\*?{_S}[\w$]{{0,200}}+{_S}(?:{_A})?+{_S}{_P}{_S}{_T}{_S}\{{"
+_WRAP = rf"(?:[\w$.]{{1,200}}+{_S}(?:{_A})?+\({_S}){{0,3}}"
+#: Where loops and functions begin, and the marks that end them. A beginning runs up to its brace or arrow.
+SCOPE = "|".join((
+    rf"\b(?:for|while){_S}{_P}{_S}\{{|\bdo{_S}\{{", rf"\bfor\s++await{_S}{_P}{_S}\{{?+", rf"\}}{_S}while{_S}{_P}{_S}[;\n]", rf"\b(?:for|while){_S}{_P}{_S}",
+    rf"\b(?:if|switch|catch|with){_S}{_P}{_S}\{{",
+    rf"(?:\bexport\s++)?\b(?:const|let|var)\s++{_N}{_S}(?::[^=;{{}}]{{1,200}}+)?+={_S}{_WRAP}(?:{_FUNCTION}|{_ARROW})",
+    rf"\bexport\s++default\s++{_WRAP}(?:{_FUNCTION}|{_ARROW})", rf"(?:\bexport\s++)?{_FUNCTION}",
+    rf"\bexport\s++const\s++[A-Z]++{_S}={_S}[\w.]++{_S}\(",
+    rf"\.{_S}(?:map|forEach|reduce|reduceRight|filter|flatMap|some|every|find|findIndex){_S}(?:{_A})?+\({_S}(?:{_FUNCTION}|{_ARROW})",
+    rf"\b{_N}{_S}(?:{_A})?+{_S}{_P}{_S}{_T}{_S}\{{", rf"\b{_ARROW}|{_ARROW}", r"[(){}\[\];,]", r"\n[ \t]{0,200}+[.?:&|+]", r"\n",
+))
+#: What a beginning's text tells, in the order in which it is asked.
+LOOP, NO_SCOPE = r"^(?:for|while|do)\b", r"^(?:for\s+await|if|switch|catch|with)\b"
+NAMES = (r"^(?:export\s+)?(?:const|let|var)\s+([\w$]+)", r"\bfunction\b\s*\*?\s*([\w$]+)", r"^([\w$]+)\s*[(<][\s\S]*(?:[^>\s]|[^=]>)\s*\{$")
+#: The part of a beginning before its value; a call there belongs to the function.
+HEAD, CALL, OWN = r"^(?:export\s+)?(?:(?:const|let|var)\s+[\w$]+\s*(?::[^=;{}]{1,200})?=|default\s)\s*", r"^[\w$.]+\s*(?:<[^<>()]*>)?\(", r"^(?:async|function)\b"
+_SCOPE = re.compile(SCOPE, re.ASCII)
+_ASKED = {k: re.compile(v, re.ASCII) for k, v in {"loop": LOOP, "none": NO_SCOPE, "head": HEAD, "call": CALL, "own": OWN}.items()}
+_NAMES = tuple(re.compile(n, re.ASCII) for n in NAMES)
+
 BLOCK = pa.struct([("kind", pa.string()), ("name", pa.string()), ("exported", pa.bool_()), ("head", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
-BLOCKS_DDL = "array<struct<kind:string,name:string,exported:boolean,head:int,start:int,stop:int>>"
+BLOCKS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("exported", T.BooleanType()), *(T.StructField(n, T.IntegerType()) for n in ("head", "start", "stop"))]))
+
 
+def _blank(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^\n]", " ")
 
-def quiet(content: str) -> tuple[str, str]:
-    """The content with blanks for comments, and with blanks for the insides of strings, templates and regular expressions as well.
 
-    Code inside a template's ``${}`` stays code.
+def quiet(content: Column) -> Column:
+    """``array<struct<code, plain>>`` whose parts make up the content with blanks for comments, and with blanks for the insides of strings, templates and regular expressions as well.
+
+    Values in a template stay code where they hold no texts of their own.
     """
-    code: list[str] = []
-    plain: list[str] = []
-    depths: list[int] = []  # of braces, inside each template that is open
-    at = 0
-
-    def take(to: int, in_code: bool = True, in_plain: bool = True) -> None:
-        nonlocal at
-        part = content[at:to]
-        blank = part if in_code and in_plain else _NOT_FEED.sub(" ", part)
-        code.append(part if in_code else blank)
-        plain.append(part if in_plain else blank)
-        at = to
-
-    def template() -> None:
-        """From behind a template's beginning, or a value in it, to its end or its next value."""
-        pos = at
-        while m := _TEMPLATE.search(content, pos):
-            if m[0] in ("`", "${"):
-                take(m.start(), True, False)
-                take(m.end())
-                if m[0] == "${":
-                    depths.append(0)
-                return
-            pos = m.end()
-        take(len(content), True, False)
-
-    pos = 0
-    while m := _TOKEN.search(content, pos):
-        token, start, end = m[0], m.start(), m.end()
-        if token[0] == "/" and token[:2] not in ("//", "/*") and not _OPERAND.search(content[max(0, start - 24) : start]):
-            pos = start + 1
+
+    def part(p: Column) -> Column:
+        gap, token = F.substring_index(p, "\x02", 1), F.substring_index(p, "\x02", -1)
+        first, size = F.substring(token, 1, 1), F.length(token)
+        comment = F.substring(token, 1, 2).isin("//", "/*")
+        inside = F.substring(token, F.lit(2), size - 2)
+        values = F.regexp_extract_all(inside, F.lit(VALUE), F.lit(0))
+        template = F.array_join(F.zip_with(F.split(inside, VALUE, -1), values, lambda a, v: F.concat(_blank(a), F.coalesce(v, F.lit("")))), "")
+        head, tail = F.regexp_extract(token, r"^[^/]*/", 0), F.regexp_extract(token, r"/[a-z]*(?:\.(?:test|exec)\()?\z", 0)
+        regex = F.concat(head, _blank(F.substring(token, F.length(head) + 1, size - F.length(head) - F.length(tail))), tail)
+        kept = (first == ">") | (token == "=>") | ((size == 2) & token.endswith("'") & ~first.isin("'", '"'))
+        plain = F.when(comment, _blank(token)).when(first.isin("'", '"'), F.concat(first, _blank(inside), first)).when(first == "`", F.concat(first, template, first)).when(kept, token).otherwise(regex)
+        code = F.when(comment, _blank(token)).otherwise(token)
+        return F.when(p.contains("\x02"), F.struct(F.concat(gap, code).alias("code"), F.concat(gap, plain).alias("plain"))).otherwise(F.struct(p.alias("code"), p.alias("plain")))
+
+    return F.transform(marked(content, F.lit(js_regex(LEX))), part)
+
+
+def _place(text: str, at: int) -> int:
+    """Where a function's code begins: at its brace, behind its arrow, or at the call that wraps it."""
+    head = _ASKED["head"].match(text)
+    rest = text[head.end() :] if head else ""
+    if head and _ASKED["call"].match(rest) and not _ASKED["own"].match(rest):
+        return at + head.end()
+    return at + len(text) - (text[-1] == "{")
+
+
+def scopes(plain: str) -> list[dict]:
+    """The scopes of quiet code, by place; one without an end runs to the end of the text."""
+    out: list[dict] = []
+    stack: list[dict | None] = []  # of the open brackets, the scope that each belongs to
+    short: list[tuple[int, dict]] = []  # scopes without braces, and how deep they are
+    depth = 0
+
+    def end(above: int, at: int) -> None:
+        while short and short[-1][0] > above:
+            short.pop()[1]["stop"] = at
+
+    for m in _SCOPE.finditer(plain):
+        text, at = m[0], m.start()
+        last = text[-1]
+        if text[0] in ")]}":
+            depth -= 1
+            end(depth, at)
+            if stack and (scope := stack.pop()):
+                scope["stop"] = at + 1
             continue
-        if token == "`" and not depths and "`" not in content[end:]:
-            pos = end  # an accent in prose
+        if text in (";", ",", "\n"):
+            end(depth - 1, at)
             continue
-        take(start)
-        if token[:2] in ("//", "/*"):
-            take(end, False, False)
-        elif token[0] in "'\"/":
-            take(start + 1)
-            take(end - 1, True, False)
-            take(end)
-        else:
-            take(end)
-            if token == "`":
-                template()
-            elif depths and token == "{":
-                depths[-1] += 1
-            elif depths and depths[-1]:
-                depths[-1] -= 1
-            elif depths:
-                depths.pop()
-                template()
-        pos = at
-    take(len(content))
-    return "".join(code), "".join(plain)
-
-
-def _pairs(plain: str) -> dict[int, int]:
-    """Place after the partner of each opening bracket; unclosed ones end with the text."""
-    out, open_ = {}, []
-    for m in re.finditer(r"[(){}]", plain):
-        if m[0] in "({":
-            open_.append(m.start())
-        else:
-            want = "(" if m[0] == ")" else "{"
-            while open_ and plain[open_[-1]] != want:
-                out[open_.pop()] = m.start()
-            if open_:
-                out[open_.pop()] = m.end()
-    return out | {i: len(plain) for i in open_}
-
-
-def _body(plain: str, at: int, pairs: dict[int, int]) -> tuple[int, int] | None:
-    """From behind a head to the body's place: past parameters, a type and an arrow."""
-    at = len(plain) - len(plain[at:].lstrip())
-    if plain.startswith("function", at):
-        at = plain.find("(", at)
-    if 0 <= at < len(plain) and plain[at] == "(":
-        at = pairs.get(at, len(plain))
-    m = re.compile(r"\s*\w*\s*(?::[^=;{}]{1,200})?\s*(=>)?\s*").match(plain, max(at, 0))
-    at = m.end() if m else at
-    if at < len(plain) and plain[at] == "{":
-        return at, pairs.get(at, len(plain))
-    if m and m[1]:  # an expression ends with its statement, or with the bracket around it
-        depth, i = 0, at
-        while i < len(plain) and not (depth == 0 and plain[i] in ";,)}\n" and plain[at:i].strip()):
-            if plain[i] in "({":
-                i = pairs.get(i, len(plain))
-                continue
-            i += 1
-        return at, i
-    return None
-
-
-def blocks(content: str) -> tuple[str, list[dict]]:
-    """Code without comments (as long as ``content``), and its blocks by place."""
-    code, plain = quiet(content)
-    pairs = _pairs(plain)
-    out, taken = [], set()
-    for m in _FUNCTION.finditer(plain):
-        kind = "loop" if m["loop"] else "callback" if m["iter"] else "function"
-        if m["wait"]:
+        if text[0] == "\n":
             continue
-        if m["loop"] and not m["loop"].startswith("do"):
-            at = pairs.get(m.end(), len(plain))
-            start = at + len(plain[at:]) - len(plain[at:].lstrip())
-            place = (start, pairs.get(start, len(plain)) if plain[start : start + 1] == "{" else _statement_end(plain, start))
-        elif m["call"]:
-            place = (m.start("call"), pairs.get(m.end(), len(plain)))
+        opened = sum(text.count(o) - text.count(c) for o, c in ("()", "[]", "{}"))
+        depth += opened
+        scope = None
+        if len(text) > 1 and not _ASKED["none"].match(text):
+            loop = _ASKED["loop"].match(text)
+            kind = "loop" if loop else "callback" if text[0] == "." else "function"
+            named = "" if loop else next((n[1] for p in _NAMES if (n := p.search(text))), "default" if text.startswith("export") else "anonymous")
+            start = at + len(text) - (last == "{") if loop else _place(text, at)
+            scope = {"kind": kind, "name": named or "anonymous", "exported": text.startswith("export"), "head": at, "start": start, "stop": len(plain)}
+            out.append(scope)
+        if last in "{(":
+            stack += [None] * (opened - 1) + [scope]
         else:
-            place = _body(plain, m.end(), pairs)
-            if place and m["wrap"]:  # the wrapping call belongs to the function
-                place = (m.start("wrap"), pairs.get(m.end("wrap") - 1 - len(m["wrap"]) + len(m["wrap"].rstrip()), place[1]))
-        if place is None or place[0] in taken:
-            continue
-        taken.add(place[0])
-        name = m["name"] or m["name2"] or m["name3"] or (m["method"] or "").strip() or "anonymous"
-        out.append({"kind": kind, "name": name, "exported": bool(m["export"] or m["export2"] or m["export3"]), "head": m.start() + len(m[0]) - len(m[0].lstrip()), "start": place[0], "stop": place[1]})
-    return code, out
+            stack += [None] * opened
+            if scope:
+                short.append((depth, scope))
+    return out
 
 
-def _statement_end(plain: str, start: int) -> int:
-    """End of a statement without braces."""
-    ends = [i for i in (plain.find(";", start), plain.find("\n", start)) if i >= 0]
-    return min(ends, default=len(plain))
-
-
-def _safe_blocks(content: str) -> tuple[str, list[dict]]:
-    """A file that the scanner fails on has no blocks, and the audit goes on."""
+def _safe_scopes(plain: str | None) -> list[dict]:
+    """A file that the helper fails on has no scopes, and the audit goes on."""
     try:
-        return blocks(content)
+        return scopes(plain) if plain else []
     except Exception:
-        log.exception("a script of %d characters could not be scanned", len(content))
-        return content, []
+        log.exception("a script of %d characters could not be scanned", len(plain))
+        return []
 
 
-def with_blocks(files: DataFrame) -> DataFrame:
-    """``files`` (their keys and content) with code and blocks. No shuffle; a null content has none, nor has one that can't be scanned."""
-    columns = [*KEYS, "content"]
+@F.arrow_udf(BLOCKS)
+def _scopes(plain: pa.Array) -> pa.Array:
+    return pa.array([_safe_scopes(x.as_py()) for x in plain], pa.list_(BLOCK))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                found = [_safe_blocks(c) if c else (c, []) for c in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(BLOCK))], names=[*columns, "code", "blocks"])
 
-    return files.select(*columns).mapInArrow(run, f"file_id long, repo string, relative_path string, content string, code string, blocks {BLOCKS_DDL}")
+def quieted(files: DataFrame) -> DataFrame:
+    """``files`` (their keys and content) with code and plain: without comments, and without texts as well."""
+    return files.select(*KEYS, "content", F.explode(F.array(quiet(F.col("content")))).alias("q")).select(*KEYS, "content", F.array_join("q.code", "").alias("code"), F.array_join("q.plain", "").alias("plain"))
+
+
+def with_blocks(files: DataFrame) -> DataFrame:
+    """``files`` (their keys and content) with code and blocks. No shuffle; a null content has none."""
+    rows = quieted(files)
+    return rows.select(*KEYS, "content", "code", _scopes(F.col("plain")).alias("blocks"))

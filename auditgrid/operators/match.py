@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditgrid.functions import fileclass
-from auditgrid.functions.text import first_line, first_match_line, js_regex, js_trim, line_evidence, line_of, lines, match_offsets, match_starts, matches, may_match, remembered
-from auditgrid.operators.blocks import with_blocks
+from auditgrid.functions.text import evidence, first_line, first_match_line, js_regex, js_trim, line_evidence, line_of, lines, match_offsets, match_starts, matches, may_match, remembered
+from auditgrid.operators import scopes
+from auditgrid.operators.blocks import BLOCKS, with_blocks
 from auditgrid.rules.scope_rules import AUTH_GUARD, GUARD_HINT, GUARD_MEMBER
 from auditgrid.rules.spec import CODE, CodeRule, ContentRule, FileRule, LineRule, Pattern, ScopeRule, Test
 from auditgrid.schema import EVIDENCE_CHARS, FOUND_DDL, KEYS
@@ -287,28 +288,58 @@ def _scope_rule(rule: ScopeRule, order: int, severity: str, guards: tuple[str, .
 @remembered
 def _code_rule(rule: CodeRule, order: int, severity: str) -> Column:
     content, code = F.col("content"), F.col("code")
-
-    def inside(off: Column) -> Column:
-        around = F.filter("blocks", lambda b: (b["start"] <= off) & (off < b["stop"]))
-        if "any" in rule.inside:
-            return F.exists(around, lambda b: b["kind"] != "loop")
-        inner = F.array_max(F.transform(around, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"))))
-        return F.coalesce(inner["kind"].isin(*rule.inside), F.lit(False))
-
-    def asked(off: Column) -> Column:
-        rest = F.substring(code, off + 1, F.lit(rule.reach))
-        tests = [matches(rest, r, f) for r, f in rule.also] + [~matches(rest, r, f) for r, f in rule.unless]
-        return every(tests + ([inside(off)] if rule.inside else []))
-
-    at = F.transform(F.filter(match_starts(code, rule.regex, rule.flags), asked), lambda off: line_of(content, off))
+    at = F.transform(F.filter(match_starts(code, rule.regex, rule.flags), _asked_of(rule)), lambda off: line_of(content, off))
     if rule.once_a_line:
         at = F.array_distinct(at)
     out = F.transform(at, lambda line, i: found(rule.id, severity, rule.message, line, line_evidence(content, line), F.lit(order * 10_000_000) + i))
     return F.when(gate(rule.gates, ()) & matches(code, rule.regex, rule.flags, F.col("low")), out)
 
 
-def code_findings(files: DataFrame, scopes: Sequence[ScopeRule], codes: Sequence[CodeRule], severities: dict[str, str], guards: Sequence[str] = ()) -> DataFrame:
-    """Findings about functions, loops and calls of script files, in one pass."""
+def _asked_of(rule: CodeRule) -> Callable[[Column], Column]:
+    def asked(off: Column) -> Column:
+        rest = F.substring(F.col("code"), off + 1, F.lit(rule.reach))
+        return every([matches(rest, r, f) for r, f in rule.also] + [~matches(rest, r, f) for r, f in rule.unless])
+
+    return asked
+
+
+@remembered
+def _spots(rule: CodeRule, number: int) -> Column:
+    """The matches of a rule that asks for the scope around them."""
+    code, asked = F.col("code"), _asked_of(rule)
+    hits = F.filter(match_offsets(code, rule.regex, rule.flags), lambda m: asked(m["off"]))
+    spots = F.transform(hits, lambda m: F.struct(m["off"].alias("pos"), F.lit(number).alias("rule"), m["line"].alias("line"), evidence(F.element_at("ls", m["line"])).alias("shown"), F.lit(None).cast(_FOUND).alias("f")))
+    return F.when(gate(rule.gates, ()) & matches(code, rule.regex, rule.flags, F.col("low")), spots)
+
+
+_FOUND = FOUND_DDL.removeprefix("array<").removesuffix(">")
+_SPOT = f"struct<pos:int,rule:int,line:int,shown:string,f:{_FOUND}>"
+
+
+def code_findings(files: DataFrame, scope_rules: Sequence[ScopeRule], codes: Sequence[CodeRule], severities: dict[str, str], guards: Sequence[str] = ()) -> DataFrame:
+    """Findings about functions, loops and calls of script files, in one pass.
+
+    Rules that ask for the scope around a match get it from ``scopes.enclosed``: their matches and the scopes of
+    those files are shuffled by file, and what the other rules have found goes along.
+    """
     rows = lowered(with_blocks(files.where(matches(F.col("relative_path"), CODE, "i"))))
-    arrays = [_scope_rule(r, i, severities[r.id], tuple(guards)) for i, r in enumerate(scopes)] + [_code_rule(r, len(scopes) + i, severities[r.id]) for i, r in enumerate(codes)]
-    return exploded(rows, arrays)
+    inside = [(i, r) for i, r in enumerate(codes) if r.inside]
+    arrays = [_scope_rule(r, i, severities[r.id], tuple(guards)) for i, r in enumerate(scope_rules)] + [_code_rule(r, len(scope_rules) + i, severities[r.id]) for i, r in enumerate(codes) if not r.inside]
+    if not inside:
+        return exploded(rows, arrays)
+    rows = once(rows, "ls", lines(F.col("content")))
+    rows = once(rows, "spots", F.flatten(F.array_compact(F.array(*[_spots(r, n) for n, (_, r) in enumerate(inside)]))).cast(f"array<{_SPOT}>"))
+    events = F.when(F.size("spots") > 0, scopes.events(F.col("blocks"), F.col("spots"), _SPOT)).otherwise(scopes.events(F.array().cast(BLOCKS), F.array().cast(f"array<{_SPOT}>"), _SPOT))
+    if arrays:
+        ready = F.flatten(F.array_compact(F.array(*[a.cast(FOUND_DDL) for a in arrays])))
+        as_spot = lambda f: F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("rule"), f["line"].alias("line"), f["evidence"].alias("shown"), f.alias("f"))
+        events = F.concat(events, scopes.events(F.array().cast(BLOCKS), F.transform(ready, as_spot), _SPOT))
+    swept = scopes.enclosed(once(rows, "es", events).select(*KEYS, F.explode("es").alias("e")).select(*KEYS, "e.*"))
+    number, kind = F.col("spot.rule"), scopes.inner_kind()
+    wanted = some((number == n) & (F.col("function").isNotNull() if "any" in r.inside else F.coalesce(kind.isin(*r.inside), F.lit(False))) for n, (_, r) in enumerate(inside))
+    single = [n for n, (_, r) in enumerate(inside) if r.once_a_line]
+    listed = lambda values: F.element_at(F.array(*map(F.lit, values)), number + 1)
+    hits = swept.where(wanted).groupBy(*KEYS, "spot.rule", "spot.line", F.when(~number.isin(single), F.col("spot.pos")).alias("place")).agg(F.min("spot").alias("spot"))
+    order = listed([(len(scope_rules) + i) * 10_000_000 for i, _ in inside]).cast("long") + F.col("spot.pos")
+    hits = hits.select(*KEYS, listed([r.id for _, r in inside]).alias("rule_id"), listed([severities[r.id] for _, r in inside]).alias("severity"), listed([r.message for _, r in inside]).alias("message"), F.col("spot.line").alias("line"), F.col("spot.shown").alias("evidence"), order.alias("finding_ord"))
+    return hits.unionByName(swept.where(number == -1).select(*KEYS, "spot.f.*")) if arrays else hits

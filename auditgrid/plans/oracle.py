@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from auditgrid.functions import fileclass
+from auditgrid.operators import blocks
 from auditgrid.operators.audit import CONTENT_RULES, FILE_RULES, LINE_RULES
 from auditgrid.plans.corpus import quote
 from auditgrid.rules import catalog, file_checks, scope_rules
-from auditgrid.rules.spec import ContentRule, FileRule, LineRule, Test
+from auditgrid.rules.spec import CODE, CodeRule, ContentRule, FileRule, LineRule, ScopeRule, Test
 from auditgrid.schema import EVIDENCE_CHARS
 
 COLUMNS = "file_id, repo, relative_path, rule_id, severity, message, line, evidence"
@@ -16,7 +18,7 @@ _SPACE = r"\s\x0b\x{A0}\x{FEFF}\x{2028}\x{2029}\x{1680}\x{2000}-\x{200A}\x{202F}
 
 
 def re2(regex: str) -> str:
-    """Without possessive marks, which only spare Java stack frames."""
+    """Without possessive marks and large bounds, which only spare Java time and stack frames."""
     out, inside, i = [], False, 0
     while i < len(regex):
         c = regex[i]
@@ -24,6 +26,10 @@ def re2(regex: str) -> str:
             out.append(regex[i : i + 2])
             i += 2
             continue
+        if c == "{" and not inside and (bound := re.match(r"\{0,\d{3}\}(?=\+)", regex[i:])):
+            out.append("*")  # large bounds only keep Java from trying a place again and again
+            i += len(bound[0])
+            continue
         if not (c == "+" and not inside and out and out[-1] in ("*", "+", "?", "}")):
             out.append(c)
         inside = True if c == "[" else False if c == "]" else inside
@@ -266,16 +272,110 @@ CHECKS = {
 }
 
 
+def scopes_cte() -> str:
+    """``quiet(keys, content, code, plain)`` of script files, and ``scopes`` with what ``operators.blocks`` says of each: brackets pair as neighbours of one level."""
+    p = lambda r: quote(re2(r))
+    blank = lambda x: f"regexp_replace({x}, '[^\\n]', ' ', 'g')"
+    inside = "t[2:-2]"
+    head, tail = f"regexp_extract(t, {p(r'^[^/]*/')})", f"regexp_extract(t, {p(r'/[a-z]*(?:\.(?:test|exec)\()?$')})"
+    template = f"array_to_string(list_transform(list_zip(string_split_regex({inside}, {p(blocks.VALUE)}), regexp_extract_all({inside}, {p(blocks.VALUE)})), lambda z: {blank('z[1]')} || coalesce(z[2], '')), '')"
+    plain = (
+        f"CASE WHEN t[1:2] IN ('//', '/*') THEN {blank('t')} WHEN t[1] IN (chr(39), chr(34)) THEN t[1] || {blank(inside)} || t[1] WHEN t[1] = '`' THEN '`' || {template} || '`' "
+        f"WHEN t[1] = '>' OR t = '=>' OR (length(t) = 2 AND right(t, 1) = chr(39)) THEN t ELSE {head} || {blank(f't[length({head}) + 1:length(t) - length({tail})]')} || {tail} END"
+    )
+    code = f"CASE WHEN t[1:2] IN ('//', '/*') THEN {blank('t')} ELSE t END"
+    joined = lambda way: f"array_to_string(list_transform(list_zip(gaps, list_transform(tokens, lambda t: {way})), lambda z: z[1] || coalesce(z[2], '')), '')"
+    opened = " + ".join(f"length(replace(t, '{c}', '')) - length(replace(t, '{o}', ''))" for o, c in ("()", "[]", "{}"))
+    closes = "t[1] IN (')', ']', '}')"
+    begins = f"(length(t) > 1 AND t[1] <> chr(10) AND NOT ({closes}) AND NOT regexp_matches(t, {p(blocks.NO_SCOPE)}))"
+    rest = f"t[length(regexp_extract(t, {p(blocks.HEAD)})) + 1:]"
+    loop = f"regexp_matches(t, {p(blocks.LOOP)})"
+    called = f"(NOT {loop} AND regexp_matches(t, {p(blocks.HEAD)}) AND regexp_matches({rest}, {p(blocks.CALL)}) AND NOT regexp_matches({rest}, {p(blocks.OWN)}))"
+    name = ", ".join(f"nullif(regexp_extract(t, {p(n)}, 1), '')" for n in blocks.NAMES)
+    after = "(PARTITION BY file_id, level ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    return f"""quiet AS MATERIALIZED (SELECT file_id, repo, relative_path, content, {joined(code)} AS code, {joined(plain)} AS plain
+  FROM (SELECT *, regexp_extract_all(content, {p(blocks.LEX)}) AS tokens, string_split_regex(content, {p(blocks.LEX)}) AS gaps FROM files WHERE {matches("relative_path", CODE, "i")})),
+marks AS (SELECT file_id, length(plain) AS size, unnest(generate_series(1, len(ts))) AS i, unnest(ts) AS t, unnest(gs[1:len(ts)]) AS gap FROM (SELECT file_id, plain, regexp_extract_all(plain, {p(blocks.SCOPE)}) AS ts, string_split_regex(plain, {p(blocks.SCOPE)}) AS gs FROM quiet)),
+placed AS (SELECT *, CAST(sum(length(gap) + length(t)) OVER w - length(t) AS INTEGER) AS off, CAST(sum({opened}) OVER w AS INTEGER) AS depth, {begins} AS begins, {closes} AS closes FROM marks WINDOW w AS (PARTITION BY file_id ORDER BY i)),
+braces AS (SELECT *, CASE WHEN begins THEN depth - 1 ELSE depth END AS level FROM placed WHERE closes OR (begins AND right(t, 1) IN ('{{', '('))),
+long AS (SELECT *, lead(closes) OVER w AS closed, lead(off) OVER w AS until FROM braces WINDOW w AS (PARTITION BY file_id, level ORDER BY i)),
+ends AS (SELECT *, begins AS short, depth AS level FROM placed WHERE (begins AND right(t, 1) NOT IN ('{{', '(')) OR t IN (';', ',', chr(10)) UNION ALL SELECT *, false, depth + 1 FROM placed WHERE closes),
+short AS (SELECT *, min(CASE WHEN NOT short THEN off END) OVER {after} AS until FROM ends),
+found AS (SELECT file_id, i, t, off, CASE WHEN closed THEN until + 1 ELSE size END AS stop FROM long WHERE begins UNION ALL SELECT file_id, i, t, off, coalesce(until, size) FROM short WHERE short),
+scopes AS MATERIALIZED (SELECT file_id, CASE WHEN {loop} THEN 'loop' WHEN t[1] = '.' THEN 'callback' ELSE 'function' END AS kind, CASE WHEN {loop} THEN 'anonymous' ELSE coalesce({name}, CASE WHEN starts_with(t, 'export') THEN 'default' ELSE 'anonymous' END) END AS name,
+  starts_with(t, 'export') AS exported, off AS head, CAST(CASE WHEN {called} THEN off + length(t) - length({rest}) ELSE off + length(t) - CASE WHEN right(t, 1) = '{{' THEN 1 ELSE 0 END END AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM found)"""
+
+
+#: Looking ahead at one character, restated as taking it; only where a match begins is used of these.
+_NEXT = {r"(?!\.)": r"(?:[^.]|$)", r"(?!\+)": r"(?:[^+]|$)"}
+
+
+def _taking(regex: str) -> str:
+    for ahead, taken in _NEXT.items():
+        regex = regex.replace(ahead, taken)
+    return regex
+
+
+def placed(rows: str, text: str, regex: str, flags: str, shift: str) -> str:
+    """``rows`` once for each match of the pattern in their column ``text``, with off: where it begins, moved by ``shift``."""
+    p = inline(_taking(regex), flags)
+    hits = f"SELECT *, regexp_extract_all({text}, {p}) AS hits, string_split_regex({text}, {p}) AS gaps FROM ({rows}) WHERE regexp_matches({text}, {p})"
+    return f"SELECT *, CAST({shift} + list_sum(list_transform(gaps[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:j - 1], lambda x: length(x))), 0) AS BIGINT) AS off FROM (SELECT *, unnest(generate_series(1, len(hits))) AS j FROM ({hits}))"
+
+
+def _guarded(body: str, local: bool) -> str:
+    imported = "flatten(list_transform(regexp_extract_all(code, '\\bimport\\s+([^;''\"]+?)\\s+from\\b', 1), lambda c: regexp_extract_all(c, '(\\w+)', 1)))"
+    declared = f"list_concat({imported}, regexp_extract_all(code, '\\b(?:function\\s*\\*?\\s+|(?:const|let|var)\\s+)(\\w+)', 1))" if local else imported
+    calls = f"regexp_extract_all({body}, {inline(rf'\b(\w*{scope_rules.GUARD_HINT}\w*)\s*[.(]', 'i')}, 1)"
+    return either([matches(body, r"\b\w*" + scope_rules.AUTH_GUARD + r"\s*\("), matches(body, scope_rules.GUARD_MEMBER), f"list_has_any({calls}, {declared})"])
+
+
+_LINE_AT = "1 + off - length(replace(substring(content, 1, off), chr(10), ''))"
+
+
+def scope_rule(rule: ScopeRule) -> str:
+    """Over ``quiet`` and ``scopes``: the tests run on each function's own code."""
+    test = lambda r, f: matches("body", _taking(r), f)
+    tests = [gate(rule.gates, rule.any_gate), "kind IN ('function', 'callback')", *(test(r, f) for r, f in rule.has), *(f"NOT {test(r, f)}" for r, f in rule.lacks)]
+    if rule.exported:
+        tests.append("exported")
+    if rule.name:
+        tests.append(matches("name", rule.name, "" if rule.exported else "i"))
+    if rule.guarded:
+        tests.append(f"NOT ({_guarded('body', rule.local_guards)})")
+    asked = f"SELECT * FROM (SELECT q.*, s.kind, s.name, s.exported, s.head, s.start, substring(q.code, s.start + 1, s.stop - s.start) AS body FROM quiet q JOIN scopes s USING (file_id)) WHERE {both(tests)}"
+    rows = " UNION ALL ".join(placed(asked, "body", r, f, "start") for r, f in rule.hits) if rule.hits else f"SELECT *, CAST(head AS BIGINT) AS off FROM ({asked})"
+    if rule.first:
+        rows = f"SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY file_id, start ORDER BY off) = 1"
+    a, _, b = rule.message.partition("{0}")
+    return f"SELECT {found(rule.id, quote(rule.severity or catalog.SEVERITY[rule.id]), f'{quote(a)} || name || {quote(b)}', 'line', line_text('line'))} FROM (SELECT *, {_LINE_AT} AS line FROM ({rows}))"
+
+
+def code_rule(rule: CodeRule) -> str:
+    """Over ``quiet`` and ``scopes``: the scopes around a match are those whose places hold it, the innermost of them begins last."""
+    rest = f"substring(code, off + 1, {rule.reach})"
+    tests = [*(matches(rest, _taking(r), f) for r, f in rule.also), *(f"NOT {matches(rest, r, f)}" for r, f in rule.unless)]
+    rows = f"SELECT * FROM ({placed(f'SELECT * FROM quiet WHERE {gate(rule.gates, ())}', 'code', rule.regex, rule.flags, '0')}) WHERE {both(tests)}"
+    if rule.inside:
+        around = "SELECT h.file_id, h.off, arg_max(s.kind, s.start) AS inner_kind, bool_or(s.kind <> 'loop') AS in_function FROM h JOIN scopes s ON s.file_id = h.file_id AND h.off BETWEEN s.start AND s.stop - 1 GROUP BY ALL"
+        wanted = "in_function" if "any" in rule.inside else f"inner_kind IN ({', '.join(map(quote, rule.inside))})"
+        rows = f"WITH h AS ({rows}), around AS ({around}) SELECT h.* FROM h JOIN around USING (file_id, off) WHERE {wanted}"
+    out = f"SELECT {found(rule.id, quote(catalog.SEVERITY[rule.id]), quote(rule.message), 'line', line_text('line'))} FROM (SELECT *, {_LINE_AT} AS line FROM ({rows}))"
+    return f"SELECT DISTINCT * FROM ({out})" if rule.once_a_line else out
+
+
+def needs_scopes(rule_id: str) -> bool:
+    """Whether ``rule_sql`` reads the relations of ``scopes_cte``."""
+    return any(r.id == rule_id for r in (*scope_rules.SCOPE_RULES, *scope_rules.CODE_RULES))
+
+
 def rule_sql(rule_id: str) -> str | None:
     """A query over the relation ``files``; null where RE2 or SQL can't express some part of the rule."""
-    if any(r.id == rule_id for r in (*scope_rules.SCOPE_RULES, *scope_rules.CODE_RULES)):
-        return None
     checks = file_checks.CHECKS.get(rule_id, ())
     if checks and rule_id not in CHECKS:
         return None
     parts = [CHECKS[rule_id]()] if checks else []
-    parts += [line_rule(r) for r in LINE_RULES if r.id == rule_id]
-    parts += [content_rule(r) for r in CONTENT_RULES if r.id == rule_id]
-    parts += [file_rule(r) for r in FILE_RULES if r.id == rule_id]
+    for rules, restated in ((LINE_RULES, line_rule), (CONTENT_RULES, content_rule), (FILE_RULES, file_rule), (scope_rules.SCOPE_RULES, scope_rule), (scope_rules.CODE_RULES, code_rule)):
+        parts += [restated(r) for r in rules if r.id == rule_id]
     out = " UNION ALL ".join(parts)
     return None if not parts or "(?!" in out or "(?=" in out else out

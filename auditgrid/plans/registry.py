@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from auditgrid.config import CONFIG_NAME, Config
 from auditgrid.functions import fileclass
-from auditgrid.functions.text import js_trim, line_evidence, lines, shannon_entropy
+from auditgrid.functions.text import js_trim, lines, shannon_entropy
 from auditgrid.operators import audit as A
-from auditgrid.operators import dependencies, portfolio, report
-from auditgrid.operators.blocks import with_blocks
+from auditgrid.operators import dependencies, portfolio, report, scopes
+from auditgrid.operators.blocks import quieted, with_blocks
 from auditgrid.plans import corpus, oracle
 from auditgrid.plans.corpus import quote
-from auditgrid.rules import catalog
+from auditgrid.rules import catalog, scope_rules
 from auditgrid.sources import files as S
 from auditgrid.sources import sinks
 from auditgrid.sources.shared import shared_dir, spread
@@ -108,9 +108,30 @@ def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("file_id", "relative_path", fileclass.is_client(path, content).alias("is_client"), fileclass.is_server_only(path, content).alias("is_server_only"), path.rlike("(?i)" + fileclass.PUBLIC_ROUTE).alias("public_route"))
 
 
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.files(spark, sf_dir).where(F.col("relative_path").rlike(r"(?i)\.(?:js|jsx|ts|tsx|mjs|cjs)\z"))
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = with_blocks(corpus.files(spark, sf_dir).where(F.col("relative_path").rlike(r"(?i)\.(?:js|jsx|ts|tsx|mjs|cjs)\z")))
-    return f.select("file_id", "relative_path", "content", F.explode("blocks").alias("b")).select("file_id", "relative_path", "b.kind", "b.name", "b.exported", "b.start", "b.stop", line_evidence(F.col("content"), F.lit(1)).alias("first_line"))
+    f = with_blocks(_scripts(spark, sf_dir))
+    return f.select("file_id", "relative_path", F.explode("blocks").alias("b")).select("file_id", "relative_path", "b.*")
+
+
+def _call_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scopes.call_scopes(_scripts(spark, sf_dir)).drop("repo")
+
+
+#: Places where a request gets to the disk, the network or a table, and what checks it.
+DANGERS = ((scope_rules.RAW_BODY, ""), (r"\b(?:fetch|sendFile|readFile|insert|create)\s*\(", ""), (r"\b(?:req|request)\.(?:params|query)\b", ""))
+GUARDS = ((r"\b\w*" + scope_rules.AUTH_GUARD + r"\s*\(", ""), (scope_rules.GUARD_MEMBER, ""), (r"\b(?:basename|allowedHosts|safeParse|validate)\b", "i"))
+
+
+def _unguarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scopes.unguarded(_scripts(spark, sf_dir), DANGERS, GUARDS).drop("repo")
+
+
+def _quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quieted(_scripts(spark, sf_dir)).select("file_id", "relative_path", "code", "plain")
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,6 +292,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lines_explode": _lines,
         "file_classes": _classes,
         "script_blocks": _blocks,
+        "script_quiet": _quiet,
+        "call_scopes": _call_scopes,
+        "unguarded_places": _unguarded,
         "entropy_tokens": _entropy,
         "suppression_directives": _directives,
         "route_urls": _routes,
@@ -313,7 +337,9 @@ def _directive_sql() -> str:
 def _audited_sql(rules=SMALL) -> str:
     """Common table expressions up to ``findings``: suppressed and enriched."""
     rows = ", ".join("(" + ", ".join("CAST(NULL AS VARCHAR)" if v is None and i != 5 else "CAST(NULL AS DOUBLE)" if v is None else quote(v) if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if i == 5 else str(v) for i, v in enumerate(r)) + ")" for r in catalog.ALL)
+    scopes = oracle.scopes_cte() + "," if any(map(oracle.needs_scopes, rules)) else ""
     return f"""{_directive_sql()},
+{scopes}
 raw AS ({_union(rules)}),
 rules(rule_ord, rule_id, rule_name, default_severity, cwe_id, cvss_score, owasp_category, wcag, fix) AS (VALUES {rows}),
 kept AS (SELECT * FROM raw f WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE d.file_id = f.file_id AND d.target = f.line AND (d.ids IS NULL OR list_contains(string_split(d.ids, ','), f.rule_id)))),
@@ -333,7 +359,7 @@ def _values(rows, names: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {_name(r): _with(f"SELECT {oracle.COLUMNS} FROM ({oracle.rule_sql(r)})") for r in portable()}
+    out = {_name(r): _with(f"SELECT {oracle.COLUMNS} FROM ({oracle.rule_sql(r)})", more=oracle.scopes_cte() if oracle.needs_scopes(r) else "") for r in portable()}
     audited = lambda body: _with(body, more=_audited_sql())
     base = "regexp_extract(relative_path, '[^/]*$')"
     folders = f"list_filter(string_split(relative_path, '/')[1:-2], lambda x: list_contains([{', '.join(map(quote, S.PRUNED))}], x))"
@@ -356,6 +382,18 @@ def oracle_sql() -> dict[str, str]:
         "lines_explode": _with(f"SELECT file_id, CAST(line AS INTEGER) AS line, CAST(length({oracle.trim('text')}) AS INTEGER) AS trimmed_chars FROM (SELECT file_id, unnest(generate_series(1, len(string_split(content, chr(10))))) AS line, unnest(string_split(content, chr(10))) AS text FROM files)"),
         "file_classes": _with(f"SELECT file_id, relative_path, {oracle.is_client()} AS is_client, {oracle.either([oracle.matches('content', fileclass.SERVER_ONLY_IMPORT), oracle.matches('relative_path', fileclass.SERVER_PATH, 'i'), oracle.directive('use server')])} AS is_server_only, {oracle.matches('relative_path', fileclass.PUBLIC_ROUTE, 'i')} AS public_route FROM files"),
         "entropy_tokens": "WITH t AS (SELECT row_number() OVER () AS n, doc_id, token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{12,}')) AS token FROM documents)), c AS (SELECT n, doc_id, token, unnest(string_split(token, '')) AS c FROM t), p AS (SELECT n, doc_id, token, count(*) / CAST(length(token) AS DOUBLE) AS p FROM c GROUP BY n, doc_id, token, c) SELECT doc_id, token, round(sum(-p * log2(p)), 6) AS bits FROM p GROUP BY n, doc_id, token",
+        "script_blocks": _with("SELECT file_id, relative_path, kind, name, exported, head, start, stop FROM scopes JOIN files USING (file_id)", more=oracle.scopes_cte()),
+        "call_scopes": _with(
+            "SELECT c.file_id, c.relative_path, CAST(c.off AS INTEGER) AS pos, callee, arg_max(s.name, s.start) FILTER (s.kind <> 'loop') AS function, max(s.start) FILTER (s.kind <> 'loop') AS function_pre, max(s.start) FILTER (s.kind = 'loop') AS loop_pre "
+            f"FROM (SELECT *, regexp_extract(hits[j], '^[\\w$.]+') AS callee FROM ({oracle.placed('SELECT * FROM quiet', 'code', scopes.CALL, '', '0')})) c LEFT JOIN scopes s ON s.file_id = c.file_id AND c.off BETWEEN s.start AND s.stop - 1 WHERE callee NOT IN ({', '.join(map(quote, scopes.NO_CALL))}) GROUP BY ALL", more=oracle.scopes_cte(),
+        ),
+        "unguarded_places": _with(
+            "SELECT d.file_id, d.relative_path, CAST(d.off AS INTEGER) AS pos, d.n AS danger, d.function, d.pre AS function_pre FROM seen d WHERE d.n < "
+            f"{len(DANGERS)} AND NOT EXISTS (SELECT 1 FROM seen g WHERE g.n >= {len(DANGERS)} AND g.file_id = d.file_id AND g.pre = d.pre)",
+            more=oracle.scopes_cte() + ", spots AS (" + " UNION ALL ".join(f"SELECT file_id, relative_path, off, {i} AS n FROM ({oracle.placed('SELECT * FROM quiet', 'code', r, f, '0')})" for i, (r, f) in enumerate((*DANGERS, *GUARDS)))
+            + "), seen AS (SELECT p.*, arg_max(s.name, s.start) AS function, max(s.start) AS pre FROM spots p LEFT JOIN scopes s ON s.file_id = p.file_id AND s.kind <> 'loop' AND p.off BETWEEN s.start AND s.stop - 1 GROUP BY ALL)",
+        ),
+        "script_quiet": _with("SELECT file_id, relative_path, code, plain FROM quiet", more=oracle.scopes_cte()),
         "suppression_directives": _with("SELECT * FROM directives", more=_directive_sql()),
         "suppress_antijoin": audited(f"SELECT {oracle.COLUMNS} FROM kept"),
         "disabled_paths_antijoin": _with(f"SELECT * FROM ({_union(SMALL)}) WHERE {disabled}"),
