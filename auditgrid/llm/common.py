@@ -11,6 +11,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import pyarrow as pa
@@ -46,6 +47,8 @@ class Tables:
         self.spark, self.base = spark, f"{shared_dir(spark)}/auditgrid-{name}-{uuid.uuid4().hex[:12]}"
         self.kept: list[str] = []
         self.n = 0
+        if _SCRATCH:
+            _SCRATCH[-1].append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -64,6 +67,24 @@ class Tables:
         self.kept = stays
 
 
+_SCRATCH: list[list[Tables]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[Tables]]:
+    """All ``Tables`` that are made inside. The caller, who knows when the last reader is done, hands them to ``drop_all``."""
+    _SCRATCH.append([])
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        _SCRATCH.pop()
+
+
+def drop_all(made: list[Tables]) -> None:
+    for tables in made:
+        tables.drop()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,8 +3,8 @@
 A word that the model knows scores by its log frequency in each language. Any
 other word backs off to character n-grams: the longest size of which the model
 knows a gram, else the next shorter one. Fitting reads about ``SAMPLE`` documents
-of each language (documented bound), which bounds the model's words and n-grams:
-nothing else is left out. Rows that repeat count once in it.
+of each language (documented bound), and characters (documented bounds), which bounds
+the model's words and n-grams: nothing else is left out. Rows that repeat count once in it.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from auditgrid.llm import common
 
 #: Documents of each language that a fit reads, about.
 SAMPLE = 1_000
+#: Characters that a fit reads, about, shared by the languages; it has a few terms for ten characters at most, which bounds the model.
+SAMPLE_CHARS = 12_000_000
+#: A fit reads no longer text, so that chance can't exceed the bound by much.
+LONGEST = 100_000
 SIZES = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 #: Words whose scores a worker keeps.
@@ -48,16 +52,20 @@ def grams(word: str, size: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language: tables of words (size 0) and of n-grams by size, each a term's row in a matrix."""
+    """Log frequencies by language: of words (size 0) and of n-grams by size. Only languages that have a term take room for it."""
 
-    def __init__(self, langs: list[str], counts: dict[int, tuple[list[str], np.ndarray]]) -> None:
-        """counts: for each size its terms and how often each language has them, a row for each term."""
+    def __init__(self, langs: list[str], counts: dict[int, tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """counts: for each size its terms, and rows (the term's number, ascending, the language's number, how often)."""
         self.langs = langs
         self.terms: dict[int, dict[str, int]] = {}
-        self.logs: dict[int, np.ndarray] = {}
-        for size, (terms, table) in counts.items():
+        self.base: dict[int, np.ndarray] = {}
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, (terms, term, lang, n) in counts.items():
             self.terms[size] = {t: i for i, t in enumerate(terms)}
-            self.logs[size] = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(terms)))).astype(np.float32)
+            total = np.bincount(lang, weights=n, minlength=len(langs))
+            # The log frequency of a term that a language lacks, and what it has more where it doesn't.
+            self.base[size] = np.log(0.5 / (total + 0.5 * max(1, len(terms))))
+            self.rows[size] = (np.searchsorted(term, np.arange(len(terms) + 1)), lang.astype(np.int32), np.log(n / 0.5 + 1).astype(np.float32))
 
     def word(self, word: str) -> np.ndarray:
         """Log scores of the word in each language, less their highest."""
@@ -65,7 +73,10 @@ class Model:
             rows = self.terms.get(size, {})
             known = [i for g in ([word] if size == 0 else grams(word, size)) if (i := rows.get(g)) is not None]
             if known:
-                found = self.logs[size][known].sum(axis=0, dtype=float)
+                found = len(known) * self.base[size]
+                starts, lang, more = self.rows[size]
+                for i in known:
+                    found[lang[starts[i] : starts[i + 1]]] += more[starts[i] : starts[i + 1]]
                 return found - found.max()
         return np.zeros(len(self.langs))
 
@@ -141,11 +152,10 @@ def fit_model(rows: DataFrame) -> Model:
     for size in (0, *SIZES):
         part = found.filter(pc.equal(found.column("size"), size))
         coded = pc.dictionary_encode(part.column("term").combine_chunks())
-        terms = coded.dictionary.to_pylist()
-        table = np.zeros((len(terms), len(langs)), np.int64)
-        at = pc.index_in(part.column("lang"), pa.array(langs, pa.string())).to_numpy()
-        table[coded.indices.to_numpy(), at] = part.column("n").to_numpy()
-        counts[size] = (terms, table)
+        term = coded.indices.to_numpy()
+        order = np.argsort(term, kind="stable")
+        lang = pc.index_in(part.column("lang"), pa.array(langs, pa.string())).to_numpy()
+        counts[size] = (coded.dictionary.to_pylist(), term[order], lang[order], part.column("n").to_numpy()[order])
     return Model(langs, counts)
 
 
@@ -167,14 +177,18 @@ def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text
     return common.id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, text, lang``: about ``sample`` documents of each language with text, outside the held-out fold; rows that repeat count once."""
+def training_rows(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """``doc_id, text, lang``: about ``sample`` documents of each language with text, outside the held-out fold; rows that repeat count once.
+
+    Fewer where they would have more than the language's share of ``chars`` characters; texts over ``LONGEST`` aren't learnt from.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(~common.held_out(0, 5) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().collect()  # one row a language: the model's classes
+    rows = rows.where(~common.held_out(0, 5) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()  # one row a language: the model's classes
     if not counts:
         return rows
-    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], common.sample_bound(r["count"], sample))])
+    at_most = {r["lang"]: min(sample, r["n"] * (chars // len(counts)) // max(1, r["chars"])) for r in counts}
+    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], common.sample_bound(r["n"], max(1, at_most[r["lang"]])))])
     chosen = rows.where(common.sample_hash("doc_id", "text") <= F.element_at(bounds, F.col("lang")))
     return chosen.groupBy("doc_id", "text", "lang").agg(F.count(F.lit(1)).alias("n")).drop("n")
 

@@ -110,8 +110,9 @@ def links(prints: DataFrame, tables: common.Tables, n_pivots: int = N_PIVOTS) ->
 def _components(prints: DataFrame, tables: common.Tables, n_pivots: int) -> DataFrame:
     """``prints`` with ``root``, one fingerprint for each component, and ``component_id``, the component's least doc_id."""
     classes = tables.write(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = connected_components(links(classes.select("fp"), tables, n_pivots), "a", "b")
-    roots = tables.write(roots, "roots")
+    with common.scratch() as made:
+        roots = tables.write(connected_components(links(classes.select("fp"), tables, n_pivots), "a", "b"), "roots")
+    common.drop_all(made)
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = roots.join(linked.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("fp"), "root", "least")
     ids = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id"))

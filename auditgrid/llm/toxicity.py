@@ -256,9 +256,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return tables.write(found.select("doc_id", "text", "toxic"), "training")
 
 
+def learnt(docs: DataFrame, labels: DataFrame) -> Lexicon:
+    """The lexicon that ``training_rows`` give; their tables go."""
+    with common.scratch() as made:
+        lexicon = fit_lexicon(training_rows(docs, labels))
+    common.drop_all(made)
+    return lexicon
+
+
 def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and prediction of every row of ``documents``; cases are defined by ``score_toxicity`` and ``fit_lexicon``."""
     docs = common.documents(spark, sf_dir)
-    lexicon = fit_lexicon(training_rows(docs, common.read(spark, sf_dir, "labels")))
+    lexicon = learnt(docs, common.read(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, lexicon)
     return scored.select("doc_id", common.held_out(2, 4).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
