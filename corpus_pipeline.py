@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays under the threshold, by ``toxicity.keep_clean``; the lexicon is learnt from labelled rows outside the held-out fold."""
-    lexicon = toxicity.fit_lexicon(toxicity.training_rows(docs, common.read(spark, sf_dir, "labels")))
+    lexicon = toxicity.learnt(docs, common.read(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs.select(*COLUMNS), lexicon)
 
 
@@ -55,10 +55,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again by the next; a stage's table goes when the next is written."""
+    """All stages over ``documents``, each written as Parquet and read again by the next.
+
+    Once a stage is written, its own tables and its predecessor's go; what the last one writes stays for its reader.
+    """
     tables = common.Tables(spark, "pipeline")
     docs = common.documents(spark, sf_dir).select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = tables.write(stage(spark, docs, sf_dir), name)
+        with common.scratch() as made:
+            docs = tables.write(stage(spark, docs, sf_dir), name)
+        common.drop_all(made)
         tables.drop(name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    tables.drop()
+    return out
