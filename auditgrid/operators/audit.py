@@ -11,6 +11,7 @@ from auditgrid.config import CONFIG_NAME, Config
 from auditgrid.functions.text import js_trim, lines, matches
 from auditgrid.operators.blocks import quieted
 from auditgrid.operators.match import code_findings, content_findings, file_findings, guarded, line_findings
+from auditgrid.operators.modules import across_files, guarded_functions
 from auditgrid.rules import catalog, content_rules, file_checks, file_rules, line_rules, markup_rules, scope_rules
 from auditgrid.rules.spec import UserRule
 from auditgrid.schema import FINDINGS_DDL, KEYS
@@ -192,10 +193,10 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(rank(F.col("severity")), "repo", "relative_path", "file_id", "rule_ord", "finding_ord", "line", "message")
 
 
-def audit(files: DataFrame, config: Config = Config(), dependencies: DataFrame | None = None, extra_ignore: tuple[str, ...] = (), per_project: bool = False, rescore: bool = True, extra: tuple[UserRule, ...] = ()) -> DataFrame:
+def audit(files: DataFrame, config: Config = Config(), dependencies: DataFrame | None = None, extra_ignore: tuple[str, ...] = (), per_project: bool = False, rescore: bool = True, extra: tuple[UserRule, ...] = (), follow_imports: bool = False) -> DataFrame:
     """Findings of all active rules on ``files``, suppressed, re-scored and enriched; not ordered.
 
-    per_project: each repository's own settings file counts as well. rescore: middleware among ``files`` counts. extra: a project's own rules, whatever the configuration lists. ``dependencies`` are findings of dependency checks, which rule lists and comments don't touch.
+    per_project: each repository's own settings file counts as well. rescore: middleware among ``files`` counts. extra: a project's own rules, whatever the configuration lists. follow_imports: handlers that check the user through functions of other files count as guarded, which takes rounds over written tables at once. ``dependencies`` are findings of dependency checks, which rule lists and comments don't touch.
     Files with a null content or path have none; an empty table gives an empty result.
     """
     ids = [r for r in catalog.active(config.rules, config.exclude) if r != HISTORY_RULE]
@@ -204,6 +205,8 @@ def audit(files: DataFrame, config: Config = Config(), dependencies: DataFrame |
     found = unsuppressed(enabled_paths(run_rules(kept, ids, config, extra), config.disable_for_paths), kept)
     if per_project:
         found = configured(found, project_configs(files))
+    if follow_imports and "missing-auth" in ids:
+        found = across_files(found, guarded_functions(kept, config.custom_auth_guards))
     if rescore and "missing-auth" in ids:
         found = rescored(found, middleware(kept))
     if dependencies is not None:

@@ -153,6 +153,29 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(repo.alias("repo"), F.explode(F.when(json, F.array(one, two)).otherwise(F.array(one))).alias("f")).select("f.file_id", "repo", "f.relative_path", "f.content")
 
 
+#: The files of two repositories, five each: routes whose guard is passed on from file to file, and routes whose imports lead to none.
+MODULES: tuple[tuple[str, str], ...] = (
+    ("app/api/team/route.ts", "import { check } from '@/lib';\nexport async function GET(req) {\n  await check(req);\n  return Response.json(await db.team.findMany());\n}\nexport const POST = async (req) => {\n  return Response.json({});\n};"),
+    ("src/lib/index.ts", "export { secure as check } from './check';\nexport * from './more';"),
+    ("src/lib/check.ts", "import { getServerSession } from 'next-auth';\nexport async function secure(req) {\n  const s = await getServerSession();\n  if (!s) throw new Error('no');\n}"),
+    ("src/lib/more.js", "const { secure } = require('./check');\nexport default function wrap(handler) {\n  return (req) => { secure(req); return handler(req); };\n}\nexport const second = async (req) => secure(req);"),
+    ("app/api/wrapped/route.ts", "import wrap from '@/lib/more';\nimport * as lib from '../../../src/lib';\nexport const GET = wrap(async (req) => Response.json({}));\nexport async function PUT(req) {\n  items.map((x) => { lib.second(req); });\n}"),
+    ("app/api/team/route.ts", "import { check } from '@/lib';\nexport async function GET(req) {\n  await check(req);\n  return Response.json({});\n}"),
+    ("src/lib/index.ts", "export { load as check } from './load';\nexport * from './gone';"),
+    ("src/lib/load.ts", "import { check } from './index';\nexport async function load(req) {\n  return check(req);\n}"),
+    ("src/lib/other.ts", "export const unused = () => getServerSession();"),
+    ("app/api/other/route.ts", "import { unused } from '@/lib/other';\nexport async function GET(req) {\n  return Response.json(unused.name);\n}\nexport async function POST(req) {\n  return unused();\n}"),
+)
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document below a file of ``MODULES``, five to a repository; documents without an id have none."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).where("doc_id is not null")
+    pieces = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(MODULES)], "k long, relative_path string, code string")
+    joined = docs.join(F.broadcast(pieces), F.pmod(F.col("doc_id"), F.lit(len(MODULES))) == F.col("k"))
+    return joined.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("repo"), F.floor(F.col("doc_id") / PER_REPO).cast("string")).alias("repo"), "relative_path", F.concat("code", F.lit("\n"), "text").alias("content"))
+
+
 #: Markup with and without what the rules about tags ask for; the page's number, modulo the list's length, names one.
 MARKUP: tuple[str, ...] = (
     "", "<img src=\"a.png\">", "<img src=\"a.png\" alt=\"a\">", "<input type=\"text\" name=\"q\">", "<label>Name <input type=\"text\"></label>", "<button><i class=\"x\"></i></button>", "<button>ok</button>",

@@ -258,6 +258,33 @@ def _streamed(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
     return incremental.findings(spark, f"{at}/findings").select(*COLUMNS)
 
 
+#: What a file becomes in its second landing, and the versions of its three.
+SECOND = "const h = createHash('md5');\nconst k = 1;\nconst g = createHash('sha1');"
+
+
+def _landed(files: DataFrame) -> list[DataFrame]:
+    """Three landings: all files; every third one rewritten; and every fifth one deleted, while old versions of every second one come late."""
+    return [
+        files.withColumn("version", F.lit(1).cast("long")),
+        files.where(F.pmod("file_id", F.lit(3)) == 0).withColumn("content", F.lit(SECOND)).withColumn("version", F.lit(2).cast("long")),
+        files.where(F.pmod("file_id", F.lit(5)) == 0).withColumn("content", F.lit(None).cast("string")).withColumn("version", F.lit(3).cast("long")).union(files.where(F.pmod("file_id", F.lit(2)) == 0).withColumn("version", F.lit(0).cast("long"))),
+    ]
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus in three landings, each a batch of its own; a path is a file's own here."""
+    at = f"{shared_dir(spark)}/audit-versions-{uuid.uuid4().hex[:12]}"
+    files = corpus.files(spark, sf_dir).withColumn("relative_path", F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit("/"), F.col("relative_path")))
+    for landing in _landed(files):
+        landing.write.mode("append").parquet(f"{at}/landing")
+        incremental.audit_stream(incremental.file_stream(spark, f"{at}/landing", 1_000_000), f"{at}/findings", f"{at}/state", Config(rules=SMALL)).awaitTermination()
+    return incremental.findings(spark, f"{at}/findings").select(*COLUMNS)
+
+
+def _across_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.audit(corpus.modules(spark, sf_dir), Config(rules=("missing-auth",)), follow_imports=True).select(*COLUMNS)
+
+
 def _after_rules(rules) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries about what happens after the rules."""
     found, grades = partial(_audited, rules=rules), partial(_audited_grades, rules=rules)
@@ -306,6 +333,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_errors": lambda s, d: _errors(s),
         "target_parser": _targets,
         "dependency_findings": _dependencies,
+        "stream_versions": _versions,
+        "missing_auth_across_files": _across_files,
         "npm_audit": _npm,
         "package_specs": _specs,
         "gate_packages": _gate,
@@ -423,6 +452,12 @@ def oracle_sql() -> dict[str, str]:
         "CASE WHEN code IN ('403', '429') AND coalesce(limited, regexp_matches(coalesce(message, ''), '(?i)rate limit|abuse detection')) THEN 'rate-limited' WHEN code IN ('403', '429') THEN 'access-denied' WHEN code = '401' THEN 'auth-required' WHEN code = '404' THEN 'not-found' WHEN code = '409' THEN 'empty' ELSE 'error' END AS kind "
         f"FROM (SELECT *, coalesce(CAST(status AS VARCHAR), regexp_extract(coalesce(message, ''), '401|403|404|409|429')) AS code FROM {_values(ERRORS, 'repo, status, limited, message')}))",
         "portfolio_discovery": _with("SELECT found, saved, found >= saved * 0.75 AS accepted FROM (SELECT CAST(count(*) FILTER (NOT ends_with(repo, '7')) AS BIGINT) AS found, CAST(count(*) AS BIGINT) AS saved FROM (SELECT DISTINCT repo FROM files))"),
+        "stream_versions": _with(
+            f"SELECT {oracle.COLUMNS} FROM kept",
+            corpus.sql().replace("files AS (", "landed AS (") + f""",
+files AS (SELECT file_id, repo, 'f' || file_id || '/' || relative_path AS relative_path, CASE WHEN ((file_id % 3) + 3) % 3 = 0 THEN {quote(SECOND)} ELSE content END AS content FROM landed WHERE file_id % 5 <> 0)""",
+            _audited_sql(),
+        ),
         "stream_audit": audited(f"SELECT {oracle.COLUMNS} FROM kept"),
         "fix_guide_files": audited("SELECT rule_id, repo, relative_path, CAST(min(CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS INTEGER) AS severity_rank, CAST(count(*) AS BIGINT) AS n, min(line) AS first_line FROM findings GROUP BY rule_id, repo, relative_path"),
         "report_sections": audited(

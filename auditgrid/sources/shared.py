@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,20 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores where it comes in fewer partitions than that (small files, one row group); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+class Written:
+    """Intermediate tables of one run, as Parquet in the shared folder: a lost executor costs a read, and lineage stays short."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
