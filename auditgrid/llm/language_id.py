@@ -33,6 +33,8 @@ SIZES = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 #: Words whose scores a worker keeps.
 CACHE = 300_000
+#: Words that are scored at once.
+AT_ONCE = 8192
 # Runs of letters, and of numerals like "²" or "Ⅷ", which are none: runs that hold such are cut again.
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}+")
@@ -67,18 +69,34 @@ class Model:
             self.base[size] = np.log(0.5 / (total + 0.5 * max(1, len(terms))))
             self.rows[size] = (np.searchsorted(term, np.arange(len(terms) + 1)), lang.astype(np.int32), np.log(n / 0.5 + 1).astype(np.float32))
 
-    def word(self, word: str) -> np.ndarray:
-        """Log scores of the word in each language, less their highest."""
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log scores of each word in each language, less the word's highest; all words of one size at once."""
+        n_langs = len(self.langs)
+        out = np.zeros((len(words), n_langs))
+        left = list(range(len(words)))
         for size in (0, *SIZES):
-            rows = self.terms.get(size, {})
-            known = [i for g in ([word] if size == 0 else grams(word, size)) if (i := rows.get(g)) is not None]
-            if known:
-                found = len(known) * self.base[size]
-                starts, lang, more = self.rows[size]
-                for i in known:
-                    found[lang[starts[i] : starts[i + 1]]] += more[starts[i] : starts[i + 1]]
-                return found - found.max()
-        return np.zeros(len(self.langs))
+            table = self.terms.get(size, {})
+            found: list[int] = []
+            owners, counts, missed = [], [], []
+            for w in left:
+                known = [i for g in ([words[w]] if size == 0 else grams(words[w], size)) if (i := table.get(g)) is not None]
+                if known:
+                    owners.append(w)
+                    counts.append(len(known))
+                    found += known
+                else:
+                    missed.append(w)
+            left = missed
+            if not found:
+                continue
+            starts, lang, more = self.rows[size]
+            ids, times = np.array(found), np.array(counts)
+            n = starts[ids + 1] - starts[ids]
+            at = np.repeat(starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cells = np.repeat(np.repeat(np.array(owners), times), n) * n_langs + lang[at]
+            out += np.bincount(cells, weights=more[at], minlength=out.size).reshape(out.shape)
+            out[owners] += times[:, None] * self.base[size]
+        return out - out.max(axis=1, keepdims=True) if n_langs else out
 
 
 class Predictor:
@@ -88,14 +106,17 @@ class Predictor:
         self.rows = np.zeros((1024, len(model.langs)))
 
     def _learn(self, words: list[str]) -> None:
+        words = list(dict.fromkeys(words))
         if len(self.place) + len(words) > self.keep:
             self.place.clear()
-        for w in words:
-            if w not in self.place:
-                i = self.place[w] = len(self.place)
-                if i >= len(self.rows):
-                    self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-                self.rows[i] = self.model.word(w)
+        words = [w for w in words if w not in self.place]
+        for i in range(0, len(words), AT_ONCE):
+            some = words[i : i + AT_ONCE]
+            first = len(self.place)
+            while first + len(some) > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.rows[first : first + len(some)] = self.model.scores(some)
+            self.place.update((w, first + j) for j, w in enumerate(some))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
