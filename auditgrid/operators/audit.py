@@ -28,6 +28,11 @@ MIDDLEWARE = r"(?:^|\/)(?:src\/)?middleware\.[mc]?[jt]sx?$"
 MIDDLEWARE_CALLS = r"\b(?:clerkMiddleware|authMiddleware|withClerkMiddleware|withAuth|NextAuth|updateSession|createMiddlewareClient|createServerClient)\s*\("
 
 
+MATCHER = r"\bmatcher['\"]?\s*:\s*(\[[^\]]*\]|'[^'\n]*'|\"[^\"\n]*\")"
+#: What a matcher may end in behind its plain prefix.
+MATCHER_TAILS = (r"\/:\w+\*?\??.*\z", r"\/?\(\.\*\)\$?\z", r"\/?\.\*\$?\z", r"\$\z", r"\/+\z")
+
+
 def rank(severity: Column) -> Column:
     return F.when(severity == "critical", 0).when(severity == "warning", 1).otherwise(2)
 
@@ -106,7 +111,7 @@ def unsuppressed(findings: DataFrame, files: DataFrame) -> DataFrame:
 def matcher_prefix(raw: Column) -> Column:
     """The path prefix that a middleware's matcher covers; null where it is no plain prefix."""
     p = js_trim(raw)
-    for pattern in (r"\/:\w+\*?\??.*\z", r"\/?\(\.\*\)\$?\z", r"\/?\.\*\$?\z", r"\$\z", r"\/+\z"):
+    for pattern in MATCHER_TAILS:
         p = F.regexp_replace(p, pattern, "")
     plain = F.when(p == "", "/").when(p.rlike(r"[()\[\]{}*+?|\\^$]"), None).otherwise(p)
     return F.when(~js_trim(raw).startswith("/"), None).when(raw.contains("(?!"), "/").otherwise(plain)
@@ -124,7 +129,7 @@ def middleware(files: DataFrame) -> DataFrame:
     """``(repo, prefixes)`` of repositories whose last middleware file checks users and has plain matchers."""
     rows = quieted(files.where(matches(F.col("relative_path"), MIDDLEWARE, "i")))
     code = F.col("code")
-    listed = F.regexp_extract(code, r"\bmatcher['\"]?\s*:\s*(\[[^\]]*\]|'[^'\n]*'|\"[^\"\n]*\")", 1)
+    listed = F.regexp_extract(code, MATCHER, 1)
     raw = F.transform(F.regexp_extract_all(listed, F.lit(r"'[^'\n]*'|\"[^\"\n]*\""), F.lit(0)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
     prefixes = F.filter(F.transform(raw, matcher_prefix), lambda x: x.isNotNull())
     facts = rows.select("repo", "file_id", prefixes.alias("prefixes"), (guarded(code, code, False) | matches(code, MIDDLEWARE_CALLS)).alias("guards"))
@@ -138,15 +143,35 @@ def middleware_files(files: DataFrame, config: Config = Config()) -> DataFrame:
     return files.where(F.col("content").isNotNull() & matches(path, MIDDLEWARE, "i") & ~ignored(path, config.ignore)).select(*KEYS, "content")
 
 
-def rescored(findings: DataFrame, guards: DataFrame) -> DataFrame:
-    """Critical missing-auth findings become warnings where the repository's middleware covers the route."""
+def url_prefixes(url: Column) -> Column:
+    """``/``, and the address cut behind each of its parts, itself included."""
+    parts = F.filter(F.split(url, "/"), lambda x: x != "")
+    return F.concat(F.array(F.lit("/")), F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
+
+
+def covered(routes: DataFrame, guards: DataFrame) -> DataFrame:
+    """``repo, relative_path, prefix``: the routes among the paths of ``routes`` that middleware covers, by the first of its prefixes that does.
+
+    An equality join: a route has a row for each prefix of its address, and each repository's middleware a row for each of its own.
+    """
     url = route_url(F.col("relative_path"))
-    asked = (F.col("rule_id") == "missing-auth") & (F.col("severity") == "critical") & url.isNotNull()
-    joined = findings.join(guards.select(F.col("repo").alias("g_repo"), "prefixes"), (F.col("repo") == F.col("g_repo")) & asked, "left")
-    covers = F.get(F.filter("prefixes", lambda p: (p == "/") | (url == p) | url.startswith(F.concat(p, F.lit("/")))), F.lit(0))
+    ways = routes.where(url.isNotNull()).select("repo", "relative_path").distinct().select("repo", "relative_path", F.explode(F.array_distinct(url_prefixes(url))).alias("prefix"))
+    known = guards.select("repo", F.posexplode("prefixes").alias("place", "prefix"))
+    return ways.join(known, ["repo", "prefix"]).groupBy("repo", "relative_path").agg(F.min_by("prefix", "place").alias("prefix"))
+
+
+def rescored(findings: DataFrame, guards: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    """Critical missing-auth findings become warnings where the repository's middleware covers the route.
+
+    ``routes`` has the paths of the files, where they come cheaper than those of the findings.
+    """
+    asked = (F.col("rule_id") == "missing-auth") & (F.col("severity") == "critical")
+    covers = covered(findings.where(asked) if routes is None else routes, guards).select(F.col("repo").alias("c_repo"), F.col("relative_path").alias("c_path"), "prefix")
+    joined = findings.join(covers, (F.col("repo") == F.col("c_repo")) & (F.col("relative_path") == F.col("c_path")) & asked, "left")
+    by = F.col("prefix")
     return joined.withColumns({
-        "severity": F.when(covers.isNotNull(), "warning").otherwise(F.col("severity")),
-        "message": F.when(covers.isNotNull(), F.concat("message", F.lit("; the middleware covers "), covers, F.lit(", make sure that it holds for this route"))).otherwise(F.col("message")),
+        "severity": F.when(by.isNotNull(), "warning").otherwise(F.col("severity")),
+        "message": F.when(by.isNotNull(), F.concat("message", F.lit("; the middleware covers "), by, F.lit(", make sure that it holds for this route"))).otherwise(F.col("message")),
     }).select(*findings.columns)
 
 
@@ -208,7 +233,7 @@ def audit(files: DataFrame, config: Config = Config(), dependencies: DataFrame |
     if follow_imports and "missing-auth" in ids:
         found = across_files(found, guarded_functions(kept, config.custom_auth_guards))
     if rescore and "missing-auth" in ids:
-        found = rescored(found, middleware(kept))
+        found = rescored(found, middleware(kept), kept)
     if dependencies is not None:
         found = found.unionByName(dependencies)
     return enriched(found, extra)

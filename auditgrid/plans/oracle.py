@@ -323,7 +323,7 @@ def placed(rows: str, text: str, regex: str, flags: str, shift: str) -> str:
     return f"SELECT *, CAST({shift} + list_sum(list_transform(gaps[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:j - 1], lambda x: length(x))), 0) AS BIGINT) AS off FROM (SELECT *, unnest(generate_series(1, len(hits))) AS j FROM ({hits}))"
 
 
-def _guarded(body: str, local: bool) -> str:
+def guarded(body: str, local: bool) -> str:
     imported = "flatten(list_transform(regexp_extract_all(code, '\\bimport\\s+([^;''\"]+?)\\s+from\\b', 1), lambda c: regexp_extract_all(c, '(\\w+)', 1)))"
     declared = f"list_concat({imported}, regexp_extract_all(code, '\\b(?:function\\s*\\*?\\s+|(?:const|let|var)\\s+)(\\w+)', 1))" if local else imported
     calls = f"regexp_extract_all({body}, {inline(rf'\b(\w*{scope_rules.GUARD_HINT}\w*)\s*[.(]', 'i')}, 1)"
@@ -342,7 +342,7 @@ def scope_rule(rule: ScopeRule) -> str:
     if rule.name:
         tests.append(matches("name", rule.name, "" if rule.exported else "i"))
     if rule.guarded:
-        tests.append(f"NOT ({_guarded('body', rule.local_guards)})")
+        tests.append(f"NOT ({guarded('body', rule.local_guards)})")
     asked = f"SELECT * FROM (SELECT q.*, s.kind, s.name, s.exported, s.head, s.start, substring(q.code, s.start + 1, s.stop - s.start) AS body FROM quiet q JOIN scopes s USING (file_id)) WHERE {both(tests)}"
     rows = " UNION ALL ".join(placed(asked, "body", r, f, "start") for r, f in rule.hits) if rule.hits else f"SELECT *, CAST(head AS BIGINT) AS off FROM ({asked})"
     if rule.first:

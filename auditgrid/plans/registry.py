@@ -375,6 +375,27 @@ kept AS (SELECT * FROM raw f WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE
 findings AS (SELECT k.*, r.rule_ord, r.rule_name, r.cwe_id, r.cvss_score, r.owasp_category, r.wcag, r.fix FROM kept k LEFT JOIN rules r USING (rule_id))"""
 
 
+def _rescored_sql() -> str:
+    """``findings`` of missing-auth with the first prefix of the repository's middleware that covers the route."""
+    strings = quote(r"'[^'\n]*'|" + r'"[^"\n]*"')
+    bare = oracle.trim("x")
+    for tail in A.MATCHER_TAILS:
+        bare = f"regexp_replace({bare}, {quote(tail.replace(chr(92) + 'z', '$'))}, '')"
+    special = quote(r"[()\[\]{}*+?|\\^$]")
+    prefix = f"CASE WHEN NOT starts_with({oracle.trim('x')}, '/') THEN NULL WHEN contains(x, '(?!') OR {bare} = '' THEN '/' WHEN regexp_matches({bare}, {special}) THEN NULL ELSE {bare} END"
+    return f"""ways AS (SELECT repo, file_id, regexp_extract(code, {quote(A.MATCHER)}, 1) AS listed, {oracle.guarded("code", False)} OR {oracle.matches("code", A.MIDDLEWARE_CALLS)} AS guards FROM quiet WHERE {oracle.matches("relative_path", A.MIDDLEWARE, "i")}),
+last AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY repo ORDER BY file_id DESC) = 1),
+guards AS (SELECT repo, list_filter(list_transform(list_transform(regexp_extract_all(listed, {strings}), lambda x: x[2:-2]), lambda x: {prefix}), lambda x: x IS NOT NULL) AS prefixes FROM last WHERE guards),
+covered AS (SELECT f.*, list_filter(prefixes, lambda p: p = '/' OR url = p OR starts_with(url, p || '/'))[1] AS prefix FROM (SELECT *, {_url_sql()} AS url FROM findings) f LEFT JOIN guards g ON g.repo = f.repo)"""
+
+
+def _url_sql() -> str:
+    """The address that a route's file answers."""
+    app, pages = quote(r"(?i)(?:^|/)app/(.+)/route\.[mc]?[jt]sx?$"), quote(r"(?i)(?:^|/)pages/(api/.+)\.[mc]?[jt]sx?$")
+    parts = f"list_filter(string_split(regexp_extract(relative_path, {app}, 1), '/'), lambda s: NOT regexp_matches(s, '^\\(.*\\)$') AND NOT starts_with(s, '@'))"
+    return f"CASE WHEN regexp_matches(relative_path, {app}) THEN '/' || array_to_string({parts}, '/') WHEN regexp_matches(relative_path, {pages}) THEN '/' || regexp_replace(regexp_extract(relative_path, {pages}, 1), '/index$', '') END"
+
+
 _COUNTS = "CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (severity = 'critical') AS BIGINT) AS critical, CAST(count(*) FILTER (severity = 'warning') AS BIGINT) AS warning, CAST(count(*) FILTER (severity = 'info') AS BIGINT) AS info"
 _GRADED = """SELECT r.repo, CASE WHEN coalesce(critical, 0) > 0 THEN 'F' WHEN coalesce(warning, 0) > 3 THEN 'D' WHEN coalesce(warning, 0) > 1 THEN 'C' WHEN coalesce(warning, 0) > 0 THEN 'B' ELSE 'A' END AS grade,
   coalesce(critical, 0) AS criticals, coalesce(warning, 0) AS warnings, coalesce(info, 0) AS infos, coalesce(total, 0) AS total
@@ -395,7 +416,6 @@ def oracle_sql() -> dict[str, str]:
     disabled = " AND ".join(f"NOT (rule_id = {quote(r)} AND contains(relative_path, {quote(p.removeprefix('^').removesuffix('$'))}))" for r, ps in DISABLED.items() for p in ps)
     size = "octet_length(encode(content))"
     secret = "|".join(f"(?:{p.regex})" for p in next(r for r in A.LINE_RULES if r.id == "exposed-secrets").patterns)
-    app, pages = r"(?i)(?:^|/)app/(.+)/route\.[mc]?[jt]sx?$", r"(?i)(?:^|/)pages/(api/.+)\.[mc]?[jt]sx?$"
     labels = _values([*catalog.OWASP_LABELS.items(), ("Other", "Other")], "owasp_category, label")
     small_grades = f"grades AS ({_GRADED})"
     return out | {
@@ -427,10 +447,7 @@ def oracle_sql() -> dict[str, str]:
         "suppress_antijoin": audited(f"SELECT {oracle.COLUMNS} FROM kept"),
         "disabled_paths_antijoin": _with(f"SELECT * FROM ({_union(SMALL)}) WHERE {disabled}"),
         "project_settings_join": _with(f"SELECT * FROM ({_union(SMALL)}) WHERE NOT (ends_with(repo, '3') AND (rule_id = 'weak-hashing' OR list_contains(string_split(relative_path, '/'), 'components') OR (rule_id = 'hardcoded-ip' AND contains(relative_path, 'src/lib'))))"),
-        "route_urls": _with(
-            f"SELECT file_id, relative_path, CASE WHEN regexp_matches(relative_path, {quote(app)}) THEN '/' || array_to_string(list_filter(string_split(regexp_extract(relative_path, {quote(app)}, 1), '/'), lambda s: NOT regexp_matches(s, '^\\(.*\\)$') AND NOT starts_with(s, '@')), '/') "
-            f"WHEN regexp_matches(relative_path, {quote(pages)}) THEN '/' || regexp_replace(regexp_extract(relative_path, {quote(pages)}, 1), '/index$', '') END AS url FROM files"
-        ),
+        "route_urls": _with(f"SELECT file_id, relative_path, {_url_sql()} AS url FROM files"),
         "enrich_and_sort": audited(f"SELECT {oracle.COLUMNS}, rule_ord, rule_name, cwe_id, cvss_score, owasp_category, wcag, fix FROM findings ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, repo, file_id, rule_ord, line, message"),
         "agg_by_severity": audited(f"SELECT *, CASE WHEN critical > 0 THEN 'F' WHEN warning > 5 THEN 'D' WHEN warning > 0 THEN 'C' WHEN info > 0 THEN 'B' ELSE 'A' END AS grade FROM (SELECT {_COUNTS} FROM findings)"),
         "agg_by_file": audited(f"SELECT repo, file_id, relative_path, {_COUNTS} FROM findings GROUP BY repo, file_id, relative_path"),
@@ -452,6 +469,11 @@ def oracle_sql() -> dict[str, str]:
         "CASE WHEN code IN ('403', '429') AND coalesce(limited, regexp_matches(coalesce(message, ''), '(?i)rate limit|abuse detection')) THEN 'rate-limited' WHEN code IN ('403', '429') THEN 'access-denied' WHEN code = '401' THEN 'auth-required' WHEN code = '404' THEN 'not-found' WHEN code = '409' THEN 'empty' ELSE 'error' END AS kind "
         f"FROM (SELECT *, coalesce(CAST(status AS VARCHAR), regexp_extract(coalesce(message, ''), '401|403|404|409|429')) AS code FROM {_values(ERRORS, 'repo, status, limited, message')}))",
         "portfolio_discovery": _with("SELECT found, saved, found >= saved * 0.75 AS accepted FROM (SELECT CAST(count(*) FILTER (NOT ends_with(repo, '7')) AS BIGINT) AS found, CAST(count(*) AS BIGINT) AS saved FROM (SELECT DISTINCT repo FROM files))"),
+        "middleware_rescore": _with(
+            "SELECT file_id, repo, relative_path, rule_id, CASE WHEN prefix IS NOT NULL AND severity = 'critical' THEN 'warning' ELSE severity END AS severity, "
+            "CASE WHEN prefix IS NOT NULL AND severity = 'critical' THEN message || '; the middleware covers ' || prefix || ', make sure that it holds for this route' ELSE message END AS message, line, evidence FROM covered",
+            more=_audited_sql(("missing-auth",)) + ", " + _rescored_sql(),
+        ),
         "stream_versions": _with(
             f"SELECT {oracle.COLUMNS} FROM kept",
             corpus.sql().replace("files AS (", "landed AS (") + f""",
