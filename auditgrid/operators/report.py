@@ -37,7 +37,10 @@ def severity_bar(summary: DataFrame, width: int = 40) -> DataFrame:
 
 
 def by_file(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("repo", "file_id", "relative_path").agg(F.count(F.lit(1)).alias("total"), _count("critical").alias("critical"), _count("warning").alias("warning"), _count("info").alias("info"))
+    """Counts of each file with findings, in the order in which an ordered audit first names them."""
+    first = F.min(F.struct(rank(F.col("severity")), "repo", "relative_path", "file_id")).alias("first")
+    counts = findings.groupBy("repo", "file_id", "relative_path").agg(F.count(F.lit(1)).alias("total"), _count("critical").alias("critical"), _count("warning").alias("warning"), _count("info").alias("info"), first)
+    return counts.orderBy("first").drop("first")
 
 
 def by_owasp(findings: DataFrame) -> DataFrame:

@@ -138,11 +138,17 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.files(spark, sf_dir).select("file_id", "relative_path", A.route_url(F.col("relative_path")).alias("url"))
 
 
-MATCHERS = ("/dashboard", "/api/:path*", "/((?!_next).*)", "/admin/(.*)", "/a/.*", "plain", "/x[0-9]", "/", "/b/", "/c$")
+#: What stands behind a page's path in a matcher of middleware.
+TAILS = ("", "/:path*", "/(.*)", "/.*", "/[0-9]", "/", "$", "/((?!_next).*)", "/:id", " ")
 
 
 def _matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(m,) for m in MATCHERS], "raw string").select("raw", A.matcher_prefix(F.col("raw")).alias("prefix"))
+    """Each page's path as a matcher; every eleventh one is no path."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id is not null and url is not null")
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), (F.pmod("page_id", F.lit(len(TAILS))) + 1).cast("int"))
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1)
+    raw = F.concat(F.when(F.pmod("page_id", F.lit(11)) == 0, F.lit("x")).otherwise(""), path, tail)
+    return pages.select("page_id", raw.alias("raw")).withColumn("prefix", A.matcher_prefix(F.col("raw")))
 
 
 def _rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,55 +172,86 @@ def _errors(spark: SparkSession) -> DataFrame:
     return rows.withColumn("c", portfolio.classify_error(F.col("status"), F.col("limited"), F.col("message"))).select("repo", "c.label", "c.kind", "c.rate_limited")
 
 
+def _event_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as the failed scan of a repository, with one of the answers of ``ERRORS``."""
+    kinds = spark.createDataFrame([(i, s, limited, m) for i, (_, s, limited, m) in enumerate(ERRORS)], "k long, status int, limited boolean, said string")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id is not null").select("event_id", "event_type", F.pmod("event_id", F.lit(len(ERRORS))).alias("k"))
+    rows = events.join(F.broadcast(kinds), "k").withColumn("message", F.concat("said", F.lit(" after "), F.coalesce("event_type", F.lit(""))))
+    return rows.select("event_id", portfolio.classify_error(F.col("status"), F.col("limited"), F.col("message")).alias("c")).select("event_id", "c.label", "c.kind", "c.rate_limited")
+
+
 def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies.dependency_findings(corpus.files(spark, sf_dir)).select(*COLUMNS)
 
 
-AUDIT_JSON = '{"vulnerabilities":{"a":{"severity":"high","range":"<2","via":[{"title":"Bad"},"x",{"name":"b"}],"fixAvailable":true},"c":{"severity":"moderate","via":["y"]},"d":{"severity":"low","range":"1","via":"z"}}}'
+def _parts(spark: SparkSession, sf_dir: str, kinds: int) -> DataFrame:
+    """The parts as packages: k, one of some kinds; p, the part's number; and its name in one word."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey is not null and p_name is not null and p_size is not null")
+    return rows.select(F.pmod("p_partkey", F.lit(kinds)).cast("int").alias("k"), F.col("p_partkey").cast("long").alias("p"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("word"), F.col("p_size").cast("int").alias("size"), "p_name")
 
 
 def _npm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "r", "package.json", AUDIT_JSON), (2, "s", "package.json", "{broken"), (3, "t", "package.json", None)], "file_id long, repo string, relative_path string, raw_json string")
+    """Each part as what npm's audit says of one package: with titles, with one name, broken, or not there."""
+    entry = lambda via: F.concat(F.lit('{"vulnerabilities":{"'), "word", F.lit('":{"severity":"'), severity, F.lit('","range":"<'), "size", F.lit('","via":'), via, F.lit("}}}"))
+    severity = F.when(F.col("size") > 40, "critical").when(F.col("size") > 30, "high").when(F.col("size") > 15, "moderate").otherwise("low")
+    titled = entry(F.concat(F.lit('[{"title":"'), "p_name", F.lit('"},"x",{"name":"b"}]')))
+    raw = F.when(F.col("k") == 0, titled).when(F.col("k") == 1, entry(F.concat(F.lit('"'), "p_name", F.lit('"')))).when(F.col("k") == 2, entry(F.lit('["y"]'))).when(F.col("k") == 3, F.substring(titled, F.lit(1), F.length(titled) - 3))
+    rows = _parts(spark, sf_dir, 5).select(F.col("p").alias("file_id"), F.concat(F.lit("repo"), F.col("p").cast("string")).alias("repo"), F.lit("package.json").alias("relative_path"), raw.alias("raw_json"))
     return dependencies.npm_audit_findings(rows).select(*COLUMNS)
 
 
-TREE = (("keyv", "6.0.0"), ("left-pad", "1.3.0"), ("fresh", "2.0.0"), ("hooked", "1.0.0"), ("hijack", "3.0.0"), ("lost", "1.0.0"), ("undated", "1.0.0"), ("edge", "1.0.0"))
-REGISTRY = (("left-pad", "1.3.0", 5000.0, None), ("fresh", "2.0.0", 10.0, None), ("hooked", "1.0.0", 900.0, "postinstall"), ("hijack", "3.0.0", 1.0, "preinstall"), ("undated", "1.0.0", None, None), ("edge", "1.0.0", 72.0, None))
+#: Kinds of packages: a name, hours since its version was published (of some a part's size more), and its hook. "lost" isn't in the registry.
+PACKAGES = (("keyv", None, None), ("left-pad", 5000, None), ("fresh", 10, None), ("hooked", 900, "postinstall"), ("hijack", 1, "preinstall"), ("lost", None, None), ("undated", None, None), ("edge", 47, None))
 
 
-def _assessed(spark: SparkSession) -> DataFrame:
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as the packages of an install, and as what the registry says of them."""
     now = F.timestamp_micros(F.lit(1_700_000_000_000_000))
-    registry = spark.createDataFrame(REGISTRY, "name string, version string, hours double, hook string")
-    registry = registry.withColumn("published", F.timestamp_micros((F.lit(1_700_000_000_000_000) - F.col("hours") * 3.6e9).cast("long")))
-    registry = registry.withColumn("scripts", F.when(F.col("hook").isNotNull(), F.create_map("hook", F.lit("node x.js"))).otherwise(F.create_map().cast("map<string,string>")))
-    return dependencies.assess(spark.createDataFrame(TREE, "name string, version string"), registry, now)
+    kinds = spark.createDataFrame([(i, *p) for i, p in enumerate(PACKAGES)], "k int, base string, hours int, hook string")
+    rows = _parts(spark, sf_dir, len(PACKAGES)).join(F.broadcast(kinds), "k")
+    rows = rows.withColumns({"name": F.when(F.col("k") == 0, "keyv").otherwise(F.concat_ws("-", "base", "word", "p")), "version": F.when(F.col("k") == 0, "6.0.0").otherwise(F.concat(F.lit("1."), F.col("size").cast("string")))})
+    known = rows.where("base not in ('keyv', 'lost')").withColumn("published", F.timestamp_micros((F.lit(1_700_000_000_000_000) - (F.col("hours") + F.col("size")) * 3.6e9).cast("long")))
+    scripts = F.when(F.col("hook").isNotNull(), F.create_map("hook", F.lit("node x.js"))).otherwise(F.create_map().cast("map<string,string>"))
+    return dependencies.assess(rows.select("name", "version"), known.select("name", "version", "published", scripts.alias("scripts")), now)
 
 
 def _gate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assessed(spark).select("name", "version", "level")
+    return _assessed(spark, sf_dir).select("name", "version", "level")
 
 
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _assessed(spark)
+    a = _assessed(spark, sf_dir)
     return a.select("name", "version", "level", F.array_join("reasons", "; ").alias("reasons"), F.round("age_hours", 3).alias("age_hours"), F.array_join("install_scripts", ",").alias("install_scripts"))
 
 
 def _gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dependencies.gate_status(_assessed(spark))
+    return dependencies.gate_status(_assessed(spark, sf_dir))
 
 
-TARGETS = ("https://github.com/o/r", "github.com/o/r.git", "o/r", "./x/y", "dir/sub", "o/r/s", "git@github.com:o/r.git", "https://example.org/o/r", "a b/c")
+#: Ways to write a repository: o is its owner, r its name.
+ADDRESSES = ("https://github.com/{o}/{r}", "github.com/{o}/{r}.git", "{o}/{r}", "./{o}/{r}", "{o}/{r}/s", "git@github.com:{o}/{r}.git", "https://example.org/{o}/{r}", "{o} b/{r}", "http://github.com/{o}/{r}?tab=x#y")
+#: Those that name one.
+NAMING = (0, 1, 2, 8)
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in TARGETS], "target string").withColumn("t", S.parse_target(F.col("target"))).select("target", "t.owner", "t.repo")
+    """Each page's host and number as the address of a repository."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id is not null and url is not null")
+    o, r = F.regexp_extract("url", r"^[a-z]+://([a-z]+)", 1), F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    made = [F.replace(F.replace(F.lit(a), F.lit("{o}"), o), F.lit("{r}"), r) for a in ADDRESSES]
+    rows = pages.select("page_id", F.element_at(F.array(*made), (F.pmod("page_id", F.lit(len(ADDRESSES))) + 1).cast("int")).alias("target"))
+    return rows.withColumn("t", S.parse_target(F.col("target"))).select("page_id", "target", "t.owner", "t.repo")
 
 
-SPECS = ("lodash", "lodash@4.17.21", "@scope/pkg", "a;rm -rf", "Upper", "@x/y@^1.0", "", "a\n")
+#: Ways to write a package with the name w and the number n.
+SPECS = ("{w}", "{w}@{n}.17.21", "@{w}/pkg", "{w};rm -rf", "{w} {n}", "@x/{w}@^1.{n}", "", "{w}\n", "{w}@>={n} <9")
 
 
 def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SPECS], "spec string").select("spec", dependencies.valid_spec(F.col("spec")).alias("valid"))
+    """Each part's name as what is to be installed."""
+    rows = _parts(spark, sf_dir, len(SPECS))
+    made = [F.replace(F.replace(F.lit(x), F.lit("{w}"), F.col("word")), F.lit("{n}"), F.col("size").cast("string")) for x in SPECS]
+    return rows.select("p", F.element_at(F.array(*made), F.col("k") + 1).alias("spec")).withColumn("valid", dependencies.valid_spec(F.col("spec")))
 
 
 def _discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +367,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "agg_by_rule": _by_rule,
         "portfolio_repo_grades": _grades,
         "portfolio_discovery": _discovery,
-        "scan_errors": lambda s, d: _errors(s),
+        "scan_errors": _event_errors,
         "target_parser": _targets,
         "dependency_findings": _dependencies,
         "stream_versions": _versions,
@@ -375,14 +412,18 @@ kept AS (SELECT * FROM raw f WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE
 findings AS (SELECT k.*, r.rule_ord, r.rule_name, r.cwe_id, r.cvss_score, r.owasp_category, r.wcag, r.fix FROM kept k LEFT JOIN rules r USING (rule_id))"""
 
 
-def _rescored_sql() -> str:
-    """``findings`` of missing-auth with the first prefix of the repository's middleware that covers the route."""
-    strings = quote(r"'[^'\n]*'|" + r'"[^"\n]*"')
-    bare = oracle.trim("x")
+def _prefix_sql(x: str) -> str:
+    bare = oracle.trim(x)
     for tail in A.MATCHER_TAILS:
         bare = f"regexp_replace({bare}, {quote(tail.replace(chr(92) + 'z', '$'))}, '')"
     special = quote(r"[()\[\]{}*+?|\\^$]")
-    prefix = f"CASE WHEN NOT starts_with({oracle.trim('x')}, '/') THEN NULL WHEN contains(x, '(?!') OR {bare} = '' THEN '/' WHEN regexp_matches({bare}, {special}) THEN NULL ELSE {bare} END"
+    return f"CASE WHEN NOT starts_with({oracle.trim(x)}, '/') THEN NULL WHEN contains({x}, '(?!') OR {bare} = '' THEN '/' WHEN regexp_matches({bare}, {special}) THEN NULL ELSE {bare} END"
+
+
+def _rescored_sql() -> str:
+    """``findings`` of missing-auth with the first prefix of the repository's middleware that covers the route."""
+    strings = quote(r"'[^'\n]*'|" + r'"[^"\n]*"')
+    prefix = _prefix_sql("x")
     return f"""ways AS (SELECT repo, file_id, regexp_extract(code, {quote(A.MATCHER)}, 1) AS listed, {oracle.guarded("code", False)} OR {oracle.matches("code", A.MIDDLEWARE_CALLS)} AS guards FROM quiet WHERE {oracle.matches("relative_path", A.MIDDLEWARE, "i")}),
 last AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY repo ORDER BY file_id DESC) = 1),
 guards AS (SELECT repo, list_filter(list_transform(list_transform(regexp_extract_all(listed, {strings}), lambda x: x[2:-2]), lambda x: {prefix}), lambda x: x IS NOT NULL) AS prefixes FROM last WHERE guards),
@@ -408,6 +449,14 @@ def _values(rows, names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names})"
 
 
+#: The packages of the gate with what is known of each: kinds go by the part's number, and some are older the larger the part is.
+_GATE = (
+    "SELECT *, CASE WHEN k = 0 THEN 'block' WHEN k = 5 THEN 'warn' WHEN fresh AND hook IS NOT NULL THEN 'block' WHEN fresh OR hook IS NOT NULL THEN 'warn' ELSE 'ok' END AS level FROM (SELECT k, hook, CASE WHEN k NOT IN (0, 5) THEN hours + p_size END AS age, coalesce(hours + p_size < 72, false) AS fresh, "
+    "CASE WHEN k = 0 THEN 'keyv' ELSE base || '-' || lower(replace(p_name, ' ', '-')) || '-' || p_partkey END AS name, CASE WHEN k = 0 THEN '6.0.0' ELSE '1.' || p_size END AS version FROM part JOIN "
+    + _values([(i, *p) for i, p in enumerate(PACKAGES)], "k, base, hours, hook") + f" ON k = p_partkey % {len(PACKAGES)})"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     out = {_name(r): _with(f"SELECT {oracle.COLUMNS} FROM ({oracle.rule_sql(r)})", more=oracle.scopes_cte() if oracle.needs_scopes(r) else "") for r in portable()}
     audited = lambda body: _with(body, more=_audited_sql())
@@ -465,9 +514,6 @@ def oracle_sql() -> dict[str, str]:
             "SELECT *, skipped + total AS attempted, CASE WHEN total = 0 THEN 2 WHEN criticals > 0 THEN 1 ELSE 0 END AS exit_code FROM (SELECT CAST(count(*) AS BIGINT) AS total, " + ", ".join(f"CAST(count(*) FILTER (grade = '{g}') AS BIGINT) AS grade_{g.lower()}" for g in portfolio.GRADES)
             + f", CAST(sum(criticals) AS BIGINT) AS criticals, CAST(sum(warnings) AS BIGINT) AS warnings, CAST({len(ERRORS)} AS BIGINT) AS skipped, CAST(5 AS BIGINT) AS blocked FROM grades)", more=_audited_sql() + ", " + small_grades,
         ),
-        "scan_errors": "SELECT repo, CASE kind WHEN 'rate-limited' THEN 'Rate limited' WHEN 'access-denied' THEN 'Access denied' WHEN 'auth-required' THEN 'Sign-in needed' WHEN 'not-found' THEN 'Not found or empty' WHEN 'empty' THEN 'Empty repository' ELSE substring(coalesce(message, ''), 1, 120) END AS label, kind, kind = 'rate-limited' AS rate_limited FROM (SELECT repo, message, "
-        "CASE WHEN code IN ('403', '429') AND coalesce(limited, regexp_matches(coalesce(message, ''), '(?i)rate limit|abuse detection')) THEN 'rate-limited' WHEN code IN ('403', '429') THEN 'access-denied' WHEN code = '401' THEN 'auth-required' WHEN code = '404' THEN 'not-found' WHEN code = '409' THEN 'empty' ELSE 'error' END AS kind "
-        f"FROM (SELECT *, coalesce(CAST(status AS VARCHAR), regexp_extract(coalesce(message, ''), '401|403|404|409|429')) AS code FROM {_values(ERRORS, 'repo, status, limited, message')}))",
         "portfolio_discovery": _with("SELECT found, saved, found >= saved * 0.75 AS accepted FROM (SELECT CAST(count(*) FILTER (NOT ends_with(repo, '7')) AS BIGINT) AS found, CAST(count(*) AS BIGINT) AS saved FROM (SELECT DISTINCT repo FROM files))"),
         "middleware_rescore": _with(
             "SELECT file_id, repo, relative_path, rule_id, CASE WHEN prefix IS NOT NULL AND severity = 'critical' THEN 'warning' ELSE severity END AS severity, "
@@ -489,7 +535,16 @@ files AS (SELECT file_id, repo, 'f' || file_id || '/' || relative_path AS relati
             + "".join(f"UNION ALL SELECT 0, 0, {3 + i}, '| {x} | ' || {x} || ' |' FROM s UNION ALL SELECT 1, {i}, 0, '## {x.capitalize()} (' || {x} || ')' FROM s " for i, x in enumerate(("critical", "warning", "info")))
             + f"UNION ALL SELECT 2, 0, 1, '- ' || v.owasp_category || ' ' || label || ': ' || count(*) FROM {labels} JOIN findings f ON coalesce(f.owasp_category, 'Other') = v.owasp_category GROUP BY v.owasp_category, label)"
         ),
-        "matcher_prefixes": "SELECT * FROM (VALUES ('/dashboard', '/dashboard'), ('/api/:path*', '/api'), ('/((?!_next).*)', '/'), ('/admin/(.*)', '/admin'), ('/a/.*', '/a'), ('plain', NULL), ('/x[0-9]', NULL), ('/', '/'), ('/b/', '/b'), ('/c$', '/c')) v(raw, prefix)",
-        "target_parser": "SELECT * FROM (VALUES ('https://github.com/o/r', 'o', 'r'), ('github.com/o/r.git', 'o', 'r'), ('o/r', 'o', 'r'), ('./x/y', NULL, NULL), ('dir/sub', 'dir', 'sub'), ('o/r/s', NULL, NULL), ('git@github.com:o/r.git', NULL, NULL), ('https://example.org/o/r', NULL, NULL), ('a b/c', NULL, NULL)) v(target, owner, repo)",
-        "gate_levels": "SELECT * FROM (VALUES ('keyv', '6.0.0', 'block'), ('left-pad', '1.3.0', 'ok'), ('fresh', '2.0.0', 'warn'), ('hooked', '1.0.0', 'warn'), ('hijack', '3.0.0', 'block'), ('lost', '1.0.0', 'warn'), ('undated', '1.0.0', 'ok'), ('edge', '1.0.0', 'ok')) v(name, version, level)",
+        "matcher_prefixes": f"SELECT page_id, raw AS raw, {_prefix_sql('raw')} AS prefix FROM (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'x' ELSE '' END || regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) || ([{', '.join(map(quote, TAILS))}])[page_id % {len(TAILS)} + 1] AS raw FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL)",
+        "target_parser": f"SELECT page_id, target, CASE WHEN names THEN o END AS owner, CASE WHEN names THEN r END AS repo FROM (SELECT page_id, o, r, page_id % {len(ADDRESSES)} IN ({', '.join(map(str, NAMING))}) AND o <> '' AS names, replace(replace(([{', '.join(map(quote, ADDRESSES))}])[page_id % {len(ADDRESSES)} + 1], '{{o}}', o), '{{r}}', r) AS target "
+        "FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([a-z]+)', 1) AS o, 'p' || page_id AS r FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL))",
+        "package_specs": f"SELECT p, spec, regexp_matches(spec, {quote(dependencies.SPEC.replace(chr(92) + 'z', '$'))}) AS valid FROM (SELECT p_partkey AS p, replace(replace(([{', '.join('chr(10)'.join(map(quote, x.split(chr(10)))).replace(chr(39) + 'chr(10)' + chr(39), chr(39) + ' || chr(10) || ' + chr(39)) for x in SPECS)}])[p_partkey % {len(SPECS)} + 1], '{{w}}', lower(replace(p_name, ' ', '-'))), '{{n}}', CAST(p_size AS VARCHAR)) AS spec FROM part)",
+        "scan_errors": "SELECT event_id, CASE kind WHEN 'rate-limited' THEN 'Rate limited' WHEN 'access-denied' THEN 'Access denied' WHEN 'auth-required' THEN 'Sign-in needed' WHEN 'not-found' THEN 'Not found or empty' WHEN 'empty' THEN 'Empty repository' ELSE substring(coalesce(message, ''), 1, 120) END AS label, kind, kind = 'rate-limited' AS rate_limited FROM (SELECT event_id, message, "
+        "CASE WHEN code IN ('403', '429') AND coalesce(limited, regexp_matches(coalesce(message, ''), '(?i)rate limit|abuse detection')) THEN 'rate-limited' WHEN code IN ('403', '429') THEN 'access-denied' WHEN code = '401' THEN 'auth-required' WHEN code = '404' THEN 'not-found' WHEN code = '409' THEN 'empty' ELSE 'error' END AS kind "
+        f"FROM (SELECT *, coalesce(CAST(status AS VARCHAR), regexp_extract(coalesce(message, ''), '401|403|404|409|429')) AS code FROM (SELECT event_id, status, limited, said || ' after ' || coalesce(event_type, '') AS message FROM events JOIN {_values([(i, s, limited, m) for i, (_, s, limited, m) in enumerate(ERRORS)], 'k, status, limited, said')} ON k = event_id % {len(ERRORS)})))",
+        "npm_audit": "SELECT p_partkey AS file_id, 'repo' || p_partkey AS repo, 'package.json' AS relative_path, 'vulnerable-dependency' AS rule_id, CASE WHEN p_size > 30 THEN 'critical' WHEN p_size > 15 THEN 'warning' ELSE 'info' END AS severity, lower(replace(p_name, ' ', '-')) || '@<' || p_size || ': ' || CASE p_partkey % 5 WHEN 0 THEN p_name || ', b' WHEN 1 THEN p_name "
+        "ELSE CASE WHEN p_size > 40 THEN 'critical' WHEN p_size > 30 THEN 'high' WHEN p_size > 15 THEN 'moderate' ELSE 'low' END END AS message, CAST(NULL AS INTEGER) AS line, CAST(NULL AS VARCHAR) AS evidence FROM part WHERE p_partkey % 5 < 3",
+        "gate_packages": f"SELECT name, version, level, concat_ws('; ', CASE WHEN k = 0 THEN 'this version is known to be malicious' WHEN k = 5 THEN 'the registry couldn''t be asked' END, CASE WHEN hook IS NOT NULL THEN 'runs code at install: ' || hook END, CASE WHEN fresh THEN 'published ' || age || ' hours ago' END) AS reasons, CAST(age AS DOUBLE) AS age_hours, coalesce(hook, '') AS install_scripts FROM ({_GATE})",
+        "gate_levels": f"SELECT name, version, level FROM ({_GATE})",
+        "gate_status": f"SELECT *, CASE WHEN blocked > 0 THEN 2 WHEN warned > 0 THEN 1 ELSE 0 END AS exit_code FROM (SELECT count(*) AS total, count(*) FILTER (level = 'block') AS blocked, count(*) FILTER (level = 'warn') AS warned FROM ({_GATE}))",
     }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from auditgrid.operators.audit import ordered, rank
 from auditgrid.operators.report import by_owasp, by_severity, cvss_histogram
+from auditgrid.sources.shared import Written
 
 _ANSI = {"critical": "31", "warning": "33", "info": "36"}
 
@@ -108,13 +109,15 @@ def _frame(kind: str, s: DataFrame) -> list[Column]:
     return [_line(0, 0, "Grade ", c("grade"), "  [", bar, "]"), _line(0, 1, "Findings ", c("total"), *counts), _line(2, 0, "OWASP")]
 
 
-def document(findings: DataFrame, kind: str = "markdown") -> DataFrame:
+def document(findings: DataFrame, kind: str = "markdown", written: bool = False) -> DataFrame:
     """All lines of a document, with the columns ``ORDER`` that they are to be ordered by, and text.
 
     markdown: grade, table of counts, a section for each severity, OWASP categories. html: a page of its own. json: one
     object with summary, findings and categories. terminal: a bar and counts, findings by file, categories. No findings: a
-    document that says so by its counts.
+    document that says so by its counts. The findings are written once and read for each part, so one audit makes a
+    report; ``written`` says that they are a table already.
     """
+    findings = findings if written else Written(findings.sparkSession, "report").table(findings, "findings")
     s = by_severity(findings)
     frame = s.select(F.inline(F.array(*_frame(kind, s))))
     o = by_owasp(findings).where("n > 0")
@@ -139,12 +142,16 @@ def document(findings: DataFrame, kind: str = "markdown") -> DataFrame:
 
 
 def write_report(findings: DataFrame, path: str, format: str = "json") -> dict:
-    """Write the document's lines in order as text files under ``path``/report, and the summary beside them; the counts."""
-    document(findings, format).orderBy(*ORDER, "text").select("text").write.mode("overwrite").text(f"{path}/report")
+    """Write the document's lines in order as text files under ``path``/report, and the summary beside them; the counts. The findings are made once."""
+    store = Written(findings.sparkSession, "report")
+    findings = store.table(findings, "findings")
+    document(findings, format, written=True).orderBy(*ORDER, "text").select("text").write.mode("overwrite").text(f"{path}/report")
     by_severity(findings).write.mode("overwrite").json(f"{path}/summary")
     by_owasp(findings).write.mode("overwrite").json(f"{path}/owasp")
     cvss_histogram(findings).write.mode("overwrite").json(f"{path}/cvss")
-    return by_severity(findings).first().asDict()
+    counts = by_severity(findings).first().asDict()
+    store.drop()
+    return counts
 
 
 def write_table(findings: DataFrame, path: str) -> None:

@@ -57,12 +57,14 @@ def test_renderers_escape(spark, tmp_path):
         assert sinks.RENDERERS[kind](f.where("false")).count() == 0
 
 
-def test_gate(spark):
-    got = {r.name: (r.level, r.age_hours) for r in registry._gate(spark, "").collect()}
-    assert got == {"keyv": ("block", None), "left-pad": ("ok", 5000.0), "fresh": ("warn", 10.0), "hooked": ("warn", 900.0), "hijack": ("block", 1.0), "lost": ("warn", None), "undated": ("ok", None), "edge": ("ok", 72.0)}
-    assert tuple(registry._gate_status(spark, "").first()) == (8, 2, 3, 2)
-    specs = {r.spec: r.valid for r in registry._specs(spark, "").collect()}
-    assert specs == {"lodash": True, "lodash@4.17.21": True, "@scope/pkg": True, "a;rm -rf": False, "Upper": False, "@x/y@^1.0": True, "": False, "a\n": False}
+def test_gate(spark, tmp_path):
+    spark.createDataFrame([(i, "a b", 25) for i in range(8)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.name: (r.level, r.age_hours) for r in registry._gate(spark, f"file://{tmp_path}").collect()}
+    assert got == {"keyv": ("block", None), "left-pad-a-b-1": ("ok", 5025.0), "fresh-a-b-2": ("warn", 35.0), "hooked-a-b-3": ("warn", 925.0), "hijack-a-b-4": ("block", 26.0), "lost-a-b-5": ("warn", None), "undated-a-b-6": ("ok", None), "edge-a-b-7": ("ok", 72.0)}
+    assert tuple(registry._gate_status(spark, f"file://{tmp_path}").first()) == (8, 2, 3, 2)
+    want = {"lodash": True, "lodash@4.17.21": True, "@scope/pkg": True, "a;rm -rf": False, "Upper": False, "@x/y@^1.0": True, "": False, "a\n": False, None: False}
+    specs = spark.createDataFrame([(x,) for x in want], "spec string").select("spec", dependencies.valid_spec(F.col("spec")).alias("valid")).collect()
+    assert {r.spec: r.valid for r in specs} == want
     tree = dependencies.resolved_tree(spark.createDataFrame([("add a 1.0.0",), (" add @b/c 2.0.0 ",), ("added 3 packages",)], "line string"))
     assert sorted(map(tuple, tree.collect())) == [("@b/c", "2.0.0"), ("a", "1.0.0")]
 
@@ -74,5 +76,7 @@ def test_dependencies(spark):
     ]
     got = sorted((r.repo, r.severity, r.message) for r in dependencies.dependency_findings(spark.createDataFrame(rows, FILES_DDL)).collect())
     assert got == [("a", "info", "There is no lock file"), ("a", "warning", "z takes any version: latest"), ("d", "info", "django isn't pinned"), ("d", "info", "flask isn't pinned")]
-    npm = {r.message: r.severity for r in registry._npm(spark, "").collect()}
+    said = '{"vulnerabilities":{"a":{"severity":"high","range":"<2","via":[{"title":"Bad"},"x",{"name":"b"}],"fixAvailable":true},"c":{"severity":"moderate","via":["y"]},"d":{"severity":"low","range":"1","via":"z"}}}'
+    audits = spark.createDataFrame([(1, "r", "package.json", said), (2, "s", "package.json", "{broken"), (3, "t", "package.json", None)], "file_id long, repo string, relative_path string, raw_json string")
+    npm = {r.message: r.severity for r in dependencies.npm_audit_findings(audits).collect()}
     assert npm == {"a@<2: Bad, b": "critical", "c@unknown: moderate": "warning", "d@1: z": "info"}
