@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_block_naming": exact_dedup.SQL, "op11_pareto_mix": mixing.SQL, "op12_ball_kmeans": ball_kmeans.SQL, "op13_family_trie": prefix_trie.SQL}
+    return {"op3_substring_automata": substring_dedup.SQL, "op5_block_naming": exact_dedup.SQL, "op11_pareto_mix": mixing.SQL, "op12_ball_kmeans": ball_kmeans.SQL, "op13_family_trie": prefix_trie.SQL}

@@ -416,9 +416,9 @@ def op3_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-windows AS (SELECT doc_id, at, array_to_string(ws[at:at + 49], ' ') AS words FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS at FROM w WHERE len(ws) >= 50)),
+windows AS (SELECT doc_id, pos, array_to_string(ws[pos:pos + 49], ' ') AS words FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS pos FROM w WHERE len(ws) >= 50)),
 firsts AS (SELECT words, min(doc_id) AS least FROM windows GROUP BY words HAVING count(DISTINCT doc_id) > 1),
-gone AS (SELECT doc_id, list_distinct(flatten(list(range(at, at + 50)))) AS places FROM windows JOIN firsts USING (words) WHERE doc_id > least GROUP BY doc_id)
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 50)))) AS places FROM windows JOIN firsts USING (words) WHERE doc_id > least GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(places, i)) END, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)

@@ -1,12 +1,13 @@
 """Texts, words and lines of a megabyte, and columns whose names clash, for every operator."""
 
+import hashlib
 import time
 
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from auditgrid.llm import best_fit_packing, bpe_replay, exact_dedup, language_id, quality_bands, simhash, substring_dedup, token_transducer, toxicity
+from auditgrid.llm import best_fit_packing, bpe_replay, chat_template, exact_dedup, language_id, mixing, quality_bands, simhash, substring_dedup, token_transducer, toxicity
 from tests.llm.tables import corpus, frame
 
 N = 1_000_000
@@ -28,6 +29,7 @@ OPERATORS = {
     "packing": lambda s, d: best_fit_packing.pack(d).where("piece = 0"),
     "replay": lambda s, d: bpe_replay.encoding_digests(d),
     "language": lambda s, d: language_id.predict_language(d, model(s)),
+    "mix": lambda s, d: mixing.mix(d),
     "keep_clean": lambda s, d: toxicity.keep_clean(d, LEXICON, 1.1),
     "without_repeats": lambda s, d: substring_dedup.without_repeats(d),
 }
@@ -61,6 +63,17 @@ def test_columns_of_any_name(spark, name):
     assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect())) if name != "packing" else got.count() == plain.count()
 
 
+def test_conversations_of_megabytes_and_columns_of_any_name(spark):
+    turns = [(c, t, role, text) for c, (_, text) in enumerate(LONG) for t, role in enumerate(("user", "assistant"))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    more = df.withColumns({c: F.lit(7) for c in ("last", "formatted", "mask", "n_turns", "loss", "base", "piece")})
+    began = time.monotonic()
+    plain, got = (sorted(map(tuple, chat_template.read_back(chat_template.format_conversations(x)).collect())) for x in (df, more))
+    assert plain == got and time.monotonic() - began < 60
+    loss = {r[0]: r[4] for r in plain}
+    assert loss == {c: hashlib.sha256(text.encode()).hexdigest() for c, (_, text) in enumerate(LONG)}
+
+
 def test_keep_one_passes_columns_of_any_name_through(spark):
     docs = frame(spark, corpus()[:20]).withColumns({c: F.lit(7) for c in ("row", "row_number", "row_number_", "root", "rep", "name", "kept", "component_id_")})
     for keep in (exact_dedup.keep_one, simhash.keep_one):

@@ -102,6 +102,16 @@ def test_every_stage_and_the_run_by_brute_force(spark, tmp_path, documents):
         assert len(places) == -(-sum(len(x[2]) * n for x, n in want.items()) // 2048)
 
 
+def test_only_what_the_result_reads_is_left(spark, tmp_path, monkeypatch):
+    rows = corpus()[:40]
+    sf = write(tmp_path, rows, [(i, int(i % 5 == 0)) for i, _ in rows if i is not None])
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{shared}")
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    left = {p.parent.name.split("-", 1)[1] for p in shared.rglob("*.parquet") if p.is_file()}
+    assert left == {"pieces", "before"}
+
+
 def test_empty_tables_pass_through(spark, tmp_path):
     assert corpus_pipeline.run(spark, write(tmp_path, [], [])).count() == 0
 
