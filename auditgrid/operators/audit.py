@@ -92,6 +92,46 @@ def enabled_paths(findings: DataFrame, disable_for_paths: dict[str, tuple[str, .
     return findings
 
 
+#: Length of the pieces of paths and texts by which ``paths_with`` finds candidates.
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """The distinct pieces of a text, of ``GRAM`` characters and, for texts that are shorter, fewer."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
+
+
+def paths_with(paths: DataFrame, settings: DataFrame) -> DataFrame:
+    """``rule_id, relative_path``: the pairs of ``settings`` (rule_id, text) and ``paths`` (relative_path) where the path contains the text.
+
+    A join of pieces: each text is looked up by the one of its longest pieces that the fewest paths have, and what is found
+    is compared. Empty and null texts count in no path.
+    """
+    known = settings.where("rule_id is not null and text is not null").select("rule_id", "text").distinct()
+    texts = known.where("text <> ''").select("text").distinct()
+    pieces = texts.select("text", F.explode(F.filter(_grams(F.col("text")), lambda g: F.length(g) == F.least(F.length("text"), F.lit(GRAM)))).alias("gram"))
+    each = paths.where("relative_path is not null").select("relative_path").distinct()
+    # Pieces that no text has leave before anything is counted or shuffled by them.
+    parts = each.select("relative_path", F.explode(_grams(F.col("relative_path"))).alias("gram")).join(pieces.select("gram").distinct(), "gram", "left_semi")
+    often = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pieces.join(often, "gram", "left").groupBy("text").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = parts.join(rarest, "gram").where(F.col("relative_path").contains(F.col("text"))).select("text", "relative_path")
+    return found.join(known, "text").select("rule_id", "relative_path").distinct()
+
+
+def enabled_by_table(findings: DataFrame, settings: DataFrame, paths: DataFrame) -> DataFrame:
+    """Without findings of rules that a row of ``settings`` (rule_id, text) turns off for paths containing the text, however many rows there are.
+
+    ``paths`` has the files' paths. A row whose text is empty turns its rule off everywhere.
+    """
+    bare = settings.withColumn("text", F.regexp_replace("text", r"^\^|\$\z", ""))
+    off = bare.where("text = ''").select(F.col("rule_id").alias("off_rule")).distinct()
+    pairs = paths_with(paths, bare).select(F.col("rule_id").alias("off_rule"), F.col("relative_path").alias("off_path"))
+    left = findings.join(off, F.col("rule_id") == F.col("off_rule"), "left_anti")
+    return left.join(pairs, (F.col("rule_id") == F.col("off_rule")) & (F.col("relative_path") == F.col("off_path")), "left_anti")
+
+
 def directives(files: DataFrame) -> DataFrame:
     """``(file_id, repo, relative_path, target, ids)``: lines that a comment frees from rules; null ids stand for all rules."""
     marked = files.where(F.lower("content").contains("audit-ignore")).select(*KEYS, F.posexplode(lines(F.col("content"))).alias("i", "text")).where(F.lower("text").contains("audit-ignore"))

@@ -295,6 +295,18 @@ def _streamed(spark: SparkSession, sf_dir: str, rules=SMALL) -> DataFrame:
     return incremental.findings(spark, f"{at}/findings").select(*COLUMNS)
 
 
+def _settings_table(files: DataFrame) -> DataFrame:
+    """Every twentieth file as a setting: a rule of ``SMALL``, and a piece of the file's path where it is off."""
+    i = F.col("file_id")
+    rule = F.element_at(F.array(*map(F.lit, SMALL)), (F.pmod(i, F.lit(len(SMALL))) + 1).cast("int"))
+    return files.where(F.pmod(i, F.lit(20)) == 1).select(rule.alias("rule_id"), F.substring("relative_path", (F.pmod(i, F.lit(7)) + 1).cast("int"), (F.pmod(i, F.lit(9)) + 2).cast("int")).alias("text"))
+
+
+def _enabled_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus.files(spark, sf_dir)
+    return A.enabled_by_table(_raw(spark, sf_dir), _settings_table(files), files).select(*COLUMNS)
+
+
 #: What a file becomes in its second landing, and the versions of its three.
 SECOND = "const h = createHash('md5');\nconst k = 1;\nconst g = createHash('sha1');"
 
@@ -371,6 +383,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "target_parser": _targets,
         "dependency_findings": _dependencies,
         "stream_versions": _versions,
+        "disabled_paths_table": _enabled_by_table,
         "missing_auth_across_files": _across_files,
         "npm_audit": _npm,
         "package_specs": _specs,
@@ -495,6 +508,10 @@ def oracle_sql() -> dict[str, str]:
         "suppression_directives": _with("SELECT * FROM directives", more=_directive_sql()),
         "suppress_antijoin": audited(f"SELECT {oracle.COLUMNS} FROM kept"),
         "disabled_paths_antijoin": _with(f"SELECT * FROM ({_union(SMALL)}) WHERE {disabled}"),
+        "disabled_paths_table": _with(
+            f"SELECT * FROM ({_union(SMALL)}) f WHERE NOT EXISTS (SELECT 1 FROM settings s WHERE s.rule_id = f.rule_id AND contains(f.relative_path, s.text))",
+            more=f"settings AS (SELECT ([{', '.join(map(quote, SMALL))}])[((file_id % {len(SMALL)}) + {len(SMALL)}) % {len(SMALL)} + 1] AS rule_id, substring(relative_path, ((file_id % 7) + 7) % 7 + 1, ((file_id % 9) + 9) % 9 + 2) AS text FROM files WHERE ((file_id % 20) + 20) % 20 = 1)",
+        ),
         "project_settings_join": _with(f"SELECT * FROM ({_union(SMALL)}) WHERE NOT (ends_with(repo, '3') AND (rule_id = 'weak-hashing' OR list_contains(string_split(relative_path, '/'), 'components') OR (rule_id = 'hardcoded-ip' AND contains(relative_path, 'src/lib'))))"),
         "route_urls": _with(f"SELECT file_id, relative_path, {_url_sql()} AS url FROM files"),
         "enrich_and_sort": audited(f"SELECT {oracle.COLUMNS}, rule_ord, rule_name, cwe_id, cvss_score, owasp_category, wcag, fix FROM findings ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, repo, file_id, rule_ord, line, message"),
