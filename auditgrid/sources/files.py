@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 
 from auditgrid.functions.text import matches
 from auditgrid.schema import FILES_DDL
@@ -71,22 +71,51 @@ def file_id(repo: str, path: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{repo}\0{path}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
 
 
+#: Filters that the source answers itself, as tests of a value.
+_TESTS = {
+    EqualTo: lambda f, x: x == f.value, In: lambda f, x: x in f.value, StringStartsWith: lambda f, x: x.startswith(f.value), StringEndsWith: lambda f, x: x.endswith(f.value), StringContains: lambda f, x: f.value in x,
+}
+
+
 class _FolderReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root = options["path"].rstrip("/")
         self.repo = options.get("repo", os.path.basename(self.root))
         self.ignore = {*PRUNED, *filter(None, (x.strip().rstrip("/") for x in options.get("ignore", "").split(",")))}
         self.bins = int(options.get("partitions", "64"))
+        self.asked: dict[str, list[Filter]] = {"repo": [], "relative_path": []}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Equality, lists and parts of relative_path and repo are the source's own: files that they leave out are never opened."""
+        for f in filters:
+            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in self.asked:
+                self.asked[f.attribute[0]].append(f)
+            else:
+                yield f
+
+    def _wanted(self, column: str, value: str) -> bool:
+        return all(_TESTS[type(f)](f, value) for f in self.asked[column])
+
+    def _leads_on(self, folder: str) -> bool:
+        """Whether a folder can hold a path that the filters leave: one that begins with what they ask for, or the other way round."""
+        below = os.path.relpath(folder, self.root).replace(os.sep, "/") + "/"
+        for f in self.asked["relative_path"]:
+            firsts = [f.value] if isinstance(f, (EqualTo, StringStartsWith)) else list(f.value) if isinstance(f, In) else None
+            if firsts is not None and not any(x.startswith(below) or (isinstance(f, StringStartsWith) and below.startswith(x)) for x in firsts):
+                return False
+        return True
 
     def partitions(self) -> list[InputPartition]:
         """The driver lists folders level by level until there are enough to deal out; the executors walk them."""
+        if not self._wanted("repo", self.repo):
+            return [_Bin([], [])]
         folders, files = [self.root], []
         while folders and len(folders) < self.bins:
             below = []
             for folder in folders:
                 for entry in os.scandir(folder):
                     if entry.is_dir(follow_symlinks=False):
-                        if entry.name not in self.ignore:
+                        if entry.name not in self.ignore and self._leads_on(entry.path):
                             below.append(entry.path)
                     else:
                         files.append(entry.path)
@@ -99,7 +128,7 @@ class _FolderReader(DataSourceReader):
         yield from partition.files
         for top in partition.folders:
             for folder, names, files in os.walk(top):
-                names[:] = sorted(n for n in names if n not in self.ignore)
+                names[:] = sorted(n for n in names if n not in self.ignore and self._leads_on(os.path.join(folder, n)))
                 yield from (os.path.join(folder, f) for f in sorted(files))
 
     def read(self, partition: _Bin) -> Iterator[tuple]:
@@ -108,6 +137,8 @@ class _FolderReader(DataSourceReader):
             if os.path.splitext(name)[1].lower() not in EXTENSIONS and name not in ALWAYS:
                 continue
             relative = os.path.relpath(path, self.root).replace(os.sep, "/")
+            if not self._wanted("relative_path", relative):
+                continue
             try:
                 if not os.path.isfile(path) or not 0 < os.path.getsize(path) <= MAX_BYTES:
                     continue
@@ -121,7 +152,8 @@ class _FolderReader(DataSourceReader):
 class CodeFiles(DataSource):
     """``spark.read.format("codefiles").load(folder)``: hidden files included, which Spark's own sources leave out.
 
-    Options: repo (name, else the folder's), ignore (comma-separated names), partitions. The folder must be
+    Filters on relative_path and repo reach the source, so only matching files are opened, where
+    ``spark.sql.python.filterPushdown.enabled`` is set (``folder`` sets it). Options: repo (name, else the folder's), ignore (comma-separated names), partitions. The folder must be
     reachable from the driver and all executors.
     """
 
@@ -138,6 +170,7 @@ class CodeFiles(DataSource):
 
 def folder(spark: SparkSession, path: str, repo: str | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
     spark.dataSource.register(CodeFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("codefiles").option("ignore", ",".join(ignore))
     return (reader.option("repo", repo) if repo else reader).load(path)
 

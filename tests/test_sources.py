@@ -1,5 +1,8 @@
+import os
+
 import duckdb
 import pytest
+from pyspark.sql import datasource as DS
 from pyspark.sql import functions as F
 
 from auditgrid.config import Config
@@ -26,8 +29,9 @@ def test_scan_predicate(spark):
 
 
 def test_targets_and_errors(spark):
-    got = {r.target: (r.owner, r.repo) for r in registry._targets(spark, "").collect()}
-    assert got == {"https://github.com/o/r": ("o", "r"), "github.com/o/r.git": ("o", "r"), "o/r": ("o", "r"), "./x/y": (None, None), "dir/sub": ("dir", "sub"), "o/r/s": (None, None), "git@github.com:o/r.git": (None, None), "https://example.org/o/r": (None, None), "a b/c": (None, None)}
+    want = {"https://github.com/o/r": ("o", "r"), "github.com/o/r.git": ("o", "r"), "o/r": ("o", "r"), "./x/y": (None, None), "dir/sub": ("dir", "sub"), "o/r/s": (None, None), "git@github.com:o/r.git": (None, None), "https://example.org/o/r": (None, None), "a b/c": (None, None)}
+    targets = spark.createDataFrame([(t,) for t in want], "target string").select("target", S.parse_target(F.col("target")).alias("t")).collect()
+    assert {r.target: (r.t and r.t.owner, r.t and r.t.repo) for r in targets} == want
     rows = [(429, None, "x", None, None, True, None), (403, "0", "x", "5", None, True, 5000), (403, "9", "Secondary Rate Limit", None, 110, True, 10000), (403, "9", "no", None, 90, False, 0), (404, None, None, None, None, False, None)]
     df = spark.createDataFrame(rows, "s int, r string, b string, retry string, reset long, limited boolean, wait long")
     got = df.select("limited", "wait", S.client_error(F.col("s"), F.col("r"), F.col("b"), F.col("retry"), F.col("reset"), F.lit(100)).alias("e")).collect()
@@ -60,3 +64,28 @@ def test_against_sql(spark, name):
     names = [c[0] for c in want.description]
     got = [tuple(r[c] for c in names) for r in registry.queries()[name](spark, sf).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want.fetchall())) and got
+
+
+def test_filters_reach_the_files(spark, tmp_path, monkeypatch):
+    for p in ("a.js", "src/b.ts", "src/deep/c.ts", "src/deep/d.py", "srcs/e.ts", "lib/f.js"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(p)
+    every = {"a.js", "src/b.ts", "src/deep/c.ts", "src/deep/d.py", "srcs/e.ts", "lib/f.js"}
+    path = ("relative_path",)
+    cases = [
+        ([DS.StringStartsWith(path, "src/")], {"src/b.ts", "src/deep/c.ts", "src/deep/d.py"}), ([DS.EqualTo(path, "src/b.ts")], {"src/b.ts"}), ([DS.In(path, ("a.js", "lib/f.js", "no"))], {"a.js", "lib/f.js"}),
+        ([DS.StringEndsWith(path, ".ts"), DS.StringContains(path, "deep")], {"src/deep/c.ts"}), ([DS.EqualTo(("repo",), "other")], set()), ([DS.EqualTo(("repo",), "r")], every), ([DS.GreaterThan(("file_id",), 0)], every), ([DS.StringStartsWith(path, "s")], {p for p in every if p.startswith("s")}),
+    ]
+    opened = []
+    real = open
+    monkeypatch.setattr("builtins.open", lambda p, *a, **k: (opened.append(str(p)), real(p, *a, **k))[1])
+    for filters, want in cases:
+        reader = S._FolderReader({"path": str(tmp_path), "repo": "r", "partitions": "3"})
+        left = list(reader.pushFilters(filters))
+        assert left == [f for f in filters if isinstance(f, DS.GreaterThan)]
+        opened.clear()
+        assert {row[2] for part in reader.partitions() for row in reader.read(part)} == want
+        assert {os.path.relpath(p, tmp_path) for p in opened if p.startswith(str(tmp_path))} == want
+    monkeypatch.undo()
+    found = S.folder(spark, str(tmp_path), "r").where("relative_path like 'src/%' and content <> 'src/b.ts'")
+    assert {r.relative_path for r in found.collect()} == {"src/deep/c.ts", "src/deep/d.py"}
