@@ -450,6 +450,22 @@ def _url_sql() -> str:
     return f"CASE WHEN regexp_matches(relative_path, {app}) THEN '/' || array_to_string({parts}, '/') WHEN regexp_matches(relative_path, {pages}) THEN '/' || regexp_replace(regexp_extract(relative_path, {pages}, 1), '/index$', '') END"
 
 
+def _dependency_sql() -> str:
+    """What package files and requirements leave open, in repositories without a lock file at their root."""
+    out = lambda severity, message, line: oracle.found(dependencies.RULE, quote(severity), message, line, "CAST(NULL AS VARCHAR)")
+    keys = lambda field: f"coalesce(json_keys(content, '$.{field}'), [])"
+    own = f"list_filter({keys('dependencies')}, lambda k: NOT list_contains({keys('devDependencies')}, k))"
+    value = "json_extract_string(json_extract(content, '$.' || field), '$.\"' || name || '\"')"
+    text = oracle.trim("text")
+    return f"""packages AS (SELECT *, {own} AS own, {keys('devDependencies')} AS dev FROM files WHERE relative_path = 'package.json' AND json_valid(content) AND repo NOT IN (SELECT repo FROM files WHERE relative_path IN ({', '.join(map(quote, dependencies.LOCKFILES))}))),
+entries AS (SELECT *, {value} AS value FROM (SELECT *, unnest(own) AS name, 'dependencies' AS field FROM packages UNION ALL SELECT *, unnest(dev) AS name, 'devDependencies' AS field FROM packages)),
+required AS (SELECT file_id, repo, relative_path, {text} AS text, line, {oracle.trim(f"regexp_extract({text}, '^([^<>=!]*)', 1)")} AS name FROM (SELECT file_id, repo, relative_path, unnest(generate_series(1, len(string_split(content, chr(10))))) AS line, unnest(string_split(content, chr(10))) AS text FROM files WHERE relative_path = 'requirements.txt')),
+found AS (
+  SELECT {out('warning', "name || ' takes any version: ' || value", 'NULL')} FROM entries WHERE value IN ('*', 'latest')
+  UNION ALL SELECT {out('info', quote('There is no lock file'), 'NULL')} FROM packages WHERE len(own) + len(dev) > 0
+  UNION ALL SELECT {out('info', "name || ' isn''t pinned'", 'line')} FROM required WHERE text <> '' AND NOT starts_with(text, '#') AND NOT contains(text, '==') AND NOT contains(text, '>=') AND NOT contains(text, '~=') AND name <> '')"""
+
+
 _COUNTS = "CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (severity = 'critical') AS BIGINT) AS critical, CAST(count(*) FILTER (severity = 'warning') AS BIGINT) AS warning, CAST(count(*) FILTER (severity = 'info') AS BIGINT) AS info"
 _GRADED = """SELECT r.repo, CASE WHEN coalesce(critical, 0) > 0 THEN 'F' WHEN coalesce(warning, 0) > 3 THEN 'D' WHEN coalesce(warning, 0) > 1 THEN 'C' WHEN coalesce(warning, 0) > 0 THEN 'B' ELSE 'A' END AS grade,
   coalesce(critical, 0) AS criticals, coalesce(warning, 0) AS warnings, coalesce(info, 0) AS infos, coalesce(total, 0) AS total
@@ -537,6 +553,7 @@ def oracle_sql() -> dict[str, str]:
             "CASE WHEN prefix IS NOT NULL AND severity = 'critical' THEN message || '; the middleware covers ' || prefix || ', make sure that it holds for this route' ELSE message END AS message, line, evidence FROM covered",
             more=_audited_sql(("missing-auth",)) + ", " + _rescored_sql(),
         ),
+        "dependency_findings": _with("SELECT * FROM found", more=_dependency_sql()),
         "stream_versions": _with(
             f"SELECT {oracle.COLUMNS} FROM kept",
             corpus.sql().replace("files AS (", "landed AS (") + f""",
