@@ -62,6 +62,7 @@ AHEAD: dict[str, Callable[[str], str]] = {
     r"\.(?:jsx|tsx|vue|svelte)$|(?:^src\/|^app\/|^pages\/(?!api\/))": lambda x: f"(regexp_matches({x}, {quote(r'(?i)\.(?:jsx|tsx|vue|svelte)$|^src\/|^app\/')}) OR (regexp_matches({x}, '(?i)^pages/') AND NOT regexp_matches({x}, '(?i)^pages/api/')))",
     r"(?:src\/|app\/(?!api)|pages\/(?!api)|components\/|hooks\/|lib\/client|utils\/client).*\.(js|ts|jsx|tsx)$": lambda x: f"regexp_matches({x}, {quote(r'(?i)(?:src\/|(?:app|pages)\/(?:[^a]|a[^p]|ap[^i])|components\/|hooks\/|lib\/client|utils\/client).*\.(js|ts|jsx|tsx)$')})",
     r"(?:findUnique|findMany|findFirst)\s*\(\s*\{(?:(?!select|include).)*\}\s*\)": _around(r"(?i)(?:findUnique|findMany|findFirst)\s*\(\s*\{(.*?)\}\s*\)", "select|include"),
+    r"jwt\.sign\s*\(\s*(?:(?!expiresIn|exp).)*\)": _around(r"(?i)jwt\.sign\s*\(\s*(.*?)\)", "expiresIn|exp"),
     r"\.find\([^)]*\)\s*(?!\s*\.select)": _without(r"\.find\([^)]*\)(?:\s*\.select)?", r"\.select$"),
     r"\.findMany\s*\(\s*(?:\{(?:(?!take|first|last).)*\}|\s*\))": lambda x: f"(regexp_matches({x}, {quote(r'(?i)\.findMany\s*\(\s*\)')}) OR {_around(r'(?i)\.findMany\s*\(\s*\{(.*?)\}', 'take|first|last')(x)})",
     r"\.find\s*\([^)]*\)\s*(?!.*\.limit)": _last(r"\.find\s*\([^)]*\)", r"\.limit"),
@@ -265,10 +266,50 @@ def _lockfile() -> str:
     return f"SELECT {found('install-script-dependency', f'CASE WHEN {known} THEN ' + quote('info') + ' ELSE ' + quote('warning') + ' END', message, '1', 'place || ' + quote(': hasInstallScript'))} FROM ({first})"
 
 
+def _line_checks(live: str, hits: list[tuple[str, str, str, str]], rule: str, comments: tuple[str, ...] = ("//", "*")) -> str:
+    """Findings of a check on lines: (test on text, severity, message, evidence) each."""
+    rows = f"SELECT *, {trim('text')} AS trimmed FROM (SELECT file_id, repo, relative_path, unnest(generate_series(1, len(string_split(content, chr(10))))) AS line, unnest(string_split(content, chr(10))) AS text FROM files WHERE {live})"
+    comment = either(f"starts_with(trimmed, {quote(c)})" for c in comments)
+    return " UNION ALL ".join(f"SELECT {found(rule, quote(s), m, 'line', e)} FROM ({rows}) WHERE NOT ({comment}) AND {t}" for t, s, m, e in hits)
+
+
+def _cookies() -> str:
+    options = r"res\.cookie\s*\(\s*['\"`][^'\"`]+['\"`]\s*,\s*[^,]+,\s*\{([^}]*)\}"
+    given = f"lower(regexp_extract(text, {inline(options, '')}, 1))"
+    absent = f"array_to_string(list_filter(['httponly', 'secure', 'samesite'], lambda x: NOT contains({given}, x)), ', ')"
+    shown = "substring(trimmed, 1, 120)"
+    bare = _last(r"(?i)document\.cookie\s*=", "(?i:httponly|secure|samesite)")
+    return _line_checks(both([f"NOT {matches('relative_path', r'(?:\.test\.|\.spec\.|__tests__)', 'i')}", "contains(content, 'cookie') OR contains(content, 'Cookie')"]), [
+        (matches("text", r"res\.cookie\s*\(\s*['\"`][^'\"`]+['\"`]\s*,\s*[^,)]+\s*\)"), "warning", quote("A cookie is set without options"), shown),
+        (both([matches("text", options), f"{absent} <> ''"]), "warning", f"{quote('A cookie lacks flags: ')} || {absent}", shown),
+        (matches("text", r"['\"`]Set-Cookie['\"`]\s*,\s*['\"`][^'\"`]+['\"`]", "i"), "warning", quote("A cookie header is written by hand"), shown),
+        (bare("text"), "warning", quote("The client sets a cookie without flags"), shown),
+    ], "insecure-cookies")
+
+
+def _jwt() -> str:
+    masked = f"substring(regexp_replace(trimmed, {quote(r'^((?s:.)*?)[' + chr(39) + r'\"`][^' + chr(39) + r'\"`]+[' + chr(39) + r'\"`]')}, '\\1\"***\"'), 1, 120)"
+    known = r"(?:secret|password|key|token|jwt[_-]?secret|my[_-]?secret|your[_-]?secret|change[_-]?me|test|dev|1234|admin)"
+    return _line_checks(both([f"NOT {matches('relative_path', r'(?:\.test\.|\.spec\.|__tests__)', 'i')}", matches("content", "jwt")]), [
+        (matches("text", r"jwt\.sign\s*\([^,]+,\s*['\"`]([^'\"`]{1,20})['\"`]", "i"), "critical", quote("A token is signed with a short secret"), masked),
+        (matches("text", rf"jwt\.sign\s*\([^,]+,\s*['\"`]{known}['\"`]", "i"), "critical", quote("A token is signed with a well-known secret"), masked),
+        (matches("text", r"jwt\.verify\s*\(\s*[^,]+,\s*[^,]+\s*\)"), "warning", quote("A token is verified without fixed algorithms"), "substring(trimmed, 1, 120)"),
+    ], "insecure-jwt")
+
+
+def _rate_limiting() -> str:
+    risky = matches("relative_path", file_checks.RISKY_ROUTE, "i")
+    call = "coalesce(" + ", ".join(f"nullif(regexp_extract(content, {inline(r, 'i')}), '')" for r in file_checks.PAID_CALLS) + ", '')"
+    live = both([matches("relative_path", file_checks.ROUTE_FILES, "i"), f"NOT {matches('content', file_checks.RATE_LIMITS, 'i')}"])
+    one = lambda test, message, shown: f"SELECT {found('missing-rate-limiting', quote('warning'), quote(message), '1', shown)} FROM files WHERE {both([live, test])}"
+    return one(risky, "A route for logins, payments or models has no rate limit", "relative_path") + " UNION ALL " + one(f"NOT {risky} AND {call} <> ''", "A route calls a paid service without a rate limit", f"substring({call}, 1, 80)")
+
+
 #: SQL of the checks that have any.
 CHECKS = {
     "missing-security-headers": _headers, "missing-gitignore": _gitignore, "docker-root-user": _docker, "exposed-database-port": _compose, "vercel-env-leak": _vercel,
     "exposed-env-vars": _env_vars, "unpinned-dependencies": _unpinned, "no-error-monitoring": _monitoring, "install-script-dependency": _lockfile,
+    "insecure-cookies": _cookies, "insecure-jwt": _jwt, "missing-rate-limiting": _rate_limiting,
 }
 
 

@@ -110,14 +110,20 @@ def missing_security_headers(path: Column, content: Column) -> Column:
     return F.when(live & (names != ""), F.array(found("missing-security-headers", "warning", F.concat(F.lit("Security headers aren't set: "), names), F.lit(1), F.concat(F.lit("Missing: "), names), F.lit(0))))
 
 
+#: Routes, what limits them, which of them are worth limiting, and calls that cost money: fixed values.
+ROUTE_FILES = r"(?:api\/|routes\/|server\/|functions\/|middleware|\.server\.|pages\/api\/)"
+RATE_LIMITS = r"rateLimit|rateLimiter|upstash.*ratelimit|slidingWindow|fixedWindow|tokenBucket|express-rate-limit|bottleneck|p-throttle|limiter"
+RISKY_ROUTE = r"(?:login|signup|register|forgot|reset|checkout|pay|stripe|payment|chat|ai\/|generate|translate|openai|anthropic|claude|gemini)"
+PAID_CALLS = (
+    r"new\s+(?:OpenAI|Anthropic|Stripe|Twilio|SendGrid)\s*\(", r"openai\.(?:chat|completions|images|embeddings)\.", r"anthropic\.messages\.", r"stripe\.(?:charges|customers|subscriptions|paymentIntents)\.",
+    r"twilio\.messages\.create", r"fetch\s*\(\s*['\"`]https:\/\/api\.openai\.com", r"fetch\s*\(\s*['\"`]https:\/\/api\.anthropic\.com", r"fetch\s*\(\s*['\"`]https:\/\/api\.stripe\.com",
+)
+
+
 def missing_rate_limiting(path: Column, content: Column) -> Column:
-    paid = (
-        r"new\s+(?:OpenAI|Anthropic|Stripe|Twilio|SendGrid)\s*\(", r"openai\.(?:chat|completions|images|embeddings)\.", r"anthropic\.messages\.", r"stripe\.(?:charges|customers|subscriptions|paymentIntents)\.",
-        r"twilio\.messages\.create", r"fetch\s*\(\s*['\"`]https:\/\/api\.openai\.com", r"fetch\s*\(\s*['\"`]https:\/\/api\.anthropic\.com", r"fetch\s*\(\s*['\"`]https:\/\/api\.stripe\.com",
-    )
-    live = gate((path_is(r"(?:api\/|routes\/|server\/|functions\/|middleware|\.server\.|pages\/api\/)"), *lacks(r"rateLimit|rateLimiter|upstash.*ratelimit|slidingWindow|fixedWindow|tokenBucket|express-rate-limit|bottleneck|p-throttle|limiter")), ())
-    risky = matches(path, r"(?:login|signup|register|forgot|reset|checkout|pay|stripe|payment|chat|ai\/|generate|translate|openai|anthropic|claude|gemini)", "i")
-    call = reduce(lambda a, b: F.when(a != "", a).otherwise(b), [F.regexp_extract(content, js_regex(r, "i"), 0) for r in paid])
+    live = gate((path_is(ROUTE_FILES), *lacks(RATE_LIMITS)), ())
+    risky = matches(path, RISKY_ROUTE, "i")
+    call = reduce(lambda a, b: F.when(a != "", a).otherwise(b), [F.regexp_extract(content, js_regex(r, "i"), 0) for r in PAID_CALLS])
     one = F.when(risky, found("missing-rate-limiting", "warning", "A route for logins, payments or models has no rate limit", F.lit(1), path, F.lit(0))).when(call != "", found("missing-rate-limiting", "warning", "A route calls a paid service without a rate limit", F.lit(1), F.substring(call, 1, 80), F.lit(0)))
     return F.when(live, present([one]))
 
