@@ -35,10 +35,9 @@ def test_a_guard_that_another_file_passes_on(spark):
         ("app/api/open4/route.ts", "import { check } from '@/lib';\nconst other = () => check();\nexport async function GET(req) { return db.all(); }\n"),
     ]
     open_ = sorted(("r", f"app/api/{x}/route.ts") for x in ("f", "open1", "open2", "open3", "open4"))
-    assert found(spark, frame(spark, rows)) == open_
     both = frame(spark, rows).union(frame(spark, rows[3:5], "other")).union(frame(spark, [*rows[:2], rows[3]], None))
     assert found(spark, both) == sorted(open_ + [("other", "app/api/a/route.ts"), ("other", "app/api/b/route.ts")])
-    assert found(spark, frame(spark, rows).where("false")) == []
+    assert modules.guarded_functions(frame(spark, rows).where("false")).count() == 0
     # Without the files around, a name that says nothing guards nothing; with a name of the project's own it does.
     assert found(spark, frame(spark, rows[3:4])) == [("r", "app/api/a/route.ts")]
     assert modules.guarded_functions(frame(spark, [*rows[:1], ("x.js", None), (None, "y")]), ("fine",)).count() == 1
