@@ -9,7 +9,6 @@ the model's words and n-grams: nothing else is left out. Rows that repeat count
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
