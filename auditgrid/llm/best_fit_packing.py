@@ -331,8 +331,8 @@ class ChunkIds:
         self.size, self.keep_bytes = 0, keep_bytes
 
     def _each(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 8192):
-            some = chunks[i : i + 8192]
+        for i in range(0, len(chunks), 2048):
+            some = chunks[i : i + 2048]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
@@ -395,6 +395,8 @@ class ChunkIds:
 
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
+WIDTH = pa.schema([(c, pa.int64()) for c in ("length", "width")])
+PLAN = pa.schema([(c, pa.int64()) for c in ("of", "slot", "lo", "hi", "base", "each", "at")])
 PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 
 
@@ -428,6 +430,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                     ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                     arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            del batch  # else it stays while the next one is read
 
     return docs.mapInArrow(run, PIECE_DDL + ", ids array<int>" * with_ids)
 
@@ -454,7 +457,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
     Null and empty texts are packed as their end token alone. Rows that repeat, or share an id, are
     packed each; a null id stays null; long texts are cut; only the two columns named are read. An empty table gives an
-    empty result. keep_bytes: what a worker remembers of chunks, also while it is idle; less costs time and nothing else.
+    empty result. keep_bytes: what a worker remembers of chunks until all pieces are cut; less costs time and nothing else.
     The number of sequences, and the number that any packing needs, are logged.
     """
     spark = docs.sparkSession
@@ -462,13 +465,14 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     cut = tables.write(pieces(common.id_and_text(docs, id_col, text_col), path or public_tokenizers.path(VOCABULARY), capacity, end_id, keep_bytes, with_ids), "pieces")
     counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # Nothing tokenizes any more: what the workers remember goes before the pieces are joined.
+    histogram = {r["length"]: r["n"] for r in common.released(cut.select("length")).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     made = plan(histogram, capacity, nodes)
     log.info("%d sequences for %d pieces; any packing needs %d; searched to the end: %s", made.sequences, sum(histogram.values()), made.bound, made.searched)
     rows, widths = _plan_rows(made.patterns, histogram)
     # Neither grows with the input: a row for each length, and one or two for each length of each filling.
-    width = F.broadcast(spark.createDataFrame(widths, "length long, width long"))
-    plan_rows = F.broadcast(spark.createDataFrame(rows, "of long, slot long, lo long, hi long, base long, each long, at long"))
+    width = F.broadcast(common.small_table(spark, widths, WIDTH))
+    plan_rows = F.broadcast(common.small_table(spark, rows, PLAN))
     before = tables.write(before.join(width, "length").select("length", "part", "before", "width"), "before")
     ranked = cut.join(before, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("before"))
     placed = ranked.join(plan_rows, (F.col("length") == F.col("of")) & (F.floor(F.col("rank") / F.col("width")) == F.col("slot")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))

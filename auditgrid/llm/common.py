@@ -176,3 +176,18 @@ def release_state() -> None:
         _STATE.clear()
         gc.collect()
     pa.default_memory_pool().release_unused()
+
+
+def released(df: DataFrame) -> DataFrame:
+    """The rows as they are; the workers they pass through free what they remember."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_state()
+        yield from batches
+
+    return df.mapInArrow(run, df.schema)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """Rows that the driver made. From Arrow the JVM reads them itself; a list of tuples goes through Python workers of another kind, which then stay beside the operators'."""
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema))

@@ -36,8 +36,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
-#: Bytes that packing's workers remember of chunks; they serve the other stages too.
-PACKING_KEEPS = 64_000_000
+#: Bytes that packing's workers remember of chunks; the executors' memory is full of the stages before.
+PACKING_KEEPS = 24_000_000
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
